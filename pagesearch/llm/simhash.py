@@ -184,3 +184,13 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     classes = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "r"), F.col("root") == F.col("r"))
     classes = classes.select(F.col("fp").alias("k"), "component_id")
     return rows.join(classes, F.col("fp") == F.col("k")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those of a component whose id is another document's.
+
+    The document with the component's smallest doc_id stays; rows without a doc_id stay too.
+    """
+    found = simhash_components(docs)
+    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__other"))
+    return docs.join(others, docs["doc_id"].cast("long") == F.col("__other"), "left_anti")
