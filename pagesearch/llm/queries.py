@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, license_scan, simhash, source_mixing, token_counts, token_output, toxicity, url_filter
+from . import decontamination, exact_dedup, license_scan, simhash, source_mixing, suffix_dedup, token_counts, token_output, toxicity, url_filter
 from .common import read_table
 
 
@@ -13,6 +13,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.source_mixing(read_table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mixing, op4_decontamination, op5_toxicity, op6_token_output, op7_exact_dedup, op8_license_scan, op9_simhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_source_mixing, op4_decontamination, op5_toxicity, op6_token_output, op7_exact_dedup, op8_license_scan, op9_simhash, op10_url_filter)}
 ORACLE_SQL = {"op3_source_mixing": source_mixing.sql(), "op7_exact_dedup": exact_dedup.SQL, "op8_license_scan": license_scan.SQL, "op10_url_filter": url_filter.SQL}
