@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +13,8 @@ from .. import schemas
 from ..functions.repair import load_xml
 from ..functions.text import given, number, truthy
 
-_FIELDS = [f.split()[0] for f in schemas.PARSED.split(", ")]
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+_ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (f.split() for f in schemas.PARSED.split(", "))])
 
 
 def _local(e: ET.Element) -> str:
@@ -58,20 +59,23 @@ def parse_files(files: DataFrame, fix_mode: str = "no", compat: bool = False) ->
     a task holds one batch of files.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for f in files.itertuples(index=False):
-                root = load_xml(f.content, fix_mode)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[dict] = []
+            for item, kind, file_no, content in zip(*(c.to_pylist() for c in b.columns)):
+                root = load_xml(content, fix_mode)
                 parsed: list[dict] = []
                 if root is not None:
-                    parsed = list(alto_rows(root) if f.kind == schemas.ALTO else pdf2xml_rows(root, compat) if f.kind == schemas.PDF2XML else ())
-                rows = pd.DataFrame(parsed or [{}], columns=_FIELDS).astype(object)
-                rows = rows.assign(item_id=f.item_id, kind=f.kind, file_no=f.file_no)
-                for c in ("page_in_file", "zone_no"):
-                    rows[c] = rows[c].astype("Int32")
-                yield rows.where(rows.notna(), None)[_FIELDS]
+                    parsed = list(alto_rows(root) if kind == schemas.ALTO else pdf2xml_rows(root, compat) if kind == schemas.PDF2XML else ())
+                own = {"item_id": item, "kind": kind, "file_no": file_no}
+                rows.extend(own | r for r in parsed or [{}])
+                if len(rows) >= 20_000:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return files.select("item_id", "kind", "file_no", "content").mapInPandas(run, schemas.PARSED)
+    return files.select("item_id", "kind", "file_no", "content").mapInArrow(run, schemas.PARSED)
 
 
 def merge_pages(parsed: DataFrame, all_pages: bool = False) -> DataFrame:
@@ -81,18 +85,19 @@ def merge_pages(parsed: DataFrame, all_pages: bool = False) -> DataFrame:
     none with content, so that page numbers stay aligned with images. An item whose first file has no page has none.
     ``all_pages`` adds every page of the further files instead.
     """
-    files = parsed.groupBy("item_id", "file_no").agg(F.coalesce(F.max("page_in_file"), F.lit(0)).alias("n_pages"))
+    item, file = Window.partitionBy("item_id"), Window.partitionBy("item_id", "file_no")
     order = Window.partitionBy("item_id").orderBy("file_no")
-    added = F.greatest("n_pages", F.lit(1)) if all_pages else F.lit(1)
-    taken = F.when(F.row_number().over(order) == 1, F.col("n_pages")).otherwise(added)
-    files = files.withColumn("first_no", F.min("file_no").over(Window.partitionBy("item_id"))).withColumn("n_first", F.first("n_pages").over(order)).withColumn("taken", taken)
-    files = files.withColumn("offset", F.sum("taken").over(order) - F.col("taken")).filter("n_first > 0")
-    files = files.select(F.col("item_id").alias("i"), F.col("file_no").alias("f"), "first_no", "offset")
-    rows = parsed.join(files, (F.col("item_id") == F.col("i")) & (F.col("file_no") == F.col("f")))
-    rows = rows.withColumn("page_in_file", F.coalesce("page_in_file", F.lit(1)))
+    page_row = F.col("zone_no").isNull()  # a file without pages has one such row too
+    rows = parsed.withColumns({"first_no": F.min("file_no").over(item), "rank": F.dense_rank().over(order)})
+    rows = rows.withColumn("n_first", F.count_if(page_row & (F.col("file_no") == F.col("first_no")) & F.col("page_in_file").isNotNull()).over(item)).filter("n_first > 0")
+    if all_pages:
+        offset = F.count_if(page_row).over(order.rangeBetween(Window.unboundedPreceding, 0)) - F.count_if(page_row).over(file)
+    else:
+        offset = F.when(F.col("rank") == 1, F.lit(0)).otherwise(F.col("n_first") + F.col("rank") - 2)
+    rows = rows.withColumn("offset", offset).withColumn("page_in_file", F.coalesce("page_in_file", F.lit(1)))
     if not all_pages:
-        rows = rows.filter((F.col("file_no") == F.col("first_no")) | (F.col("page_in_file") == 1))
-    return rows.withColumn("page_no", (F.col("offset") + F.col("page_in_file")).cast("int")).drop("i", "f", "first_no", "offset")
+        rows = rows.filter("rank = 1 or page_in_file = 1")
+    return rows.withColumn("page_no", (F.col("offset") + F.col("page_in_file")).cast("int")).drop("first_no", "rank", "n_first", "offset")
 
 
 def with_page_status(rows: DataFrame) -> DataFrame:
