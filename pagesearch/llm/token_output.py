@@ -147,8 +147,8 @@ def frequency_ranks(counts: Iterable[tuple[int, int]]) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, folder: str) -> np.ndarray:
     """Write the ids of all documents, in ascending doc_id order, to ``folder``; return the id of each rank.
 
-    Each row of the Parquet files is a document: doc_id, part, n_tokens, control bytes, payload bytes; part numbers
-    rise with doc_id. Ids are encoded once, to a table beside the folder that is deleted afterwards.
+    Each row of the Parquet files is a document: doc_id, part, place, n_tokens, control bytes, payload bytes; parts rise
+    with doc_id, and places within a part. Ids are encoded once, to a table beside the folder that is deleted afterwards.
     """
     spark = docs.sparkSession
     encode(docs, path).write.parquet(f"{folder}-ids", compression="zstd")
@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str) -> np.ndarray:
 
     packed = encoded.mapInArrow(run, "doc_id long, n_tokens long, control binary, payload binary")
     ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "payload")
-    ordered.withColumn("part", F.spark_partition_id()).write.parquet(folder, compression="zstd")
+    ordered.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).write.parquet(folder, compression="zstd")
     delete(spark, f"{folder}-ids")
     return by_rank
 
@@ -179,14 +179,14 @@ def read_token_files(spark: SparkSession, folder: str, by_rank: np.ndarray) -> D
         for b in batches:
             rows = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())
             crc = [zlib.crc32(ids[unpack(control, payload, n)].tobytes()) for n, control, payload in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["doc_id", "part", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(5), pa.array(crc, pa.int64())], ["doc_id", "part", "n_tokens", "place", "ids_crc32"])
 
-    files = spark.read.parquet(folder).select("doc_id", "part", "n_tokens", "control", "payload")
-    rows = files.mapInArrow(run, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    files = spark.read.parquet(folder).select("doc_id", "part", "n_tokens", "control", "payload", "place")
+    rows = files.mapInArrow(run, "doc_id long, part int, n_tokens long, place long, ids_crc32 long")
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each write task
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("total").over(before(Window.orderBy("part"))), F.lit(0)).alias("offset"))
-    inside = before(Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32"))
+    inside = before(Window.partitionBy("part").orderBy("place"))
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(offsets), F.col("part") == F.col("p"))
     return placed.select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
