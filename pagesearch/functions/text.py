@@ -43,13 +43,21 @@ def pattern(term: Column) -> Column:
     return F.concat(F.lit(r"(?iu)(\Q"), term, F.lit(r"\E)"))
 
 
+def _ascii(text: Column, term: Column) -> Column:
+    return (F.octet_length(text) == F.char_length(text)) & (F.octet_length(term) == F.char_length(term))
+
+
 def contains(text: Column, term: Column) -> Column:
-    return F.call_function("rlike", text, pattern(term))
+    """Whether the text holds the term in any case. Among ASCII strings that is a search in lower case, which needs no
+    pattern; the others are matched by pattern, as letters may have more than two cases."""
+    return F.when(_ascii(text, term), F.contains(F.lower(text), F.lower(term))).otherwise(F.call_function("rlike", text, pattern(term)))
 
 
 def first_match(text: Column, term: Column) -> Column:
-    """The first stretch of the text that matches, in its own case."""
-    return F.call_function("regexp_extract", text, pattern(term), F.lit(1))
+    """The first stretch of the text that matches, in its own case; empty without one."""
+    at = F.call_function("locate", F.lower(term), F.lower(text))
+    found = F.when(at > 0, F.call_function("substring", text, at, F.char_length(term))).otherwise(F.lit(""))
+    return F.when(_ascii(text, term), found).otherwise(F.call_function("regexp_extract", text, pattern(term), F.lit(1)))
 
 
 def slug_of(word: str | None) -> str | None:
