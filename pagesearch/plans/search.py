@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +51,13 @@ def save_zones(corpus: Corpus, folder: str, buckets: int = 64) -> None:
         df.withColumn("bucket", F.pmod(F.hash("item_id"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("item_id").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def saved_corpus(corpus: Corpus, folder: str) -> Corpus:
+    """The corpus with the zones and words that save_zones() wrote."""
+    spark = corpus.images.sparkSession
+    zones, words = (spark.read.parquet(f"{folder}/{name}").drop("bucket") for name in ("zones", "words"))
+    return replace(corpus, zones=zones, words=words)
+
+
 def search_matches(corpus: Corpus, queries: DataFrame, cfg: SearchConfig = SearchConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(annotations, hits, diagnostics) of queries (query_id, item_id, q). An item is searched by its word index if it
     has one, else by its zones; media found only in metadata come last."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import SearchConfig
+from ..functions import text as text_functions
 from ..functions.geometry import annotation_id
 from ..functions.repair import fix_utf8
 from ..functions.text import clean_query, contains, query_terms, slug, strip_tags
@@ -463,3 +464,63 @@ def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = lines.select("item_id", F.lit(schemas.TSV).alias("kind"), F.array_join(F.transform("all", lambda x: x["l"]), "\n").cast("binary").alias("content"))
     z = match.index_zones(zones.read_word_index(files)).filter("zone_code is null")
     return z.groupBy("item_id", "word", "line_no").agg(F.count("*").alias("n"), F.sum("page_no").alias("pages"), F.sum("hpos").alias("hpos"), F.sum("width").alias("width"))
+
+
+# --- requests, names and JSON ------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH q AS (SELECT conv_id, turn, CASE conv_id % 9 WHEN 0 THEN NULL ELSE conv_id END AS item_id, CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(9) || chr(10) WHEN 2 THEN NULL ELSE text END AS q FROM conversations)
+SELECT conv_id, turn, CASE WHEN item_id IS NULL THEN 'missing_id' WHEN coalesce(q, '') = '' THEN 'missing_query' WHEN regexp_matches(q, '^[ \t\n\r\x00\x0B]*$') THEN 'blank' ELSE 'ok' END AS status FROM q""")
+def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.expr("case turn % 5 when 0 then '' when 1 then concat(' ', chr(9), chr(10)) when 2 then null else text end")
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("case conv_id % 9 when 0 then null else conv_id end").alias("item_id"), q.alias("q"))
+    return match.request_status(asked).select("conv_id", "turn", "status")
+
+
+@query(f"""SELECT doc_id AS item_id, '[' || to_json({{'@context': '{schemas.CONTEXT}', '@id': '{SearchConfig().search_url}/' || doc_id, '@type': 'SearchService0', 'profile': '{schemas.PROFILE}', 'label': 'Search within this manifest'}})::VARCHAR || ',' || to_json({{'@context': '{schemas.CONTEXT_1}', 'id': '{SearchConfig().search_url}/' || doc_id || '/search', 'type': 'SearchService1', 'profile': '{schemas.PROFILE_1}', 'label': 'Search within this manifest'}})::VARCHAR || ']' AS services FROM documents""")
+def service_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advertise.service_descriptions(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")))
+
+
+@query(r"""SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(html, '[ \t\n\x0B\f\r]{2,}', ' ', 'g'), '</?[bi]>', '', 'g'), '<fontspec id=".*\n', '', 'g'), '<!doctype pdf2xml system "pdf2xml.dtd">', '<!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd">') AS xml FROM pages""")
+def fix_pdf2xml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text_functions.fix_pdf2xml(F.col("html")).alias("xml"))
+
+
+@query(rf"SELECT conv_id, turn, regexp_replace({_CLEAN_SQL.format('text')}, '([+^$=<>|])', '\\\1', 'g') AS quoted FROM conversations")
+def query_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text_functions.quoted(clean_query(F.col("text"))).alias("quoted"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '\.[^.]*$', '') AS stem FROM pages")
+def url_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text_functions.file_stem(F.col("url")).alias("stem"))
+
+
+_MEDIA_TYPES = ("text/tab-separated-values", "application/alto+xml", "text/xml", "image/png", "application/vnd.pdf2xml+xml")
+
+
+@query(f"""WITH m AS (SELECT page_id, [{", ".join(f"'{t}'" for t in _MEDIA_TYPES)}][page_id % 5 + 1] AS t, length(html) % 3 AS size FROM pages)
+SELECT page_id, CASE t WHEN 'text/tab-separated-values' THEN 'tsv' WHEN 'text/xml' THEN 'generic_xml' WHEN 'image/png' THEN 'other' ELSE 'xml' END AS role, t = 'application/alto+xml' AND size > 0 AS merges FROM m""")
+def media_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.element_at(F.array(*map(F.lit, _MEDIA_TYPES)), (F.col("page_id") % 5 + 1).cast("int"))
+    m = table(spark, sf_dir, "pages").select("page_id", t.alias("media_type"), (F.char_length("html") % 3).alias("size"))
+    merges = media.mergeable(m).select("page_id", F.lit(True).alias("merges"))
+    return media.classify_media(m).join(merges, "page_id", "left").select("page_id", "role", F.coalesce("merges", F.lit(False)).alias("merges"))
+
+
+@query("""WITH f AS (SELECT page_id % 40 AS item_id, length(html) % 4 AS priority FROM pages)
+SELECT item_id, ['text/tab-separated-values', 'application/vnd.pdf2xml+xml', 'application/alto+xml', 'legacy'][min(priority) + 1] AS kind FROM f GROUP BY ALL""")
+def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = sorted(media.FILE_PRIORITY, key=media.FILE_PRIORITY.get)
+    priority = F.char_length("html") % 4
+    kind = F.element_at(F.array(*map(F.lit, kinds)), priority + 1)
+    files = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("item_id"), kind.alias("kind"), priority.alias("priority"), F.lit(b"").alias("content"))
+    return media.resolve_files(files).select("item_id", "kind")
+
+
+@query("""SELECT doc_id AS item_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN '@id' END, CASE WHEN doc_id % 5 = 0 THEN 'on' END) AS missing, coalesce(lang, 'und') AS lang FROM documents""")
+def required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "lang", F.expr("if(doc_id % 3 = 0, null, 'i')").alias("id"), F.expr("if(doc_id % 5 = 0, null, 'c')").alias("target"), F.lit("x").alias("chars"))
+    missing = results.missing_keys(results.annotation_struct(), schemas.ANNOTATION_KEYS)
+    return results.with_defaults(rows, {"lang": "und"}).select("item_id", F.array_join(missing, ",").alias("missing"), "lang")
