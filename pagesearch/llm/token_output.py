@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from .common import id_and_text, set_checkpoint_dir
 
 END_ID = 2
 #: Words whose ids a worker keeps, and the longest that it keeps.
-KEPT, KEPT_CHARS = 1_000_000, 40
+KEPT, KEPT_CHARS = 750_000, 40
 #: Texts that are encoded together.
 TOGETHER = 256
 
@@ -48,7 +49,8 @@ class Encoder:
 
     The library's pre-tokenizer starts a token at each space that follows a non-space and precedes one, so a text is
     the concatenation of its words with the space in front of each. Texts in which a space stands between other white
-    space, or which hold a special token's string, go to the library whole.
+    space, or which hold a special token's string, go to the library whole. When ``KEPT`` words are known no more are
+    kept, until as many as eight times that were missed; then the worker starts anew.
     """
 
     WHOLE, SPACE = re.compile(r"\s \s|\s \Z"), re.compile(r"\s")
@@ -65,25 +67,50 @@ class Encoder:
         for token, i in vocabulary.items():
             self.length[i] = len(token)  # the byte-level alphabet has one character for each byte
         self.kept: dict[str, bytes] = {}
+        self.missed = 0
+        byte_of = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that the alphabet leaves as they are
+        self.alphabet = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in byte_of)}
+        self.space = chr(self.alphabet[0x20])
+        self.ends = dict(zip(".,;:!?", self.encoded([*".,;:!?"])))
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space, with the space in front: encoded as one text, cut by byte lengths."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2048):
+            text = " " + " ".join(words[at : at + 2048])
+            ids = np.frombuffer(self.encoded([text])[0], "<u2")
+            sizes = np.fromiter(map(len, text.encode().split(b" ")[1:]), "i8") + 1
+            stops = (2 * (np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(sizes)) + 1)).tolist()
+            raw = ids.tobytes()
+            out.extend(raw[a:b] for a, b in zip([0, *stops], stops))
+        return out
+
+    def _merged(self, letters: str, front: str = "") -> bytes:
+        """Ids of letters that are one pre-token, perhaps with a space in front, here as the byte-level alphabet has it."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.alphabet)
+        return array("H", [t.id for t in self.library.model.tokenize(front + letters)]).tobytes()
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words with the space in front; plain ones are encoded as one text and cut by their byte lengths."""
+        """Ids of words with the space in front. Latin letters, with one mark at the end or none, go straight to the
+        library's merges; other words pass its pre-tokenizer, many at a time."""
         out: dict[str, bytes] = {}
-        odd = [w for w in words if not w or self.SPACE.search(w)]
-        plain = [w for w in words if w and not self.SPACE.search(w)] if odd else words
+        plain, odd = [], []
+        for w in words:
+            letters, end = w, b""
+            if w[-1:] in self.ends:
+                letters, end = w[:-1], self.ends[w[-1]]
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+                out[w] = (self.kept.get(letters) or out.get(letters) or self._merged(letters, self.space)) + end
+            elif not w or self.SPACE.search(w):
+                odd.append(w)
+            else:
+                plain.append(w)
         out |= zip(odd, self.encoded([" " + w for w in odd]))
-        for at in range(0, len(plain), 2048):
-            some = plain[at : at + 2048]
-            ids = np.frombuffer(self.encoded([" " + " ".join(some)])[0], "<u2")
-            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in some), "i8", len(some)))
-            stops = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(some, (2 * stops).tolist()):
-                out[w] = raw[a:b]
-                a = b
+        out |= zip(plain, self._plain(plain))
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -97,25 +124,38 @@ class Encoder:
             out[i] = e
         heads = self.encoded([p[0] for p in split.values()])
         words = set().union(*(p[1:] for p in split.values())) if split else set()
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        new = [w for w in words if w not in self.kept]
-        self.kept |= self.learn(new)
+        new = list(words.difference(self.kept))
+        self.missed += len(new)
+        if self.missed > 9 * KEPT:
+            self.kept, self.missed, new = {}, 0, list(words)
+        fresh = self.learn(new)
+        full = len(self.kept) >= KEPT
+        self.kept |= fresh
         look = self.kept.__getitem__
         for (i, parts), head in zip(split.items(), heads):
             out[i] = head + b"".join(map(look, parts[1:]))
         for w in new:
-            if len(w) > KEPT_CHARS:
+            if full or len(w) > KEPT_CHARS:
                 del self.kept[w]
         return out
 
 
+#: A Python worker's encoders: what it has learned serves its later tasks too.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids, 16 bits each, the end id last."""
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):
                 b = whole.slice(at, TOGETHER)
@@ -164,9 +204,10 @@ def write_token_files(docs: DataFrame, path: str, folder: str) -> np.ndarray:
             columns = [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([p for _, p in packed], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "control", "payload"])
 
-    packed = encoded.mapInArrow(run, "doc_id long, n_tokens long, control binary, payload binary")
-    ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "payload")
-    ordered.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).write.parquet(folder, compression="zstd")
+    # ordered before packing: finding the ranges reads all that comes before
+    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("ids"), "ids")
+    packed = ordered.mapInArrow(run, "doc_id long, n_tokens long, control binary, payload binary")
+    packed.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).write.parquet(folder, compression="zstd")
     delete(spark, f"{folder}-ids")
     return by_rank
 
