@@ -19,7 +19,7 @@ END_ID = 2
 #: Words whose ids a worker keeps, and the longest that it keeps.
 KEPT, KEPT_CHARS = 1_250_000, 40
 #: Texts that are encoded together.
-TOGETHER = 256
+TOGETHER = 1024
 
 #: For each control byte, the byte lengths 1 to 4 of the four values that it stands for.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype("u1") + 1
@@ -70,6 +70,7 @@ class Encoder:
         for token, i in vocabulary.items():
             self.length[i] = len(token)  # the byte-level alphabet has one character for each byte
         self.kept: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.missed = 0
         byte_of = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that the alphabet leaves as they are
         self.alphabet = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in byte_of)}
@@ -125,7 +126,8 @@ class Encoder:
         whole = [i for i in range(len(texts)) if texts[i] and i not in split]
         for i, e in zip(whole, self.encoded([texts[i] for i in whole])):
             out[i] = e
-        heads = self.encoded([p[0] for p in split.values()])
+        first = list({p[0] for p in split.values()}.difference(self.heads))
+        self.heads |= zip(first, self.encoded(first))
         words = set().union(*(p[1:] for p in split.values())) if split else set()
         new = list(words.difference(self.kept))
         self.missed += len(new)
@@ -135,8 +137,10 @@ class Encoder:
         full = len(self.kept) >= KEPT
         self.kept |= fresh
         look = self.kept.__getitem__
-        for (i, parts), head in zip(split.items(), heads):
-            out[i] = head + b"".join(map(look, parts[1:]))
+        for i, parts in split.items():
+            out[i] = self.heads[parts[0]] + b"".join(map(look, parts[1:]))
+        if len(self.heads) > KEPT // 10 or max(map(len, first), default=0) > KEPT_CHARS:
+            self.heads = {}
         for w in new:
             if full or len(w) > KEPT_CHARS:
                 del self.kept[w]
