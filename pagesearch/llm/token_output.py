@@ -51,16 +51,17 @@ class Encoder:
 
     The library's pre-tokenizer starts a token at each space that follows a non-space and precedes one, so a text is
     the concatenation of its words with the space in front of each. Texts in which a space stands between other white
-    space, or which hold a special token's string, go to the library whole. When ``KEPT`` words are known no more are
+    space, or which hold a special token's string, go to the library whole. When ``limit`` words are known no more are
     kept, until as many as eight times that were missed; then the worker starts anew.
     """
 
     WHOLE, SPACE = re.compile(r"\s \s|\s \Z"), re.compile(r"\s")
     PERHAPS = re.compile(r" (?:\s|\Z)")  # what WHOLE needs, found faster
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = KEPT):
         from tokenizers import Tokenizer
 
+        self.limit = limit
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
@@ -131,15 +132,15 @@ class Encoder:
         words = set().union(*(p[1:] for p in split.values())) if split else set()
         new = list(words.difference(self.kept))
         self.missed += len(new)
-        if self.missed > 9 * KEPT:
+        if self.missed > 9 * self.limit:
             self.kept, self.missed, new = {}, 0, list(words)
         fresh = self.learn(new)
-        full = len(self.kept) >= KEPT
+        full = len(self.kept) >= self.limit
         self.kept |= fresh
         look = self.kept.__getitem__
         for i, parts in split.items():
             out[i] = self.heads[parts[0]] + b"".join(map(look, parts[1:]))
-        if len(self.heads) > KEPT // 10 or max(map(len, first), default=0) > KEPT_CHARS:
+        if len(self.heads) > self.limit // 10 or max(map(len, first), default=0) > KEPT_CHARS:
             self.heads = {}
         for w in new:
             if full or len(w) > KEPT_CHARS:
@@ -148,24 +149,24 @@ class Encoder:
 
 
 #: A Python worker's encoders: what it has learned serves its later tasks too.
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def _encoder(path: str, limit: int) -> Encoder:
+    if (path, limit) not in _ENCODERS:
+        _ENCODERS[path, limit] = Encoder(path, limit)
+    return _ENCODERS[path, limit]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, kept: int = KEPT, together: int = TOGETHER) -> DataFrame:
     """doc_id and ids, 16 bits each, the end id last."""
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, kept)
         for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                b = whole.slice(at, TOGETHER)
+            for at in range(0, whole.num_rows, together):
+                b = whole.slice(at, together)
                 ids = [e + end for e in encoder(b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -190,14 +191,14 @@ def frequency_ranks(counts: Iterable[tuple[int, int]]) -> np.ndarray:
     return np.array([i for i, _ in sorted(counts, key=lambda x: (-x[1], x[0]))], "<u2")
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str) -> np.ndarray:
+def write_token_files(docs: DataFrame, path: str, folder: str, kept: int = KEPT, together: int = TOGETHER) -> np.ndarray:
     """Write the ids of all documents, in ascending doc_id order, to ``folder``; return the id of each rank.
 
     Each row of the Parquet files is a document: doc_id, part, place, n_tokens, control bytes, payload bytes; parts rise
     with doc_id, and places within a part. Ids are encoded once, to a table beside the folder that is deleted afterwards.
     """
     spark = docs.sparkSession
-    encode(docs, path).write.parquet(f"{folder}-ids", compression="zstd")
+    encode(docs, path, kept, together).write.parquet(f"{folder}-ids", compression="zstd")
     encoded = spark.read.parquet(f"{folder}-ids")
     by_rank = frequency_ranks((r.id, r.n) for r in id_counts(encoded).collect())  # as many rows as the vocabulary at most
     rank_of = np.zeros(1 << 16, "<u4")
@@ -243,16 +244,17 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def token_output(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, path: str, folder: str | None = None, kept: int = KEPT, together: int = TOGETHER) -> DataFrame:
     """Write the token files of all documents, then describe each document from what the files hold.
 
     Null texts count as empty: the end id alone. Documents with one doc_id stand side by side by length and content;
     null ids come first. An empty table writes empty files and gives an empty result. Other columns are ignored. The
-    folder defaults to a new one in the shared checkpoint folder.
+    folder defaults to a new one in the shared checkpoint folder; ``kept`` words and ``together`` texts bound what a
+    Python worker holds.
     """
     spark = docs.sparkSession
     if folder is None:
         set_checkpoint_dir(spark)
         folder = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
-    by_rank = write_token_files(docs, path, folder)
+    by_rank = write_token_files(docs, path, folder, kept, together)
     return read_token_files(spark, folder, by_rank)
