@@ -86,8 +86,11 @@ class Items:
             order = np.argsort(keys, kind="stable")
             self.keys, self.items, self.places = keys[order], items[order], places[order]
 
-    def passages(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first word, end) of the stretches of a document whose seeds lie near one diagonal."""
+    def passages(self, ids: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+        """(item, first word, end) of the stretches of a document whose seeds lie near one diagonal.
+
+        An alignment that reaches the threshold has at most len * (1 - threshold) / PENALTY words in gaps.
+        """
         if not len(self.keys) or len(ids) < 5:
             return []
         hit_items, diagonals = [], []
@@ -104,7 +107,7 @@ class Items:
         item, diagonal = np.concatenate(hit_items), np.concatenate(diagonals)
         order = np.lexsort((diagonal, item))
         item, diagonal = item[order], diagonal[order]
-        slack = np.array([len(w) // 4 + 1 for w in self.words])
+        slack = np.array([max(0, int(len(w) * (1 - threshold) / PENALTY + 1e-6)) for w in self.words])
         new = np.concatenate(([True], (item[1:] != item[:-1]) | (np.diff(diagonal) > slack[item[1:]])))
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:], [len(item)])) - 1
@@ -151,7 +154,7 @@ def search(items: Items, texts: list[str], threshold: float) -> list[tuple[int,
     owner, which, passages = [], [], []
     for row, text in enumerate(texts):
         ids = items.ids(text)
-        for k, a, b in items.passages(ids):
+        for k, a, b in items.passages(ids, threshold):
             owner.append((row, a))
             which.append(k)
             passages.append(ids[a:b])

@@ -199,6 +199,17 @@ def test_contaminated_documents_equal_brute_force(spark, make_docs, block):
     assert got[300].n_items == 2 and got[300].item_id == 3 and got[301].score == 1.0
 
 
+def test_an_item_around_an_inserted_run_is_found(spark, make_docs):
+    random.seed(16)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(36))) for k in range(8)]
+    docs = []
+    for k, t in items:
+        w, run = t.split(), [f"o{random.randrange(50)}" for _ in range((k + 2) * 4)]
+        docs.append((k, " ".join([*run, *w[:18], *run, *w[18:], *run])))
+    got = {r.doc_id for r in decontamination.decontamination(make_docs(docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == brute_contaminated(docs, items) == set(range(8))
+
+
 def test_decontamination_of_edge_rows(spark, make_docs, edge_rows):
     benchmark = spark.createDataFrame([(1, "no id here at all"), (2, "zebra quartz lemon cobalt und7")], "item_id bigint, text string")
     docs = make_docs(edge_rows)
