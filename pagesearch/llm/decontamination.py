@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare word seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: counts of rare words find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -13,43 +13,23 @@ from pyspark.sql import functions as F
 from .common import id_and_text
 
 WORD = re.compile(r"\w+")
-#: Five-word seeds: in a row, or with one word between that may differ.
-SHAPES = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 2, 4, 5))
-#: A seed is rare if words drawn by their corpus frequencies make it at a position with at most this probability; an
-#: item with fewer rare seeds of a shape keeps its LEAST_SEEDS rarest.
-CHANCE, LEAST_SEEDS = 1e-9, 8
 #: A match adds 1, a substitution or a gap takes this. A copy with a fifth of its words replaced has a score of
 #: 0.8 - 0.2 * PENALTY = 0.75 for each word of the item.
 PENALTY, SCORE = 0.25, 0.75
+#: Words of documents that are looked up together, or one document.
+TOGETHER = 1 << 16
 #: Items that are searched in one pass over the documents.
 BLOCK = 4096
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
+#: Share of an item's words that are searched for, its rarest, beyond the share that an alignment may leave unmatched.
+SPARE = 0.25
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def seeds(ids: np.ndarray, shape: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, 64-bit key) of each seed of known words; id 0 is an unknown word."""
-    offsets = SHAPES[shape]
-    n = len(ids) - offsets[-1]
-    if n <= 0:
-        return np.empty(0, "i8"), np.empty(0, "u8")
-    known = ids > 0
-    ok = known[offsets[0] : offsets[0] + n].copy()
-    for o in offsets[1:]:
-        ok &= known[o : o + n]
-    at = np.flatnonzero(ok)
-    key = np.full(len(at), shape, "u8")
-    for o, m in zip(offsets, _ODD):
-        key = (key ^ ids[at + o].astype("u8")) * m
-        key ^= key >> np.uint64(29)
-    return at, key
-
-
 class Items:
-    """The searched items: their words as ids, and their seeds sorted by key."""
+    """The searched items: their words as ids, and the items that each rare word belongs to."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         by_words: dict[tuple[str, ...], int] = {}
@@ -60,62 +40,78 @@ class Items:
         self.item_ids = list(by_words.values())
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for ws in by_words for w in ws}))}
         self.words = [np.array([self.vocabulary[w] for w in ws], "i4") for ws in by_words]
-        self.keys = np.empty(0, "u8")
 
     def ids(self, text: str) -> np.ndarray:
         found = words_of(text)
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in found), "i4", len(found))
 
-    def choose_seeds(self, counts: dict[int, int], total: int) -> None:
-        p = np.zeros(len(self.vocabulary) + 1)
+    def choose_words(self, counts: dict[int, int], threshold: float) -> None:
+        """Choose the rarest words of each item, so many that every passage at the threshold holds some of them.
+
+        An alignment that matches m of n item words, in a passage of w, scores at most (1 + PENALTY) * m - PENALTY * w, so
+        at most n * (1 - threshold) words are unmatched. That bounds how many of the chosen words stand in the passage
+        (``least``) and, with w, how near to each other (``needed``). ``slack`` is the most words that gaps can have.
+        """
+        often = np.zeros(len(self.vocabulary) + 1)
         for i, n in counts.items():
-            p[i] = n / max(1, total)
-        keys, items, places = [], [], []
+            often[i] = n
+        unmatched = min(1.0, max(0.0, 1 - threshold))
+        self.slack = np.array([max(0, int(len(w) * (1 - threshold) / PENALTY + 1e-6)) for w in self.words], "i8")
+        self.least, self.needed = np.zeros(len(self.words), "i8"), np.zeros(len(self.words))
+        words, items, firsts, lasts = ([np.empty(0, "i8")] for _ in range(4))
         for k, ids in enumerate(self.words):
-            for shape, offsets in enumerate(SHAPES):
-                at, key = seeds(ids, shape)
-                chance = np.prod([p[ids[at + o]] for o in offsets], axis=0) if len(at) else np.empty(0)
-                order = np.argsort(chance, kind="stable")
-                kept = order[: max(LEAST_SEEDS, int((chance <= CHANCE).sum()))]
-                keys.append(key[kept])
-                places.append(at[kept])
-                items.append(np.full(len(kept), k))
-        if keys:
-            keys, items, places = map(np.concatenate, (keys, items, places))
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.items, self.places = keys[order], items[order], places[order]
-
-    def passages(self, ids: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-        """(item, first word, end) of the stretches of a document whose seeds lie near one diagonal.
-
-        An alignment that reaches the threshold has at most len * (1 - threshold) / PENALTY words in gaps.
-        """
-        if not len(self.keys) or len(ids) < 5:
+            n = len(ids)
+            rarest = ids[np.argsort(often[ids], kind="stable")[: max(1, int(np.ceil(min(1.0, unmatched + SPARE) * n)))]]
+            places = np.flatnonzero(np.isin(ids, rarest))
+            one, first = np.unique(ids[places], return_index=True)
+            _, last = np.unique(ids[places][::-1], return_index=True)
+            self.least[k] = max(1, int(np.ceil(len(places) - unmatched * n - 1e-6)))
+            self.needed[k] = (1 + PENALTY) * (len(places) - n) + threshold * n - 1e-3
+            words.append(one)
+            items.append(np.full(len(one), k))
+            firsts.append(places[first])
+            lasts.append(places[::-1][last])
+        words, items, firsts, lasts = map(np.concatenate, (words, items, firsts, lasts))
+        order = np.argsort(words, kind="stable")
+        self.items, self.firsts, self.lasts = items[order], firsts[order], lasts[order]
+        self.starts = np.searchsorted(words[order], np.arange(len(self.vocabulary) + 2))
+
+    def passages(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(text, item, first word, end) of the stretches that hold every passage whose score can reach the threshold."""
+        ids = np.concatenate([np.empty(0, "i4"), *texts])
+        lengths = np.array([len(t) for t in texts], "i8")
+        postings = np.diff(self.starts)
+        rare = np.flatnonzero((postings > 0)[ids])
+        begin, n = self.starts[ids[rare]], postings[ids[rare]]
+        post = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        row = np.repeat(np.arange(len(texts)), lengths)[rare]
+        pos = rare - (np.cumsum(lengths) - lengths)[row]
+        row, pos, item = np.repeat(row, n), np.repeat(pos, n), self.items[post]
+        group = row * len(self.words) + item
+        keep = np.flatnonzero(np.bincount(group, minlength=1)[group] >= self.least[item])
+        keep = keep[np.argsort(group[keep], kind="stable")]  # positions ascend within a group
+        if not len(keep):
             return []
-        hit_items, diagonals = [], []
-        for shape in range(len(SHAPES)):
-            at, key = seeds(ids, shape)
-            low = np.searchsorted(self.keys, key)
-            high = np.searchsorted(self.keys, key, side="right")
-            for i in np.flatnonzero(high > low):
-                s = slice(low[i], high[i])
-                hit_items.append(self.items[s])
-                diagonals.append(at[i] - self.places[s])
-        if not hit_items:
+        # the best stretch from a hit at or before each one to one at or after it, by 1 a hit and -PENALTY any other word
+        new = np.concatenate(([True], np.diff(group[keep]) > 0))
+        number, at = np.cumsum(new) - 1, pos[keep]
+        rank = np.arange(len(keep)) - np.flatnonzero(new)[number]
+        apart = number * 2.0 ** np.ceil(np.log2((1 + PENALTY) * (len(keep) + 1) + PENALTY * (int(at.max()) + 1)) + 1)  # groups stay apart
+        before = (1 + PENALTY) * rank - PENALTY * at
+        low = np.minimum.accumulate(before - apart)
+        high = np.maximum.accumulate((before + 1 - apart)[::-1])[::-1]
+        keep = keep[high - low >= self.needed[item[keep]]]
+        if not len(keep):
             return []
-        item, diagonal = np.concatenate(hit_items), np.concatenate(diagonals)
-        order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
-        slack = np.array([max(0, int(len(w) * (1 - threshold) / PENALTY + 1e-6)) for w in self.words])
-        new = np.concatenate(([True], (item[1:] != item[:-1]) | (np.diff(diagonal) > slack[item[1:]])))
-        first = np.flatnonzero(new)
-        last = np.concatenate((first[1:], [len(item)])) - 1
-        out = []
-        for a, b in zip(first, last):
-            k = int(item[a])
-            out.append((k, max(0, int(diagonal[a]) - int(slack[k])), min(len(ids), int(diagonal[b]) + len(self.words[k]) + int(slack[k]))))
-        return out
+        at, k = pos[keep], item[keep]
+        new = np.concatenate(([True], np.diff(group[keep]) > 0))
+        span = np.array([len(w) for w in self.words]) + self.slack
+        first = np.flatnonzero(new | np.concatenate(([True], np.diff(at) > span[k[1:]])))
+        a = np.minimum.reduceat(at - self.lasts[post[keep]] - self.slack[k], first)
+        b = np.maximum.reduceat(at - self.firsts[post[keep]] + span[k], first)
+        rows = row[keep][first]
+        return list(zip(rows.tolist(), k[first].tolist(), np.maximum(a, 0).tolist(), np.minimum(b, lengths[rows]).tolist()))
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +148,16 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 def search(items: Items, texts: list[str], threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(row, best item id, score, number of items, word after the passage) of the texts that hold an item."""
     owner, which, passages = [], [], []
+    held: list[np.ndarray] = []
     for row, text in enumerate(texts):
-        ids = items.ids(text)
-        for k, a, b in items.passages(ids, threshold):
-            owner.append((row, a))
+        held.append(items.ids(text))
+        if row + 1 < len(texts) and sum(map(len, held)) < TOGETHER:
+            continue
+        for r, k, a, b in items.passages(held):
+            owner.append((row + 1 - len(held) + r, a))
             which.append(k)
-            passages.append(ids[a:b])
+            passages.append(held[r][a:b])
+        held = []
     score, end = align([items.words[k] for k in which], passages)
     found: dict[int, dict[int, tuple[float, int]]] = {}
     for (row, a), k, s, e in zip(owner, which, score.tolist(), end.tolist()):
@@ -172,8 +172,8 @@ def search(items: Items, texts: list[str], threshold: float) -> list[tuple[int,
     return out
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Iterator[Items]:
-    """The benchmark in blocks of items, each with seeds chosen by word counts over all documents."""
+def prepared(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, block: int = BLOCK) -> Iterator[Items]:
+    """The benchmark in blocks of items, each with words chosen by their counts over all documents."""
     rows: list[tuple[int, str]] = []
     slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
 
@@ -189,7 +189,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Itera
 
         got = id_and_text(docs).select("text").mapInArrow(run, "id int, n long").filter("n > 0").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each word of the block
         counts = {r.id: r.n for r in got}
-        items.choose_seeds(counts, sum(counts.values()))
+        items.choose_words(counts, threshold)
         return items
 
     for r in slim.orderBy("item_id").toLocalIterator():
@@ -210,7 +210,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SC
     share a doc_id come out as one. An empty table on either side gives an empty result; other columns are ignored.
     """
     found = None
-    for items in prepared(docs, benchmark, block):
+    for items in prepared(docs, benchmark, threshold, block):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -233,7 +233,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SC
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
     at, left = docs.columns.index("text"), docs
-    for items in prepared(docs, benchmark, block):
+    for items in prepared(docs, benchmark, threshold, block):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for whole in batches:

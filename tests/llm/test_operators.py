@@ -210,6 +210,30 @@ def test_an_item_around_an_inserted_run_is_found(spark, make_docs):
     assert got == brute_contaminated(docs, items) == set(range(8))
 
 
+def test_no_edited_copy_is_lost(spark, make_docs):
+    random.seed(17)
+    common = [f"c{k}" for k in range(40)]
+    say = lambda n: random.choices(common, k=n)
+    items = [(k, [random.choice([f"r{random.randrange(300)}", random.choice(common)]) for _ in range(random.randint(5, 40))]) for k in range(25)]
+    docs = []
+    for d in range(400):
+        w = list(items[d % 25][1])
+        if d % 4 == 0:  # a word put in after each one, two or three
+            every = 1 + d // 4 % 3
+            w = [x for j, y in enumerate(w) for x in ([y, random.choice(common)] if j % every == every - 1 else [y])]
+        elif d % 4 == 1:  # any edits
+            w = [x for y in w for x in random.choice([[y]] * 7 + [[y, *say(2)], [], say(1)])]
+        elif d % 4 == 2:  # cut off
+            w = w[: -(-len(w) * 3 // 4)] if d % 8 == 2 else w[len(w) // 4 :]
+        docs.append((d, " ".join([*say(d % 50), *w, *say(d % 30)])))
+    items = [(k, " ".join(w)) for k, w in items]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_contaminated(docs, items)
+    assert len(want) > 250
+    assert {r.doc_id for r in decontamination.decontamination(make_docs(docs), benchmark).collect()} == want
+    assert {r.doc_id for r in decontamination.drop_contaminated(make_docs(docs), benchmark).collect()} == {d for d, _ in docs} - want
+
+
 def test_decontamination_of_edge_rows(spark, make_docs, edge_rows):
     benchmark = spark.createDataFrame([(1, "no id here at all"), (2, "zebra quartz lemon cobalt und7")], "item_id bigint, text string")
     docs = make_docs(edge_rows)
