@@ -12,9 +12,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
-    """doc_id and the whole text, null as empty; every other column is left behind."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def id_and_text(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id and the whole text, null as empty; every other column but ``also`` is left behind."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *also)
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialize
@@ -35,15 +35,15 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; ``also`` names columns of longs that are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), "u8", b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view("i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view("i8")), *b.columns[2:]], ["doc_id", "fp", *also])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs, *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 def chain_keys(fp) -> list:
@@ -170,6 +170,15 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
+def least_of_components(rows: DataFrame, order: Column) -> DataFrame:
+    """(k, least): for each fingerprint of materialised ``rows`` (fp), the least ``order`` that links reach."""
+    nodes = rows.groupBy("fp").agg(F.min(order).alias("least"))
+    roots = components(links(nodes.select("fp")))
+    rooted = materialize(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    classes = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("least")).withColumnRenamed("root", "r"), F.col("root") == F.col("r"))
+    return classes.select(F.col("fp").alias("k"), "least")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint in hex and component_id, the smallest doc_id that links reach.
 
@@ -178,19 +187,18 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     gives an empty result; other columns are ignored.
     """
     rows = materialize(fingerprints(docs))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(nodes.select("fp")))
-    rooted = materialize(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "r"), F.col("root") == F.col("r"))
-    classes = classes.select(F.col("fp").alias("k"), "component_id")
-    return rows.join(classes, F.col("fp") == F.col("k")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = least_of_components(rows, F.col("doc_id"))
+    return rows.join(classes, F.col("fp") == F.col("k")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, without those of a component whose id is another document's.
+    """One row of ``docs``, with all its columns, for each component.
 
-    The document with the component's smallest doc_id stays; rows without a doc_id stay too.
+    The row with the component's smallest doc_id stays, one without a doc_id only if there is no other; of rows that
+    share that doc_id any one. Rows get a number when they are written once; they are chosen and removed by it.
     """
-    found = simhash_components(docs)
-    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__other"))
-    return docs.join(others, docs["doc_id"].cast("long") == F.col("__other"), "left_anti")
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = materialize(fingerprints(numbered, "__row"))
+    classes = least_of_components(rows, F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    others = rows.join(classes, F.col("fp") == F.col("k")).filter(F.col("__row") != F.col("least.__row")).select(F.col("__row").alias("__other"))
+    return numbered.join(others, F.col("__row") == F.col("__other"), "left_anti").drop("__row")

@@ -411,6 +411,15 @@ def test_components_equal_brute_force(make_docs, edge_rows):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_one_row_of_each_component_stays(make_docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (5, c), (5, c), (None, c), (None, "no id"), (None, "no id"), (7, None), (7, "")]
+    docs = make_docs(rows).repartition(3)
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted([(1, a), (2, b), (5, c), (None, "no id"), (7, "")], key=str)
+
+
 def test_bucket_edges_join_what_links_join(monkeypatch):
     rng = np.random.default_rng(1)
     for divide in (4096, 5):
