@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,25 +20,90 @@ def id_and_text(docs: DataFrame, *also: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *also)
 
 
-def set_checkpoint_dir(spark: SparkSession) -> None:
+def set_checkpoint_dir(spark: SparkSession) -> str:
     """Point checkpoints at the shared folder that the session names; only a local session may make its own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not (sc.master or "").startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(folder)
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (sc.master or "").startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder: later uses reread it, also after an executor is lost."""
+    """Compute once into the shared checkpoint folder: later uses reread it, also after an executor is lost.
+
+    Spark deletes the files once nothing refers to the frame, if spark.cleaner.referenceTracking.cleanCheckpoints is
+    set. Results are kept this way; what an operator needs only in between belongs into a Work.
+    """
     set_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Work:
+    """Tables in the shared folder that one call needs until its result is materialised; the end deletes them all."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made, self.named = spark, f"{set_checkpoint_dir(spark)}/work-{uuid.uuid4().hex}", 0, []
+        self.written: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, self.folder)
+
+    def path(self) -> str:
+        self.made += 1
+        return f"{self.folder}/{self.made}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df``, written as Parquet and read again."""
+        path = self.path()
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.written.append((out, path))
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete one table before the end."""
+        for frame, path in self.written:
+            if frame is table:
+                delete(self.spark, path)
+
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """The same, in buckets by key, so that joins on it leave the rows in place."""
+        name = f"work_{uuid.uuid4().hex}"
+        self.named.append(name)
+        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        df.write.bucketBy(buckets, key).option("path", self.path()).option("compression", "zstd").saveAsTable(name)
+        return self.spark.table(name)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint behind a count of a materialised frame; beyond the bound Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column without nulls, all after one another, and the n + 1 offsets; nothing is copied."""
+    wide = column.cast(pa.large_binary())
+    _, offsets, data = wide.buffers()
+    at = np.frombuffer(offsets, "<i8", len(wide) + 1, 8 * wide.offset) if len(wide) else np.zeros(1, "i8")
+    whole = np.frombuffer(data, "u1") if data is not None else np.empty(0, "u1")
+    return whole[at[0] : at[-1]], at - at[0]
+
+
+def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The binary column whose n values lie between the n + 1 offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(np.ascontiguousarray(data))])
