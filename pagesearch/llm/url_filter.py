@@ -1,7 +1,8 @@
-"""URL rules in a sorted array of 64-bit digests that is memory-mapped by each Python worker."""
+"""URL rules in a sorted array of 64-bit digests, a file that every Python worker maps."""
 
 from __future__ import annotations
 
+import hashlib
 import mmap
 import os
 from collections.abc import Iterable, Iterator
@@ -9,54 +10,65 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
+#: Most bytes of a packed list; each node keeps one copy on its disk.
+MAX_BYTES = 1 << 32
+
+
 class DigestArray:
     """Rules by ascending XXH64 of their host + path, with the full strings beside the keys.
 
-    ``packed`` is one buffer: keys, string offsets, verdict bytes, strings. ``open`` maps it, so that probing touches
-    only the pages that a binary search needs, however long the list is.
+    ``packed`` is one buffer: keys, string offsets, verdict bytes, strings.
     """
 
-    def __init__(self, rules: Iterable[tuple[str, str, str]]):
+    def __init__(self, rules: Iterable[tuple[str, str, str]], max_bytes: int = MAX_BYTES):
         seen: dict[str, bool] = {}
+        path_lengths, self.longest_host = set(), 0
         for verdict, host, path in rules:
             if verdict not in ("allow", "block"):
                 raise ValueError(f"unknown verdict {verdict!r}")
             rule = host.encode().lower().decode() + path
             seen[rule] = seen.get(rule, False) or verdict == "block"  # a rule given twice blocks if either does
-        self.path_lengths = sorted({len(path) for _, _, path in rules})
+            path_lengths.add(len(path))
+            self.longest_host = max(self.longest_host, len(host))
+        self.path_lengths = sorted(path_lengths)
         order = sorted((xxhash.xxh64_intdigest(r.encode()), r) for r in seen)
         strings = [r.encode() for _, r in order]
         offsets = np.zeros(len(order) + 1, "<u8")
         offsets[1:] = np.cumsum([len(s) for s in strings]) if strings else []
         blocks = np.array([seen[r] for _, r in order], "u1")
-        self.n = len(order)
         self.packed = np.array([k for k, _ in order], "<u8").tobytes() + offsets.tobytes() + blocks.tobytes() + b"".join(strings)
+        if len(self.packed) > max_bytes:
+            raise ValueError(f"a list of {len(self.packed)} bytes is beyond {max_bytes}")
+        self.n = len(order)
 
-    def open(self) -> OpenDigestArray:
-        return OpenDigestArray(self.packed, self.n)
+    def save(self, path: str) -> None:
+        with open(path, "wb") as f:
+            f.write(self.packed)
 
 
 class OpenDigestArray:
-    def __init__(self, packed: bytes, n: int):
-        handle = os.memfd_create("rules")  # anonymous: nothing is left in any folder
-        try:
-            with open(handle, "wb", closefd=False) as f:
-                f.write(packed)
-            self.map = mmap.mmap(handle, len(packed), access=mmap.ACCESS_READ)
-        finally:
-            os.close(handle)
+    """A saved list, mapped: probing touches only the pages that a binary search needs, and all workers of a node share
+    them, however long the list is."""
+
+    def __init__(self, path: str, n: int):
+        with open(path, "rb") as f:
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.keys = np.frombuffer(self.map, "<u8", n)
         self.offsets = np.frombuffer(self.map, "<u8", n + 1, 8 * n)
         self.blocks = np.frombuffer(self.map, "u1", n, 16 * n + 8)
         self.base = 17 * n + 8
 
+    def string(self, k: int) -> bytes:
+        return self.map[self.base + int(self.offsets[k]) : self.base + int(self.offsets[k + 1])]
+
     def find(self, candidates: list[bytes]) -> np.ndarray:
         """Index of the rule that equals each candidate, else -1."""
         probe = np.fromiter(map(xxhash.xxh64_intdigest, candidates), "<u8", len(candidates))
@@ -64,14 +76,14 @@ class OpenDigestArray:
         for i in np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, max(0, len(self.keys) - 1))] == probe)) if len(self.keys) else ():
             k = int(at[i])
             while k < len(self.keys) and self.keys[k] == probe[i]:  # equal keys: the stored string decides
-                if self.map[self.base + int(self.offsets[k]) : self.base + int(self.offsets[k + 1])] == candidates[i]:
+                if self.string(k) == candidates[i]:
                     out[i] = k
                     break
                 k += 1
         return out
 
     def rule(self, k: int) -> str:
-        return self.map[self.base + int(self.offsets[k]) : self.base + int(self.offsets[k + 1])].decode()
+        return self.string(k).decode()
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -84,16 +96,26 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.encode().lower().decode(), slash + path
 
 
-def judge(urls: list[str | None], rules: OpenDigestArray, path_lengths: list[int]) -> list[tuple[str, str, str | None, str]]:
+def host_ends(host: str, longest: int) -> list[str]:
+    """The host, if a rule's host can be as long, and what follows each of its dots within that length."""
+    tail = "." + host if len(host) <= longest else host[len(host) - longest - 1 :]
+    out, at = [], tail.find(".") + 1
+    while at:
+        out.append(tail[at:])
+        at = tail.find(".", at) + 1
+    return [x for x in out if x]
+
+
+def judge(urls: list[str | None], rules: OpenDigestArray, path_lengths: list[int], longest_host: int) -> list[tuple[str, str, str | None, str]]:
+    """Host, path, rule and verdict of each URL; a URL has as many candidates as a rule's longest host has dots, for
+    each length of a rule's path."""
     parts, candidates, owner = [split_url(u) for u in urls], [], []
     for i, (host, path) in enumerate(parts):
-        suffix = host
-        while suffix:
+        for end in host_ends(host, longest_host):
             for n in path_lengths:
                 if n <= len(path):
-                    candidates.append((suffix + path[:n]).encode())
-                    owner.append((i, len(suffix) + n))
-            suffix = suffix.partition(".")[2]
+                    candidates.append((end + path[:n]).encode())
+                    owner.append((i, len(end) + n))
     best: dict[int, tuple[int, int]] = {}
     for c, k in enumerate(rules.find(candidates).tolist()):
         if k >= 0:
@@ -102,19 +124,30 @@ def judge(urls: list[str | None], rules: OpenDigestArray, path_lengths: list[int
     return [(h, p, rules.rule(best[i][1]), "block" if rules.blocks[best[i][1]] else "allow") if i in best else (h, p, None, "allow") for i, (h, p) in enumerate(parts)]
 
 
+def share(spark: SparkSession, array: DigestArray) -> str:
+    """Give every node a copy of the list, through Spark; its name there."""
+    name = f"rules-{hashlib.sha256(array.packed).hexdigest()[:32]}"
+    path = os.path.join(SparkFiles.getRootDirectory(), name)
+    if not os.path.exists(path):
+        array.save(path)
+        spark.sparkContext.addFile(path)
+    return name
+
+
 def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:
     """host, path, longest fitting rule and verdict of every page.
 
     A URL that no rule fits, an empty URL and a null URL are allowed with a null rule. Of rules that fit, the longest
-    string wins. Ids may be null or repeat; each row is judged by itself. Other columns are ignored.
+    string wins. URLs may be of any length. Ids may be null or repeat; each row is judged by itself. Other columns are
+    ignored. The list is a file that Spark brings to each node once; a list beyond MAX_BYTES is refused.
     """
-    array = DigestArray(tuple(rules))
-    packed, n, lengths = array.packed, array.n, array.path_lengths
+    array = DigestArray(rules)
+    name, n, lengths, longest = share(pages.sparkSession, array), array.n, array.path_lengths, array.longest_host
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = OpenDigestArray(packed, n)
+        opened = OpenDigestArray(SparkFiles.get(name), n)
         for b in batches:
-            rows = judge(b.column(1).to_pylist(), opened, lengths)
+            rows = judge(b.column(1).to_pylist(), opened, lengths, longest)
             host, path, rule, verdict = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string()) for x in (host, path, rule, verdict))], ["page_id", "host", "path", "rule", "verdict"])
 
