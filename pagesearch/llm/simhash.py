@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,28 +12,52 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import Work, id_and_text, materialize
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
 #: Segments of a fingerprint as (first bit, width): one more than the bits that may differ.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Buckets above this size are divided once more before their members are compared.
-DIVIDE = 4096
+#: Buckets above this size are divided further before their members are compared: by a task up to the second size, and
+#: beyond it before they are dealt to tasks.
+DIVIDE, SPLIT = 4096, 1 << 16
+#: Bytes of text whose words are held at a time.
+RUN = 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_runs(text: bytes, width: int = WORDS, size: int = RUN) -> Iterator[list[bytes]]:
+    """The words of a text in runs of about ``size`` bytes. A run begins with the last width - 1 words of the one
+    before, so that each shingle is in exactly one run, however long the text is."""
+    held: list[bytes] = []
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            space = SPACE.search(text, end)
+            end = space.start() if space else len(text)
+        words = held + text[at:end].lower().split()
+        at = end
+        if len(words) >= width or at >= len(text):
+            yield words
+            held = words[len(words) - width + 1 :] if len(words) >= width else []
+        else:
+            held = words
 
 
 def fingerprint(text: str) -> int:
     """Majority bits of the XXH64 of each word shingle; A-Z lower-cased, words end at ASCII white space."""
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - WORDS + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    votes, n = np.zeros(64, "i8"), 0
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist())], "<u8")
-    votes = np.zeros(64, "i8")
-    for at in range(0, n, 1 << 16):
-        votes += np.unpackbits(hashes[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+    for words in word_runs(text.encode()):
+        if not words or (n and len(words) < WORDS):
+            continue  # what the run before has had already
+        joined, shingles = b" ".join(words), max(1, len(words) - WORDS + 1)
+        ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[:shingles].tolist()
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[-shingles:].tolist())], "<u8")
+        for at in range(0, shingles, 1 << 16):
+            votes += np.unpackbits(hashes[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+        n += shingles
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -51,7 +77,7 @@ def chain_keys(fp) -> list:
 
     If two fingerprints differ in at most 4 bits, some segment of the ring of 5 starts a chain in which the first j
     segments differ in at most floor(4j / 5) bits: the first is equal and the second has at most one other bit, so one
-    half of it is equal too. A key is the start, the first segment and either half of the second.
+    half of it is equal too. A key is the first segment and either half of the second; two keys for each start.
     """
     bits = lambda first, width: F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     keys = []
@@ -67,8 +93,9 @@ def _mask(segments) -> np.uint64:
 
 
 _CHAINS = [[_mask(SEGMENTS[(i + j) % 5] for j in range(n)) for n in range(1, 6)] for i in range(5)]
-#: By start: five parts of the bits outside the first segment. A pair in that bucket is equal in one of them.
-_PARTS = [[_mask((int(b), 1) for b in part) for part in np.array_split([b for b in range(64) if not a <= b < a + w], MAX_BITS + 1)] for a, w in SEGMENTS]
+#: Ways to deal the 64 bits to five parts; a pair that differs in at most 4 bits is equal in one part of each way. A task
+#: divides by the first two, the others divide buckets before they are dealt to tasks.
+_WAYS = [[_mask((b, 1) for b in range(64) if deal(b) % (MAX_BITS + 1) == part) for part in range(MAX_BITS + 1)] for deal in (lambda b: b, lambda b: b // 5, lambda b: b // 2, lambda b: b // 3)]
 
 
 def linked(x: np.ndarray, start) -> np.ndarray:
@@ -81,15 +108,16 @@ def linked(x: np.ndarray, start) -> np.ndarray:
     return ok
 
 
-def bucket_edges(fps: np.ndarray, start: int, divide: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that join exactly what the links within one bucket join: a search tree over them, never all pairs."""
+def bucket_edges(fps: np.ndarray, start: int, way: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that join exactly what the links within one bucket join: a search tree over them, never all pairs. A large
+    bucket is divided by the parts of one way, then of another; what stays large is searched as it is."""
     out = []
-    if divide and len(fps) > DIVIDE:
-        for mask in _PARTS[start]:
+    if way < 2 and len(fps) > DIVIDE:
+        for mask in _WAYS[way]:
             order = np.argsort(fps & mask, kind="stable")
             for group in np.split(fps[order], np.flatnonzero(np.diff((fps & mask)[order])) + 1):
                 if len(group) > 1:
-                    out += bucket_edges(group, start, False)
+                    out += bucket_edges(group, start, way + 1)
         return out
     rest = fps
     while len(rest) > 1:
@@ -105,56 +133,78 @@ def bucket_edges(fps: np.ndarray, start: int, divide: bool = True) -> list[tuple
     return out
 
 
-def _edges_of(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges of whole buckets; rows come sorted by key."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sizes = np.diff(np.concatenate((starts, [len(keys)])))
-    pairs = starts[sizes == 2]
-    x = fps[pairs] ^ fps[pairs + 1]
-    ok = linked(x, (keys[pairs] >> 41).astype("i8"))
+def _edges_of(start: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of whole buckets; rows come sorted by start and key."""
+    firsts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (start[1:] != start[:-1]))))
+    sizes = np.diff(np.concatenate((firsts, [len(keys)])))
+    pairs = firsts[sizes == 2]
+    ok = linked(fps[pairs] ^ fps[pairs + 1], start[pairs].astype("i8"))
     yield fps[pairs][ok], fps[pairs + 1][ok]
-    for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        yield from bucket_edges(fps[at : at + n], int(keys[at] >> 41))
+    for at, n in zip(firsts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        yield from bucket_edges(fps[at : at + n], int(start[at]))
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def buckets(distinct: DataFrame, work: Work, split: int = SPLIT) -> DataFrame:
+    """(start, key, fp) of every bucket that a fingerprint of ``distinct`` (fp) is in.
+
+    There are some ten million keys, whatever the corpus, so counting them is cheap. A bucket of more than ``split``
+    members, as a large group of near copies makes, is divided by the five parts of a way into buckets of their own,
+    and once more by those of another way, before any task gets it whole. Keys of divided buckets are hashes; buckets that
+    meet by chance are searched together, which adds no wrong link.
+    """
+    keys = F.array(*(F.struct(F.lit(k // 2).alias("start"), key.alias("key")) for k, key in enumerate(chain_keys(F.col("fp")))))
+    now = distinct.select("fp", F.explode(keys).alias("k")).select("k.start", "k.key", "fp")
+    out = []
+    for way in _WAYS[2:]:
+        large = work.table(now.groupBy("start", "key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("start", "key"))
+        if large.isEmpty():
+            break
+        out.append(now.join(large, ["start", "key"], "left_anti"))
+        parts = F.array(*(F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(int(mask.astype("i8"))))) for k, mask in enumerate(way)))
+        now = work.table(now.join(large, ["start", "key"], "left_semi").select("start", F.explode(parts).alias("key"), "fp"))
+    return reduce(DataFrame.unionByName, out, now)
+
+
+def links(distinct: DataFrame, work: Work, split: int = SPLIT) -> DataFrame:
     """Edges (a, b) between different fingerprints of ``distinct`` (fp) that connect what links connect.
 
     Buckets stream through sorted; a task holds one bucket and one batch. Fingerprints are distinct, so copies never
-    enlarge a bucket, and a bucket yields fewer edges than five times its members.
+    enlarge a bucket; a bucket yields fewer edges than its members, one that a task divides fewer than 25 times as many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys, fps):
-            found = list(_edges_of(keys, fps.view("u8"))) if len(keys) else []
+        def out(held):
+            start, keys, fps = (np.concatenate([h[k] for h in held]) for k in range(3))
+            found = list(_edges_of(start, keys, fps.view("u8"))) if len(keys) else []
             a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, "u8") for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a.astype("u8").view("i8")), pa.array(b.astype("u8").view("i8"))], ["a", "b"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(keys):
+            columns = tuple(c.to_numpy() for c in batch.columns)
+            if not batch.num_rows:
                 continue
-            whole = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
-            held.append((keys[:whole], fps[:whole]))
+            start, keys, _ = columns
+            whole = int(np.flatnonzero((keys != keys[-1]) | (start != start[-1]))[-1]) + 1 if (keys[0], start[0]) != (keys[-1], start[-1]) else 0
+            held.append(tuple(c[:whole] for c in columns))  # the last bucket may go on in the next batch
             if whole:
-                yield out(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+                yield out(held)
                 held = []
-            held.append((keys[whole:], fps[whole:]))
+            held.append(tuple(c[whole:] for c in columns))
         if held:
-            yield out(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            yield out(held)
 
-    keyed = distinct.select("fp", F.explode(F.array(*chain_keys(F.col("fp")))).alias("key"))
-    return keyed.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    dealt = buckets(distinct, work, split).repartition("start", "key").sortWithinPartitions("start", "key")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Work) -> DataFrame:
     """(node, root): the smallest node of each component, by alternating large-star and small-star contraction.
 
     Every round is two aggregations with partial sums and two joins that Spark may split, so a node with very many
     neighbours needs no task of its own. Rounds end when the edges stay as they are.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    now = work.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     last = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -163,42 +213,55 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(least, F.col("u") == F.col("k"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = materialize(small)
+        now = work.table(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
         last = state
 
 
-def least_of_components(rows: DataFrame, order: Column) -> DataFrame:
-    """(k, least): for each fingerprint of materialised ``rows`` (fp), the least ``order`` that links reach."""
-    nodes = rows.groupBy("fp").agg(F.min(order).alias("least"))
-    roots = components(links(nodes.select("fp")))
-    rooted = materialize(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    classes = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("least")).withColumnRenamed("root", "r"), F.col("root") == F.col("r"))
-    return classes.select(F.col("fp").alias("k"), "least")
-
+def least_of_components(rows: DataFrame, order: Column, work: Work) -> DataFrame:
+    """(k, least): for each fingerprint of written ``rows`` (fp), the least ``order`` that links reach.
 
-def simhash_components(docs: DataFrame) -> DataFrame:
+    A node is the least order of a fingerprint's rows, then the fingerprint, so that a component's root already is its
+    answer and nothing is gathered by root.
+    """
+    nodes = work.table(rows.groupBy("fp").agg(F.min(order).alias("least")))
+    node = F.struct("least", "fp")
+    found = work.table(links(nodes.select("fp"), work))
+    for end in ("a", "b"):
+        named = nodes.select(F.col("fp").alias("f"), node.alias("node"))
+        found = found.join(named, F.col(end) == F.col("f")).drop(end, "f").withColumnRenamed("node", end)
+    roots = components(found, work).select(F.col("node.fp").alias("f"), F.col("root.least").alias("reached"))
+    # written, so that Spark can split the rows of one fingerprint in the join that follows
+    return work.table(nodes.join(roots, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("k"), F.coalesce("reached", "least").alias("least")))
+
+
+def simhash_components(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """doc_id, fingerprint in hex and component_id, the smallest doc_id that links reach.
 
     Equal fingerprints are one node, whatever their number. Documents without words have fingerprint zero. Null texts
     count as empty; null doc_ids are never a component's id unless it has no other. Rows may repeat. An empty table
     gives an empty result; other columns are ignored.
     """
-    rows = materialize(fingerprints(docs))
-    classes = least_of_components(rows, F.col("doc_id"))
-    return rows.join(classes, F.col("fp") == F.col("k")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    with Work(docs.sparkSession) as work:
+        rows = work.table(fingerprints(docs))
+        classes = least_of_components(rows, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"), work)
+        found = rows.join(classes, F.col("fp") == F.col("k"))
+        return materialize(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs``, with all its columns, for each component.
 
     The row with the component's smallest doc_id stays, one without a doc_id only if there is no other; of rows that
-    share that doc_id any one. Rows get a number when they are written once; they are chosen and removed by it.
+    share that doc_id any one. Rows get a number when they are written once; they are chosen and removed by it. Null and
+    empty texts have fingerprint zero, so one of them stays. An empty table stays empty.
     """
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    rows = materialize(fingerprints(numbered, "__row"))
-    classes = least_of_components(rows, F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    others = rows.join(classes, F.col("fp") == F.col("k")).filter(F.col("__row") != F.col("least.__row")).select(F.col("__row").alias("__other"))
+    with Work(docs.sparkSession) as work:
+        rows = work.table(fingerprints(numbered, "__row"))
+        classes = least_of_components(rows, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"), work)
+        others = rows.join(classes, F.col("fp") == F.col("k")).filter(F.col("__row") != F.col("least.__row")).select(F.col("__row").alias("__other"))
+        others = materialize(others)
     return numbered.join(others, F.col("__row") == F.col("__other"), "left_anti").drop("__row")
