@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, id_and_text, materialize
+from .common import Work, broadcast_if_small, materialize
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of siblings; a name that is not listed weighs 1.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
 #: Budget in per cent of all tokens, most passes over a leaf, and seed of the orders.
 PERCENT, MAX_EPOCHS, SEED = 60, 2, 17
-#: Hex digits of the order key that split a leaf, so that one task sorts a small part of it; leaves that are broadcast.
-DIGITS, BROADCAST_LEAVES = 3, 100_000
+#: Hex digits of the order key that one step of the search for a leaf's cut reads, and steps, so that no task orders
+#: more than 16 ** DIGITS sums or what shares DIGITS * STEPS digits; leaves that are broadcast.
+DIGITS, STEPS, BROADCAST_LEAVES = 2, 4, 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -83,21 +84,35 @@ def order_key(epoch: Column, seed: int) -> Column:
 def cuts(docs: DataFrame, weights: dict[str, dict[str, int]], percent: int, max_epochs: int, seed: int) -> DataFrame:
     """Leaves with ``full``, the whole epochs that all their documents are in, and ``cut``, the last order key that the
     part of the next epoch takes (null: none)."""
-    slim = materialize(with_leaf(docs))
-    leaves = materialize(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")))
+    with Work(docs.sparkSession) as work:
+        return _cuts(work, docs, weights, percent, max_epochs, seed)
+
+
+def _cuts(work: Work, docs: DataFrame, weights: dict[str, dict[str, int]], percent: int, max_epochs: int, seed: int) -> DataFrame:
+    slim = work.table(with_leaf(docs))
+    leaves = work.table(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")))
     total = (leaves.agg(F.sum("supply")).first()[0] or 0) * percent // 100
-    leaves = materialize(leaf_budgets(leaves, total, weights, max_epochs))
+    leaves = work.table(leaf_budgets(leaves, total, weights, max_epochs))
     leaves = leaves.withColumn("full", F.when(F.col("supply") > 0, F.expr("budget div supply")).otherwise(F.lit(0)).cast("int"))
     leaves = leaves.withColumn("rest", F.col("budget") - F.col("full") * F.col("supply"))
-    wanted = broadcast_if_small(materialize(leaves.filter("rest > 0").select(*LEVELS, "full", "rest")), BROADCAST_LEAVES)
-    keyed = slim.join(wanted, list(LEVELS)).select(*LEVELS, "rest", "n_tokens", order_key(F.col("full") + 1, seed).alias("u"))
-    keyed = keyed.withColumn("bucket", F.substring("u", 1, DIGITS))
-    buckets = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    edge = buckets.withColumn("before", before).filter("before < rest and before + n >= rest and n > 0").select(*LEVELS, "bucket", "before")
-    near = keyed.join(edge, [*LEVELS, "bucket"]).groupBy(*LEVELS, "rest", "before", "u").agg(F.sum("n_tokens").alias("n"))
-    running = F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("u").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    cut = near.withColumn("at", running).filter("at < rest").groupBy(*LEVELS).agg(F.max("u").alias("cut"))
+    edge = work.table(leaves.filter("rest > 0").select(*LEVELS, "full", "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before")))
+
+    def near(edge: DataFrame) -> DataFrame:
+        """Documents of the leaves whose order keys begin with the prefix."""
+        rows = slim.join(broadcast_if_small(edge, BROADCAST_LEAVES), list(LEVELS))
+        rows = rows.select(*LEVELS, "full", "rest", "prefix", "before", "n_tokens", order_key(F.col("full") + 1, seed).alias("u"))
+        return rows.filter(F.col("u").startswith(F.col("prefix")))
+
+    def upto(order: str) -> Column:
+        """Tokens of all that comes before, in the leaf's order."""
+        return F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+
+    for step in range(1, STEPS + 1):  # each step finds, in the prefix so far, the longer prefix that the cut lies in
+        sums = near(edge).groupBy(*LEVELS, "full", "rest", "before", F.substring("u", 1, step * DIGITS).alias("prefix")).agg(F.sum("n_tokens").alias("n"))
+        reached = sums.withColumn("upto", upto("prefix")).filter("upto < rest and upto + n >= rest and n > 0")
+        edge = work.table(reached.select(*LEVELS, "full", "rest", "prefix", F.col("upto").alias("before")))
+    last = near(edge).groupBy(*LEVELS, "rest", "before", "u").agg(F.sum("n_tokens").alias("n"))
+    cut = last.withColumn("upto", upto("u")).filter("upto < rest").groupBy(*LEVELS).agg(F.max("u").alias("cut"))
     return materialize(leaves.join(cut, list(LEVELS), "left").filter("budget > 0").select(*LEVELS, "full", "cut"))
 
 
@@ -119,7 +134,11 @@ def source_mixing(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS,
 
 
 def mixed(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent: int = PERCENT, max_epochs: int = 1, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, with all their columns, as often as source_mixing() takes them."""
+    """The rows of ``docs``, with all their columns, as often as source_mixing() takes them.
+
+    Null languages and sources are the empty name, null and empty texts have no tokens, and rows that repeat a doc_id
+    are taken together, as there. An empty table stays empty.
+    """
     names = [f"__{c}" for c in LEVELS]
     leaves = cuts(docs, weights, percent, max_epochs, seed)
     for c, n in zip(LEVELS, names):
