@@ -18,8 +18,10 @@ WORD = re.compile(r"\w+")
 PENALTY, SCORE = 0.25, 0.75
 #: Words of documents that are looked up together, or one document.
 TOGETHER = 1 << 16
-#: Items that are searched in one pass over the documents.
-BLOCK = 4096
+#: Bytes of items that are searched in one pass over the documents; a task holds them as words.
+BLOCK = 1 << 24
+#: Items with fewer words count only as they are, word by word, since edits would leave nothing of them.
+SHORT = 5
 #: Share of an item's words that are searched for, its rarest, beyond the share that an alignment may leave unmatched.
 SPARE = 0.25
 
@@ -31,43 +33,41 @@ def words_of(text: str) -> list[str]:
 class Items:
     """The searched items: their words as ids, and the items that each rare word belongs to."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        by_words: dict[tuple[str, ...], int] = {}
-        for item, text in rows:  # items with the same words are one, under their smallest id
-            w = tuple(words_of(text or ""))
-            if len(w) >= 5:
-                by_words[w] = min(item, by_words.get(w, item))
-        self.item_ids = list(by_words.values())
-        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for ws in by_words for w in ws}))}
-        self.words = [np.array([self.vocabulary[w] for w in ws], "i4") for ws in by_words]
+    def __init__(self, rows: list[tuple[int, str]], threshold: float):
+        """``rows``: id and words of items that differ, as distinct_items() gives them."""
+        words = [text.split(" ") for _, text in rows]
+        self.item_ids = [item for item, _ in rows]
+        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for ws in words for w in ws}))}
+        self.words = [np.array([self.vocabulary[w] for w in ws], "i4") for ws in words]
+        #: The score for each word that makes a passage count.
+        self.bounds = [1.0 if len(ws) < SHORT else threshold for ws in words]
 
     def ids(self, text: str) -> np.ndarray:
         found = words_of(text)
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in found), "i4", len(found))
 
-    def choose_words(self, counts: dict[int, int], threshold: float) -> None:
-        """Choose the rarest words of each item, so many that every passage at the threshold holds some of them.
+    def choose_words(self, counts: dict[int, int]) -> None:
+        """Choose the rarest words of each item, so many that every passage at its bound holds some of them.
 
         An alignment that matches m of n item words, in a passage of w, scores at most (1 + PENALTY) * m - PENALTY * w, so
-        at most n * (1 - threshold) words are unmatched. That bounds how many of the chosen words stand in the passage
+        at most n * (1 - bound) words are unmatched. That bounds how many of the chosen words stand in the passage
         (``least``) and, with w, how near to each other (``needed``). ``slack`` is the most words that gaps can have.
         """
         often = np.zeros(len(self.vocabulary) + 1)
         for i, n in counts.items():
             often[i] = n
-        unmatched = min(1.0, max(0.0, 1 - threshold))
-        self.slack = np.array([max(0, int(len(w) * (1 - threshold) / PENALTY + 1e-6)) for w in self.words], "i8")
+        self.slack = np.array([max(0, int(len(w) * (1 - bound) / PENALTY + 1e-6)) for w, bound in zip(self.words, self.bounds)], "i8")
         self.least, self.needed = np.zeros(len(self.words), "i8"), np.zeros(len(self.words))
         words, items, firsts, lasts = ([np.empty(0, "i8")] for _ in range(4))
-        for k, ids in enumerate(self.words):
-            n = len(ids)
+        for k, (ids, bound) in enumerate(zip(self.words, self.bounds)):
+            n, unmatched = len(ids), min(1.0, max(0.0, 1 - bound))
             rarest = ids[np.argsort(often[ids], kind="stable")[: max(1, int(np.ceil(min(1.0, unmatched + SPARE) * n)))]]
             places = np.flatnonzero(np.isin(ids, rarest))
             one, first = np.unique(ids[places], return_index=True)
             _, last = np.unique(ids[places][::-1], return_index=True)
             self.least[k] = max(1, int(np.ceil(len(places) - unmatched * n - 1e-6)))
-            self.needed[k] = (1 + PENALTY) * (len(places) - n) + threshold * n - 1e-3
+            self.needed[k] = (1 + PENALTY) * (len(places) - n) + bound * n - 1e-3
             words.append(one)
             items.append(np.full(len(one), k))
             firsts.append(places[first])
@@ -78,7 +78,7 @@ class Items:
         self.starts = np.searchsorted(words[order], np.arange(len(self.vocabulary) + 2))
 
     def passages(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-        """(text, item, first word, end) of the stretches that hold every passage whose score can reach the threshold."""
+        """(text, item, first word, end) of the stretches that hold every passage whose score can reach its item's bound."""
         ids = np.concatenate([np.empty(0, "i4"), *texts])
         lengths = np.array([len(t) for t in texts], "i8")
         postings = np.diff(self.starts)
@@ -115,7 +115,7 @@ class Items:
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Best local alignment score of each pair of word sequences, and the passage word after its end.
+    """Best local alignment score of each pair of word sequences, and the first passage word after one that has it.
 
     All pairs advance together by one item word a step; gaps along the passage are a running maximum, as a gap costs
     the same for each word.
@@ -139,13 +139,13 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
             before[:, 1:] = np.maximum.accumulate(step + slope, axis=1) - slope
             j = before.argmax(axis=1)
             value = before[np.arange(len(some)), j]
-            where = np.where(value > top, j, where)
+            where = np.where(value > top, j, np.where(value == top, np.minimum(where, j), where))
             top = np.maximum(top, value)
         best[some], end[some] = top, where
     return best, end
 
 
-def search(items: Items, texts: list[str], threshold: float) -> list[tuple[int, int, float, int, int]]:
+def search(items: Items, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
     """(row, best item id, score, number of items, word after the passage) of the texts that hold an item."""
     owner, which, passages = [], [], []
     held: list[np.ndarray] = []
@@ -162,41 +162,54 @@ def search(items: Items, texts: list[str], threshold: float) -> list[tuple[int,
     found: dict[int, dict[int, tuple[float, int]]] = {}
     for (row, a), k, s, e in zip(owner, which, score.tolist(), end.tolist()):
         s /= len(items.words[k])
-        if s >= threshold:
-            held = found.setdefault(row, {})
-            held[k] = max(held.get(k, (0.0, 0)), (s, a + e))
+        if s >= items.bounds[k]:
+            best = found.setdefault(row, {})
+            best[k] = min(best.get(k, (0.0, 0)), (-s, a + e))
     out = []
-    for row, held in sorted(found.items()):
-        s, i, e = min((-s, items.item_ids[k], e) for k, (s, e) in held.items())
-        out.append((row, i, -s, len(held), e))
+    for row, best in sorted(found.items()):
+        s, i, e = min((s, items.item_ids[k], e) for k, (s, e) in best.items())
+        out.append((row, i, -s, len(best), e))
     return out
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, block: int = BLOCK) -> Iterator[Items]:
-    """The benchmark in blocks of items, each with words chosen by their counts over all documents."""
-    rows: list[tuple[int, str]] = []
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words): the words of each item with single spaces; items with the same words are one, under their
+    smallest id. Items without an id, a text or a word are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(words_of(t)) for t in b.column(1).to_pylist()], pa.string())], ["item_id", "words"])
+
     slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    return slim.mapInArrow(run, "item_id long, words string").filter("words <> ''").groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words")
+
+
+def prepared(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, block: int = BLOCK) -> Iterator[Items]:
+    """The benchmark in blocks of ``block`` bytes, each with words chosen by their counts over all documents."""
 
     def counted(rows: list[tuple[int, str]]) -> Items:
-        items = Items(rows)
+        items = Items(rows, threshold)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(items.vocabulary) + 1, "i8")
             for b in batches:
-                for t in b.column(0):
-                    total += np.bincount(items.ids(t.as_py()), minlength=len(total))
+                for at in range(0, b.num_rows, 32):
+                    ids = [items.ids(t.as_py()) for t in b.column(0).slice(at, 32)]
+                    total += np.bincount(np.concatenate(ids), minlength=len(total))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype="i4")), pa.array(total)], ["id", "n"])
 
         got = id_and_text(docs).select("text").mapInArrow(run, "id int, n long").filter("n > 0").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each word of the block
-        counts = {r.id: r.n for r in got}
-        items.choose_words(counts, threshold)
+        items.choose_words({r.id: r.n for r in got})
         return items
 
-    for r in slim.orderBy("item_id").toLocalIterator():
-        rows.append((r.item_id, r.text))
-        if len(rows) == block:
+    rows: list[tuple[int, str]] = []
+    size = 0
+    for r in distinct_items(benchmark).orderBy("item_id", "words").toLocalIterator():
+        rows.append((r.item_id, r.words))
+        size += len(r.words)
+        if size >= block:
             yield counted(rows)
-            rows = []
+            rows, size = [], 0
     if rows:
         yield counted(rows)
 
@@ -204,10 +217,12 @@ def prepared(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, bl
 def decontamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, block: int = BLOCK) -> DataFrame:
     """The documents that hold a benchmark item, exact or edited: doc_id, item_id, score, n_items, end_word.
 
-    item_id is the item that scores best, the smallest of equals; n_items counts the items at or above the threshold;
-    end_word is the number of words up to the end of the passage. Words are letters and digits in lower case. Items
-    with fewer than five words, without an id or without a text are not searched. Null texts count as empty. Rows that
-    share a doc_id come out as one. An empty table on either side gives an empty result; other columns are ignored.
+    item_id is the item that scores best, the smallest of equals; n_items counts the items at or above their bound;
+    end_word is the number of words up to the first end of a passage with that score. Words are letters and digits in
+    lower case. An item of fewer than five words is found where its words stand one after the other, with nothing
+    between. Items without an id, a text or a word are not searched; items with the same words are one. Null texts
+    count as empty. Rows that share a doc_id, null too, come out as one, with the best of them. An empty table on either
+    side gives an empty result; other columns are ignored.
     """
     found = None
     for items in prepared(docs, benchmark, threshold, block):
@@ -216,7 +231,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SC
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
                     b = whole.slice(at, 512)
-                    hits = search(items, b.column(1).to_pylist(), threshold)
+                    hits = search(items, b.column(1).to_pylist())
                     row, item, score, n, end = zip(*hits) if hits else ((),) * 5
                     columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(end, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "n_items", "end_word"])
@@ -231,7 +246,11 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SC
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark item."""
+    """The rows of ``docs``, with all their columns, that hold no benchmark item.
+
+    Every row is judged by its own text, so rows that repeat an id or lack one stay or go each by itself; rows with null
+    and empty texts stay. All rows stay when the benchmark has no item; an empty table stays empty.
+    """
     at, left = docs.columns.index("text"), docs
     for items in prepared(docs, benchmark, threshold, block):
 
@@ -239,7 +258,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
             for whole in batches:
                 for k in range(0, whole.num_rows, 512):
                     b = whole.slice(k, 512)
-                    hit = {h[0] for h in search(items, [str(t or "") for t in b.column(at).to_pylist()], threshold)}
+                    hit = {h[0] for h in search(items, [str(t or "") for t in b.column(at).to_pylist()])}
                     yield b.filter(pa.array([r not in hit for r in range(b.num_rows)], pa.bool_()))
 
         left = left.mapInArrow(run, docs.schema)
