@@ -5,13 +5,14 @@ the windows of 121 positions, so every 200-byte string holds an anchor at a plac
 strings hold equal anchors; only anchors that occur twice are followed. Of an anchor's occurrences, the suffixes that
 start there and the reversed prefixes that end there are sorted; a string that starts d bytes before an anchor is
 repeated if another occurrence shares d bytes to the left and 200 - d to the right, which both orders' common prefixes
-tell for all occurrences at once.
+tell for all occurrences at once. Occurrences whose whole surroundings are equal are thinned to two where they are
+found, and an anchor that many different surroundings share is divided by longer common strings until a task can sort
+each group.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, set_checkpoint_dir
+from .common import Work, id_and_text, materialize
 
 LENGTH, GRAM = 200, 80
 #: Bytes that multikey quicksort looks at before a blind trie orders what is still equal.
 SHALLOW = 12
-#: Occurrences of one anchor that one task may sort; more are compared by digests of their strings, counted in part
-#: before the shuffle.
+#: Contexts of one anchor that one task sorts; a group of more is divided first.
 HOT = 32768
 #: Bytes of text that are hashed together, and occurrences that are sorted together.
 SLICE, CHUNK = 1 << 20, 8192
@@ -147,18 +147,16 @@ def deep_shallow(strings: list[bytes], some: list[int], depth: int, shallow: int
     return out
 
 
-def repeated(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each occurrence of an anchor, the least and the greatest d whose string, from d bytes before the anchor,
-    occurs at another occurrence too; least > greatest if there is none. Occurrences of an anchor stand together;
-    ``lefts`` are reversed."""
-    n, reach = len(groups), length - gram
-    least, greatest = np.full(n, reach + 1, "i8"), np.full(n, -1, "i8")
+def repeated(groups: np.ndarray, weights: np.ndarray, lefts: list[bytes], rights: list[bytes], low: int, high: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each context of an anchor, the least and the greatest d from ``low`` to ``high`` whose string, from d bytes
+    before the anchor, occurs at another occurrence too; least > greatest if there is none. ``weights`` are the
+    occurrences of each context. Contexts of an anchor stand together; ``lefts`` are reversed."""
     first: dict[tuple[int, bytes, bytes], int] = {}
-    context = np.fromiter((first.setdefault(k, len(first)) for k in zip(groups.tolist(), lefts, rights)), "i8", n)
-    weight = np.bincount(context, minlength=len(first))
+    context = np.fromiter((first.setdefault(k, len(first)) for k in zip(groups.tolist(), lefts, rights)), "i8", len(groups))
+    weight = np.bincount(context, weights=weights, minlength=len(first))
     keys = list(first)
     left_of, right_of = [k[1] for k in keys], [k[2] for k in keys]
-    member = np.array([k[0] for k in keys], "u8")
+    member = np.array([k[0] for k in keys])
     edges = np.flatnonzero(np.concatenate(([True], member[1:] != member[:-1], [True])))
     rank, prefix = np.zeros((2, len(keys)), "i8"), np.zeros((2, len(keys)), "i8")
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -175,14 +173,25 @@ def repeated(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], length
                     p, place = length + 1, place + 1  # equal contexts share everything, whatever their length
             prefix[side, a] = -1
     size = [np.array([len(s) for s in strings], "i8") for strings in (left_of, right_of)]
-    low, high = np.full(len(keys), reach + 1, "i8"), np.full(len(keys), -1, "i8")
-    for d in range(reach + 1):
+    least, greatest = np.full(len(keys), high + 1, "i8"), np.full(len(keys), -1, "i8")
+    for d in range(low, high + 1):
         classes = [np.cumsum(prefix[side] < depth)[rank[side]] for side, depth in ((0, d), (1, length - d))]
         _, pair = np.unique(classes[0] * (len(keys) + 1) + classes[1], return_inverse=True)
         hit = (np.bincount(pair, weights=weight)[pair] > 1) & (size[0] >= d) & (size[1] >= length - d)
-        low[hit] = np.minimum(low[hit], d)
-        high[hit] = d
-    return np.minimum(least, low[context]), np.maximum(greatest, high[context])
+        least[hit] = np.minimum(least[hit], d)
+        greatest[hit] = d
+    return least[context], greatest[context]
+
+
+def joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """The spans as maximal runs, in order."""
+    out: list[list[int]] = []
+    for a, e in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([a, e])
+    return out
 
 
 # --- over a corpus -------------------------------------------------------------------------------------------------
@@ -192,138 +201,220 @@ def _key(text) -> object:
     return F.substring(F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)), 1, 16)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """Different texts as (key, text, copies), bucketed by key in the shared folder so that joins leave text in place."""
-    spark = docs.sparkSession
-    set_checkpoint_dir(spark)
-    name = f"texts_{uuid.uuid4().hex}"
-    rows = docs.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.write.bucketBy(buckets, "key").option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+def _slices(texts: list[memoryview], length: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in slices of about SLICE bytes, several texts or a part of one: (numbers of the texts, where each begins in
+    the bytes, where it begins in its text, the bytes). Each string of ``length`` bytes lies in a slice."""
+    at = 0
+    while at < len(texts):
+        n, size = 0, 0
+        while at + n < len(texts) and (not n or size + len(texts[at + n]) <= SLICE):
+            size += len(texts[at + n])
+            n += 1
+        if n == 1:
+            for a in range(0, max(1, size - length + 1), SLICE):
+                yield [at], np.zeros(1, "i8"), np.array([a]), np.frombuffer(texts[at][a : a + SLICE + length - 1], "u1")
+        else:
+            part = texts[at : at + n]
+            starts = np.concatenate(([0], np.cumsum([len(p) for p in part])))[:-1].astype("i8")
+            yield list(range(at, at + n)), starts, np.zeros(n, "i8"), np.frombuffer(b"".join(part), "u1")
+        at += n
+
+
+def _thinned(texts: list[memoryview], text: np.ndarray, pos: np.ndarray, h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Which occurrences of a slice go on, and the spans (text, start, end) of the others.
+
+    Of occurrences that are equal in all that can matter, ``length - gram`` bytes before the anchor and ``length`` from
+    it, two go on: they stand for the rest, whose strings occur often enough already. So a run of one byte, a text that
+    repeats itself and a passage that many texts share cost as much as two of them.
+    """
+    _, group, count = np.unique(h, return_inverse=True, return_counts=True)
+    go_on, reach = np.ones(len(h), bool), length - gram
+    met: dict[tuple[int, bytes], int] = {}
+    spans = []
+    for k in np.flatnonzero(count[group] > 2).tolist():
+        t, p = int(text[k]), int(pos[k])
+        a = max(0, p - reach)
+        context = (p - a, bytes(texts[t][a : p + length]))
+        n = met[context] = met.get(context, 0) + 1
+        if n > 2:
+            go_on[k] = False
+            if len(context[1]) >= length:
+                spans.append((t, a, a + len(context[1])))
+    return go_on, spans
 
 
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, key, pos, stop): anchors that may occur again, without a stop, and spans from pos to stop that are known to
+    be repeated, without h."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(1).cast(pa.large_binary())
-            at = 0
-            while at < len(raw):
-                n, size = 0, 0
-                while at + n < len(raw) and (not n or size + len(raw[at + n].as_buffer()) <= SLICE):
-                    size += len(raw[at + n].as_buffer())
-                    n += 1
-                part = [raw[at + k].as_buffer() for k in range(n)]
-                starts = np.concatenate(([0], np.cumsum([len(p) for p in part])))[:-1].astype("i8")
-                where, h = anchors(np.frombuffer(b"".join(part), "u1"), starts, length, gram)
-                text = np.searchsorted(starts, where, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), b.column(0).take(pa.array(text + at)), pa.array((where - starts[text]).astype("i4"))], ["h", "key", "pos"])
-                at += n
-
-    return texts.filter(F.octet_length("text") >= length).select("key", "text").mapInArrow(run, "h long, key binary, pos int")
+            whole = [memoryview(x.as_buffer()) for x in raw]
+            tail = np.empty(0, "i8")  # anchors of the slice before that this one meets too
+            for numbers, starts, skipped, data in _slices(whole, length):
+                where, h = anchors(data, starts, length, gram)
+                part = np.searchsorted(starts, where, side="right") - 1
+                pos, text = where - starts[part] + skipped[part], np.array(numbers)[part]
+                if skipped[0]:
+                    new = ~np.isin(pos, tail)
+                    pos, text, h = pos[new], text[new], h[new]
+                tail = pos[pos >= skipped[0] + SLICE] if len(numbers) == 1 else tail
+                go_on, spans = _thinned(whole, text, pos, h, length, gram)
+                by_text: dict[int, list[tuple[int, int]]] = {}
+                for t, a, e in spans:
+                    by_text.setdefault(t, []).append((a, e))
+                known = [(t, a, e) for t, some in by_text.items() for a, e in joined(some)]
+                text, pos, h = text[go_on], pos[go_on], h[go_on]
+                n = len(known)
+                columns = [
+                    pa.array(np.concatenate((h.view("i8"), np.zeros(n, "i8"))), mask=np.arange(len(h) + n) >= len(h)),
+                    b.column(0).take(pa.array(np.concatenate((text, np.array([x[0] for x in known], "i8"))))),
+                    pa.array(np.concatenate((pos, np.array([x[1] for x in known], "i8")))),
+                    pa.array(np.concatenate((np.zeros(len(h), "i8"), np.array([x[2] for x in known], "i8"))), mask=np.arange(len(h) + n) < len(h)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "key", "pos", "stop"])
+
+    return texts.filter(F.octet_length("text") >= length).select("key", "text").mapInArrow(run, "h long, key binary, pos long, stop long")
 
 
 def _contexts(placed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, key, pos, left, right) of the wanted occurrences of each text."""
+    """(h, key, pos, at, context) of the wanted occurrences of each text: the bytes around an anchor, ``at`` of them
+    before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = length - gram
         for b in batches:
+            raw = b.column(1).cast(pa.large_binary())
             for r in range(b.num_rows):
-                text, key = b.column(1)[r].as_py().encode(), b.column(0)[r].as_py()
-                found = b.column(2)[r].values
-                pos = found.field("pos").to_pylist()
-                left = [text[max(0, p - reach) : p][::-1] for p in pos]
-                right = [text[p : p + length] for p in pos]
-                yield pa.RecordBatch.from_arrays([found.field("h"), pa.array([key] * len(pos), pa.binary()), found.field("pos"), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["h", "key", "pos", "left", "right"])
-
-    return placed.select("key", "text", "found").mapInArrow(run, "h long, key binary, pos int, left binary, right binary")
+                text, found, key = memoryview(raw[r].as_buffer()), b.column(2)[r].values, b.column(0)[r].as_py()
+                for some in (found.slice(k, CHUNK) for k in range(0, len(found), CHUNK)):
+                    pos = some.field("pos").to_pylist()
+                    at = [min(p, reach) for p in pos]
+                    context = [bytes(text[p - a : p + length]) for p, a in zip(pos, at)]
+                    yield pa.RecordBatch.from_arrays([some.field("h"), pa.array([key] * len(pos), pa.binary()), some.field("pos"), pa.array(at, pa.int32()), pa.array(context, pa.binary())], ["h", "key", "pos", "at", "context"])
+
+    return placed.select("key", "text", "found").mapInArrow(run, "h long, key binary, pos long, at int, context binary")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], same: tuple[int, ...], enough: int) -> Iterator[pa.Table]:
+    """Rows in tables of ``enough`` or more, with all rows of a group, by the columns ``same``, in one table; they come
+    sorted by group."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < enough:
+            continue
+        t = pa.Table.from_batches(held)
+        last = [t.column(c)[t.num_rows - 1].as_py() for c in same]
+        whole = t.num_rows - 1
+        while whole and [t.column(c)[whole - 1].as_py() for c in same] == last:
+            whole -= 1
+        if whole:
+            yield t.slice(0, whole)
+            held = t.slice(whole).to_batches()
+            rows = t.num_rows - whole
+    if rows:
+        yield pa.Table.from_batches(held)
 
 
 def _sorted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, a, b) of the bytes that repeated strings around each occurrence cover."""
+    """(key, a, b) of the bytes that repeated strings around each occurrence cover; anchors have a bounded number of
+    occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(t: pa.Table) -> pa.RecordBatch:
-            least, greatest = repeated(t.column("h").to_numpy().view("u8"), t.column("left").to_pylist(), t.column("right").to_pylist(), length, gram)
-            at = np.flatnonzero(least <= greatest)
-            pos = t.column("pos").to_numpy()[at].astype("i8")
-            key = t.column("key").combine_chunks().take(pa.array(at))
+        for t in _by_group(batches, (0,), CHUNK):
+            at, context = t.column("at").to_pylist(), t.column("context").to_pylist()
+            least, greatest = repeated(t.column("h").to_numpy(), np.ones(len(at)), [c[:k][::-1] for c, k in zip(context, at)], [c[k:] for c, k in zip(context, at)], 0, length - gram, length)
+            hit = np.flatnonzero(least <= greatest)
+            pos = t.column("pos").to_numpy()[hit]
+            key = t.column("key").take(pa.array(hit)).combine_chunks()
             key = key.combine_chunks() if isinstance(key, pa.ChunkedArray) else key
-            return pa.RecordBatch.from_arrays([key, pa.array(pos - greatest[at]), pa.array(pos - least[at] + length)], ["key", "a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows < CHUNK:
-                continue
-            t = pa.Table.from_batches(held)
-            h = t.column("h").to_numpy()
-            whole = int(np.searchsorted(h, h[-1]))  # the last anchor may go on in the next batch
-            if whole:
-                yield spans(t.slice(0, whole))
-                held = t.slice(whole).to_batches()
-                rows = t.num_rows - whole
-        if rows:
-            yield spans(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([key, pa.array(pos - greatest[hit]), pa.array(pos - least[hit] + length)], ["key", "a", "b"])
 
     # h comes sorted, so that an anchor's occurrences stand together
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "key binary, a long, b long")
 
 
-def _counted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for anchors with very many occurrences, by counting digests of the strings around them."""
+def _shared_spans(contexts: DataFrame, work: Work, length: int, gram: int, hot: int) -> DataFrame:
+    """The same for anchors with any number of occurrences.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = length - gram
-        for b in batches:
-            keys, starts, digests = [], [], []
-            for key, pos, left, right in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4))):
-                text = left[::-1] + right
-                for a in range(max(0, len(left) - reach), min(len(left), len(text) - length) + 1):
-                    keys.append(key)
-                    starts.append(pos - len(left) + a)
-                    digests.append(hashlib.blake2b(text[a : a + length], digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(starts, pa.int64())], ["digest", "key", "a"])
-
-    # two anchors may lie in one string: a place counts once
-    strings = contexts.mapInArrow(run, "digest binary, key binary, a long").dropDuplicates(["key", "a"])
-    often = strings.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    return strings.join(often, "digest", "left_semi").select("key", "a", (F.col("a") + length).alias("b"))
+    A group is the occurrences of an anchor for a range of d, at first for all. Strings with d from low to high share
+    the ``core``: low bytes before the anchor and length - high from it. No byte beyond high before the anchor and
+    length - low from it matters, so occurrences that are equal there are one context with a weight, summed in part
+    before the shuffle. A group of at most ``hot`` contexts is sorted by a task; a larger one is divided: each half of
+    its range has a longer core, and groups are what shares the core. A range of one d leaves one context, so that
+    dividing ends whatever the corpus holds.
+    """
+    reach = length - gram
+    now = work.table(contexts.select("key", "pos", "at", "context", F.lit(0).alias("low"), F.lit(reach).alias("high")))
+    out = None
+    while True:
+        before = F.least("at", "high")  # of the bytes that matter, those before the anchor
+        cut = lambda first, n: F.substring(F.col("context"), first, n)
+        inside = now.filter((F.col("at") >= F.col("low")) & (F.octet_length("context") - F.col("at") >= length - F.col("high")))
+        trimmed = cut(F.col("at") - before + 1, before + length - F.col("low"))
+        core = F.unhex(F.sha2(cut(F.col("at") - F.col("low") + 1, F.col("low") + length - F.col("high")), 256))
+        inside = inside.select("key", "pos", "at", "context", "low", "high", before.alias("before"), trimmed.alias("trimmed"), core.alias("core"))
+        classes = work.table(inside.groupBy("low", "high", "core", "before", "trimmed").agg(F.count("*").alias("n")))
+        groups = work.table(classes.groupBy("low", "high", "core").agg(F.count("*").alias("contexts"), F.sum("n").alias("all")).filter("all > 1"))
+        group = ["low", "high", "core"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _by_group(batches, (0, 1, 2), CHUNK):
+                ranges = t.select(["low", "high"]).to_pandas()
+                cores = t.column("core").to_pylist()
+                for (low, high), rows in ranges.groupby(["low", "high"], sort=False).groups.items():
+                    some = t.take(pa.array(rows.to_numpy()))
+                    number: dict[bytes, int] = {}
+                    member = np.array([number.setdefault(cores[r], len(number)) for r in rows])
+                    context, at = some.column("trimmed").to_pylist(), some.column("before").to_pylist()
+                    least, greatest = repeated(member, some.column("n").to_numpy(), [c[:k][::-1] for c, k in zip(context, at)], [c[k:] for c, k in zip(context, at)], low, high, length)
+                    some = some.append_column("least", pa.array(least)).append_column("greatest", pa.array(greatest)).filter(pa.array(least <= greatest))
+                    yield from some.select(["low", "high", "core", "before", "trimmed", "least", "greatest"]).to_batches()
+
+        small = classes.join(groups.filter(F.col("contexts") <= hot).select(*group), group).select(*group, "before", "trimmed", "n")
+        solved = work.table(small.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "low int, high int, core binary, before int, trimmed binary, least long, greatest long"))
+        spans = inside.join(solved, [*group, "before", "trimmed"]).select("key", (F.col("pos") - F.col("greatest")).alias("a"), (F.col("pos") - F.col("least") + length).alias("b"))
+        spans = work.table(spans)
+        out = spans if out is None else out.unionByName(spans)
+        large = groups.filter(F.col("contexts") > hot).select(*group)
+        if large.isEmpty():
+            return out
+        middle = F.expr("cast((low + high) div 2 as int)")
+        halves = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
+        done, now = now, work.table(inside.join(large, group, "left_semi").select("key", "pos", "at", "context", F.explode(halves).alias("d")).select("key", "pos", "at", "context", "d.low", "d.high"))
+        work.drop(done)
 
 
 def _cut(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) of every different text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
         for b in batches:
             out: list[tuple] = []
-            for key, text, copies, found in zip(*(c.to_pylist() for c in b.columns)):
-                raw = (text or "").encode()
-                merged: list[list[int]] = []
-                if copies > 1 and len(raw) >= length:
-                    merged = [[0, len(raw)]]
+            raw = b.column(1).cast(pa.large_binary())
+            for r, (key, copies, found) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 3)))):
+                text = memoryview(raw[r].as_buffer())
+                if copies > 1 and len(text) >= length:
+                    merged = [[0, len(text)]]
                 else:
-                    for s in sorted((f["a"], f["b"]) for f in found or ()):
-                        if merged and s[0] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], s[1])
-                        else:
-                            merged.append([*s])
+                    merged = joined([(f["a"], f["b"]) for f in found or ()])
                 kept, at = hashlib.sha256(), 0
                 for a, e in merged:
-                    kept.update(raw[at:a])
+                    kept.update(text[at:a])
                     at = e
-                kept.update(raw[at:])
-                out.append((key, len(raw), sum(e - a for a, e in merged), len(merged), kept.hexdigest(), merged))
+                kept.update(text[at:])
+                out.append((key, len(text), sum(e - a for a, e in merged), len(merged), kept.hexdigest(), merged))
             columns = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     per_text = spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    joined = texts.join(per_text, "key", "left").select("key", "text", "copies", "found")
-    return joined.mapInArrow(run, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    joined_texts = texts.join(per_text, "key", "left").select("key", "text", "copies", "found")
+    return joined_texts.mapInArrow(run, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -332,18 +423,24 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or another.
     Equal texts are one text with a number of copies, so a large group of copies costs as much as one of them. Null
     texts count as empty; ids may be null or repeat, a row in gives a row out. An empty table gives an empty result;
-    other columns are ignored.
+    other columns are ignored. ``hot`` is the most contexts of one anchor that a task sorts.
     """
-    rows = id_and_text(docs).withColumn("key", _key(F.col("text")))
-    texts = _texts(rows)
-    found = _anchor_rows(texts, length, gram)
-    often = materialize(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")).withColumnRenamed("h", "again")
-    spans = None
-    for wanted, way in ((often.filter(F.col("n") <= hot), _sorted_spans), (often.filter(F.col("n") > hot), _counted_spans)):
-        if way is _counted_spans and wanted.isEmpty():
-            continue
-        places = found.join(wanted, F.col("h") == F.col("again")).groupBy("key").agg(F.collect_list(F.struct("h", "pos")).alias("found"))
-        part = way(_contexts(texts.join(places, "key"), length, gram), length, gram)
-        spans = part if spans is None else spans.union(part)
-    cut = _cut(texts, spans, length).withColumnRenamed("key", "k")
-    return rows.select("doc_id", "key").join(cut, F.col("key") == F.col("k")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    with Work(docs.sparkSession) as work:
+        rows = id_and_text(docs).withColumn("key", _key(F.col("text")))
+        texts = work.bucketed(rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "key")
+        found = work.table(_anchor_rows(texts, length, gram))
+        known = found.filter("h is null").select("key", F.col("pos").alias("a"), F.col("stop").alias("b"))
+        found = found.filter("h is not null").select("h", "key", "pos")
+        often = work.table(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")).withColumnRenamed("h", "again")
+
+        def contexts(wanted: DataFrame) -> DataFrame:
+            places = found.join(wanted, F.col("h") == F.col("again")).groupBy("key").agg(F.collect_list(F.struct("h", "pos")).alias("found"))
+            return _contexts(texts.join(places, "key"), length, gram)
+
+        spans = known.unionByName(_sorted_spans(contexts(often.filter(F.col("n") <= hot)), length, gram))
+        many = often.filter(F.col("n") > hot)
+        if not many.isEmpty():
+            spans = spans.unionByName(_shared_spans(contexts(many), work, length, gram, hot))
+        cut = _cut(texts, spans, length).withColumnRenamed("key", "k")
+        result = rows.select("doc_id", "key").join(cut, F.col("key") == F.col("k"))
+        return materialize(result.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"))
