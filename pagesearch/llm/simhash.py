@@ -201,16 +201,17 @@ def links(distinct: DataFrame, work: Work, split: int = SPLIT) -> DataFrame:
 def components(edges: DataFrame, work: Work) -> DataFrame:
     """(node, root): the smallest node of each component, by alternating large-star and small-star contraction.
 
-    Every round is two aggregations with partial sums and two joins that Spark may split, so a node with very many
-    neighbours needs no task of its own. Rounds end when the edges stay as they are.
+    Every round is two aggregations with partial sums and two joins. What is joined is written before, so that Spark
+    can split the edges of a node with very many neighbours. Rounds end when the edges stay as they are.
     """
     now = work.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     last = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = work.table(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
         large = both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        large = work.table(large)
+        least = work.table(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"))
         joined = large.join(least, F.col("u") == F.col("k"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
         now = work.table(small)
