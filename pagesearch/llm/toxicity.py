@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ BITS, MAX_LABELLED = 20, 16384
 #: Learning rate, its offset, L1 and L2 strength, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 2.0, 1.0, 2
 THRESHOLD = 0.3
-KEPT, KEPT_CHARS = 500_000, 40
+#: Words whose hashes a scorer keeps, and the longest that it keeps.
+KEPT, KEPT_CHARS = 100_000, 40
 WORD = re.compile(r"\w+")
 
 
@@ -56,24 +58,24 @@ def word_hashes(text: str, table: WordHashes) -> np.ndarray:
     return np.fromiter(map(table.__getitem__, WORD.findall(text.lower())), "u4")
 
 
-def fit(examples: list[tuple[np.ndarray, int]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots and weights that are not zero, and the bias. Each example: the distinct slots of a text, and its label.
+def fit(examples: Iterable[tuple[np.ndarray, int]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots and weights that are not zero, and the bias. Each example: the distinct slots of a text, and its label;
+    they come once for each pass and are not kept.
 
     Each coordinate has its own rate, which falls with the squared gradients that it has met; the L1 term keeps every
     coordinate at zero until its gradients agree. The bias is a coordinate without L1.
     """
     n_slots = 1 << bits
     z, n = np.zeros(n_slots + 1), np.zeros(n_slots + 1)
-    for _ in range(EPOCHS):
-        for x, y in examples:
-            at = np.append(x, n_slots)
-            zi, ni = z[at], n[at]
-            l1 = np.full(len(at), L1)
-            l1[-1] = 0
-            w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-            n[at] = ni + g * g
-            z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
+    for x, y in examples:
+        at = np.append(x, n_slots)
+        zi, ni = z[at], n[at]
+        l1 = np.full(len(at), L1)
+        l1[-1] = 0
+        w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+        n[at] = ni + g * g
+        z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
     l1 = np.full(n_slots + 1, L1)
     l1[-1] = 0
     w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -81,11 +83,12 @@ def fit(examples: list[tuple[np.ndarray, int]], bits: int = BITS) -> tuple[np.nd
     return at.astype("i4"), w[at].astype("f4"), float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """The model, from labelled documents whose crc32(doc_id) mod 4 is not 2; None when there are none.
+def examples(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(place, x, y): the distinct slots of each labelled text that is learned from, and its label.
 
-    The sample is the first ``max_labelled`` labelled ids by MD5; an id with several labels counts as toxic if one says
-    so, and rows without an id or a label are left out. One task fits; only the non-zero weights go to the driver.
+    The sample is the first ``max_labelled`` labelled ids by MD5 whose crc32 mod 4 is not 2; an id with several labels
+    counts as toxic if one says so, and rows without an id or a label are left out. Of rows that share an id one is
+    learned from, the one whose slots hash lowest, so that rows are bounded as ids are.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("toxic").cast("int").alias("toxic")).dropna()
     marks = marks.filter(F.pmod(F.crc32(F.col("k").cast("string")), F.lit(4)) != 2).groupBy("k").agg(F.max("toxic").alias("toxic"))
@@ -96,16 +99,30 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         table = WordHashes()
         for b in batches:
             xs = [np.unique(np.concatenate([s for _, s in slots(word_hashes(t.as_py(), table))])).astype("<i4").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xs, pa.binary()), b.column(2)], ["doc_id", "x", "y"])
+            place = [xxhash.xxh64_intdigest(str(i)) >> 1 for i in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(place, pa.int64()), pa.array(xs, pa.binary()), b.column(2)], ["doc_id", "place", "x", "y"])
+
+    slim = rows.mapInArrow(features, "doc_id long, place long, x binary, y int")
+    return slim.groupBy("doc_id").agg(F.min(F.struct("place", F.xxhash64("x").alias("h"), "x", "y")).alias("e")).select("e.place", "e.x", "e.y")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """The model, from the sample of examples(); None when it is empty.
+
+    One task fits. Spark brings it the examples once for each pass, in an order that ids alone decide, so that the task
+    holds a batch of them; only the weights that are not zero go to the driver.
+    """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(i, x, y) for b in batches for i, x, y in zip(*(c.to_pylist() for c in b.columns))]
-        rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1]))  # a fixed order whatever the partitions
-        if rows:
-            at, w, bias = fit([(np.frombuffer(x, "<i4").astype("i8"), y) for _, x, y in rows])
+        filled = (b for b in batches if b.num_rows)
+        head = next(filled, None)
+        if head is not None:
+            at, w, bias = fit((np.frombuffer(x.as_buffer(), "<i4").astype("i8"), y) for b in chain([head], filled) for x, y in zip(b.column(0), b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([w.tobytes()]), pa.array([bias])], ["at", "w", "bias"])
 
-    got = rows.mapInArrow(features, "doc_id long, x binary, y int").repartition(1).mapInArrow(learn, "at binary, w binary, bias double").collect()
+    passes = examples(docs, labels, max_labelled).withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    ordered = passes.repartition(1).sortWithinPartitions("pass", "place", "x").select("x", "y")
+    got = ordered.mapInArrow(learn, "at binary, w binary, bias double").collect()
     return (np.frombuffer(got[0].at, "<i4"), np.frombuffer(got[0].w, "<f4"), got[0].bias) if got else None
 
 
@@ -150,7 +167,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is not predicted toxic."""
+    """The rows of ``docs``, with all their columns, whose text is not predicted toxic.
+
+    Every row is judged by its own text, so rows that repeat an id or lack one are kept or go each by itself. Null and
+    empty texts are scored by the bias alone, and all rows stay when no label can be used. An empty table stays empty.
+    """
     model = train(docs, labels)
     at = docs.columns.index("text")
 
