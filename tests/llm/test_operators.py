@@ -2,12 +2,15 @@
 
 import collections
 import hashlib
+import math
+import os
 import random
 import zlib
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -90,8 +93,9 @@ def test_deep_shallow_sort_and_common_prefixes():
             assert all(p == suffix_dedup.common(strings[a], strings[b]) for (a, _), (b, p) in zip(got, got[1:]))
 
 
-@pytest.mark.parametrize("length,gram,hot", [(20, 8, 1000), (24, 9, 2)])
-def test_repeated_strings_equal_brute_force(spark, make_docs, length, gram, hot):
+@pytest.mark.parametrize("length,gram,hot,size", [(20, 8, 1000, 1 << 20), (24, 9, 2, 1 << 20), (20, 8, 3, 100)])
+def test_repeated_strings_equal_brute_force(make_docs, monkeypatch, length, gram, hot, size):
+    monkeypatch.setattr(suffix_dedup, "SLICE", size)
     random.seed(length)
     words = ["".join(random.choice("abcdé") for _ in range(random.randint(2, 6))) for _ in range(60)]
     passages = [" ".join(random.choices(words, k=random.randint(3, 9))) for _ in range(8)]
@@ -101,19 +105,32 @@ def test_repeated_strings_equal_brute_force(spark, make_docs, length, gram, hot)
         for _ in range(random.randint(0, 2)):
             t += random.choice(["", " "]) + random.choice(passages) + " ".join(random.choices(words, k=random.randint(0, 6)))
         texts.append(t)
-    texts += texts[:10] + ["", None, "a" * 44, "ab" * 20, "x" * (length - 1)] + [texts[5]] * 5
+    texts += texts[:10] + ["", None, "a" * 44, "ab" * 20, "x" * (length - 1), "a" * 300, "b" + "a" * (length + 1) + "c", "abc" * 200, "q" * 20 + "abc" * 9] + [texts[5]] * 5
     got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(make_docs(list(enumerate(texts))), length, gram, hot).collect()}
     assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in range(len(texts))] == brute_repeats(texts, length)
     assert all(sum(e - a for a, e in r.spans) == r.n_removed for r in got.values())
 
 
 def test_repeated_strings_of_edge_rows(make_docs, edge_rows):
-    rows = [r for r in edge_rows if r[0] not in (8, 9)] + [(8, "abc " * 300), (9, "x" + "lorem ipsum dolor " * 3)]
+    rows = [*edge_rows, (12, "abc " * 300), (13, "x" + "lorem ipsum dolor " * 3)]
     got = suffix_dedup.suffix_dedup(make_docs(rows)).drop("spans")
     want = [(r[0], *b) for r, b in zip(rows, brute_repeats([r[1] for r in rows], 200))]
     assert rows_of(got) == sorted(want, key=repr)
 
 
+def test_very_long_texts_leave_nothing_behind(spark, make_docs):
+    from pagesearch.llm.common import set_checkpoint_dir
+
+    random.seed(31)
+    own = " ".join(f"w{random.randrange(10**6)}" for _ in range(600_000))
+    folder = set_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    texts = ["a" * 1_000_000, "x" * 50 + "a" * 210 + "y" * 50, own + own[1000:3000]]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(make_docs(list(enumerate(texts)))).collect()}
+    assert got == {0: (1_000_000, 1), 1: (210, 1), 2: (4000, 2)}
+    assert not spark.sql("SHOW TABLES").collect() and all(x.startswith("rdd-") for x in set(os.listdir(folder)) - before)
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
@@ -122,7 +139,10 @@ def mixing_rows():
     return [(k, "x" * random.randint(0, 400), random.choice(["en", "de", "fr", "es", None]), random.choice(["src0"] * 6 + [f"src{i}" for i in range(12)] + [None, "odd"])) for k in range(300)] + [(5, "again", "en", "src0")] * 3
 
 
-def test_mixing_equals_sql(make_docs):
+@pytest.mark.parametrize("digits,steps", [(2, 4), (1, 1), (1, 0)])
+def test_mixing_equals_sql(make_docs, monkeypatch, digits, steps):
+    monkeypatch.setattr(source_mixing, "DIGITS", digits)
+    monkeypatch.setattr(source_mixing, "STEPS", steps)
     rows = mixing_rows()
     same(source_mixing.source_mixing(make_docs(rows)), source_mixing.sql(), **documents(rows))
 
@@ -148,28 +168,32 @@ def test_mixing_of_edge_rows(make_docs, edge_rows):
 
 
 def smith_waterman(a, b):
-    p, best = decontamination.PENALTY, 0.0
+    """Best local score, and the least number of words of b up to an end that has it."""
+    p, best, end = decontamination.PENALTY, 0.0, 0
     row = [0.0] * (len(b) + 1)
     for x in a:
         new = [0.0]
         for j, y in enumerate(b):
-            new.append(max(0.0, row[j] + (1 if x == y else -p), row[j + 1] - p, new[j] - p))
-        row, best = new, max(best, *new)
-    return best
+            v = max(0.0, row[j] + (1 if x == y else -p), row[j + 1] - p, new[j] - p)
+            new.append(v)
+            if v > best or v == best and j + 1 < end:
+                best, end = v, j + 1
+        row = new
+    return best, end
 
 
 def test_alignment_equals_brute_force():
     rng = np.random.default_rng(4)
     pairs = [(rng.integers(0, 5, rng.integers(1, 20)).astype("i4"), rng.integers(0, 5, rng.integers(1, 40)).astype("i4")) for _ in range(300)]
-    got, _ = decontamination.align([a for a, _ in pairs], [b for _, b in pairs])
-    assert got.tolist() == [smith_waterman(a.tolist(), b.tolist()) for a, b in pairs]
+    got, end = decontamination.align([a for a, _ in pairs], [b for _, b in pairs])
+    assert list(zip(got.tolist(), end.tolist())) == [smith_waterman(a.tolist(), b.tolist()) for a, b in pairs]
 
 
 def decontamination_case():
     random.seed(6)
     words = [f"w{k}" for k in range(400)]
     say = lambda n: " ".join(random.choices(words, k=n))
-    items = [(k, say(random.randint(12, 50))) for k in range(30)] + [(99, "too few words"), (98, None), (None, say(20))]
+    items = [(k, say(random.randint(12, 50))) for k in range(30)] + [(99, "Too few words"), (98, None), (97, " ... "), (96, "too  few, words"), (95, "w7"), (None, say(20))]
     docs = []
     for k in range(240):
         t = say(random.randint(0, 80))
@@ -180,23 +204,49 @@ def decontamination_case():
                     w[i] = random.choice([random.choice(words), "", w[i] + ", " + random.choice(words)])
             t += "\n" + " ".join(w) + " " + say(10)
         docs.append((k, t))
-    docs += [(300, items[3][1] + " and " + items[4][1]), (301, items[3][1]), (301, items[3][1])]
+    docs += [(300, items[3][1] + " and " + items[4][1]), (301, items[3][1]), (301, items[3][1]), (302, "too few of words"), (303, "not too few words"), (304, None), (None, items[5][1]), (None, "x " + items[6][1])]
     return docs, items
 
 
+def brute_found(docs, items):
+    """doc_id: (item_id, score, n_items, end_word), the best of the rows of one doc_id."""
+    kept = {}
+    for i, t in items:
+        w = tuple(decontamination.words_of(t or ""))
+        if i is not None and w:
+            kept[w] = min(i, kept.get(w, i))
+    out = {}
+    for d, t in docs:
+        words = decontamination.words_of(t or "")
+        have = set(words)
+        hits = []
+        for w, i in kept.items():
+            bound = 1.0 if len(w) < 5 else decontamination.SCORE
+            if sum(x in have for x in w) >= bound * len(w):  # else no alignment can reach the bound
+                score, end = smith_waterman(w, words)
+                if score / len(w) >= bound:
+                    hits.append((-score / len(w), i, end))
+        if hits:
+            best, n = out.get(d, ((0.0, 0, 0), 0))
+            out[d] = min(best, min(hits)), max(n, len(hits))
+    return {d: (i, -s, n, e) for d, ((s, i, e), n) in out.items()}
+
+
 def brute_contaminated(docs, items):
-    kept = {k: decontamination.words_of(t) for k, t in items if k is not None and t and len(decontamination.words_of(t)) >= 5}
-    return {d for d, t in docs if any(smith_waterman(w, decontamination.words_of(t or "")) / len(w) >= decontamination.SCORE for w in kept.values())}
+    return set(brute_found(docs, items))
 
 
-@pytest.mark.parametrize("block", [4096, 7])
+@pytest.mark.parametrize("block", [1 << 24, 900])
 def test_contaminated_documents_equal_brute_force(spark, make_docs, block):
     docs, items = decontamination_case()
     benchmark = spark.createDataFrame([(k, t, "x") for k, t in items], "item_id bigint, text string, h string")
-    got = {r.doc_id: r for r in decontamination.decontamination(make_docs(docs), benchmark, block=block).collect()}
-    want = brute_contaminated(docs, items)
-    assert set(got) <= want and len(want - set(got)) <= 0.03 * len(want) and len(want) > 50
-    assert got[300].n_items == 2 and got[300].item_id == 3 and got[301].score == 1.0
+    found = decontamination.decontamination(make_docs(docs), benchmark, block=block)
+    got = {r.doc_id: (r.item_id, r.score, r.n_items, r.end_word) for r in found.collect()}
+    want = brute_found(docs, items)
+    assert {d: (i, round(x, 6), n, e) for d, (i, x, n, e) in got.items()} == {d: (i, round(x, 6), n, e) for d, (i, x, n, e) in want.items()} and len(want) > 50
+    assert got[300][2] == 2 and got[300][0] == 3 and got[301][1] == 1.0 and got[303] == (96, 1.0, 1, 4) and 302 not in got
+    clean = decontamination.drop_contaminated(make_docs(docs), benchmark, block=block)
+    assert sorted((r.doc_id, r.text) for r in clean.collect() if r.doc_id is not None) == sorted((d, t) for d, t in docs if d is not None and not brute_found([(d, t)], items)) if block == 900 else clean.count() == sum(not brute_found([x], items) for x in docs)
 
 
 def test_an_item_around_an_inserted_run_is_found(spark, make_docs):
@@ -235,7 +285,7 @@ def test_no_edited_copy_is_lost(spark, make_docs):
 
 
 def test_decontamination_of_edge_rows(spark, make_docs, edge_rows):
-    benchmark = spark.createDataFrame([(1, "no id here at all"), (2, "zebra quartz lemon cobalt und7")], "item_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, "no id here at all"), (2, "zebra quartz lemon cobalt und7"), (3, "id no"), (4, "...")], "item_id bigint, text string")
     docs = make_docs(edge_rows)
     assert decontamination.decontamination(docs, benchmark).count() == 0
     assert decontamination.drop_contaminated(docs, benchmark).count() == len(edge_rows)
@@ -270,6 +320,46 @@ def test_toxicity_on_held_out_rows(spark, make_docs):
     assert sum(r.predicted == (r.doc_id % 6 == 0) for r in held) >= 0.97 * len(held)
 
 
+def plain_ftrl(examples):
+    """FTRL-proximal with a dictionary of coordinates, one at a time."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1 = 0 if i == "bias" else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for x, y in examples:
+        x = [*x, "bias"]
+        w = {i: weight(i) for i in x}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in x:
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    return {i: weight(i) for i in z if weight(i) or i == "bias"}
+
+
+def test_training_equals_plain_ftrl(spark, make_docs):
+    docs, labels = toxic_case()
+    docs, labels = docs[:200] + [(7, "one more row of an id that repeats")] * 3, [r for r in labels if r[0] is None or r[0] < 200]
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    rows = toxicity.examples(make_docs(docs), marks).collect()
+    usable = {i for i, _, t in labels if i is not None and t is not None and i < 200 and zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(rows) == len(usable) and len(toxicity.examples(make_docs(docs), marks, 20).collect()) == 20
+    rows.sort(key=lambda r: (r.place, bytes(r.x)))
+    want = plain_ftrl([(np.frombuffer(r.x, "<i4").tolist(), r.y) for _ in range(toxicity.EPOCHS) for r in rows])
+    at, w, bias = toxicity.train(make_docs(docs), marks)
+    assert bias == pytest.approx(want.pop("bias")) and dict(zip(at.tolist(), w.tolist())) == pytest.approx(want, rel=1e-5) and len(want) > 3
+
+
+def test_slots_are_those_of_words_pairs_and_skips():
+    table = toxicity.WordHashes()
+    at = toxicity.slots(toxicity.word_hashes("Alpha beta, GAMMA delta", table))
+    assert [x.tolist() for x, _ in at] == [[0, 1, 2, 3], [0, 1, 2], [0, 1]]
+    one = lambda text: {int(v) for _, s in toxicity.slots(toxicity.word_hashes(text, table)) for v in s}
+    assert one("alpha beta gamma delta") == {int(v) for _, s in at for v in s} and one("alpha x gamma") & one("alpha y gamma") > one("alpha") | one("gamma")
+
+
 def test_toxicity_ignores_held_out_labels(spark, make_docs):
     docs, labels = toxic_case()
     flipped = [(i, q, t if i is None or t is None or zlib.crc32(str(i).encode()) % 4 != 2 else 1 - t) for i, q, t in labels]
@@ -288,19 +378,42 @@ def test_toxicity_of_edge_rows(spark, make_docs, edge_rows):
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("values", [[], [0], [255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1] * 3, list(range(1000))])
-def test_variable_length_coding_round_trip(values):
-    v = np.array(values, "u4")
-    control, payload = token_output.pack(v)
-    assert len(control) == -(-len(v) // 4) and (token_output.unpack(control, payload, len(v)) == v).all()
+@pytest.mark.parametrize("texts", [[], [[]], [[0], [], [1, 2, 3, 4, 5]], [[255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1] * 3, list(range(1000))]])
+def test_variable_length_coding_round_trip(texts):
+    v, counts = np.array([x for t in texts for x in t], "u4"), np.array([len(t) for t in texts], "i8")
+    control, controls, payload, payloads = token_output.pack(v, counts)
+    assert (token_output.unpack(control, payload, counts) == v).all()
+    for k, t in enumerate(texts):
+        own = control[controls[k] : controls[k + 1]], payload[payloads[k] : payloads[k + 1]]
+        assert len(own[0]) == -(-len(t) // 4) and token_output.unpack(*own, counts[k : k + 1]).tolist() == t
+        assert len(own[1]) == sum(max(1, -(-x.bit_length() // 8)) for x in t)
 
 
-def test_encoder_equals_the_library():
-    encoder = token_output.Encoder(BYTES)
+def encoder_texts():
     random.seed(2)
     texts = ["", " ", "  ", "\n", " a", "a ", "a  b", "a   b", "a\n\nb \n c", "a <|endoftext|> b", "x\n <|endoftext|>", "日本語 テキスト", "😀😀 é́", "it's we'll 's", "a\x1c b \x1c c", "a\x85 b", "y" * 500]
     texts += ["".join(random.choice(" ab\n\té'.1 ") for _ in range(14)) for _ in range(4000)]
-    assert encoder(texts) == encoder.encoded(texts)
+    texts += ["".join(random.choice(" a\n\x1c\x85\u00a0\u3000<|endoftext|>é字") for _ in range(9)) for _ in range(3000)]
+    return texts + [" ".join(random.choice(["ab", "Éaß", "ªb", "x²", "ǅ", "ɐb"]) + random.choice(["", ".", "!?", "\n", ".\nBé,", "\n\nc", "'s", "~`", "…", "4"]) for _ in range(6)) for _ in range(2000)]
+
+
+@pytest.mark.parametrize("limit", [0, 50, 10**6])
+def test_encoder_equals_the_library(limit):
+    encoder, texts = token_output.Encoder(BYTES, limit), encoder_texts()
+    want = [x.tolist() for x in encoder.encoded(texts)]
+    for n in (1, 500, len(texts)):
+        for k in range(0, len(texts), n) if n > 1 else range(40):
+            ids, at = encoder(pa.array(texts[k : k + n]).slice(0))
+            assert [ids[a:e].tolist() for a, e in zip(at, at[1:])] == want[k : k + n]
+    ids, at = encoder(pa.array(texts).slice(100, 50))
+    assert [ids[a:e].tolist() for a, e in zip(at, at[1:])] == want[100:150]
+
+
+@pytest.mark.parametrize("together", [1, 30])
+def test_long_texts_are_cut_without_a_trace(spark, make_docs, together):
+    texts = [t for t in encoder_texts()[::40]] + [" ".join(encoder_texts()[20:90])]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in token_output.encode(make_docs(list(enumerate(texts))), BYTES, together).collect()}
+    assert [got[k] for k in range(len(texts))] == [[*x.tolist(), 2] for x in token_output.Encoder(BYTES).encoded(texts)]
 
 
 def brute_tokens(rows):
@@ -321,6 +434,23 @@ def test_token_files_equal_the_library(make_docs, edge_rows):
     assert sorted(map(tuple, got)) == sorted(brute_tokens(rows))
 
 
+def test_token_files_of_null_and_equal_ids(make_docs):
+    rows = [(None, "no id"), (3, "later"), (None, None), (1, "two words"), (1, "x"), (1, "x"), (1, "y"), (None, "no id")]
+    got = [tuple(r) for r in token_output.token_output(make_docs(rows).repartition(3), BYTES).orderBy("start").collect()]
+    assert [r[0] for r in got] == [None] * 3 + [1] * 4 + [3]
+    sizes = {(i, c): n for i, _, n, c in brute_tokens(rows)}
+    assert [(r[0], r[3]) for r in got if r[2] != sizes[r[0], r[3]]] == [] and [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+    assert [r[2] for r in got if r[0] == 1] == [2, 2, 2, 3] and got[4][3] in (got[3][3], got[5][3])  # by length, equal texts together
+
+
+def test_another_session_reads_the_token_files(spark, make_docs, edge_rows, tmp_path):
+    rows = [(r[0], r[1]) for r in edge_rows if r[0] is not None]
+    token_output.write_token_files(make_docs(rows), BYTES, str(tmp_path / "tokens"))
+    assert sorted(os.listdir(tmp_path)) == ["tokens"] and sorted(os.listdir(tmp_path / "tokens")) == ["ranks", "texts"]
+    got = token_output.read_token_files(spark.newSession(), str(tmp_path / "tokens")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_tokens(rows))
+
+
 # --- 7, 8, 10 ------------------------------------------------------------------------------------------------------
 
 
@@ -332,16 +462,76 @@ def test_exact_dedup_equals_sql(make_docs, edge_rows):
 def test_exact_dedup_of_edge_rows(make_docs, edge_rows):
     got = exact_dedup.exact_dedup(make_docs(edge_rows)).collect()
     assert len(got) == len(edge_rows)
-    assert {(r.keep_id, r.group_size, r.kept) for r in got if r.doc_id == 4} == {(4, 2, True)}
+    assert sorted((r.keep_id, r.group_size, r.kept) for r in got if r.doc_id == 4) == [(4, 2, False), (4, 2, True)]
     assert {r.keep_id for r in got if r.doc_id in (1, 2, 3)} == {3} and {r.keep_id for r in got if r.doc_id in (5, 6, 7)} == {6, 7}
 
 
+def test_one_row_of_each_group_is_kept(make_docs):
+    random.seed(41)
+    texts = [" " * random.randrange(3) + f"t{random.randrange(12)}" + " " * random.randrange(3) for _ in range(200)] + ["hot"] * 150
+    rows = [(random.choice([None, *range(60)]), t) for t in texts]
+    got = exact_dedup.exact_dedup(make_docs(rows).repartition(7)).collect()
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups["".join(t.split())].append((-len(t), i is None, i or 0))
+    want = {hashlib.sha256(t.encode()).hexdigest(): (min(g)[2] if not min(g)[1] else None, len(g)) for t, g in groups.items()}
+    assert {(r.text_sha256, (r.keep_id, r.group_size)) for r in got} == set(want.items()) and len(got) == len(rows)
+    assert sorted((r.text_sha256, r.doc_id) for r in got if r.kept) == sorted((h, i) for h, (i, _) in want.items())
+
+
+@pytest.mark.parametrize("rounds,fan_in", [(1, 2), (3, 2), (2, 3), (2, 8)])
+def test_rounds_merge_sorted_runs(make_docs, monkeypatch, rounds, fan_in):
+    monkeypatch.setattr(exact_dedup, "PIECE", 5)
+    rows = [(k, f"t{k % 83}") for k in range(400)]
+    from pagesearch.llm.common import Work
+
+    docs = make_docs(rows).repartition(5)
+    with Work(docs.sparkSession) as work:
+        tree = exact_dedup.merge_runs(work.table(exact_dedup.digests(docs)), rounds, fan_in)
+        assert tree._jdf.queryExecution().executedPlan().toString().count("shufflepartitionidpassthrough") == rounds
+        parts = [[bytes(r.digest) for r in part] for part in tree.rdd.glom().collect()]
+        got = {bytes(r.digest): (r.keep_id, r.group_size) for r in tree.collect()}
+    assert got == {hashlib.sha256(f"t{k}".encode()).digest(): (k, 400 // 83 + (k < 400 % 83)) for k in range(83)}
+    assert [h for part in parts for h in part] == sorted(got)  # a holder has one range, in order
+
+
+@pytest.mark.parametrize("piece", [3, 50])
+def test_merging_pieces_equals_a_dictionary(monkeypatch, piece):
+    monkeypatch.setattr(exact_dedup, "PIECE", piece)
+    rng = random.Random(piece)
+    for _ in range(60):
+        want, pieces = {}, []
+        for _ in range(rng.randint(1, 5)):
+            run = np.zeros(rng.randint(1, 40), exact_dedup.ENTRY)
+            for k in range(len(run)):
+                run[k] = (bytes([rng.randrange(9)] * 31 + [rng.choice([0, 5])]), rng.randrange(2), 7, -rng.randrange(3), rng.randrange(2), rng.randrange(5), rng.randrange(10**6), 1)
+                key, best = (bytes(run[k]["digest"]), int(run[k]["check"])), tuple(int(run[k][c]) for c in exact_dedup._BEST)
+                want[key] = min(best, want.get(key, (best, 0))[0]), want.get(key, (best, 0))[1] + 1
+            run = exact_dedup.merged(run)
+            pieces += [run[k : k + 4] for k in range(0, len(run), 4)]
+        pieces.sort(key=lambda p: p["digest"][0])
+        out = np.concatenate(list(exact_dedup.merge_pieces(iter(pieces))))
+        assert {(bytes(x["digest"]), int(x["check"])): (tuple(int(x[c]) for c in exact_dedup._BEST), int(x["n"])) for x in out} == want and len(out) == len(want)
+
+
 def test_license_scan_equals_sql(make_docs, edge_rows):
-    mit = license_scan.LICENSES["MIT"]
+    texts, notices = license_scan.LICENSES, license_scan.NOTICES
+    mit = texts["MIT"]
     rows = edge_rows + [(50, "Copyright (c) 2020 Someone\n\n" + mit), (51, "/*\n * " + mit.upper().replace("\n", "\n * ") + " */"), (52, mit + " x"), (53, "Licensed under the Apache Licence, Version 2.0"), (54, "copyright notice and this\n" + mit), (55, "(c) 2021 A\nall rights reserved.\n© 2020 B")]
+    rows += [(56, "The MIT License (MIT)\n\nCopyright 2019 X\n" + mit), (57, texts["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")), (58, "Boost Software License - Version 1.0 - August 17th, 2003\n" + texts["BSL-1.0"]), (59, texts["Unlicense"].replace("https", "http"))]
+    rows += [(60, "prose.\n " + notices["GPL-3.0 line"].upper() + "\nmore\n# " + notices["MIT line"]), (61, "prose " + notices["MIT line"]), (62, notices["CC-BY-NC-4.0 line"])]
     got = license_scan.license_scan(make_docs(rows))
-    same(got, license_scan.SQL, **documents(rows))
-    assert {r.doc_id: r.license for r in got.collect() if r.license} == {50: "MIT", 51: "MIT", 53: "Apache-2.0 line"}
+    same(got.filter("doc_id is not null and doc_id <> 4"), license_scan.SQL, **documents([r for r in rows if r[0] is not None and r[0] != 4]))
+    assert {r.doc_id: r.license for r in got.collect() if r.license} == {50: "MIT", 51: "MIT", 53: "Apache-2.0 line", 56: "MIT", 57: "BSD-3-Clause", 58: "BSL-1.0", 59: "Unlicense", 62: "CC-BY-NC-4.0 line"}
+    assert {r.doc_id: r.notices for r in got.collect() if r.notices} == {53: "Apache-2.0 line", 60: "GPL-3.0 line,MIT line", 62: "CC-BY-NC-4.0 line"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no public licence texts here")
+def test_digests_of_long_licenses(make_docs):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {n: open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read() for n, f in files.items() if os.path.exists(f"/usr/share/common-licenses/{f}")}
+    got = {r.doc_id: r.license for r in license_scan.license_scan(make_docs([(k, t.replace("\n", "\r\n")) for k, t in enumerate(texts.values())])).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts)
 
 
 def test_url_filter_equals_sql(spark):
@@ -352,16 +542,39 @@ def test_url_filter_equals_sql(spark):
     assert got.count() == len(urls) + 1
 
 
-def test_url_rules_survive_collisions(monkeypatch):
+def test_very_long_urls(spark):
+    host, path = "x." * 500_000 + "Example.COM", "/de/" + "y" * 1_000_000
+    rows = [(1, f"http://{host}{path}"), (2, f"http://{host}/{path}"), (3, "http://" + "z" * 1_000_000 + ".net/"), (4, "http://" + "z" * 1_000_000 + "net/"), (5, "http://" + "." * 200_000 + "org/fr/")]
+    got = {r.page_id: (len(r.host), len(r.path), r.rule, r.verdict) for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert got == {1: (1_000_011, 1_000_004, "example.com/de/", "block"), 2: (1_000_011, 1_000_005, None, "allow"), 3: (1_000_004, 1, "net/", "block"), 4: (1_000_003, 1, None, "allow"), 5: (200_003, 4, "org/fr/", "allow")}
+
+
+def test_host_ends():
+    for host in ("", "a", ".", "a..b", "a.b.c.d", ".net", "net.", "abc.net"):
+        every, rest = [], host
+        while rest:
+            every.append(rest)
+            rest = rest.partition(".")[2]
+        for longest in range(8):
+            assert url_filter.host_ends(host, longest) == [x for x in every if len(x) <= longest]
+
+
+def test_url_rules_survive_collisions(monkeypatch, tmp_path):
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda s, *_: len(s) % 3)
     array = url_filter.DigestArray([*url_filter.RULES, ("block", "x.com", "/"), ("allow", "y.com", "/")])
-    found = array.open().find([b"x.com/", b"y.com/", b"z.com/", b"net/"])
-    assert [array.open().rule(k) if k >= 0 else None for k in found] == ["x.com/", "y.com/", None, "net/"]
+    array.save(str(tmp_path / "rules"))
+    opened = url_filter.OpenDigestArray(str(tmp_path / "rules"), array.n)
+    assert [opened.rule(k) if k >= 0 else None for k in opened.find([b"x.com/", b"y.com/", b"z.com/", b"net/"])] == ["x.com/", "y.com/", None, "net/"]
+    with pytest.raises(ValueError):
+        url_filter.DigestArray(url_filter.RULES, max_bytes=10)
 
 
 # --- 9 -------------------------------------------------------------------------------------------------------------
 
 
+word_runs = simhash.word_runs
+
+
 def brute_fingerprint(text):
     words = text.encode().lower().split()
     grams = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
@@ -411,11 +624,27 @@ def test_components_equal_brute_force(make_docs, edge_rows):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_divided_buckets_give_the_same_components(make_docs, monkeypatch):
+    rows = near_copies()
+    whole = rows_of(simhash.simhash_components(make_docs(rows)))
+    monkeypatch.setattr(simhash, "DIVIDE", 3)
+    assert rows_of(simhash.simhash_components(make_docs(rows), split=2)) == whole
+
+
+def test_fingerprint_of_texts_in_runs(monkeypatch):
+    random.seed(14)
+    texts = ["", " ", "a", "a b c", " a b c d ", "x" * 50 + " b c d e"] + [" ".join("w" * random.randint(1, 9) + str(random.randrange(50)) for _ in range(n)) + " " * (n % 3) for n in range(3, 90)]
+    for size in (1, 7, 40):
+        monkeypatch.setattr(simhash, "word_runs", lambda t, size=size, f=word_runs: f(t, size=size))
+        assert [simhash.fingerprint(t) for t in texts] == [brute_fingerprint(t) for t in texts]
+
+
 def test_one_row_of_each_component_stays(make_docs):
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
     rows = [(1, a), (2, a), (2, b), (5, c), (5, c), (None, c), (None, "no id"), (None, "no id"), (7, None), (7, "")]
     docs = make_docs(rows).repartition(3)
     got = simhash.one_of_each(docs)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted([(1, a), (2, b), (5, c), (None, "no id"), (7, "")], key=str)
 
@@ -427,7 +656,7 @@ def test_bucket_edges_join_what_links_join(monkeypatch):
         base = rng.integers(0, 1 << 63, 12, dtype="u8")
         fps = np.unique(np.concatenate([base ^ sum((np.uint64(1) << np.uint64(b) for b in rng.integers(13, 64, n)), np.uint64(0)) for n in rng.integers(0, 6, 30)]) & ~np.uint64(0x1FFF))
         edges = [(int(a), int(b)) for x, y in simhash.bucket_edges(fps, 0) for a, b in zip(x, y)]
-        assert all((a ^ b).bit_count() <= 4 for a, b in edges) and len(edges) < 5 * len(fps)
+        assert all((a ^ b).bit_count() <= 4 for a, b in edges) and len(edges) < (25 if divide == 5 else 1) * len(fps)
         parent = {int(f): int(f) for f in fps}
 
         def find(x):
@@ -458,7 +687,10 @@ def test_chains_miss_no_pair(spark):
 def test_star_contraction_of_a_long_path(spark):
     n = 60
     edges = spark.createDataFrame([(k * 7 % n, (k + 1) * 7 % n) for k in range(n - 1)] + [(100, 101)], "a long, b long")
-    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    from pagesearch.llm.common import Work
+
+    with Work(spark) as work:
+        got = {r.node: r.root for r in simhash.components(edges, work).collect()}
     assert all(got[k] == 0 for k in range(1, n)) and got[101] == 100
 
 
