@@ -67,10 +67,10 @@ class Work:
         self.made += 1
         return f"{self.folder}/{self.made}"
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """The rows of ``df``, written as Parquet and read again."""
+    def table(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """The rows of ``df``, written as Parquet and read again, in folders by the values of a column if one is named."""
         path = self.path()
-        df.write.option("compression", "zstd").parquet(path)
+        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.written.append((out, path))
         return out

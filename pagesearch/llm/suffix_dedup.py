@@ -428,19 +428,22 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     with Work(docs.sparkSession) as work:
         rows = id_and_text(docs).withColumn("key", _key(F.col("text")))
         texts = work.bucketed(rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "key")
-        found = work.table(_anchor_rows(texts, length, gram))
-        known = found.filter("h is null").select("key", F.col("pos").alias("a"), F.col("stop").alias("b"))
-        found = found.filter("h is not null").select("h", "key", "pos")
+        found = work.table(_anchor_rows(texts, length, gram).withColumn("known", F.col("h").isNull()), by="known")
+        known = found.filter("known").select("key", F.col("pos").alias("a"), F.col("stop").alias("b"))
+        found = found.filter("not known").select("h", "key", "pos")
         often = work.table(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")).withColumnRenamed("h", "again")
 
-        def contexts(wanted: DataFrame) -> DataFrame:
-            places = found.join(wanted, F.col("h") == F.col("again")).groupBy("key").agg(F.collect_list(F.struct("h", "pos")).alias("found"))
-            return _contexts(texts.join(places, "key"), length, gram)
+        # both sides grow with the corpus, so neither is broadcast
+        placed = found.join(often.hint("merge"), F.col("h") == F.col("again"))
+        places = work.table(placed.groupBy("key").agg(F.collect_list(F.struct("h", "pos", (F.col("n") > hot).alias("many"))).alias("found")))
 
-        spans = known.unionByName(_sorted_spans(contexts(often.filter(F.col("n") <= hot)), length, gram))
-        many = often.filter(F.col("n") > hot)
-        if not many.isEmpty():
-            spans = spans.unionByName(_shared_spans(contexts(many), work, length, gram, hot))
+        def contexts(many: bool) -> DataFrame:
+            some = places.withColumn("found", F.filter("found", lambda x: x["many"] == many)).filter(F.size("found") > 0)
+            return _contexts(texts.join(some, "key"), length, gram)
+
+        spans = known.unionByName(_sorted_spans(contexts(False), length, gram))
+        if not often.filter(F.col("n") > hot).isEmpty():
+            spans = spans.unionByName(_shared_spans(contexts(True), work, length, gram, hot))
         cut = _cut(texts, spans, length).withColumnRenamed("key", "k")
         result = rows.select("doc_id", "key").join(cut, F.col("key") == F.col("k"))
         return materialize(result.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"))
