@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import PDF2XML_REPAIRS
+
 _TAG = re.compile(r"""<(?P<end>/?)(?P<name>[A-Za-z_][\w:.-]*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>|<!--.*?-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[?!][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
@@ -48,9 +50,9 @@ def as_text(data: bytes) -> str:
 
 def fix_pdf2xml_text(xml: str) -> str:
     """The same as functions.text.fix_pdf2xml, for text that Python parses."""
-    xml = re.sub(r"</?[bi]>", "", re.sub(r"\s{2,}", " ", xml))
-    xml = re.sub(r'<fontspec id=".*\n', "", xml)
-    return xml.replace('<!doctype pdf2xml system "pdf2xml.dtd">', '<!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd">')
+    for pattern, new in PDF2XML_REPAIRS:
+        xml = re.sub(pattern, new, xml)
+    return xml
 
 
 def parse_strict(xml: str) -> ET.Element | None:

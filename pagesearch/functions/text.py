@@ -17,9 +17,13 @@ def trimmed(q: Column) -> Column:
     return F.regexp_replace(q, _EDGE, "")
 
 
+#: Fixed value: what a query keeps are letters, numbers and symbols.
+_DROPPED = r"[^\p{L}\p{N}\p{S}]"
+
+
 def clean_query(q: Column) -> Column:
     """Letters, numbers and symbols; everything else is a space, and spaces are single."""
-    return F.trim(F.regexp_replace(F.regexp_replace(q, r"[^\p{L}\p{N}\p{S}]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(q, _DROPPED, " "), r"\s+", " "))
 
 
 def query_terms(q: Column, shortest: int = 3) -> Column:
@@ -100,9 +104,12 @@ def number(raw: Column) -> Column:
     return raw.try_cast("double")
 
 
+#: Repairs of the page layout, pattern and replacement, in this order.
+PDF2XML_REPAIRS = ((r"\s{2,}", " "), ("</?[bi]>", ""), ('<fontspec id=".*\n', ""), (r'<!doctype pdf2xml system "pdf2xml\.dtd">', '<!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd">'))
+
+
 def fix_pdf2xml(xml: Column) -> Column:
     """Single spaces, no bold or italic tags, no font lines, upper-case doctype; in this order."""
-    out = F.regexp_replace(xml, r"\s{2,}", " ")
-    out = F.regexp_replace(out, "</?[bi]>", "")
-    out = F.regexp_replace(out, '<fontspec id=".*\n', "")
-    return F.replace(out, F.lit('<!doctype pdf2xml system "pdf2xml.dtd">'), F.lit('<!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd">'))
+    for pattern, new in PDF2XML_REPAIRS:
+        xml = F.regexp_replace(xml, pattern, new)
+    return xml

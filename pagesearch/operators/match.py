@@ -12,9 +12,10 @@ from ..sources.zones import word_positions, zone_code
 
 def request_status(queries: DataFrame) -> DataFrame:
     """``status`` of each query: missing_id, missing_query, blank, or ok. A blank query is answered with an empty list,
-    a missing one with an error."""
+    a missing one with an error. With a column ``route``, requests for an annotation list itself are not_implemented."""
     blank = trimmed(F.coalesce("q", F.lit("")))
-    status = F.when(F.col("item_id").isNull(), "missing_id").when(F.length(F.coalesce("q", F.lit(""))) == 0, "missing_query").when(F.length(blank) == 0, "blank").otherwise("ok")
+    direct = F.coalesce(F.col("route") == "annotation-list", F.lit(False)) if "route" in queries.columns else F.lit(False)
+    status = F.when(direct, "not_implemented").when(F.col("item_id").isNull(), "missing_id").when(F.length(F.coalesce("q", F.lit(""))) == 0, "missing_query").when(F.length(blank) == 0, "blank").otherwise("ok")
     return queries.withColumn("status", status)
 
 
@@ -28,14 +29,14 @@ def contains_join(zones: DataFrame, terms: DataFrame) -> DataFrame:
     """Zones whose text contains a term in any case, one row for each term: an equi join on the item, with the pattern
     as what is left of the condition. ``matched`` is the first stretch that matches."""
     t = terms.select("query_id", F.col("item_id").alias("t_item"), "term_no", "term")
-    joined = zones.join(t, (F.col("item_id") == F.col("t_item")) & contains(F.col("text"), F.col("term"))).drop("t_item")
+    joined = zones.join(t, (F.col("item_id") == F.col("t_item")) & contains(F.col("text"), F.col("term"))).drop("t_item", "bucket")
     return joined.withColumn("matched", first_match(F.col("text"), F.col("term")))
 
 
 def key_join(words: DataFrame, terms: DataFrame) -> DataFrame:
     """Words of an index that equal the slug of a term; a term given twice counts once."""
     keys = terms.select("query_id", F.col("item_id").alias("t_item"), slug("term").alias("t_key")).distinct()
-    return words.join(keys, (F.col("item_id") == F.col("t_item")) & (F.col("word") == F.col("t_key"))).drop("t_item", "t_key")
+    return words.join(keys, (F.col("item_id") == F.col("t_item")) & (F.col("word") == F.col("t_key"))).drop("t_item", "t_key", "bucket")
 
 
 def index_zones(words: DataFrame) -> DataFrame:
@@ -65,8 +66,9 @@ def number_hits(matches: DataFrame, *order: str | Column) -> DataFrame:
 
 
 def xml_matches(zones: DataFrame, terms: DataFrame, images: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
-    """All matches in zones of XML layouts, complete or not: pages need an image with a size."""
-    found = contains_join(with_images(zones, images, True), terms)
+    """All matches in zones of XML layouts, complete or not: pages need an image with a size. Images meet the few zones
+    that match, not all zones."""
+    found = with_images(contains_join(zones, terms), images, True)
     return found.withColumn("chars", quoted(F.col("term")) if cfg.compat else F.col("term"))
 
 

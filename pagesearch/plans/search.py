@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import SearchConfig
 from ..operators.match import explode_terms, index_matches, number_hits, request_status, split_valid, xml_matches
 from ..operators.results import boxed, hits_per_page, metadata_annotations, metadata_matches, responses
+from ..sources.media import image_sizes, resolve_sources
 from ..sources.sniff import specify_media_type
-from ..sources.zones import merge_pages, numeric_zones, page_diagnostics, parse_files, read_word_index
+from ..sources.zones import merge_pages, numeric_zones, page_diagnostics, parse_files, parse_items, read_word_index
 
 
 @dataclass(frozen=True)
 class Corpus:
     """What is searched: zones of XML layouts, words of word indexes, images, metadata texts, and the searchable items.
 
-    All frames are per item, so one corpus answers any number of queries in one job.
+    All frames are per item, so one corpus answers any number of queries in one job. With ``buckets``, zones and words
+    have a column bucket, the item's hash modulo that number.
     """
 
     zones: DataFrame
@@ -28,6 +30,7 @@ class Corpus:
     values: DataFrame
     items: DataFrame
     diagnostics: DataFrame
+    buckets: int | None = None
 
 
 def corpus_from_files(files: DataFrame, images: DataFrame, values: DataFrame | None = None, cfg: SearchConfig = SearchConfig()) -> Corpus:
@@ -39,28 +42,91 @@ def corpus_from_files(files: DataFrame, images: DataFrame, values: DataFrame | N
     vague = F.col("kind").isin("legacy", *schemas.GENERIC_XML)
     files = files.withColumn("kind", F.when(vague, specify_media_type("content", F.lit("text/xml"))).otherwise(F.col("kind")))
     files = files.select("item_id", "kind", F.coalesce(F.col("file_no"), F.lit(0)).alias("file_no") if "file_no" in files.columns else F.lit(0).alias("file_no"), "content")
-    parsed = merge_pages(parse_files(files.filter(F.col("kind") != schemas.TSV), cfg.xml_fix_mode, cfg.compat), cfg.all_pages)
+    parsed = parse_items(files.filter(F.col("kind") != schemas.TSV), cfg.xml_fix_mode, cfg.compat, cfg.all_pages)
     if values is None:
         values = spark.createDataFrame([], schemas.MEDIA_VALUES)
     return Corpus(numeric_zones(parsed), read_word_index(files), images, values, files.select("item_id").distinct(), page_diagnostics(parsed))
 
 
+def corpus_from_sources(files: DataFrame, media: DataFrame, contents: DataFrame, values: DataFrame | None = None, probed: DataFrame | None = None, cfg: SearchConfig = SearchConfig()) -> Corpus:
+    """The corpus of items that have files of their own, as list_files() gives them, or media, matched with images as
+    ``xml_image_match`` says."""
+    images = image_sizes(media, probed)
+    return corpus_from_files(resolve_sources(files, media, images, contents, cfg.xml_image_match), images, values, cfg)
+
+
+def merged_layout(files: DataFrame, folder: str | None = None, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """Page and zone rows of items whose files of one layout are merged, written to ``folder`` if one is given."""
+    merged = merge_pages(parse_files(files, cfg.xml_fix_mode, cfg.compat), cfg.all_pages, parse_files(files, cfg.xml_fix_mode, cfg.compat, zones=False))
+    if folder is None:
+        return merged
+    merged.write.mode("overwrite").parquet(folder)
+    return files.sparkSession.read.parquet(folder)
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.hash(F.col("item_id").cast("bigint")), F.lit(buckets)))
+
+
+def _write(df: DataFrame, folder: str, mode: str) -> None:
+    """A folder for each bucket, in files by item."""
+    df.repartition("bucket").sortWithinPartitions("item_id").write.partitionBy("bucket").mode(mode).parquet(folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _buckets(spark: SparkSession, folder: str) -> int:
+    return spark.read.schema("buckets int").parquet(f"{folder}/settings").first().buckets
+
+
 def save_zones(corpus: Corpus, folder: str, buckets: int = 64) -> None:
-    """Write zones and words once, in files by item, so that searches scan only the columns and items they need."""
+    """Write zones and words once, in files by item, so that searches read the columns and buckets that they need."""
     for name, df in (("zones", corpus.zones), ("words", corpus.words)):
-        df.withColumn("bucket", F.pmod(F.hash("item_id"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("item_id").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/{name}")
+        _write(_bucketed(df, buckets), f"{folder}/{name}", "overwrite")
+    corpus.images.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/settings")
+
+
+def update_zones(corpus: Corpus, folder: str) -> None:
+    """Replace what save_zones() wrote of the items of ``corpus``; only the buckets of these items are written anew."""
+    spark = corpus.images.sparkSession
+    buckets = _buckets(spark, folder)
+    items = _bucketed(corpus.items.select("item_id").distinct(), buckets)
+    changed = sorted(r.bucket for r in items.select("bucket").distinct().collect())  # as many rows as buckets at most
+    for name, df in (("zones", corpus.zones), ("words", corpus.words)):
+        new, at = _bucketed(df, buckets), f"{folder}/{name}"
+        old = spark.read.schema(new.schema).parquet(at).filter(F.col("bucket").isin(*changed))
+        kept = old.join(items.select("item_id"), "item_id", "left_anti").select(*new.columns)
+        _write(kept.unionByName(new), f"{at}-new", "overwrite")
+        for k in changed:
+            _delete(spark, f"{at}/bucket={k}")
+        _write(spark.read.schema(new.schema).parquet(f"{at}-new"), at, "append")
+        _delete(spark, f"{at}-new")
 
 
 def saved_corpus(corpus: Corpus, folder: str) -> Corpus:
     """The corpus with the zones and words that save_zones() wrote."""
     spark = corpus.images.sparkSession
-    zones, words = (spark.read.parquet(f"{folder}/{name}").drop("bucket") for name in ("zones", "words"))
-    return replace(corpus, zones=zones, words=words)
+    buckets = _buckets(spark, folder)
+    zones, words = (spark.read.schema(_bucketed(df, buckets).schema).parquet(f"{folder}/{name}") for name, df in (("zones", corpus.zones), ("words", corpus.words)))
+    return replace(corpus, zones=zones, words=words, buckets=buckets)
+
+
+def _asked_buckets(corpus: Corpus, queries: DataFrame) -> Corpus:
+    """The corpus with only the buckets that queries ask for, told to the scan."""
+    if corpus.buckets is None:
+        return corpus
+    rows = _bucketed(queries.filter("item_id is not null"), corpus.buckets).select("bucket").distinct().collect()  # as many rows as buckets at most
+    asked = F.col("bucket").isin(*sorted(r.bucket for r in rows)) if rows else F.lit(False)
+    return replace(corpus, zones=corpus.zones.filter(asked), words=corpus.words.filter(asked))
 
 
 def search_matches(corpus: Corpus, queries: DataFrame, cfg: SearchConfig = SearchConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(annotations, hits, diagnostics) of queries (query_id, item_id, q). An item is searched by its word index if it
     has one, else by its zones; media found only in metadata come last."""
+    corpus = _asked_buckets(corpus, queries)
     terms = explode_terms(request_status(queries).filter("status = 'ok'"), cfg)
     from_xml, bad_xml = split_valid(xml_matches(corpus.zones, terms, corpus.images, cfg))
     from_index, bad_index = split_valid(index_matches(corpus.words, terms, corpus.images))
@@ -81,7 +147,7 @@ def search(corpus: Corpus, queries: DataFrame, cfg: SearchConfig = SearchConfig(
     """
     able = corpus.items.select(F.col("item_id").alias("able_id")).distinct()
     asked = request_status(queries).join(able, F.col("item_id") == F.col("able_id"), "left")
-    status = F.when(F.col("status").isin("missing_id", "missing_query"), F.col("status"))
+    status = F.when(F.col("status").isin("missing_id", "missing_query", "not_implemented"), F.col("status"))
     if items is not None:
         asked = asked.join(items.select(F.col("item_id").alias("known_id")).distinct(), F.col("item_id") == F.col("known_id"), "left")
         status = status.when(F.col("known_id").isNull(), F.lit("not_found"))

@@ -17,12 +17,20 @@ _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 _ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (f.split() for f in schemas.PARSED.split(", "))])
 
 
-def _local(e: ET.Element) -> str:
-    return e.tag.rpartition("}")[2].rpartition(":")[2] if isinstance(e.tag, str) else ""
+class _Names(dict):
+    """Local names of tags, without namespace and prefix."""
+
+    def __missing__(self, tag: object) -> str:
+        name = tag.rpartition("}")[2].rpartition(":")[2] if isinstance(tag, str) else ""
+        self[tag] = name
+        return name
+
+
+_NAMES = _Names()
 
 
 def _children(e: ET.Element, name: str) -> list[ET.Element]:
-    return [c for c in e if _local(c) == name]
+    return [c for c in e if _NAMES[c.tag] == name]
 
 
 def _markup_text(e: ET.Element, entities: bool) -> str:
@@ -31,73 +39,104 @@ def _markup_text(e: ET.Element, entities: bool) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") if entities else text
 
 
-def alto_rows(root: ET.Element) -> Iterator[dict]:
-    """Pages and strings in document order, whatever the namespace or prefix; a page row has no zone number."""
-    for layout in _children(root, "Layout"):
+def alto_pages(root: ET.Element) -> Iterator[tuple[tuple, list[ET.Element]]]:
+    """(number, width, height) of each page of the first layout and its strings in document order, whatever the
+    namespace or prefix."""
+    for layout in _children(root, "Layout")[:1]:
         for p, page in enumerate(_children(layout, "Page"), 1):
-            head = {"page_in_file": p, "number": str(p), "page_width": page.get("WIDTH"), "page_height": page.get("HEIGHT")}
-            yield head
-            z = 0
-            for s in page.iter():
-                if _local(s) == "String":
-                    z += 1
-                    yield head | {"zone_no": z, "text": s.get("CONTENT"), "top": s.get("VPOS"), "left": s.get("HPOS"), "width": s.get("WIDTH"), "height": s.get("HEIGHT")}
+            yield (str(p), page.get("WIDTH"), page.get("HEIGHT")), [s for s in page.iter() if _NAMES[s.tag] == "String"]
+
+
+def pdf2xml_pages(root: ET.Element) -> Iterator[tuple[tuple, list[ET.Element]]]:
+    for page in _children(root, "page"):
+        yield (page.get("number"), page.get("width"), page.get("height")), _children(page, "text")
+
+
+#: Attributes of a zone's place, in the order of the columns, by kind.
+_PLACES = {schemas.ALTO: ("VPOS", "HPOS", "WIDTH", "HEIGHT"), schemas.PDF2XML: ("top", "left", "width", "height")}
 
 
-def pdf2xml_rows(root: ET.Element, entities: bool = False) -> Iterator[dict]:
-    for p, page in enumerate(_children(root, "page"), 1):
-        head = {"page_in_file": p, "number": page.get("number"), "page_width": page.get("width"), "page_height": page.get("height")}
-        yield head
-        for z, row in enumerate(_children(page, "text"), 1):
-            yield head | {"zone_no": z, "text": _markup_text(row, entities), "top": row.get("top"), "left": row.get("left"), "width": row.get("width"), "height": row.get("height")}
+class _Rows:
+    """Columns of page and zone rows; a page row has no zone number."""
 
+    def __init__(self, compat: bool, zones: bool):
+        self.columns: list[list] = [[] for _ in _ARROW]
+        self.compat, self.zones = compat, zones
 
-def parse_files(files: DataFrame, fix_mode: str = "no", compat: bool = False) -> DataFrame:
+    def file(self, item: int, kind: str, file_no: int, root: ET.Element | None) -> None:
+        pages = () if root is None else alto_pages(root) if kind == schemas.ALTO else pdf2xml_pages(root) if kind == schemas.PDF2XML else ()
+        p = 0
+        for p, (page, zones) in enumerate(pages, 1):
+            zones = zones if self.zones else []
+            n = 1 + len(zones)
+            for column, value in zip(self.columns, (item, kind, file_no, p, *page)):
+                column.extend([value] * n)
+            texts = [z.get("CONTENT") for z in zones] if kind == schemas.ALTO else [_markup_text(z, self.compat) for z in zones]
+            for column, values in zip(self.columns[7:], (range(1, n), texts, *([z.get(a) for z in zones] for a in _PLACES[kind]))):
+                column.append(None)
+                column.extend(values)
+        if not p:
+            for column, value in zip(self.columns, (item, kind, file_no, *[None] * 10)):
+                column.append(value)
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.columns, _ARROW)], schema=_ARROW)
+        self.columns = [[] for _ in _ARROW]
+        return out
+
+
+def parse_files(files: DataFrame, fix_mode: str = "no", compat: bool = False, zones: bool = True) -> DataFrame:
     """Page and zone rows of XML files (item_id, kind, file_no, content), with sizes as the files give them.
 
     A file that cannot be parsed, or holds no page, gives a single row without a page. Files are parsed one by one, so
-    a task holds one batch of files.
+    a task holds one batch of files. Without ``zones`` only pages are listed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(compat, zones)
         for b in batches:
-            rows: list[dict] = []
-            for item, kind, file_no, content in zip(*(c.to_pylist() for c in b.columns)):
-                root = load_xml(content, fix_mode)
-                parsed: list[dict] = []
-                if root is not None:
-                    parsed = list(alto_rows(root) if kind == schemas.ALTO else pdf2xml_rows(root, compat) if kind == schemas.PDF2XML else ())
-                own = {"item_id": item, "kind": kind, "file_no": file_no}
-                rows.extend(own | r for r in parsed or [{}])
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            for item, kind, file_no, content in zip(*b.columns):
+                rows.file(item.as_py(), kind.as_py(), file_no.as_py(), load_xml(content.as_py(), fix_mode))
+                if len(rows.columns[0]) >= 20_000:
+                    yield rows.batch()
+        if rows.columns[0]:
+            yield rows.batch()
 
     return files.select("item_id", "kind", "file_no", "content").mapInArrow(run, schemas.PARSED)
 
 
-def merge_pages(parsed: DataFrame, all_pages: bool = False) -> DataFrame:
+def merge_pages(parsed: DataFrame, all_pages: bool = False, pages: DataFrame | None = None) -> DataFrame:
     """Number the pages of an item over its files.
 
     The first file keeps all its pages; each further file adds its first page, and an empty page when it has none or
     none with content, so that page numbers stay aligned with images. An item whose first file has no page has none.
-    ``all_pages`` adds every page of the further files instead.
+    ``all_pages`` adds every page of the further files instead. Files are numbered by their counts of pages, from
+    ``pages`` if it lists them without zones; zones only get their file's offset.
     """
-    item, file = Window.partitionBy("item_id"), Window.partitionBy("item_id", "file_no")
-    order = Window.partitionBy("item_id").orderBy("file_no")
-    page_row = F.col("zone_no").isNull()  # a file without pages has one such row too
-    rows = parsed.withColumns({"first_no": F.min("file_no").over(item), "rank": F.dense_rank().over(order)})
-    rows = rows.withColumn("n_first", F.count_if(page_row & (F.col("file_no") == F.col("first_no")) & F.col("page_in_file").isNotNull()).over(item)).filter("n_first > 0")
-    if all_pages:
-        offset = F.count_if(page_row).over(order.rangeBetween(Window.unboundedPreceding, 0)) - F.count_if(page_row).over(file)
-    else:
-        offset = F.when(F.col("rank") == 1, F.lit(0)).otherwise(F.col("n_first") + F.col("rank") - 2)
-    rows = rows.withColumn("offset", offset).withColumn("page_in_file", F.coalesce("page_in_file", F.lit(1)))
+    pages = parsed.filter("zone_no is null") if pages is None else pages
+    counts = pages.groupBy(F.col("item_id").alias("i"), F.col("file_no").alias("f")).agg(F.count("page_in_file").alias("pages"), F.count("*").alias("rows"))
+    order = Window.partitionBy("i").orderBy("f")
+    counts = counts.withColumns({"rank": F.row_number().over(order), "first": F.first("pages").over(order), "before": F.sum("rows").over(order) - F.col("rows")}).filter("first > 0")
+    offset = F.col("before") if all_pages else F.when(F.col("rank") == 1, F.lit(0)).otherwise(F.col("first") + F.col("rank") - 2)
+    rows = parsed.join(counts.select("i", "f", "rank", offset.alias("offset")), (F.col("item_id") == F.col("i")) & (F.col("file_no") == F.col("f")))
+    rows = rows.withColumn("page_in_file", F.coalesce("page_in_file", F.lit(1)))
     if not all_pages:
         rows = rows.filter("rank = 1 or page_in_file = 1")
-    return rows.withColumn("page_no", (F.col("offset") + F.col("page_in_file")).cast("int")).drop("first_no", "rank", "n_first", "offset")
+    return rows.withColumn("page_no", (F.col("offset") + F.col("page_in_file")).cast("int")).drop("i", "f", "rank", "offset")
+
+
+def file_pages(parsed: DataFrame) -> DataFrame:
+    """The rows of items with one file each: pages keep their numbers, and files without pages have none."""
+    return parsed.filter("page_in_file is not null").withColumn("page_no", F.col("page_in_file"))
+
+
+def parse_items(files: DataFrame, fix_mode: str = "no", compat: bool = False, all_pages: bool = False) -> DataFrame:
+    """Page and zone rows of items with ``page_no``. Where every item has one file, nothing is counted or joined."""
+    several = files.groupBy("item_id").agg(F.min("file_no").alias("a"), F.max("file_no").alias("b")).filter("a <> b")
+    parsed = parse_files(files, fix_mode, compat)
+    if several.isEmpty():
+        return file_pages(parsed)
+    return merge_pages(parsed, all_pages, parse_files(files, fix_mode, compat, zones=False))
 
 
 def with_page_status(rows: DataFrame) -> DataFrame:
