@@ -75,6 +75,13 @@ def hit_struct() -> Column:
     return F.struct(F.lit(schemas.HIT_TYPE).alias("@type"), F.col("annotations"), F.col("match"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
 
 
+def invalid(value: Column, keys: dict[str, str]) -> Column:
+    """What is wrong with an object of the response, or null: the required keys that it lacks."""
+    missing = missing_keys(value, keys)
+    message = F.concat(F.lit('Missing required keys for object type "'), F.coalesce(value["@type"], F.lit("")), F.lit('": "'), F.array_join(missing, '", "'), F.lit('".'))
+    return F.when(F.size(missing) > 0, message)
+
+
 def missing_keys(value: Column, keys: dict[str, str]) -> Column:
     """Names of the required keys of a struct that are null."""
     return F.array_compact(F.array(*(F.when(value[k].isNull(), F.lit(k)) for k, need in keys.items() if need == "required")))
@@ -87,22 +94,27 @@ def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 def responses(queries: DataFrame, annotations: DataFrame, hits: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """(query_id, item_id, status, http_status, message, total, body): one row for each query of ``queries``, which has
-    ``status``; the body is the JSON of the annotation list, or of the error."""
+    ``status``; the body is the JSON of the annotation list, or of the error. Objects are checked before they are
+    written: a response with one that lacks a required key is the error 500 and says which."""
     by = ["query_id", "item_id"]
-    resources = annotations.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("source_rank", "hit", annotation_struct().alias("a")))), lambda x: x["a"]).alias("resources"), F.count("*").alias("total"))
-    pages = hits.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", hit_struct().alias("h")))), lambda x: x["h"]).alias("hits"))
+    resources = annotations.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("source_rank", "hit", annotation_struct().alias("a")))), lambda x: x["a"]).alias("resources"), F.count("*").alias("total"), F.min(invalid(annotation_struct(), schemas.ANNOTATION_KEYS)).alias("wrong_annotation"))
+    pages = hits.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", hit_struct().alias("h")))), lambda x: x["h"]).alias("hits"), F.min(invalid(hit_struct(), schemas.HIT_KEYS)).alias("wrong_hit"))
     rows = queries.join(resources, by, "left").join(pages, by, "left").withColumn("total", F.coalesce("total", F.lit(0)))
     none = lambda c, like: F.coalesce(c, F.array().cast(like))
     resources_type, hits_type = resources.schema["resources"].dataType, pages.schema["hits"].dataType
     uri = F.concat(F.lit(f"{cfg.search_url}/"), F.col("item_id").cast("string"), F.lit("?q="), F.url_encode(F.coalesce("q", F.lit(""))))
     within = F.struct(F.lit(schemas.LAYER_TYPE).alias("@type"), F.col("total"))
     listed = F.struct(F.lit(schemas.CONTEXT).alias("@context"), uri.alias("@id"), F.lit(schemas.LIST_TYPE).alias("@type"), within.alias("within"), F.lit(0).alias("startIndex"), none(F.col("resources"), resources_type).alias("resources"), none(F.col("hits"), hits_type).alias("hits"))
-    ok = F.col("status").isin("ok", "blank")
+    wrong = F.coalesce("wrong_annotation", "wrong_hit", invalid(listed, schemas.LIST_KEYS))
+    asked = F.col("status").isin("ok", "blank")
+    ok = asked & wrong.isNull()
     message = (
-        F.when(F.col("status") == "missing_query", F.lit("Missing or empty query."))
+        F.when(asked, wrong)
+        .when(F.col("status") == "missing_query", F.lit("Missing or empty query."))
         .when(F.col("status") == "unsupported", F.concat(F.lit("Search is not supported for resource #"), F.col("item_id").cast("string"), F.lit(" (missing XML and/or image files).")))
         .when(F.col("status").isin("missing_id", "not_found"), F.lit("Not found."))
+        .when(F.col("status") == "not_implemented", F.lit("Direct request to annotation-list is not implemented."))
     )
-    code = F.when(ok, 200).when(F.col("status").isin("missing_id", "not_found"), 404).otherwise(400)
+    code = F.when(ok, 200).when(asked, 500).when(F.col("status") == "not_implemented", 501).when(F.col("status").isin("missing_id", "not_found"), 404).otherwise(400)
     error = F.struct(F.lit("error").alias("status"), message.alias("message"))
     return rows.select(*by, "status", code.alias("http_status"), message.alias("message"), "total", F.when(ok, F.to_json(listed)).otherwise(F.to_json(error)).alias("body"))
