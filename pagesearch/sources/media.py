@@ -18,7 +18,7 @@ FILE_PRIORITY = {schemas.TSV: 0, schemas.PDF2XML: 1, schemas.ALTO: 2, "legacy":
 
 
 def list_files(spark, base: str, index_dir: str = "index", pdf_dir: str = "pdf2xml", alto_dir: str = "alto") -> DataFrame:
-    """(item_id, kind, priority, content) of files named by item below ``base``: {index}/{id}.tsv, {pdf2xml}/{id}.xml,
+    """(item_id, kind, priority, path, content) of files named by item below ``base``: {index}/{id}.tsv, {pdf2xml}/{id}.xml,
     {alto}/{id}.alto.xml and {index}/{id}.xml. Folders that are missing count as empty."""
     places = ((f"{index_dir}/*.tsv", schemas.TSV, r"/([0-9]+)\.tsv$"), (f"{pdf_dir}/*.xml", schemas.PDF2XML, r"/([0-9]+)\.xml$"), (f"{alto_dir}/*.alto.xml", schemas.ALTO, r"/([0-9]+)\.alto\.xml$"), (f"{index_dir}/*.xml", "legacy", r"/([0-9]+)\.xml$"))
     found = []
@@ -28,15 +28,30 @@ def list_files(spark, base: str, index_dir: str = "index", pdf_dir: str = "pdf2x
         if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
             continue
         files = spark.read.format("binaryFile").load(f"{base}/{glob}")
-        found.append(files.select(F.regexp_extract("path", name, 1).try_cast("bigint").alias("item_id"), F.lit(kind).alias("kind"), F.lit(FILE_PRIORITY[kind]).alias("priority"), "content").filter("item_id is not null"))
+        found.append(files.select(F.regexp_extract("path", name, 1).try_cast("bigint").alias("item_id"), F.lit(kind).alias("kind"), F.lit(FILE_PRIORITY[kind]).alias("priority"), "path", "content").filter("item_id is not null"))
     if not found:
-        return spark.createDataFrame([], "item_id bigint, kind string, priority int, content binary")
+        return spark.createDataFrame([], "item_id bigint, kind string, priority int, path string, content binary")
     return reduce(DataFrame.unionByName, found)
 
 
 def resolve_files(files: DataFrame) -> DataFrame:
-    """The file of highest priority of each item."""
-    return files.groupBy("item_id").agg(F.min_by(F.struct("kind", "content"), "priority").alias("f")).select("item_id", "f.kind", "f.content")
+    """The file of highest priority of each item, the first by path of equals.
+
+    Files are compared by their paths alone. Contents are read once, and only those of items with several files meet the
+    list of the files that lose.
+    """
+    place = F.struct("priority", "path")
+    best = files.groupBy("item_id").agg(F.min(place).alias("best"), F.count("*").alias("n")).filter("n > 1").select("item_id", "best")
+    lost = files.select("item_id", "priority", "path").join(best, "item_id").filter(place != F.col("best")).select(F.col("path").alias("lost"))
+    return files.join(lost, F.col("path") == F.col("lost"), "left_anti").select("item_id", "kind", "content")
+
+
+def resolve_sources(files: DataFrame, media: DataFrame, images: DataFrame, contents: DataFrame, how: str = "order") -> DataFrame:
+    """Files (item_id, kind, file_no, content) that each item is searched by: its own file if it has one, else its media."""
+    own = resolve_files(files)
+    rest = media.join(own.select("item_id"), "item_id", "left_anti")
+    of_media = media_files(rest, images, contents, how).select("item_id", "kind", "file_no", "content")
+    return own.select("item_id", "kind", F.lit(0).alias("file_no"), "content").unionByName(of_media)
 
 
 def classify_media(media: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.repair import fix_utf8_bytes, parse_recovering
-from ..functions.text import file_stem
 from ..schemas import GENERIC_XML
 
 #: Media types by namespace, by schema address, and by doctype or root element without a namespace.
@@ -64,6 +63,8 @@ IDENTIFIERS = {
     "xhtml": "application/xhtml+xml",
 }
 
+#: Processing instructions that tell nothing of the kind.
+SKIPPED = ("xml-stylesheet", "oxygen")
 _OFFICE = "urn:oasis:names:tc:opendocument:xmlns:office:1.0"
 #: Leading bytes of common formats.
 _MAGIC = ((b"%PDF-", "application/pdf"), (b"PK\x03\x04", "application/zip"), (b"\x89PNG", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"II*\x00", "image/tiff"), (b"MM\x00*", "image/tiff"))
@@ -107,7 +108,7 @@ def xml_identifier(data: bytes) -> str | None:
 
     def instruction(target: str, value: str) -> None:
         address = re.search('href="(.+?)"', value, re.I)
-        if target not in ("xml-stylesheet", "oxygen") and address:
+        if target not in SKIPPED and address:
             stop(address[1])
 
     def element(name: str, attributes: dict[str, str]) -> None:
@@ -174,8 +175,20 @@ def upload_errors(media_type: Column, extension: Column, types: list[str] | None
     return F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>")
 
 
-def media_of_path(paths: DataFrame, media: DataFrame) -> DataFrame:
-    """The medium of each stored file, by the storage name within the first folder of its path."""
-    stored = paths.withColumn("storage_id", file_stem(F.col("path")))
-    ids = media.select(file_stem(F.col("filename")).alias("s"), "media_id").groupBy("s").agg(F.min("media_id").alias("media_id"))
-    return stored.join(ids, F.col("storage_id") == F.col("s"), "left").drop("s")
+def typed_files(files: DataFrame) -> DataFrame:
+    """Incoming files (content, and media_type if a type came with them) with the precise type of each."""
+    given = F.col("media_type") if "media_type" in files.columns else F.lit(None).cast("string")
+    return files.withColumn("media_type", specify_media_type("content", given))
+
+
+def media_of_path(paths: DataFrame, media: DataFrame, base: str) -> DataFrame:
+    """The medium of each stored file, null if none or if ``path`` is not below ``base``.
+
+    A medium's storage name is its file name without extension, folders included; a path has it below the first folder
+    under the base.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\.[^./]+$", "")
+    root = base.rstrip("/") + "/"
+    below = F.when(F.col("path").startswith(root), F.regexp_replace(F.expr(f"substring(path, {len(root) + 1})"), "^[^/]*/", ""))
+    ids = media.select(bare(F.col("filename")).alias("s"), "media_id").groupBy("s").agg(F.min("media_id").alias("media_id"))
+    return paths.withColumn("storage_id", bare(below)).join(ids, F.col("storage_id") == F.col("s"), "left").drop("s")

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..sources.zones import merge_pages, numeric_zones, parse_files
+from ..sources.sniff import typed_files
+from ..sources.zones import file_pages, numeric_zones, parse_files
 
 
-def stream_zones(spark: SparkSession, folder: str, kind: str, table: str, checkpoint: str, pattern: str = r"/([0-9]+)\.", fix_mode: str = "no") -> StreamingQuery:
-    """Parse XML files as they arrive in ``folder`` and append their zones to the Parquet table at ``table``.
+def stream_zones(spark: SparkSession, folder: str, kind: str | None, table: str, checkpoint: str, pattern: str = r"/([0-9]+)\.", fix_mode: str = "no") -> StreamingQuery:
+    """Parse XML files as they arrive in ``folder`` and add their zones to the Parquet table at ``table``.
 
-    The item is the first group of ``pattern`` in the file's path. Each batch is numbered by itself: a file is an item.
+    The item is the first group of ``pattern`` in the file's path. Without a ``kind``, files are typed as they come and
+    those of other types are passed over. Each batch is numbered by itself: a file is an item. A batch has a folder of its
+    own, so that one which is tried again replaces what it wrote before.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
-    files = files.select(F.regexp_extract("path", pattern, 1).try_cast("bigint").alias("item_id"), F.lit(kind).alias("kind"), F.lit(0).alias("file_no"), "content")
+    files = files.select(F.regexp_extract("path", pattern, 1).try_cast("bigint").alias("item_id"), F.lit(0).alias("file_no"), "content")
+    files = files.withColumn("kind", F.lit(kind)) if kind else typed_files(files).withColumnRenamed("media_type", "kind")
 
-    def write(batch, _: int) -> None:
-        numeric_zones(merge_pages(parse_files(batch, fix_mode))).write.mode("append").parquet(table)
+    def write(batch: DataFrame, number: int) -> None:
+        layouts = batch.filter(F.col("kind").isin(schemas.ALTO, schemas.PDF2XML))
+        numeric_zones(file_pages(parse_files(layouts, fix_mode))).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    if kind not in (schemas.ALTO, schemas.PDF2XML):
+    if kind not in (None, schemas.ALTO, schemas.PDF2XML):
         raise ValueError(f"not an XML layout: {kind}")
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
