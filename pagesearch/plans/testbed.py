@@ -16,9 +16,10 @@ from ..config import SearchConfig
 from ..functions import text as text_functions
 from ..functions.geometry import annotation_id
 from ..functions.repair import fix_utf8
-from ..functions.text import clean_query, contains, query_terms, slug, strip_tags
+from ..functions.text import clean_query, query_terms, slug, strip_tags
 from ..operators import advertise, match, results
 from ..sources import media, sniff, zones
+from . import search
 
 QUERY = "et that the"
 BASE = SearchConfig().base_url
@@ -147,9 +148,11 @@ def slug_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _THETA = ("the", "that and", "é", "user")
 
 
-def _turn_terms(spark: SparkSession, sf_dir: str, holds: Callable[[Column, Column], Column]) -> DataFrame:
-    terms = F.array(*map(F.lit, _THETA))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.filter(terms, lambda t: holds(F.col("text"), t))).alias("term"))
+def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as zones of their conversation, and the terms asked of every conversation."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), "turn", "text")
+    every = F.posexplode(F.array(*map(F.lit, _THETA))).alias("term_no", "term")
+    return turns, turns.select("item_id").distinct().select(F.col("item_id").alias("query_id"), "item_id", every)
 
 
 _THETA_SQL = "SELECT conv_id, turn, term FROM conversations, (VALUES " + ", ".join(f"('{t}')" for t in _THETA) + ") v(term) WHERE "
@@ -157,12 +160,16 @@ _THETA_SQL = "SELECT conv_id, turn, term FROM conversations, (VALUES " + ", ".jo
 
 @query(_THETA_SQL + "regexp_matches(text, regexp_escape(term), 'i')")
 def match_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turn_terms(spark, sf_dir, contains)
+    return match.contains_join(*_turns(spark, sf_dir)).select(F.col("item_id").alias("conv_id"), "turn", "term")
 
 
 @query(_THETA_SQL + "contains(lower(text), lower(term))")
 def match_contains_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turn_terms(spark, sf_dir, lambda text, term: F.contains(F.lower(text), F.lower(term)))
+    """The search in lower case that stands for the pattern where both give the same."""
+    turns, terms = _turns(spark, sf_dir)
+    terms = terms.withColumnRenamed("item_id", "of")
+    found = turns.join(terms, (F.col("item_id") == F.col("of")) & F.contains(F.lower("text"), F.lower("term")))
+    return found.select(F.col("item_id").alias("conv_id"), "turn", "term")
 
 
 # --- word indexes of conversations -----------------------------------------------------------------------------------
@@ -435,7 +442,7 @@ _SUMMARY_SQL = f"WITH {ZONES_SQL} SELECT item_id, page_no, count(*) AS n, sum(le
 def alto_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _with_gaps(_per_page(spark, sf_dir, _alto_head(), _alto_string(), "</PrintSpace></Page>"), F.lit("<Page/>"))
     files = pages.select("item_id", F.lit(schemas.ALTO).alias("kind"), F.lit(0).alias("file_no"), _alto(F.col("xml")).alias("content"))
-    return _summary(zones.merge_pages(zones.parse_files(files)))
+    return _summary(zones.parse_items(files))
 
 
 @query(_SUMMARY_SQL)
@@ -445,7 +452,7 @@ def alto_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = pages.groupBy("item_id").agg(F.max("page_no").alias("last")).select("item_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("page_no"))
     pages = last.join(pages, ["item_id", "page_no"], "left")
     files = pages.select("item_id", F.lit(schemas.ALTO).alias("kind"), (F.col("page_no") - 1).alias("file_no"), _alto(F.coalesce("xml", F.lit("<Page/>"))).alias("content"))
-    return _summary(zones.merge_pages(zones.parse_files(files)))
+    return _summary(zones.parse_items(files))
 
 
 @query(_SUMMARY_SQL)
@@ -455,7 +462,7 @@ def pdf2xml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _with_gaps(_per_page(spark, sf_dir, head, row, "</page>"), F.lit('<page number="" width="1" height="1"/>'))
     content = F.concat(F.lit('<!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd">\n<pdf2xml>'), F.col("xml"), F.lit("</pdf2xml>")).cast("binary")
     files = pages.select("item_id", F.lit(schemas.PDF2XML).alias("kind"), F.lit(0).alias("file_no"), content.alias("content"))
-    return _summary(zones.merge_pages(zones.parse_files(files)))
+    return _summary(zones.parse_items(files))
 
 
 @query(f"WITH {_INDEX_SQL} SELECT item_id, word, line_no, count(*) AS n, sum(turn + 1)::BIGINT AS pages, sum(word_no * 10)::DOUBLE AS hpos, sum(length(word) * 10)::DOUBLE AS width FROM numbered GROUP BY ALL")
@@ -515,7 +522,7 @@ def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = sorted(media.FILE_PRIORITY, key=media.FILE_PRIORITY.get)
     priority = F.char_length("html") % 4
     kind = F.element_at(F.array(*map(F.lit, kinds)), priority + 1)
-    files = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("item_id"), kind.alias("kind"), priority.alias("priority"), F.lit(b"").alias("content"))
+    files = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("item_id"), kind.alias("kind"), priority.alias("priority"), F.col("page_id").cast("string").alias("path"), F.lit(b"").alias("content"))
     return media.resolve_files(files).select("item_id", "kind")
 
 
@@ -524,3 +531,141 @@ def required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "lang", F.expr("if(doc_id % 3 = 0, null, 'i')").alias("id"), F.expr("if(doc_id % 5 = 0, null, 'c')").alias("target"), F.lit("x").alias("chars"))
     missing = results.missing_keys(results.annotation_struct(), schemas.ANNOTATION_KEYS)
     return results.with_defaults(rows, {"lang": "und"}).select("item_id", F.array_join(missing, ",").alias("missing"), "lang")
+
+
+# --- sources, damaged files and answers ----------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT page_id % 30 AS item_id, page_id AS media_id, ['application/alto+xml', 'image/png', 'text/xml', 'image/jpeg'][(page_id // 30) % 4 + 1] AS t FROM pages),
+able AS (SELECT item_id FROM m WHERE t LIKE 'image/%' INTERSECT SELECT item_id FROM m WHERE t LIKE '%xml')
+SELECT DISTINCT page_id % 30 AS item_id, 'application/alto+xml' AS kind, 0 AS file_no, 'own' AS content FROM pages WHERE page_id % 30 % 3 = 0
+UNION ALL SELECT item_id, first_value(t) OVER o, (row_number() OVER o - 1)::INT, 'm' || media_id FROM m JOIN able USING (item_id) WHERE t LIKE '%xml' AND item_id % 3 <> 0 WINDOW o AS (PARTITION BY item_id ORDER BY media_id)""")
+def source_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with a file of their own are searched by it, the others by their media, matched in order."""
+    types = F.array(F.lit(schemas.ALTO), F.lit("image/png"), F.lit("text/xml"), F.lit("image/jpeg"))
+    p = table(spark, sf_dir, "pages").select((F.col("page_id") % 30).alias("item_id"), F.col("page_id").alias("media_id"), F.col("page_id").cast("int").alias("position"), F.element_at(types, F.expr("cast((page_id div 30) % 4 + 1 as int)")).alias("media_type"), F.lit("x").alias("source"), F.lit(None).cast("string").alias("data"))
+    files = p.select("item_id").distinct().filter("item_id % 3 = 0").select("item_id", F.lit(schemas.ALTO).alias("kind"), F.lit(2).alias("priority"), F.col("item_id").cast("string").alias("path"), F.lit(b"own").alias("content"))
+    contents = p.select("media_id", F.concat(F.lit("m"), F.col("media_id").cast("string")).cast("binary").alias("content"))
+    out = media.resolve_sources(files, p, media.image_sizes(p), contents)
+    return out.select("item_id", "kind", "file_no", F.col("content").cast("string").alias("content"))
+
+
+_MODES = ("no", "dom", "regex", "all")
+
+
+def _each_mode(files: DataFrame) -> DataFrame:
+    """Numbers and texts of the zones of files, by repair mode."""
+    out = None
+    for mode in _MODES:
+        z = zones.numeric_zones(zones.parse_items(files, mode)).groupBy("item_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("text")), "|").alias("texts")).withColumn("mode", F.lit(mode))
+        out = z if out is None else out.unionByName(z)
+    return out
+
+
+_STRING = '" HPOS="1" VPOS="1" WIDTH="2" HEIGHT="3"'
+
+
+def _one_page(spark: SparkSession, sf_dir: str, body: Column, charset: str = "UTF-8") -> DataFrame:
+    xml = F.concat(F.lit('<alto><Layout><Page WIDTH="9" HEIGHT="9">'), body, F.lit("</Page></Layout></alto>"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.lit(schemas.ALTO).alias("kind"), F.lit(0).alias("file_no"), F.encode(xml, charset).alias("content"))
+
+
+@query(f"SELECT doc_id AS item_id, mode, 1 AS n, 'é' || doc_id AS texts FROM documents, (VALUES {', '.join(f"('{m}')" for m in _MODES)}) v(mode)")
+def latin1_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in Latin-1 are read as that, whether bytes are repaired or not."""
+    body = F.concat(F.lit('<String CONTENT="é'), F.col("doc_id").cast("string"), F.lit(f"{_STRING}/>"))
+    return _each_mode(_one_page(spark, sf_dir, body, "ISO-8859-1"))
+
+
+@query("""SELECT doc_id AS item_id, mode, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS n, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'a|b' || CASE WHEN doc_id % 3 = 1 THEN '' ELSE chr(160) END END AS texts
+FROM documents, (VALUES ('no'), ('dom'), ('regex'), ('all')) v(mode) WHERE doc_id % 3 = 0 OR mode IN ('dom', 'all')""")
+def recovered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with elements that nothing closes, or with unknown entities, are read only where markup is recovered."""
+    whole, open_one = f'<String CONTENT="a{_STRING}/>', f'<String CONTENT="a{_STRING}><String CONTENT="b{_STRING}/>'
+    entity = f'<String CONTENT="a{_STRING}/><String CONTENT="b&nbsp;{_STRING}/>'
+    body = F.when(F.col("doc_id") % 3 == 0, whole).when(F.col("doc_id") % 3 == 1, open_one).otherwise(entity)
+    return _each_mode(_one_page(spark, sf_dir, body))
+
+
+@query("SELECT doc_id AS item_id, CASE doc_id % 2 WHEN 0 THEN 'é' ELSE 'z ' END || doc_id AS text FROM documents WHERE doc_id % 3 <> 2")
+def generic_xml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files given as general XML are typed by their root, then read; a file of another kind has no zones."""
+    number = F.col("doc_id").cast("string")
+    alto = F.concat(F.lit('<alto><Layout><Page WIDTH="9" HEIGHT="9"><String CONTENT="é'), number, F.lit(f"{_STRING}/></Page></Layout></alto>"))
+    pdf = F.concat(F.lit('<pdf2xml><page number="1" width="9" height="9"><text top="0" left="0" width="2" height="3">z <b>'), number, F.lit("</b></text></page></pdf2xml>"))
+    xml = F.when(F.col("doc_id") % 3 == 2, "<mets/>").when(F.col("doc_id") % 2 == 0, alto).otherwise(pdf)
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.lit("text/xml").alias("kind"), F.lit(0).alias("file_no"), xml.cast("binary").alias("content"))
+    return search.corpus_from_files(files, spark.createDataFrame([], schemas.IMAGES)).zones.select("item_id", "text")
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 2 THEN 0 ELSE page_id END::DOUBLE AS width, CASE page_id % 3 WHEN 2 THEN 0 ELSE 7 END::DOUBLE AS height FROM pages")
+def image_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), F.unhex(F.lpad(F.hex(n), 8, "0")), F.unhex(F.lit("00000007")))
+    gif = F.concat(F.lit("GIF89a").cast("binary"), F.unhex(F.lpad(F.hex(n % 256), 2, "0")), F.unhex(F.lpad(F.hex(F.expr("page_id div 256")), 2, "0")), F.unhex(F.lit("0700")))
+    size = media.image_size(F.when(n % 3 == 0, png).when(n % 3 == 1, gif).otherwise(F.lit("no image").cast("binary")))
+    return table(spark, sf_dir, "pages").select("page_id", size.alias("s")).select("page_id", "s.width", "s.height")
+
+
+_HEADS = (("application/pdf", b"%PDF-1.4"), ("application/zip", b"PK\x03\x04 no package"), ("image/png", b"\x89PNG\r\n"), ("image/jpeg", b"\xff\xd8\xff"), ("image/gif", b"GIF89a"), ("text/html", b"<html>"), ("text/plain", b"words"), ("application/epub+zip", b"PK\x03\x04" + b"." * 26 + b"mimetypeapplication/epub+zipPK"), ("application/tei+xml", b'<?xml-stylesheet href="a.xsl"?><TEI xmlns="http://www.tei-c.org/ns/1.0"/>'), ("application/vnd.mei+xml", b'<?xml version="1.0"?><mei/>'))
+
+
+@query(f"SELECT page_id, [{', '.join(f"'{t}'" for t, _ in _HEADS)}][page_id % {len(_HEADS)} + 1] AS media_type FROM pages")
+def typed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files come without a type and get one by their first bytes, their root or the package's first entry."""
+    heads = F.array(*(F.unhex(F.lit(h.hex())) for _, h in _HEADS))
+    files = table(spark, sf_dir, "pages").select("page_id", F.element_at(heads, (F.col("page_id") % len(_HEADS) + 1).cast("int")).alias("content"))
+    return sniff.typed_files(files).select("page_id", "media_type")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 < 2 THEN page_id END AS media_id FROM pages")
+def media_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one name in different folders belong to different media; a path elsewhere belongs to none."""
+    name = F.concat((F.col("page_id")).cast("string"), F.lit("/"), (F.col("page_id") % 50).cast("string"), F.lit(".p.xml"))
+    p = table(spark, sf_dir, "pages")
+    stored = p.filter("page_id % 4 in (0, 1, 3)").select("page_id", F.col("page_id").alias("media_id"), name.alias("filename"))
+    root = F.when(F.col("page_id") % 4 == 3, "/other/").otherwise("/data/files/original/")
+    paths = p.select("page_id", F.concat(root, name).alias("path"))
+    return sniff.media_of_path(paths, stored.select("media_id", "filename"), "/data/files").select("page_id", "media_id")
+
+
+@query("""WITH t AS (SELECT conv_id AS item_id, role AS word, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS line_no FROM conversations)
+SELECT item_id, word, min(line_no) AS line_no, arg_max(turn || ':1,2,3,4', line_no) AS positions FROM t GROUP BY ALL""")
+def word_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word that comes again keeps its first line and takes its last positions."""
+    line = F.concat("role", F.lit("\t"), F.col("turn").cast("string"), F.lit(":1,2,3,4"))
+    files = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("all"))
+    files = files.select("item_id", F.lit(schemas.TSV).alias("kind"), F.array_join(F.transform("all", lambda x: x["l"]), "\n").cast("binary").alias("content"))
+    return zones.read_word_index(files).select("item_id", "word", "line_no", "positions")
+
+
+@query("""WITH q AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'list' WHEN 1 THEN 'id' WHEN 2 THEN 'q' WHEN 3 THEN 'unknown' WHEN 4 THEN 'unable' WHEN 5 THEN 'blank' ELSE 'ok' END AS c FROM documents)
+SELECT doc_id AS query_id, CASE c WHEN 'list' THEN 'not_implemented' WHEN 'id' THEN 'missing_id' WHEN 'q' THEN 'missing_query' WHEN 'unknown' THEN 'not_found' WHEN 'unable' THEN 'unsupported' ELSE c END AS status,
+  CASE c WHEN 'list' THEN 501 WHEN 'id' THEN 404 WHEN 'q' THEN 400 WHEN 'unknown' THEN 404 WHEN 'unable' THEN 400 ELSE 200 END AS http_status,
+  CASE c WHEN 'list' THEN 'Direct request to annotation-list is not implemented.' WHEN 'q' THEN 'Missing or empty query.' WHEN 'unable' THEN 'Search is not supported for resource #' || doc_id || ' (missing XML and/or image files).' WHEN 'id' THEN 'Not found.' WHEN 'unknown' THEN 'Not found.' END AS message FROM q""")
+def response_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search answers to requests that it can't serve, and to blank ones."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 7).alias("c"))
+    asked = d.select("query_id", F.when(F.col("c") != 1, F.col("query_id")).alias("item_id"), F.when(F.col("c") == 2, "").when(F.col("c") == 5, "  ").otherwise("zzqx").alias("q"), F.when(F.col("c") == 0, "annotation-list").alias("route"))
+    known = d.filter("c <> 3").select(F.col("query_id").alias("item_id"))
+    empty = spark.createDataFrame([], "item_id bigint, line_no int, word string, positions string")
+    corpus = search.Corpus(document_zones(spark, sf_dir), empty, document_images(spark, sf_dir), spark.createDataFrame([], schemas.MEDIA_VALUES), d.filter("c <> 4").select(F.col("query_id").alias("item_id")), spark.createDataFrame([], "item_id bigint"))
+    return search.search(corpus, asked, items=known).select("query_id", "status", "http_status", "message")
+
+
+@query("""SELECT doc_id AS query_id, CASE WHEN doc_id % 4 = 0 THEN 500 ELSE 200 END AS http_status, CASE WHEN doc_id % 4 = 0 THEN 'Missing required keys for object type "oa:Annotation": "on".' END AS message FROM documents""")
+def response_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response with an annotation that lacks its target is an error; what is lacking is said."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("item_id"))
+    rows = d.select("query_id", "item_id", F.lit(1).alias("hit"), F.lit(1).alias("page_no"), F.lit("c").alias("chars"), F.lit("c").alias("matched"), F.lit("i").alias("id"), F.when(F.col("item_id") % 4 != 0, "t").alias("target"), F.lit(0).alias("source_rank"))
+    asked = d.select("*", F.lit("c").alias("q"), F.lit("ok").alias("status"))
+    return results.responses(asked, rows, results.hits_per_page(rows)).select("query_id", "http_status", "message")
+
+
+@query("""SELECT doc_id AS item_id, (SELECT '[' || to_json({'@id': 'S/' || doc_id})::VARCHAR || ']') AS services FROM documents WHERE doc_id % 6 <> 5 AND doc_id % 4 = 0""".replace("S/", f"{SearchConfig().search_url}/"))
+def service_of_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only items that can be searched are offered the service."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.expr("case doc_id % 6 when 5 then 'set' else 'item' end").alias("type"))
+    m = items.filter("item_id % 4 = 0").select("item_id", F.lit(schemas.PDF2XML).alias("media_type"))
+    able = advertise.searchable_items(items, m, spark.createDataFrame([], schemas.ITEMS))
+    return advertise.service_descriptions(able).select("item_id", F.concat(F.lit('[{"@id":"'), F.get_json_object("services", "$[0].@id"), F.lit('"}]')).alias("services"))

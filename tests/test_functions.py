@@ -190,3 +190,26 @@ def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in" / "7.xml").write_bytes(alto(page(["a", "b"])))
     stream_zones(spark, str(tmp_path / "in"), S.ALTO, str(tmp_path / "zones"), str(tmp_path / "state")).awaitTermination()
     assert sorted((r.item_id, r.text) for r in spark.read.parquet(str(tmp_path / "zones")).collect()) == [(7, "a"), (7, "b")]
+
+
+def test_stream_types_files_and_replaces_a_batch_that_is_tried_again(spark, tmp_path):
+    import shutil
+
+    from pagesearch.streaming.ingest import stream_zones
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "7.xml").write_bytes(alto(page(["a", "b"])))
+    (tmp_path / "in" / "8.xml").write_bytes(b"<mets/>")
+    for _ in range(2):  # the second time its state is gone, so the batch comes again
+        stream_zones(spark, str(tmp_path / "in"), None, str(tmp_path / "zones"), str(tmp_path / "state")).awaitTermination()
+        shutil.rmtree(tmp_path / "state")
+    assert sorted((r.item_id, r.text) for r in spark.read.parquet(str(tmp_path / "zones")).collect()) == [(7, "a"), (7, "b")]
+    with pytest.raises(ValueError):
+        stream_zones(spark, "in", S.TSV, "zones", "state")
+
+
+def test_media_of_nested_paths(spark):
+    paths = spark.createDataFrame([("/f/original/ab/cd.xml",), ("/f/original/xy/cd.xml",), ("/f/cd.xml",), ("/g/original/ab/cd.xml",), ("/f/original/no.",)], "path string")
+    media_rows = spark.createDataFrame([(1, "ab/cd.xml"), (2, "xy/cd.xml"), (3, "cd.jpg"), (4, "no.")], "media_id bigint, filename string")
+    got = {r.path: r.media_id for r in sniff.media_of_path(paths, media_rows, "/f").collect()}
+    assert got == {"/f/original/ab/cd.xml": 1, "/f/original/xy/cd.xml": 2, "/f/cd.xml": 3, "/g/original/ab/cd.xml": None, "/f/original/no.": 4}
