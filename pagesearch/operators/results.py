@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def invalid(value: Column, keys: dict[str, str]) -> Column:
     """What is wrong with an object of the response, or null: the required keys that it lacks."""
     missing = missing_keys(value, keys)
     message = F.concat(F.lit('Missing required keys for object type "'), F.coalesce(value["@type"], F.lit("")), F.lit('": "'), F.array_join(missing, '", "'), F.lit('".'))
-    return F.when(F.size(missing) > 0, message)
+    return F.when(reduce(Column.__or__, (value[k].isNull() for k, need in keys.items() if need == "required")), message)
 
 
 def missing_keys(value: Column, keys: dict[str, str]) -> Column:
