@@ -54,3 +54,25 @@ def test_every_operator_is_registered():
 
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(ORACLE_SQL) <= set(QUERIES) <= set(__spark_entry__.queries()) and "pipeline" in __spark_entry__.queries()
+
+
+def test_pipeline_of_empty_tables(spark, make_docs, tmp_path):
+    make_docs([(1, "x")]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_is_missed_alone(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    try:
+        entry = importlib.reload(__spark_entry__)
+        assert "pipeline" not in entry.queries() and set(QUERIES) <= set(entry.queries())
+    finally:
+        monkeypatch.undo()
+        assert "pipeline" in importlib.reload(__spark_entry__).queries()
