@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import Work, binary_column, flat, id_and_text, set_checkpoint_dir
 
 END_ID = 2
-#: Bytes of texts that are encoded together, and pieces of words whose ids a worker keeps.
-TOGETHER, KEPT = 1 << 23, 600_000
+#: Bytes of texts that are encoded together, and pieces of words whose ids a task keeps.
+TOGETHER, KEPT = 1 << 23, 500_000
 
 #: For each control byte, how many bytes beyond the first the four values that it stands for have.
 CODES = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype("u1")
@@ -206,16 +206,6 @@ class Encoder:
         return ids.of(numbers, count), np.concatenate(([0], np.cumsum(count, dtype="i8")[at[1:] - 1]))
 
 
-#: A Python worker's encoders, by the path of their file.
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _ended(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column of the ids of each text with the end id behind them."""
     out = np.full(len(ids) + len(offsets) - 1, END_ID, "<u2")
@@ -223,9 +213,10 @@ def _ended(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return binary_column(out.view("u1"), 2 * (offsets + np.arange(len(offsets))))
 
 
-def encode(docs: DataFrame, path: str, together: int = TOGETHER) -> DataFrame:
+def encode(docs: DataFrame, path: str, together: int = TOGETHER, kept: int = KEPT) -> DataFrame:
     """doc_id and ids, 16 bits each, the end id last. ``together`` is the bytes of text that are encoded at a time; a
-    longer text is cut at single spaces, where no token begins before and ends after."""
+    longer text is cut at single spaces, where no token begins before and ends after. A task has its own encoder, which
+    ends with it, so that reused workers hold nothing."""
 
     def parts(text: str) -> Iterator[str]:
         at = 0
@@ -235,7 +226,7 @@ def encode(docs: DataFrame, path: str, together: int = TOGETHER) -> DataFrame:
         yield text[at:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = Encoder(path, kept)
         for b in batches:
             size = np.cumsum(pc.binary_length(b.column(1)).to_numpy().astype("i8"))
             at = 0
@@ -271,7 +262,7 @@ def frequency_ranks(counts: Iterable[tuple[int, int]]) -> np.ndarray:
     return np.array([i for i, _ in sorted(counts, key=lambda x: (-x[1], x[0]))], "<u2")
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str, together: int = TOGETHER) -> None:
+def write_token_files(docs: DataFrame, path: str, folder: str, together: int = TOGETHER, kept: int = KEPT) -> None:
     """Write the ids of all documents, in ascending doc_id order, to ``folder``, with all that reading them needs.
 
     ``folder``/texts: a row for each document: doc_id, part, place, n_tokens, control bytes, payload bytes; parts rise
@@ -281,7 +272,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, together: int = T
     """
     spark = docs.sparkSession
     with Work(spark) as work:
-        encoded = work.table(encode(docs, path, together))
+        encoded = work.table(encode(docs, path, together, kept))
         by_rank = frequency_ranks((r.id, r.n) for r in id_counts(encoded).collect())  # as many rows as the vocabulary at most
         rank_of = np.zeros(1 << 16, "<u4")
         rank_of[by_rank] = np.arange(len(by_rank))
@@ -334,16 +325,16 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, path: str, folder: str | None = None, together: int = TOGETHER) -> DataFrame:
+def token_output(docs: DataFrame, path: str, folder: str | None = None, together: int = TOGETHER, kept: int = KEPT) -> DataFrame:
     """Write the token files of all documents, then describe each document from what the files hold.
 
     Null texts count as empty: the end id alone. Documents with one doc_id stand side by side by length and content;
     null ids come first. An empty table writes empty files and gives an empty result. Other columns are ignored. The
     folder is the corpus and stays; it defaults to a new one in the shared checkpoint folder. ``together`` bounds the
-    text that a Python worker encodes at a time.
+    text that a Python worker encodes at a time, ``kept`` the pieces of words that it keeps.
     """
     spark = docs.sparkSession
     if folder is None:
         folder = f"{set_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, path, folder, together)
+    write_token_files(docs, path, folder, together, kept)
     return read_token_files(spark, folder)
