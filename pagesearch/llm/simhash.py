@@ -1,9 +1,13 @@
-"""SimHash near-duplicates: pigeonring chains choose the pairs, star contraction joins them to components."""
+"""SimHash near-duplicates: pigeonring chains choose the pairs, star contraction joins them to components.
+
+Four bits of a SimHash find few of the pairs whose five-word similarity is 0.8 or little more: these differ in about 9 of
+64 bits. So that one_of_each keeps one document of such pairs too, it adds links by min-wise hashing of five-word shingles.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, id_and_text, materialize
+from .common import Work, flat, id_and_text, materialize
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
 #: Segments of a fingerprint as (first bit, width): one more than the bits that may differ.
@@ -20,6 +24,13 @@ SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Buckets above this size are divided further before their members are compared: by a task up to the second size, and
 #: beyond it before they are dealt to tasks.
 DIVIDE, SPLIT = 4096, 1 << 16
+#: Minima of five-word shingles for each text, of which a byte each is compared, and how many of these may differ: a pair
+#: with similarity 0.8 differs in 25 on average.
+MINIMA, MAX_DIFFERENT = 128, 33
+#: Length of the ring of minima that is searched, and of its chains that have to be equal.
+RING, CHAIN = 24, 3
+#: Members of a chain's bucket that a task compares at a time.
+BLOCK = 1 << 14
 #: Bytes of text whose words are held at a time.
 RUN = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -44,32 +55,95 @@ def word_runs(text: bytes, width: int = WORDS, size: int = RUN) -> Iterator[list
             held = words
 
 
-def fingerprint(text: str) -> int:
-    """Majority bits of the XXH64 of each word shingle; A-Z lower-cased, words end at ASCII white space."""
-    votes, n = np.zeros(64, "i8"), 0
+def shingle_hashes(text: str) -> Iterator[np.ndarray]:
+    """XXH64 of each word shingle in order, in runs; A-Z lower-cased, words end at ASCII white space."""
+    seen = False
     digest = xxhash.xxh64_intdigest
     for words in word_runs(text.encode()):
-        if not words or (n and len(words) < WORDS):
+        if not words or (seen and len(words) < WORDS):
             continue  # what the run before has had already
         joined, shingles = b" ".join(words), max(1, len(words) - WORDS + 1)
         ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))[:shingles].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[-shingles:].tolist())], "<u8")
-        for at in range(0, shingles, 1 << 16):
-            votes += np.unpackbits(hashes[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
-        n += shingles
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+        seen = True
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[-shingles:].tolist())], "<u8")
+
+
+class Majority:
+    """Majority bits of hashes that come in runs."""
+
+    def __init__(self) -> None:
+        self.votes, self.n = np.zeros(64, "i8"), 0
 
+    def add(self, hashes: np.ndarray) -> None:
+        for at in range(0, len(hashes), 1 << 16):
+            self.votes += np.unpackbits(hashes[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+        self.n += len(hashes)
 
-def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; ``also`` names columns of longs that are kept."""
+    def value(self) -> int:
+        return int(np.packbits(self.votes * 2 > self.n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str) -> int:
+    """Majority bits of the XXH64 of each word shingle."""
+    found = Majority()
+    for hashes in shingle_hashes(text):
+        found.add(hashes)
+    return found.value()
+
+
+_FACTORS, _MASKS = (np.random.default_rng(SEED + k).integers(0, 1 << 63, MINIMA, dtype="u8") * np.uint64(2) + np.uint64(1) for k in range(2))
+#: Factor of the first of the two hashes that make the hash of a five-word shingle.
+FIRST_OF_TWO = _FACTORS[1]
+
+
+def minima_of(shingles: np.ndarray) -> np.ndarray:
+    """The least value of the shingles' hashes under each of MINIMA orders."""
+    least = np.full(MINIMA, (1 << 64) - 1, "u8")
+    for at in range(0, len(shingles), 512):
+        np.minimum(least, ((shingles[at : at + 512, None] ^ _MASKS) * _FACTORS).min(axis=0), out=least)
+    return least
+
+
+def packed(least: np.ndarray) -> bytes:
+    """RING keys of eight bytes, each of a start and the CHAIN minima from it around the ring, then a byte of each minimum."""
+    ring = least[:RING]
+    keys = np.arange(RING, dtype="u8")
+    for k in range(CHAIN):
+        keys = (keys ^ np.roll(ring, -k)) * _FACTORS[0]
+        keys ^= keys >> np.uint64(29)
+    return keys.astype("<u8").tobytes() + (least >> np.uint64(24)).astype("u1").tobytes()
+
+
+def fingerprint_and_minima(text: str) -> tuple[int, bytes]:
+    """The fingerprint and the packed minima of five-word shingles, each made of the two shingles of four words in it.
+    A text of fewer words is one shingle; all minima of a text without words are the largest."""
+    found, least, last = Majority(), minima_of(np.empty(0, "u8")), np.empty(0, "u8")
+    for hashes in shingle_hashes(text):
+        found.add(hashes)
+        four = np.concatenate((last, hashes))
+        np.minimum(least, minima_of(four[:-1] * FIRST_OF_TWO + four[1:]), out=least)
+        last = hashes[-1:]
+    if found.n == 1:
+        least = minima_of(last)
+    return found.value(), packed(least)
+
+
+def fingerprints(docs: DataFrame, *also: str, minima: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; ``also`` names columns of longs that are kept, ``minima`` adds
+    the packed minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), "u8", b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view("i8")), *b.columns[2:]], ["doc_id", "fp", *also])
+            if minima:
+                both = [fingerprint_and_minima(t.as_py()) for t in b.column(1)]
+                fps, more = np.fromiter((f for f, _ in both), "u8", b.num_rows), [pa.array([m for _, m in both], pa.binary())]
+            else:
+                fps, more = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), "u8", b.num_rows), []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view("i8")), *b.columns[2:], *more], names)
 
-    return id_and_text(docs, *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
+    names = ["doc_id", "fp", *also, *(["minima"] if minima else [])]
+    return id_and_text(docs, *also).mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'minima' else 'long'}" for c in names))
 
 
 def chain_keys(fp) -> list:
@@ -133,11 +207,33 @@ def bucket_edges(fps: np.ndarray, start: int, way: int = 0) -> list[tuple[np.nda
     return out
 
 
+def _edges_of_batches(batches: Iterator[tuple[np.ndarray, ...]], n_keys: int, edges: Callable) -> Iterator[pa.RecordBatch]:
+    """Edges of buckets whose rows come sorted by the first n_keys columns; one bucket and one batch are held."""
+
+    def out(held):
+        found = list(edges(*(np.concatenate(c) for c in zip(*held))))
+        a, b = (np.concatenate([f[k] for f in found]).astype("i8") for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for columns in batches:
+        other = np.flatnonzero(reduce(np.logical_or, (c != c[-1] for c in columns[:n_keys])))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        held.append(tuple(c[:whole] for c in columns))  # the last bucket may go on in the next batch
+        if whole:
+            yield out(held)
+            held = []
+        held.append(tuple(c[whole:] for c in columns))
+    if held:
+        yield out(held)
+
+
 def _edges_of(start: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges of whole buckets; rows come sorted by start and key."""
     firsts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (start[1:] != start[:-1]))))
     sizes = np.diff(np.concatenate((firsts, [len(keys)])))
     pairs = firsts[sizes == 2]
+    fps = fps.view("u8")
     ok = linked(fps[pairs] ^ fps[pairs + 1], start[pairs].astype("i8"))
     yield fps[pairs][ok], fps[pairs + 1][ok]
     for at, n in zip(firsts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
@@ -173,31 +269,69 @@ def links(distinct: DataFrame, work: Work, split: int = SPLIT) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held):
-            start, keys, fps = (np.concatenate([h[k] for h in held]) for k in range(3))
-            found = list(_edges_of(start, keys, fps.view("u8"))) if len(keys) else []
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, "u8") for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a.astype("u8").view("i8")), pa.array(b.astype("u8").view("i8"))], ["a", "b"])
-
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            columns = tuple(c.to_numpy() for c in batch.columns)
-            if not batch.num_rows:
-                continue
-            start, keys, _ = columns
-            whole = int(np.flatnonzero((keys != keys[-1]) | (start != start[-1]))[-1]) + 1 if (keys[0], start[0]) != (keys[-1], start[-1]) else 0
-            held.append(tuple(c[:whole] for c in columns))  # the last bucket may go on in the next batch
-            if whole:
-                yield out(held)
-                held = []
-            held.append(tuple(c[whole:] for c in columns))
-        if held:
-            yield out(held)
+        return _edges_of_batches((tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows), 2, _edges_of)
 
     dealt = buckets(distinct, work, split).repartition("start", "key").sortWithinPartitions("start", "key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def block_edges(fps: np.ndarray, bytes_: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that join what pairs with at most MAX_DIFFERENT unequal bytes join: a search tree, never all pairs."""
+    out = []
+    rest = np.arange(len(fps))
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            node = queue.pop()
+            near = np.count_nonzero(bytes_[rest] != bytes_[node], axis=1) <= MAX_DIFFERENT
+            if near.any():
+                new = rest[near]
+                out.append((np.full(len(new), fps[node]), fps[new]))
+                queue.extend(new)
+                rest = rest[~near]
+    return out
+
+
+def _edges_of_keys(keys: np.ndarray, fps: np.ndarray, bytes_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of whole buckets; rows come sorted by key."""
+    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.concatenate((firsts, [len(keys)])))
+    pairs = firsts[sizes == 2]
+    pairs = pairs[np.count_nonzero(bytes_[pairs] != bytes_[pairs + 1], axis=1) <= MAX_DIFFERENT]
+    yield fps[pairs], fps[pairs + 1]
+    for at, n in zip(firsts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        yield from block_edges(fps[at : at + n], bytes_[at : at + n])
+
+
+def similar_links(rows: DataFrame, work: Work, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between fingerprints of written ``rows`` (fp, minima) that connect what similar texts connect: two
+    texts that share a chain of the ring of minima and differ in at most MAX_DIFFERENT of all minima's bytes.
+
+    Copies are one text. Only chains that two texts share are dealt to tasks. A bucket of more than ``block`` texts is
+    cut into parts of that size and each two parts meet in a bucket of their own, so that a task's memory is bounded and
+    no pair is lost; the rows that this deals grow with the square of such a bucket.
+    """
+    texts = work.table(rows.select("fp", "minima").distinct().withColumn("id", F.monotonically_increasing_id()))
+    chains = texts.select("id", F.explode(F.array(*(F.xxhash64(F.substring("minima", 8 * k + 1, 8)) for k in range(RING)))).alias("key"))
+    shared = work.table(chains.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    parts = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own"))
+    met = chains.join(shared, "key").select("id", "key", parts.alias("parts")).withColumn("own", own)
+    alone = met.filter("parts = 1").select("id", "key")
+    cut = met.filter("parts > 1").withColumn("other", F.explode(others))
+    cut = cut.select("id", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    members = work.table(alone.unionByName(cut))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ((b.column(0).to_numpy(), b.column(1).to_numpy(), flat(b.column(2))[0].reshape(-1, MINIMA)) for b in batches if b.num_rows)
+        return _edges_of_batches(columns, 1, _edges_of_keys)
+
+    bytes_ = F.expr(f"substring(minima, {8 * RING + 1}, {MINIMA})").alias("bytes")
+    dealt = members.join(texts.select("id", "fp", bytes_), "id").select("key", "fp", "bytes").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, work: Work) -> DataFrame:
     """(node, root): the smallest node of each component, by alternating large-star and small-star contraction.
 
@@ -221,15 +355,17 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
         last = state
 
 
-def least_of_components(rows: DataFrame, order: Column, work: Work) -> DataFrame:
-    """(k, least): for each fingerprint of written ``rows`` (fp), the least ``order`` that links reach.
+def least_of_components(rows: DataFrame, order: Column, work: Work, more: DataFrame | None = None) -> DataFrame:
+    """(k, least): for each fingerprint of written ``rows`` (fp), the least ``order`` that links reach, those of ``more``
+    (a, b) included.
 
     A node is the least order of a fingerprint's rows, then the fingerprint, so that a component's root already is its
     answer and nothing is gathered by root.
     """
     nodes = work.table(rows.groupBy("fp").agg(F.min(order).alias("least")))
     node = F.struct("least", "fp")
-    found = work.table(links(nodes.select("fp"), work))
+    found = links(nodes.select("fp"), work)
+    found = work.table(found if more is None else found.unionByName(more).distinct())
     for end in ("a", "b"):
         named = nodes.select(F.col("fp").alias("f"), node.alias("node"))
         found = found.join(named, F.col(end) == F.col("f")).drop(end, "f").withColumnRenamed("node", end)
@@ -252,8 +388,8 @@ def simhash_components(docs: DataFrame, split: int = SPLIT) -> DataFrame:
         return materialize(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs``, with all its columns, for each component.
+def one_of_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each component of fingerprints' and of similar texts' links.
 
     The row with the component's smallest doc_id stays, one without a doc_id only if there is no other; of rows that
     share that doc_id any one. Rows get a number when they are written once; they are chosen and removed by it. Null and
@@ -261,8 +397,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
     with Work(docs.sparkSession) as work:
-        rows = work.table(fingerprints(numbered, "__row"))
-        classes = least_of_components(rows, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"), work)
+        rows = work.table(fingerprints(numbered, "__row", minima=True))
+        classes = least_of_components(rows, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"), work, similar_links(rows, work, block))
         others = rows.join(classes, F.col("fp") == F.col("k")).filter(F.col("__row") != F.col("least.__row")).select(F.col("__row").alias("__other"))
         others = materialize(others)
     return numbered.join(others, F.col("__row") == F.col("__other"), "left_anti").drop("__row")

@@ -602,6 +602,34 @@ def brute_components(ids, fps):
     return [least[find(k)] for k in range(len(ids))]
 
 
+def brute_minima(text):
+    """The minima of a text's five-word shingles, one integer after another."""
+    words, top = text.encode().lower().split(), (1 << 64) - 1
+    grams = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 4]), 42) for k in range(max(1, len(words) - 3))] if words else []
+    factors, masks = simhash._FACTORS.tolist(), simhash._MASKS.tolist()
+    five = [(a * int(simhash.FIRST_OF_TWO) + b) & top for a, b in zip(grams, grams[1:])] if len(grams) > 1 else grams
+    return [min([((x ^ m) * f) & top for x in five], default=top) for m, f in zip(masks, factors)]
+
+
+def brute_similar(a, b):
+    chain = any(all(a[(k + j) % simhash.RING] == b[(k + j) % simhash.RING] for j in range(simhash.CHAIN)) for k in range(simhash.RING))
+    return chain and sum(x >> 24 & 255 != y >> 24 & 255 for x, y in zip(a, b)) <= simhash.MAX_DIFFERENT
+
+
+def brute_kept(rows):
+    """The rows of (doc_id, text, ...) with different ids that stay, one for each component of both kinds of links."""
+    fps, minima = [brute_fingerprint(r[1] or "") for r in rows], [brute_minima(r[1] or "") for r in rows]
+    label = list(range(len(rows)))
+    for k in range(len(rows)):
+        for j in range(k):
+            if label[k] != label[j] and ((fps[k] ^ fps[j]).bit_count() <= 4 or brute_similar(minima[k], minima[j])):
+                label = [label[j] if x == label[k] else x for x in label]
+    least = {}
+    for r, x in zip(rows, label):
+        least[x] = min(least.get(x, r[0]), r[0])
+    return [r for r, x in zip(rows, label) if r[0] == least[x]]
+
+
 def near_copies():
     random.seed(12)
     words = [f"w{k}" for k in range(500)]
@@ -649,6 +677,61 @@ def test_one_row_of_each_component_stays(make_docs):
     assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted([(1, a), (2, b), (5, c), (None, "no id"), (7, "")], key=str)
 
 
+def edited(words, share, rng):
+    """A copy with that share of words replaced, at random places."""
+    return [f"new{rng.randrange(1000)}" if rng.random() < share else w for w in words]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_leave_one(make_docs):
+    rng = random.Random(31)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.randint(60, 400))]
+        rows += [(len(rows) * 7 % 1009 + 10_000 * k, " ".join(w)) for k, w in enumerate([base] + [edited(base, rng.choice([0.01, 0.02, 0.1]), rng) for _ in range(rng.randint(0, 6))])]
+    rows += [(50_000 + k, t) for k, t in enumerate(["", "a", "a b c d", "A  b c d", "a b c d e", "a b c d e f"])]
+    want = brute_kept(rows)
+    assert len(want) < len(rows) - 40
+    for block in (simhash.BLOCK, 2):
+        assert rows_of(simhash.one_of_each(make_docs(rows).repartition(3), block).select("doc_id", "text")) == sorted(want, key=repr)
+
+
+def test_similar_texts_are_found_and_others_left_alone():
+    rng = random.Random(32)
+    found, n, wrong, m = 0, 0, 0, 0
+    for _ in range(1500):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(40, 400))]
+        copy = edited(base, rng.choice([0.01, 0.02, 0.08]), rng)
+        j, linked = jaccard(base, copy), brute_similar(brute_minima(" ".join(base)), brute_minima(" ".join(copy)))
+        if j >= 0.8:
+            found, n = found + linked, n + 1
+        elif j <= 0.6:
+            wrong, m = wrong + linked, m + 1
+    assert n > 300 and m > 300 and found >= 0.97 * n and wrong <= 0.01 * m
+
+
+def test_minima_of_texts_in_runs(monkeypatch):
+    random.seed(15)
+    texts = ["", " ", "a", "a b c", " a b c d ", "a b c d e"] + [" ".join("w" * random.randint(1, 9) + str(random.randrange(50)) for _ in range(n)) for n in (6, 40, 700)]
+    for size in (1, 7, 40, 1 << 20):
+        monkeypatch.setattr(simhash, "word_runs", lambda t, size=size, f=word_runs: f(t, size=size))
+        for t in texts:
+            assert simhash.fingerprint_and_minima(t) == (brute_fingerprint(t), simhash.packed(np.array(brute_minima(t), "u8")))
+
+
+def test_chain_keys_are_equal_where_chains_are():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a, b = rng.integers(0, 3, (2, simhash.MINIMA), dtype="u8")
+        x, y = (np.frombuffer(simhash.packed(v)[: 8 * simhash.RING], "u8") for v in (a, b))
+        chains = [all(a[(k + j) % simhash.RING] == b[(k + j) % simhash.RING] for j in range(simhash.CHAIN)) for k in range(simhash.RING)]
+        assert (x == y).tolist() == chains
+
+
 def test_bucket_edges_join_what_links_join(monkeypatch):
     rng = np.random.default_rng(1)
     for divide in (4096, 5):

@@ -9,7 +9,7 @@ import corpus_pipeline
 from pagesearch.llm import source_mixing, toxicity
 from pagesearch.llm.queries import ORACLE_SQL, QUERIES
 
-from .test_operators import brute_components, brute_contaminated, brute_fingerprint, brute_tokens, decontamination_case, near_copies, toxic_case
+from .test_operators import brute_contaminated, brute_kept, brute_tokens, decontamination_case, near_copies, toxic_case
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
@@ -26,8 +26,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     scorer = toxicity.Scorer(model)
     left = [r for r in rows if scorer(r[1] or "") < toxicity.THRESHOLD]
     assert 0 < len(rows) - len(left) < 100
-    component = brute_components([r[0] for r in left], [brute_fingerprint(r[1] or "") for r in left])
-    once = [r for r, c in zip(left, component) if r[0] == c]
+    once = brute_kept(left)
     assert len(once) < len(left)
     bad = brute_contaminated([r[:2] for r in once], items)
     clean = [r for r in once if r[0] not in bad]
