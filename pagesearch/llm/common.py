@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,3 +109,52 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """The binary column whose n values lie between the n + 1 offsets."""
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def parcels(batches: Iterable[pa.RecordBatch], size: int, text: str = "text") -> Iterator[pa.Table]:
+    """Rows of ``batches`` in their order, put together or cut so that a parcel has at most ``size`` bytes of text, or
+    one row."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(b.schema.get_field_index(text))).to_numpy(zero_copy_only=False), dtype="i8")
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            fit = int(np.searchsorted(ends, before + size - n, side="right"))
+            if fit <= at and held:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+                continue
+            fit = max(fit, at + 1)
+            held.append(b.slice(at, fit - at))
+            n += int(ends[fit - 1]) - before
+            at = fit
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def byte_set(characters: str) -> np.ndarray:
+    """Whether each byte is one of these ASCII characters."""
+    out = np.zeros(256, bool)
+    out[list(characters.encode())] = True
+    return out
+
+
+class WordScan:
+    """Words of several texts at once: ``data`` has the texts with a line feed after each, ``starts`` and ``ends`` the
+    places of the words, ``doc`` the number of the text that each is in. ``apart`` are the bytes between words."""
+
+    def __init__(self, texts: list[bytes], apart: np.ndarray):
+        self.data = np.frombuffer(b"\n".join([*texts, b""]), "u1")
+        self.apart = apart[self.data]
+        edge = np.diff(self.apart.view("i1"), prepend=np.int8(1))
+        self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge[: len(self.data)] == 1)
+        sizes = np.fromiter(map(len, texts), "i8", len(texts)) + 1
+        self.begins = np.cumsum(sizes) - sizes
+        self.doc = np.searchsorted(self.begins, self.starts, side="right") - 1
+
+    def values(self) -> pa.Array:
+        """The words as a binary column."""
+        offsets = np.concatenate(([0], np.cumsum(self.ends - self.starts)))
+        return pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(self.data[~self.apart])])
