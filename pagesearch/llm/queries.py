@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontamination, exact_dedup, license_scan, quality_rules, simhash, source_mixing, suffix_dedup, token_counts, token_output, toxicity, url_filter
+from . import collocations, decontamination, exact_dedup, license_scan, quality_rules, simhash, source_mixing, suffix_dedup, token_alignment, token_counts, token_output, toxicity, url_filter
 from .common import read_table
 
 
@@ -57,5 +57,9 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_source_mixing, op4_decontamination, op5_toxicity, op6_token_output, op7_exact_dedup, op8_license_scan, op9_simhash, op10_url_filter, op11_collocations, op12_quality_rules)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.token_alignment(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_source_mixing, op4_decontamination, op5_toxicity, op6_token_output, op7_exact_dedup, op8_license_scan, op9_simhash, op10_url_filter, op11_collocations, op12_quality_rules, op13_token_alignment)}
 ORACLE_SQL = {"op11_collocations": collocations.sql(), "op3_source_mixing": source_mixing.sql(), "op7_exact_dedup": exact_dedup.SQL, "op8_license_scan": license_scan.SQL, "op10_url_filter": url_filter.SQL}
