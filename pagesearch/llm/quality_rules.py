@@ -120,7 +120,7 @@ class Fitted:
     """
 
     def __init__(self, patterns: list[str], n: list[int]):
-        vote = np.array([[{"0": 0.0, "1": 1.0}.get(c, np.nan) for c in p] for p in patterns]).reshape(len(patterns), -1)
+        vote = np.array([[{"0": 0.0, "1": 1.0}.get(c, np.nan) for c in p] for p in patterns]).reshape(len(patterns), len(patterns[0]) if patterns else 0)
         said, for_, weight = ~np.isnan(vote), np.nan_to_num(vote), np.asarray(n, "f8")
         against = said & (for_ == 0)
         posterior = (for_.sum(1) + 0.5) / (said.sum(1) + 1)

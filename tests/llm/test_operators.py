@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -14,8 +15,9 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from pagesearch.llm import decontamination, exact_dedup, license_scan, simhash, source_mixing, suffix_dedup, token_counts, token_output, toxicity, url_filter
+from pagesearch.llm import collocations, decontamination, exact_dedup, license_scan, quality_rules, simhash, source_mixing, suffix_dedup, token_alignment, token_counts, token_output, toxicity, url_filter
 
 SPIECE = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -787,3 +789,179 @@ def test_empty_tables(spark, make_docs):
     pages = spark.createDataFrame([], "page_id bigint, url string")
     results = [token_counts.token_counts(none, SPIECE), suffix_dedup.suffix_dedup(none), source_mixing.source_mixing(none), decontamination.decontamination(none, benchmark), toxicity.toxicity(none, labels), token_output.token_output(none, BYTES), exact_dedup.exact_dedup(none), license_scan.license_scan(none), simhash.simhash_components(none), url_filter.url_filter(pages)]
     assert [df.count() for df in results] == [0] * 10
+
+
+# --- 11 ------------------------------------------------------------------------------------------------------------
+
+
+def phrase_rows():
+    random.seed(21)
+    words = ["The", "cat", "of", "é", "MAT", "a|b", "x\x1cy", "日本"]
+    texts = ["".join(random.choice(words) + random.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\r\n", " ! "]) for _ in range(random.randint(0, 60))) for _ in range(120)]
+    return [(k, t, random.choice(["en", "en", "en", "de", None, "und"])) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("least,share,top,size", [(3, 80, 2000, 1 << 21), (2, 60, 15, 7), (4, 95, 40, 1)])
+def test_collocations_equal_sql(make_docs, edge_rows, least, share, top, size):
+    rows = phrase_rows() + [r for r in edge_rows if len(r[1] or "") < 1000] + [(5, "of the cat of the cat", "en")] * 3
+    same(collocations.collocations(make_docs(rows), least, share, top=top, together=500, size=size), collocations.sql(least, share, top=top), **documents([(*r[:2], r[2] if len(r) > 2 else "en", "s") for r in rows]))
+
+
+def test_collocations_of_long_texts_and_none(make_docs, edge_rows):
+    rows = [*edge_rows, (77, "one two three four. " * 200_000), (78, "w" * 3_000_000), (79, "ja nein " * 100, "")]
+    same(collocations.collocations(make_docs(rows)), collocations.sql(), **documents([(*r[:2], r[2] if len(r) > 2 else "en", "s") for r in rows]))
+    assert collocations.collocations(make_docs([])).collect() == [] and collocations.collocations(make_docs([(1, None), (2, "few words")])).collect() == []
+
+
+def test_scores_beyond_64_bits(spark):
+    n = 1 << 58
+    row = spark.sql(f"select {n}L as a, {n + 3}L as b").select(collocations._score(F.col("a"), F.col("b"), 2_000_000).alias("s")).first()
+    assert row.s == 2_000_000 * n // (n + 3)
+
+
+# --- 12 ------------------------------------------------------------------------------------------------------------
+
+
+def brute_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    again = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again)
+
+
+def quality_rows():
+    random.seed(12)
+    words = ["the", "of", "and", "in", "with", "Haus", "été", "house", "garden", "walks", "river", "sleeps"]
+    sentence = lambda: " ".join(random.choice(words) + str(random.randint(0, 40)) * (random.random() < 0.3) for _ in range(12)).capitalize() + "."
+    good = ["\n".join(" ".join(sentence() for _ in range(3)) for _ in range(random.randint(2, 6))) for _ in range(120)]
+    bad = [" ".join(random.choice(words).upper() + "!!" for _ in range(80)) for _ in range(15)]
+    bad += [" ".join(sentence().replace(" ", "### ") for _ in range(8)) for _ in range(15)]
+    bad += ["\n".join(["| a | b | 1 | 2 |"] * 20) for _ in range(5)]
+    return good, bad
+
+
+@pytest.mark.parametrize("together", [1, 2000, 8 << 20])
+def test_quality_counts_equal_brute_force(make_docs, edge_rows, together):
+    random.seed(4)
+    odd = ["".join(random.choice("ab \n\t\r\x0b#|é") for _ in range(random.randint(0, 60))) for _ in range(200)]
+    good, bad = quality_rows()
+    rows = [*edge_rows, *((100 + k, t) for k, t in enumerate(odd + good + bad + ["a b c a b c", "a a a a", "b c", "a b c", "x\n x\n\nx\n \n"]))]
+    got = quality_rules.text_counts(make_docs(rows), together).select("doc_id", *quality_rules.COUNTS[:5])
+    assert rows_of(got) == sorted(((r[0], *brute_counts(r[1])) for r in rows), key=repr)
+
+
+def test_quality_keeps_good_texts_and_drops_bad_ones(make_docs, edge_rows):
+    good, bad = quality_rows()
+    rows = [*((k, t) for k, t in enumerate(good)), *((1000 + k, t) for k, t in enumerate(bad)), *((2000 + r[0] if r[0] else None, r[1]) for r in edge_rows)]
+    got = {}
+    for r in quality_rules.quality_rules(make_docs(rows)).collect():
+        got.setdefault(r.doc_id, r)
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed and r.quality >= 0.5)
+    assert all(got[k].kept for k in range(len(good))) and not any(got[1000 + k].kept for k in range(len(bad)))
+    assert not got[2001].kept and not got[2002].kept and got[2001].n_words == 0
+    assert quality_rules.quality_rules(make_docs([])).collect() == []
+
+
+def test_accuracies_equal_expectation_maximisation_row_by_row():
+    random.seed(8)
+    truth = [random.random() < 0.8 for _ in range(4000)]
+    rates = [(0.95, 0.9, 0.1), (0.8, 0.7, 0.4), (0.9, 0.6, 0.0), (0.7, 0.9, 0.2), (0.6, 0.6, 0.5)]
+    rows = ["".join("-" if random.random() < skip else str(int((random.random() < (good if t else 1 - bad)))) for good, bad, skip in rates) for t in truth]
+    patterns = collections.Counter(rows)
+    found = quality_rules.Fitted(list(patterns), list(patterns.values()))
+    assert 1 < found.rounds < quality_rules.ROUNDS and abs(found.prior - 0.8) < 0.05
+    assert all(abs(g - rate[0]) < 0.06 for g, rate in zip(found.good, rates))
+    posterior = [(sum(c == "1" for c in r) + 0.5) / (sum(c != "-" for c in r) + 1) for r in rows]
+    for _ in range(found.rounds):
+        prior = (sum(posterior) + 1) / (len(rows) + 2)
+        acc = []
+        for j in range(5):
+            voted = [(p, r[j]) for p, r in zip(posterior, rows) if r[j] != "-"]
+            acc.append(((sum(p for p, v in voted if v == "1") + 2) / (sum(p for p, _ in voted) + 3), (sum(1 - p for p, v in voted if v == "0") + 2) / (sum(1 - p for p, _ in voted) + 3)))
+        new = []
+        for r in rows:
+            a, b = prior, 1 - prior
+            for (g, w), v in zip(acc, r):
+                a *= 1 if v == "-" else g if v == "1" else 1 - g
+                b *= 1 if v == "-" else 1 - w if v == "1" else w
+            new.append(a / (a + b))
+        posterior = new
+    known = dict(zip(patterns, found.posterior))
+    assert max(abs(known[r] - p) for r, p in zip(rows, posterior)) < 1e-6
+    assert sum((known[r] >= 0.5) == t for r, t in zip(rows, truth)) / len(rows) > 0.93
+
+
+# --- 13 ------------------------------------------------------------------------------------------------------------
+
+
+def brute_alignment(rows):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_side, b_side = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=SPIECE)
+    a_side.encode_special_tokens = True
+    of_char = token_alignment.byte_level()
+
+    def piece(i):
+        m = re.fullmatch("<0x([0-9A-F]{2})>", b_side.id_to_piece(i))
+        return bytes([int(m[1], 16)]) if m else b_side.id_to_piece(i).replace("▁", " ").encode()
+
+    found, count = [], collections.Counter()
+    for doc, text in rows:
+        groups, links, a, b = [], [], [], []
+        if text:
+            a, b = a_side.encode(" " + text, add_special_tokens=False).ids, b_side.encode(text)
+            sides = [bytes(of_char[c] for c in a_side.id_to_token(i)) for i in a], [piece(i) for i in b]
+            if any(b"".join(s) != (" " + text).encode() for s in sides):
+                a, b = [], []
+            ends = [np.cumsum([len(x) for x in s]) for s in sides]
+            i = j = 0
+            while i < len(a):
+                if not groups or ends[0][i - 1] == ends[1][j - 1] and i and j:
+                    groups.append(([], []))
+                groups[-1][0].extend([i] if i not in groups[-1][0][-1:] else [])
+                groups[-1][1].extend([j] if j not in groups[-1][1][-1:] else [])
+                links.append((a[i], b[j]))
+                x, y = ends[0][i], ends[1][j]
+                i, j = i + (x <= y), j + (y <= x)
+        count.update(links)
+        found.append((doc, a, b, groups, links))
+    top = collections.defaultdict(int)
+    for (x, y), n in count.items():
+        top[y] = max(top[y], n)
+    out = []
+    for doc, a, b, groups, links in found:
+        text = ";".join(",".join(str(a[i]) for i in g) + "|" + ",".join(str(b[j]) for j in h) for g, h in groups)
+        out.append((doc, len(a), len(b), len(groups), len(links), sum(count[p] == top[p[1]] for p in links), sum(count[p] for p in links), hashlib.sha256(text.encode()).hexdigest() if a else ""))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("together", [1, 700, 8 << 20])
+def test_alignment_equals_brute_force(make_docs, edge_rows, together):
+    random.seed(6)
+    texts = ["\n", " a", "a ", "a  b", "a\n\nb \n c", "▁x", "x▁ y", "<s> </s> <unk> <0x41> <|endoftext|>", "日本語テキスト", "\tx\t\ty", "a" * 3000, "   \n   ", "\n\n\n", " ", "  ", "\n ", "x\x1c y", "a\x85 b", "a\xa0 b \xa0c", "x\n \ny", "don't we'll", "　 a", "a \nb", "é" * 50, "\x00 a", "👩‍👩‍👧 ﷽"]
+    texts += ["".join(random.choice(" ab\n\t é　x.,1'") for _ in range(40)) for _ in range(150)]
+    rows = [*((r[0], (r[1] or "")[:4000] if r[1] is not None else None) for r in edge_rows), *((100 + k, t) for k, t in enumerate(texts))]
+    assert rows_of(token_alignment.token_alignment(make_docs(rows), BYTES, SPIECE, together)) == brute_alignment(rows)
+
+
+def test_alignment_of_long_texts_and_none(make_docs, edge_rows):
+    rows = [*edge_rows, (50, "ab" * 300_000), (51, "wort für wort. " * 100_000)]
+    assert rows_of(token_alignment.token_alignment(make_docs(rows), BYTES, SPIECE)) == brute_alignment([r[:2] for r in rows])
+    assert token_alignment.token_alignment(make_docs([]), BYTES, SPIECE).collect() == []
+    assert [tuple(r) for r in token_alignment.token_alignment(make_docs([(None, None), (None, "")]), BYTES, SPIECE).collect()] == [(None, 0, 0, 0, 0, 0, 0, "")] * 2
+
+
+def test_union_find_joins_what_links_reach():
+    random.seed(2)
+    for _ in range(50):
+        n = random.randint(1, 60)
+        links = [(random.randrange(n), random.randrange(n)) for _ in range(random.randint(0, 70))]
+        least = list(range(n))
+        for _ in range(n):
+            for x, y in links:
+                least[x] = least[y] = min(least[x], least[y])
+        got = token_alignment.joined(n, *(np.array([p[k] for p in links], "i8") for k in range(2)))
+        assert got.tolist() == least
