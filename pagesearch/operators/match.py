@@ -60,15 +60,31 @@ def with_images(rows: DataFrame, images: DataFrame, required: bool) -> DataFrame
     return rows.join(i, (F.col("item_id") == F.col("i_item")) & (F.col("page_no") == F.col("i_page")), "inner" if required else "left").drop("i_item", "i_page")
 
 
-def number_hits(matches: DataFrame, *order: str | Column) -> DataFrame:
-    """``hit``: 1, 2, 3 and so on within a query and item, in the given order."""
-    return matches.withColumn("hit", F.row_number().over(Window.partitionBy("query_id", "item_id").orderBy(*order)))
+def number_hits(matches: DataFrame, *order: str | Column, within: list[Column] | None = None) -> DataFrame:
+    """``hit``: 1, 2, 3 and so on within a query and item, in the given order.
 
-
-def xml_matches(zones: DataFrame, terms: DataFrame, images: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    ``within`` cuts the order into runs that a task numbers at a time, such as pages: expressions that ascend with it
+    and are not null. What is numbered per query and item are then only the runs, by their counts, and each hit adds its place in its run,
+    so that the matches of one item are dealt to many tasks.
+    """
+    by = ["query_id", "item_id"]
+    if not within:
+        return matches.withColumn("hit", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    runs = [f"run_{k}" for k in range(len(within))]
+    run = Window.partitionBy(*by, *runs)
+    rows = matches.withColumns(dict(zip(runs, within))).withColumn("in_run", F.row_number().over(run.orderBy(*order)))
+    counts = rows.groupBy(*by, *runs).agg(F.max("in_run").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy(*runs)) - F.col("n")
+    counts = counts.select(*(F.col(c).alias(f"of_{c}") for c in [*by, *runs]), before.alias("before"))
+    same = [F.col(c) == F.col(f"of_{c}") for c in [*by, *runs]]
+    joined = rows.join(counts, same)
+    return joined.withColumn("hit", (F.col("before") + F.col("in_run")).cast("int")).drop("in_run", "before", *runs, *(f"of_{c}" for c in [*by, *runs]))
+
+
+def xml_matches(zones: DataFrame, terms: DataFrame, images: DataFrame, cfg: SearchConfig = SearchConfig(), found: DataFrame | None = None) -> DataFrame:
     """All matches in zones of XML layouts, complete or not: pages need an image with a size. Images meet the few zones
-    that match, not all zones."""
-    found = with_images(contains_join(zones, terms), images, True)
+    that match, not all zones. ``found`` are the rows of contains_join(), if they are known."""
+    found = with_images(contains_join(zones, terms) if found is None else found, images, True)
     return found.withColumn("chars", quoted(F.col("term")) if cfg.compat else F.col("term"))
 
 

@@ -29,12 +29,26 @@ def hits_per_page(annotations: DataFrame, cumulative: bool = False) -> DataFrame
 
     ``cumulative`` shows the matched texts of all pages up to the page, as word indexes once did.
     """
-    per = Window.partitionBy("query_id", "item_id").orderBy("page_no", "hit")
-    rows = annotations.withColumn("seen", F.collect_list("matched").over(per.rowsBetween(Window.unboundedPreceding, 0))) if cumulative else annotations
-    extra = [F.max_by("seen", "hit").alias("seen")] if cumulative else []
-    grouped = rows.groupBy("query_id", "item_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("hit", "id", "matched"))).alias("all"), *extra)
-    texts = F.col("seen") if cumulative else F.transform("all", lambda x: x["matched"])
-    return grouped.select("query_id", "item_id", "page_no", F.transform("all", lambda x: x["id"]).alias("annotations"), F.array_join(F.array_distinct(texts), " ").alias("match"))
+    by = ["query_id", "item_id", "page_no"]
+    pages = annotations.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("hit", "id", "matched"))).alias("all"))
+    texts = F.array_distinct(F.transform("all", lambda x: x["matched"]))
+    if cumulative:
+        pages, texts = pages.join(texts_so_far(annotations), by), F.col("seen")
+    return pages.select(*by, F.transform("all", lambda x: x["id"]).alias("annotations"), F.array_join(texts, " ").alias("match"))
+
+
+def texts_so_far(annotations: DataFrame) -> DataFrame:
+    """(query_id, item_id, page_no, seen): the different matched texts of an item's pages up to each page, in the order of
+    their first hits.
+
+    Each text counts once, on its first page; a page then adds its new texts to those of the pages before. What a task
+    holds are the different texts of one query and item, not its hits.
+    """
+    first = annotations.groupBy("query_id", "item_id", "matched").agg(F.min(F.struct("page_no", "hit")).alias("first"))
+    new = first.filter("matched is not null").groupBy("query_id", "item_id", F.col("first.page_no").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("first.hit", "matched"))).alias("new"))
+    pages = annotations.select("query_id", "item_id", "page_no").distinct().join(new, ["query_id", "item_id", "page_no"], "left")
+    upto = Window.partitionBy("query_id", "item_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
+    return pages.select("query_id", "item_id", "page_no", F.flatten(F.collect_list(F.transform("new", lambda x: x["matched"])).over(upto)).alias("seen"))
 
 
 def metadata_matches(queries: DataFrame, values: DataFrame) -> DataFrame:

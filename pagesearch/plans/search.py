@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import SearchConfig
-from ..operators.match import explode_terms, index_matches, number_hits, request_status, split_valid, xml_matches
+from ..operators.match import contains_join, explode_terms, index_matches, number_hits, request_status, split_valid, xml_matches
 from ..operators.results import boxed, hits_per_page, metadata_annotations, metadata_matches, responses
+from ..operators.trigrams import contains_join_by_grams, gram_counts, gram_table
 from ..sources.media import image_sizes, resolve_sources
 from ..sources.sniff import specify_media_type
+from ..sources.store import Store, Tables, with_bucket
 from ..sources.zones import merge_pages, numeric_zones, page_diagnostics, parse_files, parse_items, read_word_index
 
 
@@ -21,7 +23,8 @@ class Corpus:
     """What is searched: zones of XML layouts, words of word indexes, images, metadata texts, and the searchable items.
 
     All frames are per item, so one corpus answers any number of queries in one job. With ``buckets``, zones and words
-    have a column bucket, the item's hash modulo that number.
+    have a column bucket, the item's hash modulo that number. ``grams`` and ``gram_counts`` are the trigrams of the zones;
+    with them a term's pattern meets only zones that have its rarest trigram.
     """
 
     zones: DataFrame
@@ -31,6 +34,8 @@ class Corpus:
     items: DataFrame
     diagnostics: DataFrame
     buckets: int | None = None
+    grams: DataFrame | None = None
+    gram_counts: DataFrame | None = None
 
 
 def corpus_from_files(files: DataFrame, images: DataFrame, values: DataFrame | None = None, cfg: SearchConfig = SearchConfig()) -> Corpus:
@@ -64,63 +69,50 @@ def merged_layout(files: DataFrame, folder: str | None = None, cfg: SearchConfig
     return files.sparkSession.read.parquet(folder)
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.hash(F.col("item_id").cast("bigint")), F.lit(buckets)))
+#: How the rows of each stored table lie within their files.
+_ORDER = {"zones": ["item_id", "page_no", "zone_no"], "words": ["item_id", "word"], "grams": ["item_id", "gram"], "gram_counts": ["item_id", "gram"]}
 
 
-def _write(df: DataFrame, folder: str, mode: str) -> None:
-    """A folder for each bucket, in files by item."""
-    df.repartition("bucket").sortWithinPartitions("item_id").write.partitionBy("bucket").mode(mode).parquet(folder)
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _buckets(spark: SparkSession, folder: str) -> int:
-    return spark.read.schema("buckets int").parquet(f"{folder}/settings").first().buckets
+def _stored(corpus: Corpus) -> Tables:
+    """What is stored of a corpus: zones and words, and the trigrams of the zones as written."""
+    return {"zones": corpus.zones, "words": corpus.words, "grams": lambda done: gram_table(done["zones"]), "gram_counts": lambda done: gram_counts(done["grams"])}
 
 
 def save_zones(corpus: Corpus, folder: str, buckets: int = 64) -> None:
-    """Write zones and words once, in files by item, so that searches read the columns and buckets that they need."""
-    for name, df in (("zones", corpus.zones), ("words", corpus.words)):
-        _write(_bucketed(df, buckets), f"{folder}/{name}", "overwrite")
-    corpus.images.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/settings")
+    """Write zones, their trigrams, and words once, by buckets of items, so that searches read the columns and buckets
+    that they need. A large bucket has several files. What the folder had stays until vacuum()."""
+    Store(corpus.images.sparkSession, folder).replace_all(_stored(corpus), buckets, _ORDER)
 
 
 def update_zones(corpus: Corpus, folder: str) -> None:
-    """Replace what save_zones() wrote of the items of ``corpus``; only the buckets of these items are written anew."""
-    spark = corpus.images.sparkSession
-    buckets = _buckets(spark, folder)
-    items = _bucketed(corpus.items.select("item_id").distinct(), buckets)
-    changed = sorted(r.bucket for r in items.select("bucket").distinct().collect())  # as many rows as buckets at most
-    for name, df in (("zones", corpus.zones), ("words", corpus.words)):
-        new, at = _bucketed(df, buckets), f"{folder}/{name}"
-        old = spark.read.schema(new.schema).parquet(at).filter(F.col("bucket").isin(*changed))
-        kept = old.join(items.select("item_id"), "item_id", "left_anti").select(*new.columns)
-        _write(kept.unionByName(new), f"{at}-new", "overwrite")
-        for k in changed:
-            _delete(spark, f"{at}/bucket={k}")
-        _write(spark.read.schema(new.schema).parquet(f"{at}-new"), at, "append")
-        _delete(spark, f"{at}-new")
+    """Replace what save_zones() wrote of the items of ``corpus``; only the buckets of these items are written anew. A
+    search sees all of the old rows or all of the new ones; a writer that stops leaves the old ones."""
+    Store(corpus.images.sparkSession, folder).upsert(corpus.items, _stored(corpus), _ORDER)
 
 
 def saved_corpus(corpus: Corpus, folder: str) -> Corpus:
-    """The corpus with the zones and words that save_zones() wrote."""
-    spark = corpus.images.sparkSession
-    buckets = _buckets(spark, folder)
-    zones, words = (spark.read.schema(_bucketed(df, buckets).schema).parquet(f"{folder}/{name}") for name, df in (("zones", corpus.zones), ("words", corpus.words)))
-    return replace(corpus, zones=zones, words=words, buckets=buckets)
+    """The corpus with the zones, words and trigrams that save_zones() and update_zones() wrote last."""
+    store = Store(corpus.images.sparkSession, folder)
+    now = store.manifest()
+    read = lambda name, schema: store.read(name, schema, now)
+    return replace(corpus, zones=read("zones", corpus.zones.schema), words=read("words", corpus.words.schema), grams=read("grams", schemas.GRAMS), gram_counts=read("gram_counts", schemas.GRAM_COUNTS), buckets=now.buckets)
 
 
 def _asked_buckets(corpus: Corpus, queries: DataFrame) -> Corpus:
     """The corpus with only the buckets that queries ask for, told to the scan."""
     if corpus.buckets is None:
         return corpus
-    rows = _bucketed(queries.filter("item_id is not null"), corpus.buckets).select("bucket").distinct().collect()  # as many rows as buckets at most
+    rows = with_bucket(queries.filter("item_id is not null"), corpus.buckets).select("bucket").distinct().collect()  # as many rows as buckets at most
     asked = F.col("bucket").isin(*sorted(r.bucket for r in rows)) if rows else F.lit(False)
-    return replace(corpus, zones=corpus.zones.filter(asked), words=corpus.words.filter(asked))
+    some = lambda df: None if df is None else df.filter(asked)
+    return replace(corpus, zones=some(corpus.zones), words=some(corpus.words), grams=some(corpus.grams), gram_counts=some(corpus.gram_counts))
+
+
+def zones_with_terms(corpus: Corpus, terms: DataFrame) -> DataFrame:
+    """Zones that contain terms, by trigrams if the corpus has them."""
+    if corpus.grams is None or corpus.gram_counts is None:
+        return contains_join(corpus.zones, terms)
+    return contains_join_by_grams(corpus.zones, terms, corpus.grams, corpus.gram_counts)
 
 
 def search_matches(corpus: Corpus, queries: DataFrame, cfg: SearchConfig = SearchConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -128,10 +120,10 @@ def search_matches(corpus: Corpus, queries: DataFrame, cfg: SearchConfig = Searc
     has one, else by its zones; media found only in metadata come last."""
     corpus = _asked_buckets(corpus, queries)
     terms = explode_terms(request_status(queries).filter("status = 'ok'"), cfg)
-    from_xml, bad_xml = split_valid(xml_matches(corpus.zones, terms, corpus.images, cfg))
+    from_xml, bad_xml = split_valid(xml_matches(corpus.zones, terms, corpus.images, cfg, zones_with_terms(corpus, terms)))
     from_index, bad_index = split_valid(index_matches(corpus.words, terms, corpus.images))
-    xml = boxed(number_hits(from_xml, "page_no", "zone_no", "term_no"), cfg)
-    index = boxed(number_hits(from_index, "line_no", "position_no"), cfg)
+    xml = boxed(number_hits(from_xml, "page_no", "zone_no", "term_no", within=[F.col("page_no")]), cfg)
+    index = boxed(number_hits(from_index, "line_no", "position_no", within=[F.col("line_no"), F.expr("position_no div 65536")]), cfg)
     fulltext = xml.unionByName(index)
     hits = hits_per_page(xml).unionByName(hits_per_page(index, cumulative=True)) if cfg.compat else hits_per_page(fulltext)
     annotations = fulltext

@@ -81,7 +81,7 @@ def document_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = document_zones(spark, sf_dir)
     terms = match.explode_terms(same_query(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")), QUERY))
     valid, _ = match.split_valid(match.xml_matches(z, terms, document_images(spark, sf_dir)))
-    return results.boxed(match.number_hits(valid, "page_no", "zone_no", "term_no"))
+    return results.boxed(match.number_hits(valid, "page_no", "zone_no", "term_no", within=[F.col("page_no")]))
 
 
 @query(f"WITH {ZONES_SQL} SELECT item_id, hit, page_no, chars, matched, x, y, w, h, id FROM annotations")
@@ -200,7 +200,7 @@ def index_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = match.explode_terms(same_query(words, "THE that élle of"))
     none = spark.createDataFrame([], schemas.IMAGES)
     valid, _ = match.split_valid(match.index_matches(words, terms, none))
-    return results.boxed(match.number_hits(valid, "line_no", "position_no"))
+    return results.boxed(match.number_hits(valid, "line_no", "position_no", within=[F.col("line_no"), F.expr("position_no div 65536")]))
 
 
 _LOOKUP_SQL = f"""{_INDEX_SQL},

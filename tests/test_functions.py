@@ -184,18 +184,18 @@ def test_json_requirements(spark):
 
 
 def test_stream_of_files(spark, tmp_path):
-    from pagesearch.streaming.ingest import stream_zones
+    from pagesearch.streaming.ingest import stream_zones, streamed_zones
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "7.xml").write_bytes(alto(page(["a", "b"])))
     stream_zones(spark, str(tmp_path / "in"), S.ALTO, str(tmp_path / "zones"), str(tmp_path / "state")).awaitTermination()
-    assert sorted((r.item_id, r.text) for r in spark.read.parquet(str(tmp_path / "zones")).collect()) == [(7, "a"), (7, "b")]
+    assert sorted((r.item_id, r.text) for r in streamed_zones(spark, str(tmp_path / "zones")).collect()) == [(7, "a"), (7, "b")]
 
 
 def test_stream_types_files_and_replaces_a_batch_that_is_tried_again(spark, tmp_path):
     import shutil
 
-    from pagesearch.streaming.ingest import stream_zones
+    from pagesearch.streaming.ingest import stream_zones, streamed_zones
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "7.xml").write_bytes(alto(page(["a", "b"])))
@@ -203,7 +203,7 @@ def test_stream_types_files_and_replaces_a_batch_that_is_tried_again(spark, tmp_
     for _ in range(2):  # the second time its state is gone, so the batch comes again
         stream_zones(spark, str(tmp_path / "in"), None, str(tmp_path / "zones"), str(tmp_path / "state")).awaitTermination()
         shutil.rmtree(tmp_path / "state")
-    assert sorted((r.item_id, r.text) for r in spark.read.parquet(str(tmp_path / "zones")).collect()) == [(7, "a"), (7, "b")]
+    assert sorted((r.item_id, r.text) for r in streamed_zones(spark, str(tmp_path / "zones")).collect()) == [(7, "a"), (7, "b")]
     with pytest.raises(ValueError):
         stream_zones(spark, "in", S.TSV, "zones", "state")
 
