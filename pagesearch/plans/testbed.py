@@ -6,6 +6,8 @@ a half times the size. A conversation is an item whose turns are pages.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +19,7 @@ from ..functions import text as text_functions
 from ..functions.geometry import annotation_id
 from ..functions.repair import fix_utf8
 from ..functions.text import clean_query, query_terms, slug, strip_tags
-from ..operators import advertise, match, results
+from ..operators import advertise, match, results, trigrams
 from ..sources import media, sniff, zones
 from . import search
 
@@ -172,6 +174,24 @@ def match_contains_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item_id").alias("conv_id"), "turn", "term")
 
 
+@query(f"WITH {ZONES_SQL} SELECT item_id, page_no, zone_no, term, regexp_extract(text, '(?i)' || term) AS matched FROM found")
+def match_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones that hold a term, found through the rarest trigram of each term in each item."""
+    z = document_zones(spark, sf_dir)
+    terms = match.explode_terms(same_query(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")), QUERY))
+    grams = trigrams.gram_table(z)
+    found = trigrams.contains_join_by_grams(z, terms, grams, trigrams.gram_counts(grams))
+    return found.select("item_id", "page_no", "zone_no", "term", "matched")
+
+
+@query("""WITH t AS (SELECT conv_id AS item_id, turn, lower(text) AS text FROM conversations), g AS (SELECT DISTINCT item_id, turn, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM t WHERE length(text) >= 3)
+SELECT item_id, gram, count(*) AS n FROM g WHERE regexp_full_match(gram, '[ -~]{3}') GROUP BY ALL""")
+def trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many turns of a conversation hold each trigram of ASCII characters, in any case."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), "text", F.col("turn").alias("page_no"), F.col("turn").alias("zone_no"))
+    return trigrams.gram_counts(trigrams.gram_table(turns)).filter(F.col("gram").rlike("^[ -~]{3}$"))
+
+
 # --- word indexes of conversations -----------------------------------------------------------------------------------
 
 
@@ -669,3 +689,57 @@ def service_of_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = items.filter("item_id % 4 = 0").select("item_id", F.lit(schemas.PDF2XML).alias("media_type"))
     able = advertise.searchable_items(items, m, spark.createDataFrame([], schemas.ITEMS))
     return advertise.service_descriptions(able).select("item_id", F.concat(F.lit('[{"@id":"'), F.get_json_object("services", "$[0].@id"), F.lit('"}]')).alias("services"))
+
+
+# --- stored zones, and whole searches ---------------------------------------------------------------------------------------
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares; only a local session may make its own."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base and (sc.master.startswith("local[") or sc.master == "local"):
+        base = tempfile.mkdtemp(prefix="zones-")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base}/zones-{uuid.uuid4().hex}"
+
+
+def _document_corpus(spark: SparkSession, sf_dir: str, z: DataFrame, items: DataFrame) -> search.Corpus:
+    none = spark.createDataFrame([], "item_id bigint, line_no int, word string, positions string")
+    values = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), (F.col("doc_id") * 100000).alias("media_id"), F.lit(1).alias("position"), F.col("lang").alias("text"))
+    return search.Corpus(z, none, document_images(spark, sf_dir), values, items, spark.createDataFrame([], "item_id bigint"))
+
+
+@query(f"""WITH {ZONES_SQL}, now AS (SELECT item_id, zone_no, CASE WHEN item_id % 4 = 0 THEN 'x' || text ELSE text END AS text FROM zones WHERE item_id % 4 <> 1)
+SELECT item_id, count(*) AS n, sum(zone_no) AS numbers, sum(length(text)) AS characters, min(text) AS first_text FROM now GROUP BY ALL""")
+def zones_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones are saved; then a fourth of the items comes with other texts and a fourth without zones; all is read again."""
+    folder, z = shared_folder(spark), document_zones(spark, sf_dir)
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"))
+    search.save_zones(_document_corpus(spark, sf_dir, z, items), folder, 8)
+    new = z.filter("item_id % 4 = 0").withColumn("text", F.concat(F.lit("x"), "text"))
+    search.update_zones(_document_corpus(spark, sf_dir, new, items.filter("item_id % 4 < 2")), folder)
+    saved = search.saved_corpus(_document_corpus(spark, sf_dir, z, items), folder).zones
+    return saved.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("zone_no").alias("numbers"), F.sum(F.char_length("text")).alias("characters"), F.min("text").alias("first_text"))
+
+
+@query(f"""WITH {ZONES_SQL.replace("(0, 'that'), (1, 'the'), (2, 'et that the')", "(0, 'en')").replace("FROM lines))", "FROM lines WHERE doc_id % 2 = 0))")}, firsts AS (SELECT item_id, page_no, matched, min(hit) AS hit FROM annotations GROUP BY ALL),
+pages AS (SELECT item_id, page_no, list(id ORDER BY hit) AS ids FROM annotations GROUP BY ALL),
+texts AS (SELECT item_id, page_no, string_agg(matched, ' ' ORDER BY hit) AS match FROM firsts GROUP BY ALL),
+hits AS (SELECT item_id, list({{'@type': 'search:Hit', 'annotations': ids, 'match': match}} ORDER BY page_no) AS hits FROM pages JOIN texts USING (item_id, page_no) GROUP BY ALL),
+numbered AS (SELECT item_id, count(*) AS n FROM annotations GROUP BY ALL),
+media AS (SELECT doc_id AS item_id, coalesce(n, 0) + 1 AS hit FROM documents d LEFT JOIN numbered ON d.doc_id = item_id WHERE lang = 'en' AND doc_id NOT IN (SELECT item_id FROM annotations WHERE page_no = 1)),
+every AS (SELECT item_id, 0 AS rank, hit, chars, id, target FROM annotations UNION ALL SELECT item_id, 1, hit, '', '{BASE}/' || item_id || '/annotation/search-result/a1h' || hit || 'r0,0,1500,1500', '{BASE}/' || item_id || '/canvas/p1#xywh=0,0,1500,1500' FROM media),
+found_all AS (SELECT item_id, count(*) AS total, list({{'@context': '{schemas.CONTEXT}', '@id': id, '@type': 'oa:Annotation', 'motivation': 'sc:painting', 'resource': {{'@type': 'cnt:ContextAstext', 'chars': chars}}, 'on': target}} ORDER BY rank, hit) AS resources FROM every GROUP BY ALL)
+SELECT doc_id AS query_id, 200 AS http_status, coalesce(total, 0) AS total, to_json({{'@context': '{schemas.CONTEXT}', '@id': '{SearchConfig().search_url}/' || doc_id || '?q=en', '@type': 'sc:AnnotationList', 'within': {{'@type': 'sc:Layer', 'total': coalesce(total, 0)}}, 'startIndex': 0, 'resources': coalesce(resources, []), 'hits': coalesce(hits, [])}})::VARCHAR AS body
+FROM documents d LEFT JOIN found_all a ON d.doc_id = a.item_id LEFT JOIN hits h ON d.doc_id = h.item_id""")
+def search_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole searches for a word of two letters over stored zones of every second document: full text, then the metadata of
+    a medium, the language of the document, unless its page was found already."""
+    folder = shared_folder(spark)
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"))
+    corpus = _document_corpus(spark, sf_dir, document_zones(spark, sf_dir).filter("item_id % 2 = 0"), items)
+    search.save_zones(corpus, folder, 8)
+    found = search.search(search.saved_corpus(corpus, folder), same_query(items, "en"), SearchConfig(min_query_length=2))
+    return found.select("query_id", "http_status", "total", "body")
