@@ -22,6 +22,14 @@ def id_and_text(docs: DataFrame, *also: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *also)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def set_checkpoint_dir(spark: SparkSession) -> str:
     """Point checkpoints at the shared folder that the session names; only a local session may make its own."""
     sc = spark.sparkContext
@@ -53,14 +61,23 @@ def delete(spark: SparkSession, folder: str) -> None:
 class Work:
     """Tables in the shared folder that one call needs until its result is materialised; the end deletes them all."""
 
-    def __init__(self, spark: SparkSession):
+    #: Setting by which shuffle files go as soon as the table that they led to is written.
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, drop_shuffles: bool = False):
+        self.drop_shuffles = drop_shuffles
         self.spark, self.folder, self.made, self.named = spark, f"{set_checkpoint_dir(spark)}/work-{uuid.uuid4().hex}", 0, []
         self.written: list[tuple[DataFrame, str]] = []
 
     def __enter__(self) -> Work:
+        if self.drop_shuffles:
+            self.before = self.spark.conf.get(self.CLEANUP, "false")
+            self.spark.conf.set(self.CLEANUP, "true")
         return self
 
     def __exit__(self, *_) -> None:
+        if self.drop_shuffles:
+            self.spark.conf.set(self.CLEANUP, self.before)
         for name in self.named:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         delete(self.spark, self.folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Work, broadcast_if_small, materialize
+from .common import Work, broadcast_if_small, materialize, unused
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of siblings; a name that is not listed weighs 1.
@@ -139,19 +139,17 @@ def mixed(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent
     Null languages and sources are the empty name, null and empty texts have no tokens, and rows that repeat a doc_id
     are taken together, as there. An empty table stays empty.
     """
-    names = [f"__{c}" for c in LEVELS]
-    leaves = cuts(docs, weights, percent, max_epochs, seed)
-    for c, n in zip(LEVELS, names):
-        leaves = leaves.withColumnRenamed(c, n)
-    leaves = broadcast_if_small(leaves.withColumnsRenamed({"full": "__full", "cut": "__cut"}), BROADCAST_LEAVES)
+    own = unused(docs, "__leaf")
+    leaves = cuts(docs, weights, percent, max_epochs, seed).select(F.struct("*").alias(own))
+    leaf = F.col(own)
     name = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
-    at_leaf = (domain_of(name("source")) == F.col(names[0])) & (name("lang") == F.col(names[1])) & (name("source") == F.col(names[2]))
-    joined = docs.join(leaves, at_leaf)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("__full") + 1).cast("string"), F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit(""))).cast("binary"))
-    times = (F.col("__full") + F.coalesce(key <= F.col("__cut"), F.lit(False)).cast("int")).cast("int")
+    at_leaf = (domain_of(name("source")) == leaf["domain"]) & (name("lang") == leaf["lang"]) & (name("source") == leaf["source"])
+    joined = docs.join(broadcast_if_small(leaves, BROADCAST_LEAVES), at_leaf)
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), (leaf["full"] + 1).cast("string"), F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit(""))).cast("binary"))
+    times = (leaf["full"] + F.coalesce(key <= leaf["cut"], F.lit(False)).cast("int")).cast("int")
     out = joined.filter(times > 0)
     if max_epochs > 1:
-        out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times)))
+        out = out.withColumn(unused(out, "__copy"), F.explode(F.array_repeat(F.lit(0), times)))
     return out.select(*(docs[c] for c in docs.columns))
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 #: Names that the operators use inside, here as columns of the input.
-CLASHING = ["key", "h", "k", "n", "u", "fp", "run", "pos", "copies", "found", "digest", "best", "rest", "full", "cut", "bucket", "license", "score", "root", "node", "domain", "n_tokens", "tag", "gid", "chunk", "number", "word", "phrase", "votes", "quality", "n_words", "row", "a", "b", "count", "data"]
+CLASHING = ["key", "h", "k", "n", "u", "fp", "run", "pos", "copies", "found", "digest", "best", "rest", "full", "cut", "bucket", "license", "score", "root", "node", "domain", "n_tokens", "tag", "gid", "chunk", "number", "word", "phrase", "votes", "quality", "n_words", "row", "a", "b", "count", "data", "__row", "__gone", "__other", "__leaf", "__copy", "__full", "__cut", "__domain", "__lang", "__source", "id", "fa", "fb", "minima", "least", "times", "best_score"]
 
 
 @pytest.fixture(scope="session")
