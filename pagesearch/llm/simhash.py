@@ -1,7 +1,8 @@
 """SimHash near-duplicates: pigeonring chains choose the pairs, star contraction joins them to components.
 
 Four bits of a SimHash find few of the pairs whose five-word similarity is 0.8 or little more: these differ in about 9 of
-64 bits. So that one_of_each keeps one document of such pairs too, it adds links by min-wise hashing of five-word shingles.
+64 bits. So that one_of_each keeps one document of such pairs too, it adds links between texts whose shingles of five words
+have that similarity; minima of these shingles choose the pairs, and the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, flat, id_and_text, materialize
+from .common import Work, flat, id_and_text, materialize, unused
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
 #: Segments of a fingerprint as (first bit, width): one more than the bits that may differ.
@@ -24,9 +25,15 @@ SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Buckets above this size are divided further before their members are compared: by a task up to the second size, and
 #: beyond it before they are dealt to tasks.
 DIVIDE, SPLIT = 4096, 1 << 16
-#: Minima of five-word shingles for each text, of which a byte each is compared, and how many of these may differ: a pair
-#: with similarity 0.8 differs in 25 on average.
-MINIMA, MAX_DIFFERENT = 128, 33
+#: Minima of five-word shingles for each text, of which a byte each is compared, and how many of these may differ for a pair
+#: to be looked at: a pair with similarity 0.8 differs in 25.5 on average, with a deviation of 4.5. Beyond CLOSE a text is
+#: also looked at with the two nearest to it.
+MINIMA, MAX_DIFFERENT, CLOSE = 128, 38, 16
+#: Least similarity of texts that are linked, as a fraction.
+SIMILAR = (4, 5)
+#: Texts that share a chain with more than BLOCK others meet by GROUPS groups of GROUP of the other minima's bytes: a pair with
+#: similarity 0.8 shares none of them once in 2,800 times. What is nearest to a text is looked for among so many at most.
+GROUPS, GROUP, NEAREST = 20, 5, 1024
 #: Length of the ring of minima that is searched, and of its chains that have to be equal.
 RING, CHAIN = 24, 3
 #: Members of a chain's bucket that a task compares at a time.
@@ -115,6 +122,17 @@ def packed(least: np.ndarray) -> bytes:
     return keys.astype("<u8").tobytes() + (least >> np.uint64(24)).astype("u1").tobytes()
 
 
+def shingle_set(text: str) -> np.ndarray:
+    """Different hashes of the five-word shingles in order, each made of the two shingles of four words in it; a text of
+    fewer words is one shingle."""
+    found, last, n = [], np.empty(0, "u8"), 0
+    for hashes in shingle_hashes(text):
+        four = np.concatenate((last, hashes))
+        found.append(np.unique(four[:-1] * FIRST_OF_TWO + four[1:]))
+        last, n = hashes[-1:], n + len(hashes)
+    return last if n == 1 else np.unique(np.concatenate(found)) if found else last
+
+
 def fingerprint_and_minima(text: str) -> tuple[int, bytes]:
     """The fingerprint and the packed minima of five-word shingles, each made of the two shingles of four words in it.
     A text of fewer words is one shingle; all minima of a text without words are the largest."""
@@ -275,61 +293,114 @@ def links(distinct: DataFrame, work: Work, split: int = SPLIT) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def block_edges(fps: np.ndarray, bytes_: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that join what pairs with at most MAX_DIFFERENT unequal bytes join: a search tree, never all pairs."""
+def block_edges(ids: np.ndarray, bytes_: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs to look at that join what pairs with at most MAX_DIFFERENT unequal bytes join: a search tree, never all pairs,
+    and for texts that are not CLOSE to the text above them the two nearest of their tree."""
     out = []
-    rest = np.arange(len(fps))
+    rest = np.arange(len(ids))
     while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
+        queue, group, far, rest = [rest[0]], [rest[:1]], [], rest[1:]
         while queue and len(rest):
             node = queue.pop()
-            near = np.count_nonzero(bytes_[rest] != bytes_[node], axis=1) <= MAX_DIFFERENT
+            different = np.count_nonzero(bytes_[rest] != bytes_[node], axis=1)
+            near = different <= MAX_DIFFERENT
             if near.any():
                 new = rest[near]
-                out.append((np.full(len(new), fps[node]), fps[new]))
+                out.append((np.full(len(new), ids[node]), ids[new]))
                 queue.extend(new)
+                group.append(new)
+                far.extend(new[different[near] > CLOSE])
                 rest = rest[~near]
+        members = np.concatenate(group)
+        some = members[:: -(-len(members) // NEAREST)]
+        for k in far if len(some) > 2 else ():
+            different = np.where(some == k, MINIMA + 1, np.count_nonzero(bytes_[some] != bytes_[k], axis=1))
+            nearest = np.argpartition(different, 1)[:2]
+            nearest = nearest[different[nearest] <= MAX_DIFFERENT]
+            out.append((np.full(len(nearest), ids[k]), ids[some[nearest]]))
     return out
 
 
-def _edges_of_keys(keys: np.ndarray, fps: np.ndarray, bytes_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _edges_of_keys(keys: np.ndarray, ids: np.ndarray, bytes_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges of whole buckets; rows come sorted by key."""
     firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((firsts, [len(keys)])))
     pairs = firsts[sizes == 2]
     pairs = pairs[np.count_nonzero(bytes_[pairs] != bytes_[pairs + 1], axis=1) <= MAX_DIFFERENT]
-    yield fps[pairs], fps[pairs + 1]
+    yield ids[pairs], ids[pairs + 1]
     for at, n in zip(firsts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        yield from block_edges(fps[at : at + n], bytes_[at : at + n])
+        yield from block_edges(ids[at : at + n], bytes_[at : at + n])
 
 
-def similar_links(rows: DataFrame, work: Work, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between fingerprints of written ``rows`` (fp, minima) that connect what similar texts connect: two
-    texts that share a chain of the ring of minima and differ in at most MAX_DIFFERENT of all minima's bytes.
+def meetings(texts: DataFrame, work: Work, block: int) -> DataFrame:
+    """(key, id): the buckets that each of ``texts`` (id, minima) is in, of at most some ``block`` members that a task
+    compares at a time. Their rows are in proportion to the texts.
 
-    Copies are one text. Only chains that two texts share are dealt to tasks. A bucket of more than ``block`` texts is
-    cut into parts of that size and each two parts meet in a bucket of their own, so that a task's memory is bounded and
-    no pair is lost; the rows that this deals grow with the square of such a bucket.
+    Two texts meet where they share a chain of the ring of minima. Texts of chains that more than ``block`` share meet by
+    GROUPS further groups of minima instead, once for all their chains. Where more than ``block`` share such a group, as
+    under one template, it is cut into parts that hold one common part each: texts that are all alike are joined by
+    that. A pair that is only like each other would then have to be in one part or another group's.
     """
-    texts = work.table(rows.select("fp", "minima").distinct().withColumn("id", F.monotonically_increasing_id()))
     chains = texts.select("id", F.explode(F.array(*(F.xxhash64(F.substring("minima", 8 * k + 1, 8)) for k in range(RING)))).alias("key"))
-    shared = work.table(chains.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own"))
-    met = chains.join(shared, "key").select("id", "key", parts.alias("parts")).withColumn("own", own)
-    alone = met.filter("parts = 1").select("id", "key")
-    cut = met.filter("parts > 1").withColumn("other", F.explode(others))
-    cut = cut.select("id", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    members = work.table(alone.unionByName(cut))
+    sizes = work.table(chains.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    few = chains.join(sizes.filter(F.col("n") <= block), "key").select("key", "id")
+    many = sizes.filter(F.col("n") > block)
+    if many.isEmpty():
+        return few
+    hot = texts.join(chains.join(many, "key").select("id").distinct(), "id")
+    groups = F.array(*(F.xxhash64(F.lit(g), F.substring("minima", 8 * RING + RING + GROUP * g + 1, GROUP)) for g in range(GROUPS)))
+    again = work.table(hot.select("id", F.explode(groups).alias("key")))
+    sizes = work.table(again.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = again.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    places = F.when(part == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part.cast("int")))
+    cut = met.select("id", F.when(F.col("parts") == 1, F.array("key")).otherwise(F.transform(places, lambda p: F.xxhash64("key", p))).alias("keys"))
+    return few.unionByName(cut.select(F.explode("keys").alias("key"), "id"))
+
+
+def similar_links(rows: DataFrame, texts: DataFrame, work: Work, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between fingerprints of written ``rows`` (row, fp, minima) whose texts (row, text) have a five-word
+    similarity of SIMILAR or more.
+
+    Rows with equal fingerprints and minima are one text. meetings() brings texts together, bytes of their minima choose
+    pairs, and each pair is then decided by the whole sets of shingles, so that no other texts are linked. What the choice
+    misses is a matter of chance, as with all minima.
+    """
+    alike = work.table(rows.groupBy("fp", "minima").agg(F.min("row").alias("id")))
+    members = work.table(meetings(alike.select("id", "minima"), work, block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ((b.column(0).to_numpy(), b.column(1).to_numpy(), flat(b.column(2))[0].reshape(-1, MINIMA)) for b in batches if b.num_rows)
         return _edges_of_batches(columns, 1, _edges_of_keys)
 
     bytes_ = F.expr(f"substring(minima, {8 * RING + 1}, {MINIMA})").alias("bytes")
-    dealt = members.join(texts.select("id", "fp", bytes_), "id").select("key", "fp", "bytes").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = members.join(alike.select("id", bytes_), "id").select("key", "id", "bytes").repartition("key").sortWithinPartitions("key", "id")
+    found = dealt.mapInArrow(run, "a long, b long")
+    pairs = work.table(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    work.drop(members)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                sets = pa.array([shingle_set(t.as_py()).astype("<u8").tobytes() for t in some.column(2)], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), sets], ["id", "fp", "shingles"])
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("x", "y"))
+            keep = []
+            for p, q in zip(x, y):
+                p, q = (np.frombuffer(v.as_buffer(), "<u8") for v in (p, q))
+                both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) * SIMILAR[1] >= max(len(p), len(q)) * SIMILAR[0] else 0
+                keep.append(both * SIMILAR[1] >= (len(p) + len(q) - both) * SIMILAR[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(alike.select("id", "fp"), "id")
+    sets = work.table(asked.join(texts.select(F.col("row").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "id").mapInArrow(hashed, "id long, fp long, shingles binary"))
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("shingles").alias("x")), "a")
+    whole = left.join(sets.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("shingles").alias("y")), "b")
+    return whole.select("fa", "fb", "x", "y").mapInArrow(decided, "a long, b long")
 
 
 def components(edges: DataFrame, work: Work) -> DataFrame:
@@ -395,10 +466,12 @@ def one_of_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     share that doc_id any one. Rows get a number when they are written once; they are chosen and removed by it. Null and
     empty texts have fingerprint zero, so one of them stays. An empty table stays empty.
     """
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    row, gone = unused(docs, "__row"), unused(docs, "__gone")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     with Work(docs.sparkSession) as work:
-        rows = work.table(fingerprints(numbered, "__row", minima=True))
-        classes = least_of_components(rows, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"), work, similar_links(rows, work, block))
-        others = rows.join(classes, F.col("fp") == F.col("k")).filter(F.col("__row") != F.col("least.__row")).select(F.col("__row").alias("__other"))
+        rows = work.table(fingerprints(numbered, row, minima=True).withColumnRenamed(row, "row"))
+        similar = similar_links(rows, numbered.select(F.col(row).alias("row"), "text"), work, block)
+        classes = least_of_components(rows, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"), work, similar)
+        others = rows.join(classes, F.col("fp") == F.col("k")).filter(F.col("row") != F.col("least.row")).select(F.col("row").alias(gone))
         others = materialize(others)
-    return numbered.join(others, F.col("__row") == F.col("__other"), "left_anti").drop("__row")
+    return numbered.join(others, F.col(row) == F.col(gone), "left_anti").drop(row)

@@ -613,18 +613,22 @@ def brute_minima(text):
     return [min([((x ^ m) * f) & top for x in five], default=top) for m, f in zip(masks, factors)]
 
 
+def shingles_of(text):
+    words = text.encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute_similar(a, b):
-    chain = any(all(a[(k + j) % simhash.RING] == b[(k + j) % simhash.RING] for j in range(simhash.CHAIN)) for k in range(simhash.RING))
-    return chain and sum(x >> 24 & 255 != y >> 24 & 255 for x, y in zip(a, b)) <= simhash.MAX_DIFFERENT
+    return bool(a | b) and len(a & b) * 5 >= len(a | b) * 4
 
 
 def brute_kept(rows):
     """The rows of (doc_id, text, ...) with different ids that stay, one for each component of both kinds of links."""
-    fps, minima = [brute_fingerprint(r[1] or "") for r in rows], [brute_minima(r[1] or "") for r in rows]
+    fps, sets = [brute_fingerprint(r[1] or "") for r in rows], [shingles_of(r[1] or "") for r in rows]
     label = list(range(len(rows)))
     for k in range(len(rows)):
         for j in range(k):
-            if label[k] != label[j] and ((fps[k] ^ fps[j]).bit_count() <= 4 or brute_similar(minima[k], minima[j])):
+            if label[k] != label[j] and ((fps[k] ^ fps[j]).bit_count() <= 4 or brute_similar(sets[k], sets[j])):
                 label = [label[j] if x == label[k] else x for x in label]
     least = {}
     for r, x in zip(rows, label):
@@ -698,22 +702,43 @@ def test_similar_texts_leave_one(make_docs):
     rows += [(50_000 + k, t) for k, t in enumerate(["", "a", "a b c d", "A  b c d", "a b c d e", "a b c d e f"])]
     want = brute_kept(rows)
     assert len(want) < len(rows) - 40
-    for block in (simhash.BLOCK, 2):
-        assert rows_of(simhash.one_of_each(make_docs(rows).repartition(3), block).select("doc_id", "text")) == sorted(want, key=repr)
+    assert rows_of(simhash.one_of_each(make_docs(rows).repartition(3)).select("doc_id", "text")) == sorted(want, key=repr)
 
 
-def test_similar_texts_are_found_and_others_left_alone():
+@pytest.mark.parametrize("block", [3, 8, 1 << 14])
+def test_chosen_pairs_join_similar_texts_and_no_others(spark, block):
+    """All pairs of similar texts are joined, by chains of pairs that are similar by their shingles."""
     rng = random.Random(32)
-    found, n, wrong, m = 0, 0, 0, 0
-    for _ in range(1500):
-        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(40, 400))]
-        copy = edited(base, rng.choice([0.01, 0.02, 0.08]), rng)
-        j, linked = jaccard(base, copy), brute_similar(brute_minima(" ".join(base)), brute_minima(" ".join(copy)))
-        if j >= 0.8:
-            found, n = found + linked, n + 1
-        elif j <= 0.6:
-            wrong, m = wrong + linked, m + 1
-    assert n > 300 and m > 300 and found >= 0.97 * n and wrong <= 0.01 * m
+    texts = []
+    for g in range(120):
+        base = [f"g{g % 90}w{rng.randrange(3000)}" for _ in range(rng.randint(30, 200))]
+        texts += [" ".join(base), *(" ".join(edited(base, rng.choice([0.01, 0.02, 0.025, 0.03, 0.06]), rng)) for _ in range(rng.randint(1, 7)))]
+    template = [f"t{k}" for k in range(150)]
+    texts += [" ".join([*template[:-3], *(f"own{k}x{j}" for j in range(3))]) for k in range(150)]
+    numbered = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    docs = numbered.withColumnRenamed("row", "doc_id").withColumn("row", F.col("doc_id"))
+    from pagesearch.llm.common import Work
+
+    with Work(spark) as work:
+        rows = work.table(simhash.fingerprints(docs, "row", minima=True))
+        fp = {r.row: r.fp for r in rows.collect()}
+        edges = [(r.a, r.b) for r in simhash.similar_links(rows, numbered, work, block).collect()]
+        met = simhash.meetings(rows.select(F.col("row").alias("id"), "minima"), work, block).count()
+    assert met <= (simhash.RING + 2 * simhash.GROUPS) * len(texts)
+    of = {f: k for k, f in fp.items()}
+    sets = [shingles_of(t) for t in texts]
+    assert all(brute_similar(sets[of[a]], sets[of[b]]) for a, b in edges)
+    label = {f: f for f in of}
+    for a, b in edges:
+        if label[a] != label[b]:
+            old, new = label[a], label[b]
+            label = {f: new if x == old else x for f, x in label.items()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i].split()[0] == texts[j].split()[0] or (i >= len(texts) - 150 and j >= len(texts) - 150) or abs(i - j) < 9]
+    alike = [(i, j) for i, j in pairs if brute_similar(sets[i], sets[j])]
+    joined = sum(label[fp[i]] == label[fp[j]] for i, j in alike)
+    assert len(alike) > 11_000 and joined >= (0.99 if block > 8 else 0.97) * len(alike)
+    few = [(i, j) for i, j in alike if i < len(texts) - 150]
+    assert sum(label[fp[i]] == label[fp[j]] for i, j in few) >= (0.97 if block > 8 else 0.9) * len(few)
 
 
 def test_minima_of_texts_in_runs(monkeypatch):

@@ -51,7 +51,7 @@ def test_stages_keep_columns(spark, make_docs, edge_rows, tmp_path):
 def test_every_operator_is_registered():
     import __spark_entry__
 
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(ORACLE_SQL) <= set(QUERIES) <= set(__spark_entry__.queries()) and "pipeline" in __spark_entry__.queries()
 
 
