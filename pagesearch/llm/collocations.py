@@ -23,7 +23,7 @@ LONGEST, LEAST, SHARE, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 PIECE_ENDS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
 _LOWER = bytes(range(256)).lower()
 _ENDS, _APART = byte_set(PIECE_ENDS), byte_set(PIECE_ENDS + BLANKS)
-#: Bytes of text that are read together and words of a chunk; a pair's number within its chunk has BITS bits.
+#: Bytes of text that are read together and words of a chunk (both change no result); a pair's number within its chunk has BITS bits.
 TOGETHER, CHUNK, BITS = 12 << 20, 1 << 21, 22
 #: Mark of a word that ends its piece.
 _LAST = 1 << 30
@@ -49,27 +49,31 @@ def chunks_of(texts: list[bytes], langs: list[str], size: int = CHUNK) -> Iterat
         yield e - s, np.where(last[held], codes | _LAST, codes).astype("<i4"), names.dictionary.take(pa.array(keys // many)), coded.dictionary.take(pa.array(keys % many)).cast(pa.large_string()).cast(pa.string()), n
 
 
-def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _writer(together: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For each chunk a row for each of its words and a row with its codes."""
-    chunk = TaskContext.get().partitionId() << 17
-    for table in parcels(batches, TOGETHER):
-        texts, langs = (table.column(c).to_pylist() for c in ("text", "lang"))
-        for own, codes, lang, word, n in chunks_of([t.encode() for t in texts], langs):
-            m = len(n)
-            for at in range(0, m, 1 << 16):
-                part = slice(at, min(at + (1 << 16), m))
-                tags = pa.array((chunk << BITS) + np.arange(part.start, part.stop))
-                none = [pa.nulls(len(tags), t) for t in (pa.int64(), pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([tags, lang[part], word[part], pa.array(n[part]), *none], ["tag", "lang", "word", "n", "chunk", "own", "codes"])
-            none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([chunk]), pa.array([own], pa.int32()), pa.array([codes.tobytes()], pa.binary())], ["tag", "lang", "word", "n", "chunk", "own", "codes"])
-            chunk += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tag", "lang", "word", "n", "chunk", "own", "codes"]
+        chunk = TaskContext.get().partitionId() << 17
+        for table in parcels(batches, together):
+            texts, langs = (table.column(c).to_pylist() for c in ("text", "lang"))
+            for own, codes, lang, word, n in chunks_of([t.encode() for t in texts], langs, size):
+                for at in range(0, len(n), 1 << 16):
+                    part = slice(at, min(at + (1 << 16), len(n)))
+                    tags = pa.array((chunk << BITS) + np.arange(part.start, part.stop))
+                    none = [pa.nulls(len(tags), t) for t in (pa.int64(), pa.int32(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([tags, lang[part], word[part], pa.array(n[part]), *none], names)
+                none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([chunk]), pa.array([own], pa.int32()), pa.array([codes.tobytes()], pa.binary())], names)
+                chunk += 1
+
+    return run
 
 
 def pairs_of(codes: np.ndarray, own: int, names: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, right, n) of a chunk's different pairs, in the order of their numbers, one level above ``names``.
 
-    ``names`` has for each level below (numbers, ids) of the chunk's frequent phrases. n counts the pairs that begin at
+    ``names`` has for each level below (numbers, ids) of the chunk's frequent phrases, by number. n counts the pairs that begin at
     the chunk's own words. The levels between are made anew from the codes, so that codes are written only once.
     """
     last, numbers = codes[:-1] >= _LAST, codes & (_LAST - 1)
@@ -92,9 +96,10 @@ def _paired(level: int) -> Callable[[pa.Table], pa.Table]:
     """Pairs of a chunk from its codes and the names of all levels below ``level``."""
 
     def run(table: pa.Table) -> pa.Table:
-        at, number, gid = (table.column(c).to_numpy() for c in ("level", "number", "gid"))
-        row = int(np.flatnonzero(at == 0)[0])
-        names = [(number[at == k].astype("i8"), gid[at == k].astype("i8")) for k in range(1, level)]
+        level_of, number, gid = (table.column(c).to_numpy() for c in ("level", "number", "gid"))
+        row = int(np.flatnonzero(level_of == 0)[0])
+        order = np.argsort(number, kind="stable")  # rows come in any order, and pairs are numbered by that of the names
+        names = [(number[at].astype("i8"), gid[at].astype("i8")) for at in (order[level_of[order] == k] for k in range(1, level))]
         codes = np.frombuffer(table.column("codes")[row].as_py(), "<i4")
         left, right, n = pairs_of(codes, table.column("own")[row].as_py(), names)
         tags = (table.column("chunk")[row].as_py() << BITS) + np.arange(len(n))
@@ -112,11 +117,11 @@ def _named(rows: DataFrame, *key: str, least: int) -> DataFrame:
     return rows.withColumns({"f": F.sum("n").over(whole), "gid": F.min("tag").over(whole)}).filter(F.col("f") >= least).drop("n")
 
 
-def frequent_phrases(docs: DataFrame, work: Work, least: int = LEAST) -> tuple[DataFrame, list[DataFrame]]:
+def frequent_phrases(docs: DataFrame, work: Work, least: int = LEAST, together: int = TOGETHER, size: int = CHUNK) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and for each length from 1 to LONGEST a table of the phrases that occur ``least`` times:
     gid, f, then lang and word, or left and right, the ids of the phrases that it begins and ends with."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = work.table(docs.select(text, F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).mapInArrow(_written, _WRITTEN))
+    rows = work.table(docs.select(text, F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).mapInArrow(_writer(together, size), _WRITTEN))
     words = rows.filter("tag is not null").select("tag", "lang", "word", "n")
     totals = work.table(words.groupBy("lang").agg(F.sum("n").alias("n")))
     codes = rows.filter("chunk is not null").select("chunk", F.lit(0).alias("level"), F.lit(None).cast("int").alias("number"), F.lit(None).cast("long").alias("gid"), "own", "codes")
@@ -154,7 +159,7 @@ def _score(a: Column, both: Column, scale: int) -> Column:
     return F.call_function("div", wide(F.lit(scale)) * wide(a), wide(both))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, scale: int = SCALE, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, scale: int = SCALE, top: int = TOP, together: int = TOGETHER, size: int = CHUNK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of two to four words in each language.
 
     A phrase counts all its occurrences within pieces of text; a null language is ``und``, null texts are empty, rows that
@@ -166,7 +171,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, scale:
     Ids are found by a window over pairs, one row for each pair and chunk; nothing is gathered on the driver.
     """
     with Work(docs.sparkSession) as work:
-        totals, found = frequent_phrases(docs, work, least)
+        totals, found = frequent_phrases(docs, work, least, together, size)
         levels = _spelled(found, work)
         kept = []
         for k in range(2, LONGEST + 1):
