@@ -25,6 +25,9 @@ _LOWER = bytes(range(256)).lower()
 _ENDS, _APART = byte_set(PIECE_ENDS), byte_set(PIECE_ENDS + BLANKS)
 #: Bytes of text that are read together and words of a chunk (both change no result); a pair's number within its chunk has BITS bits.
 TOGETHER, CHUNK, BITS = 12 << 20, 1 << 21, 22
+#: Rounds in which the pairs of words are counted, each a part of them by hash: they are many more than longer phrases, and
+#: so only a part is on disk at a time.
+PARTS = 3
 #: Mark of a word that ends its piece.
 _LAST = 1 << 30
 _WRITTEN = "tag long, lang string, word string, n long, chunk long, own int, codes binary"
@@ -92,17 +95,20 @@ def pairs_of(codes: np.ndarray, own: int, names: list[tuple[np.ndarray, np.ndarr
     return ids[keys // max(1, len(of))], ids[keys % max(1, len(of))], n
 
 
-def _paired(level: int) -> Callable[[pa.Table], pa.Table]:
-    """Pairs of a chunk from its codes and the names of all levels below ``level``."""
+def _paired(level: int, part: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Pairs of a chunk from its codes and the names of all levels below ``level``: those of one part of all pairs."""
 
-    def run(table: pa.Table) -> pa.Table:
-        level_of, number, gid = (table.column(c).to_numpy() for c in ("level", "number", "gid"))
-        row = int(np.flatnonzero(level_of == 0)[0])
+    def run(chunk: pa.Table, names: pa.Table) -> pa.Table:
+        level_of, number, gid = (names.column(c).to_numpy() for c in ("level", "number", "gid"))
         order = np.argsort(number, kind="stable")  # rows come in any order, and pairs are numbered by that of the names
-        names = [(number[at].astype("i8"), gid[at].astype("i8")) for at in (order[level_of[order] == k] for k in range(1, level))]
-        codes = np.frombuffer(table.column("codes")[row].as_py(), "<i4")
-        left, right, n = pairs_of(codes, table.column("own")[row].as_py(), names)
-        tags = (table.column("chunk")[row].as_py() << BITS) + np.arange(len(n))
+        known = [(number[at], gid[at]) for at in (order[level_of[order] == k] for k in range(1, level))]
+        left = right = n = tags = np.zeros(0, "i8")
+        for row in chunk.to_pylist():
+            left, right, n = pairs_of(np.frombuffer(row["codes"], "<i4"), row["own"], known)
+            tags = (row["chunk"] << BITS) + np.arange(len(n))
+        if parts > 1:
+            mine = ((left * 31 + right).astype("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts) == part
+            left, right, n, tags = left[mine], right[mine], n[mine], tags[mine]
         return pa.table({"tag": tags, "left": left, "right": right, "n": n})
 
     return run
@@ -124,19 +130,19 @@ def frequent_phrases(docs: DataFrame, work: Work, least: int = LEAST, together:
     rows = work.table(docs.select(text, F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).mapInArrow(_writer(together, size), _WRITTEN))
     words = rows.filter("tag is not null").select("tag", "lang", "word", "n")
     totals = work.table(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    codes = rows.filter("chunk is not null").select("chunk", F.lit(0).alias("level"), F.lit(None).cast("int").alias("number"), F.lit(None).cast("long").alias("gid"), "own", "codes")
-    number = F.col("tag").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("number")
-    out, names = [], codes
-    for level in range(1, LONGEST + 1):
-        if level == 1:
-            named = work.table(_named(words, "lang", "word", least=least))
-        else:
-            pairs = names.groupBy("chunk").applyInArrow(_paired(level), "tag long, left long, right long, n long")
-            named = work.table(_named(pairs, "left", "right", least=least))
-        out.append(named.filter("tag = gid").drop("tag"))
-        none = [F.lit(None).cast("int").alias("own"), F.lit(None).cast("binary").alias("codes")]
-        names = names.unionByName(named.select(F.shiftright("tag", BITS).alias("chunk"), F.lit(level).alias("level"), number, "gid", *none))
-    return totals, out
+    out = [work.table(_named(words, "lang", "word", least=least))]
+    codes = work.bucketed(rows.filter("chunk is not null").select("chunk", "own", "codes"), "chunk")
+    work.drop(rows)
+    number = F.col("tag").bitwiseAND(F.lit((1 << BITS) - 1)).alias("number")
+    for level in range(2, LONGEST + 1):
+        names = reduce(DataFrame.unionByName, (t.select(F.shiftright("tag", BITS).alias("chunk"), F.lit(k).alias("level"), number, "gid") for k, t in enumerate(out, 1)))
+        parts = PARTS if level == 2 else 1
+        named = []
+        for part in range(parts):
+            pairs = codes.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(_paired(level, part, parts), "tag long, left long, right long, n long")
+            named.append(work.table(_named(pairs, "left", "right", least=least)))
+        out.append(reduce(DataFrame.unionByName, named))
+    return totals, [t.filter("tag = gid").drop("tag") for t in out]
 
 
 def _spelled(found: list[DataFrame], work: Work) -> list[DataFrame]:
@@ -170,7 +176,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, scale:
 
     Ids are found by a window over pairs, one row for each pair and chunk; nothing is gathered on the driver.
     """
-    with Work(docs.sparkSession) as work:
+    with Work(docs.sparkSession, drop_shuffles=True) as work:
         totals, found = frequent_phrases(docs, work, least, together, size)
         levels = _spelled(found, work)
         kept = []
