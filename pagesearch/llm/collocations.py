@@ -25,9 +25,9 @@ _LOWER = bytes(range(256)).lower()
 _ENDS, _APART = byte_set(PIECE_ENDS), byte_set(PIECE_ENDS + BLANKS)
 #: Bytes of text that are read together and words of a chunk (both change no result); a pair's number within its chunk has BITS bits.
 TOGETHER, CHUNK, BITS = 12 << 20, 1 << 21, 22
-#: Rounds in which the pairs of words are counted, each a part of them by hash: they are many more than longer phrases, and
-#: so only a part is on disk at a time.
-PARTS = 3
+#: Rounds in which the phrases of each length are counted, each a part of them by hash, so that only a part of what is
+#: shuffled is on disk at a time: pairs of words are by far the most.
+PARTS = (2, 4, 2, 1)
 #: Mark of a word that ends its piece.
 _LAST = 1 << 30
 _WRITTEN = "tag long, lang string, word string, n long, chunk long, own int, codes binary"
@@ -130,13 +130,16 @@ def frequent_phrases(docs: DataFrame, work: Work, least: int = LEAST, together:
     rows = work.table(docs.select(text, F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).mapInArrow(_writer(together, size), _WRITTEN))
     words = rows.filter("tag is not null").select("tag", "lang", "word", "n")
     totals = work.table(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    out = [work.table(_named(words, "lang", "word", least=least))]
+    of_part = F.pmod(F.xxhash64("lang", "word"), F.lit(PARTS[0]))
+    out = [reduce(DataFrame.unionByName, [work.table(_named(words.filter(of_part == part), "lang", "word", least=least)) for part in range(PARTS[0])])]
     codes = work.bucketed(rows.filter("chunk is not null").select("chunk", "own", "codes"), "chunk")
     work.drop(rows)
     number = F.col("tag").bitwiseAND(F.lit((1 << BITS) - 1)).alias("number")
     for level in range(2, LONGEST + 1):
-        names = reduce(DataFrame.unionByName, (t.select(F.shiftright("tag", BITS).alias("chunk"), F.lit(k).alias("level"), number, "gid") for k, t in enumerate(out, 1)))
-        parts = PARTS if level == 2 else 1
+        # of all but the longest phrases it is enough to know which ones of the chunk are frequent
+        ids = [F.col("gid") if k == level - 1 else F.lit(0).cast("long").alias("gid") for k in range(1, level)]
+        names = reduce(DataFrame.unionByName, (t.select(F.shiftright("tag", BITS).alias("chunk"), F.lit(k).alias("level"), number, ids[k - 1]) for k, t in enumerate(out, 1)))
+        parts = PARTS[level - 1]
         named = []
         for part in range(parts):
             pairs = codes.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(_paired(level, part, parts), "tag long, left long, right long, n long")
