@@ -6,6 +6,7 @@ import codecs
 import html
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -38,14 +39,41 @@ def fix_utf8(contents: pd.Series) -> pd.Series:
     return contents.map(fix_utf8_text, na_action="ignore")
 
 
-def as_text(data: bytes) -> str:
-    """UTF-8 if the bytes are valid, else Latin-1; UTF-16 by its mark."""
+#: Bytes and characters that are decoded and parsed at a time.
+PIECE = 1 << 20
+
+
+def _pieces(data: memoryview, decoder: codecs.IncrementalDecoder) -> Iterator[str]:
+    for at in range(0, len(data), PIECE):
+        yield decoder.decode(data[at : at + PIECE], at + PIECE >= len(data))
+
+
+def _decoder(data: memoryview, mode: str) -> codecs.IncrementalDecoder:
+    """How a file's bytes become text: repaired if ``mode`` says so, else UTF-16 by its mark, UTF-8 if all bytes are
+    valid, else Latin-1."""
+    if mode in ("regex", "all"):
+        return codecs.getincrementaldecoder("utf-8")("pagesearch-latin1")
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return data.decode("utf-16", "replace")
+        return codecs.getincrementaldecoder("utf-16")("replace")
     try:
-        return data.decode("utf-8-sig")
+        for _ in _pieces(data, codecs.getincrementaldecoder("utf-8-sig")()):
+            pass
+        return codecs.getincrementaldecoder("utf-8-sig")()
     except UnicodeDecodeError:
-        return data.decode("latin-1")
+        return codecs.getincrementaldecoder("latin-1")()
+
+
+def text_pieces(data: bytes, mode: str = "no") -> Iterator[str]:
+    """The text of a file in pieces; only the repairs of one page layout need it whole."""
+    view = memoryview(data)
+    pieces = _pieces(view, _decoder(view, mode))
+    first = next(pieces, "")
+    if "pdf2xml" in first[:500]:
+        whole = fix_pdf2xml_text("".join((first, *pieces)))
+        yield from (whole[at : at + PIECE] for at in range(0, len(whole), PIECE))
+    else:
+        yield first
+        yield from pieces
 
 
 def fix_pdf2xml_text(xml: str) -> str:
@@ -55,9 +83,37 @@ def fix_pdf2xml_text(xml: str) -> str:
     return xml
 
 
+_DECLARATION = re.compile(r"^\s*<\?xml[^>]*\?>")
+
+
+def undeclared(pieces: Iterator[str]) -> Iterator[str]:
+    """Pieces of XML without the declaration, whose charset no longer holds."""
+    yield _DECLARATION.sub("", next(pieces, ""), count=1)
+    yield from pieces
+
+
+class _Nothing:
+    """A target that keeps nothing of what is parsed."""
+
+    def close(self) -> None:
+        pass
+
+
+def well_formed(pieces: Iterator[str]) -> bool:
+    """Whether a strict parser reads the text to its end; nothing of it is kept."""
+    parser = ET.XMLParser(target=_Nothing())
+    try:
+        for piece in undeclared(pieces):
+            parser.feed(piece)
+        parser.close()
+    except (ET.ParseError, ValueError):
+        return False
+    return True
+
+
 def parse_strict(xml: str) -> ET.Element | None:
     try:
-        return ET.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", xml))
+        return ET.fromstring(_DECLARATION.sub("", xml, count=1))
     except (ET.ParseError, ValueError):
         return None
 
@@ -103,11 +159,15 @@ def parse_recovering(xml: str) -> ET.Element | None:
     return root
 
 
+def as_text(data: bytes) -> str:
+    """UTF-8 if the bytes are valid, else Latin-1; UTF-16 by its mark."""
+    view = memoryview(data)
+    return "".join(_pieces(view, _decoder(view, "no")))
+
+
 def load_xml(data: bytes | None, mode: str = "no") -> ET.Element | None:
     """The tree of a file, or None: ``regex`` repairs bytes, ``dom`` recovers markup, ``all`` does both."""
     if not data:
         return None
-    text = fix_utf8_text(data) if mode in ("regex", "all") else as_text(bytes(data))
-    if "pdf2xml" in text[:500]:
-        text = fix_pdf2xml_text(text)
+    text = "".join(text_pieces(data, mode))
     return parse_recovering(text) if mode in ("dom", "all") else parse_strict(text)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import struct
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.text import file_stem, main_type
+from .heads import image_header_size, image_size  # noqa: F401
 
 #: File kinds by falling priority. A "legacy" file is XML whose layout is sniffed first.
 FILE_PRIORITY = {schemas.TSV: 0, schemas.PDF2XML: 1, schemas.ALTO: 2, "legacy": 3}
@@ -82,31 +80,6 @@ def image_sizes(media: DataFrame, probed: DataFrame | None = None) -> DataFrame:
     return rows.select("item_id", number.alias("image_index"), "media_id", pick(direct, nested, F.col("probed_width")).alias("width"), pick(json("$.height"), json("$.dimensions.original.height"), F.col("probed_height")).alias("height"), "source")
 
 
-def image_header_size(data: bytes | None) -> tuple[int, int]:
-    """Width and height from the head of a PNG, GIF or JPEG file; 0, 0 if it is none of them."""
-    data = bytes(data or b"")
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return struct.unpack(">II", data[16:24])
-    if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
-        return struct.unpack("<HH", data[6:10])
-    at = 2
-    while data[:2] == b"\xff\xd8" and at + 9 <= len(data):
-        if data[at] != 0xFF:
-            at += 1
-            continue
-        kind = data[at + 1]
-        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-            return width, height
-        at += 1 if kind == 0xFF else 2 if kind == 0x01 or 0xD0 <= kind <= 0xD9 else 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
-    return 0, 0
-
-
-@F.pandas_udf(T.StructType([T.StructField("width", T.DoubleType()), T.StructField("height", T.DoubleType())]))
-def image_size(contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([image_header_size(c) for c in contents], columns=["width", "height"], dtype="float64")
-
-
 def match_by_name(images: DataFrame, xml_media: DataFrame) -> DataFrame:
     """Each image with the first XML medium of the same file stem; null without one."""
     named = xml_media.withColumn("stem", file_stem(F.col("source"))).groupBy("item_id", "stem").agg(F.min_by("media_id", "position").alias("xml_media_id"))

@@ -66,8 +66,41 @@ IDENTIFIERS = {
 #: Processing instructions that tell nothing of the kind.
 SKIPPED = ("xml-stylesheet", "oxygen")
 _OFFICE = "urn:oasis:names:tc:opendocument:xmlns:office:1.0"
-#: Leading bytes of common formats.
-_MAGIC = ((b"%PDF-", "application/pdf"), (b"PK\x03\x04", "application/zip"), (b"\x89PNG", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"II*\x00", "image/tiff"), (b"MM\x00*", "image/tiff"))
+#: Where and how files of common formats begin.
+_MAGIC = (
+    (0, b"%PDF-", "application/pdf"),
+    (0, b"PK\x03\x04", "application/zip"),
+    (0, b"\x89PNG", "image/png"),
+    (0, b"\xff\xd8\xff", "image/jpeg"),
+    (0, b"GIF8", "image/gif"),
+    (0, b"II*\0", "image/tiff"),
+    (0, b"MM\0*", "image/tiff"),
+    (0, b"II+\0", "image/tiff"),
+    (0, b"MM\0+", "image/tiff"),
+    (8, b"WEBP", "image/webp"),
+    (8, b"WAVE", "audio/x-wav"),
+    (8, b"AVI ", "video/x-msvideo"),
+    (0, b"\0\0\0\x0cjP  ", "image/jp2"),
+    (4, b"ftypheic", "image/heic"),
+    (4, b"ftypavif", "image/avif"),
+    (4, b"ftypM4A", "audio/mp4"),
+    (4, b"ftypqt", "video/quicktime"),
+    (4, b"ftyp", "video/mp4"),
+    (0, b"ID3", "audio/mpeg"),
+    (0, b"\xff\xfb", "audio/mpeg"),
+    (0, b"OggS", "application/ogg"),
+    (0, b"fLaC", "audio/flac"),
+    (0, b"\x1aE\xdf\xa3", "video/webm"),
+    (0, b"%!PS", "application/postscript"),
+    (0, b"{\\rtf", "text/rtf"),
+    (0, b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "application/x-ole-storage"),
+    (0, b"\x1f\x8b", "application/gzip"),
+    (0, b"BZh", "application/x-bzip2"),
+    (0, b"7z\xbc\xaf\x27\x1c", "application/x-7z-compressed"),
+    (0, b"Rar!\x1a\x07", "application/x-rar"),
+    (257, b"ustar", "application/x-tar"),
+    (0, b"AT&TFORM", "image/vnd.djvu"),
+)
 
 
 def identifier_table(spark: SparkSession) -> DataFrame:
@@ -77,9 +110,11 @@ def identifier_table(spark: SparkSession) -> DataFrame:
 
 def magic_type(data: bytes) -> str:
     """The media type that the leading bytes tell."""
-    for head, kind in _MAGIC:
-        if data.startswith(head):
+    for at, head, kind in _MAGIC:
+        if data.startswith(head, at):
             return kind
+    if data[:2] == b"BM" and data[6:10] == bytes(4):
+        return "image/bmp"
     head = data[:512].removeprefix(b"\xef\xbb\xbf").lstrip()
     if head.startswith(b"<?xml"):
         return "text/xml"

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.repair import load_xml
+from ..functions.repair import parse_recovering, text_pieces, undeclared, well_formed
 from ..functions.text import given, number, truthy
 
 _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -44,18 +44,64 @@ def alto_pages(root: ET.Element) -> Iterator[tuple[tuple, list[ET.Element]]]:
     namespace or prefix."""
     for layout in _children(root, "Layout")[:1]:
         for p, page in enumerate(_children(layout, "Page"), 1):
-            yield (str(p), page.get("WIDTH"), page.get("HEIGHT")), [s for s in page.iter() if _NAMES[s.tag] == "String"]
+            yield _alto_page(p, page)
+
+
+def _alto_page(p: int, page: ET.Element) -> tuple[tuple, list[ET.Element]]:
+    return (str(p), page.get("WIDTH"), page.get("HEIGHT")), [s for s in page.iter() if _NAMES[s.tag] == "String"]
 
 
 def pdf2xml_pages(root: ET.Element) -> Iterator[tuple[tuple, list[ET.Element]]]:
     for page in _children(root, "page"):
-        yield (page.get("number"), page.get("width"), page.get("height")), _children(page, "text")
+        yield _pdf2xml_page(page)
+
+
+def _pdf2xml_page(page: ET.Element) -> tuple[tuple, list[ET.Element]]:
+    return (page.get("number"), page.get("width"), page.get("height")), _children(page, "text")
+
+
+def pulled_pages(pieces: Iterable[str], kind: str) -> Iterator[tuple[tuple, list[ET.Element]]]:
+    """What alto_pages() or pdf2xml_pages() give for well-formed text, while it is parsed: a page is freed once it is
+    passed on, and so is all that is no page."""
+    parser = ET.XMLPullParser(("start", "end"))
+    above: list[ET.Element] = []  # the open elements
+    layouts = pages = 0
+    for piece in pieces:
+        parser.feed(piece)
+        for event, e in parser.read_events():
+            if event == "start":
+                above.append(e)
+                layouts += len(above) == 2 and _NAMES[e.tag] == "Layout"
+                continue
+            above.pop()
+            depth, name = len(above), _NAMES[e.tag]
+            if kind == schemas.ALTO and depth == 2 and layouts == 1 and name == "Page" and _NAMES[above[1].tag] == "Layout":
+                pages += 1
+                yield _alto_page(pages, e)
+            elif kind == schemas.PDF2XML and depth == 1 and name == "page":
+                yield _pdf2xml_page(e)
+            if depth in (1, 2) and not (depth == 2 and kind == schemas.PDF2XML):
+                del above[-1][:]
+    parser.close()
 
 
 #: Attributes of a zone's place, in the order of the columns, by kind.
 _PLACES = {schemas.ALTO: ("VPOS", "HPOS", "WIDTH", "HEIGHT"), schemas.PDF2XML: ("top", "left", "width", "height")}
 
 
+#: Rows that a task gathers before it gives them out.
+BATCH = 20_000
+
+
+def _pages(content: bytes | pa.Buffer | None, kind: str, fix_mode: str) -> Iterable[tuple[tuple, list[ET.Element]]]:
+    if not content or kind not in _PLACES:
+        return ()
+    if well_formed(text_pieces(content, fix_mode)):
+        return pulled_pages(undeclared(text_pieces(content, fix_mode)), kind)
+    root = parse_recovering("".join(text_pieces(content, fix_mode))) if fix_mode in ("dom", "all") else None
+    return () if root is None else alto_pages(root) if kind == schemas.ALTO else pdf2xml_pages(root)
+
+
 class _Rows:
     """Columns of page and zone rows; a page row has no zone number."""
 
@@ -63,10 +109,14 @@ class _Rows:
         self.columns: list[list] = [[] for _ in _ARROW]
         self.compat, self.zones = compat, zones
 
-    def file(self, item: int, kind: str, file_no: int, root: ET.Element | None) -> None:
-        pages = () if root is None else alto_pages(root) if kind == schemas.ALTO else pdf2xml_pages(root) if kind == schemas.PDF2XML else ()
+    def file(self, item: int, kind: str, file_no: int, content: bytes | None, fix_mode: str) -> Iterator[pa.RecordBatch]:
+        """Add a file's rows; whenever there are many, they are given out.
+
+        A strict parser reads the text first, keeping nothing, as a file counts as a whole or not at all. If it is well
+        formed its pages are pulled out one by one; if not and markup is to be recovered, they come from a tree.
+        """
         p = 0
-        for p, (page, zones) in enumerate(pages, 1):
+        for p, (page, zones) in enumerate(_pages(content, kind, fix_mode), 1):
             zones = zones if self.zones else []
             n = 1 + len(zones)
             for column, value in zip(self.columns, (item, kind, file_no, p, *page)):
@@ -75,6 +125,8 @@ class _Rows:
             for column, values in zip(self.columns[7:], (range(1, n), texts, *([z.get(a) for z in zones] for a in _PLACES[kind]))):
                 column.append(None)
                 column.extend(values)
+            if len(self.columns[0]) >= BATCH:
+                yield self.batch()
         if not p:
             for column, value in zip(self.columns, (item, kind, file_no, *[None] * 10)):
                 column.append(value)
@@ -88,16 +140,16 @@ class _Rows:
 def parse_files(files: DataFrame, fix_mode: str = "no", compat: bool = False, zones: bool = True) -> DataFrame:
     """Page and zone rows of XML files (item_id, kind, file_no, content), with sizes as the files give them.
 
-    A file that cannot be parsed, or holds no page, gives a single row without a page. Files are parsed one by one, so
-    a task holds one batch of files. Without ``zones`` only pages are listed.
+    A file that cannot be parsed, or holds no page, gives a single row without a page. Files are parsed one by one and
+    page by page, so a task holds one batch of files and the elements of one page. Without ``zones`` only pages are listed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(compat, zones)
         for b in batches:
             for item, kind, file_no, content in zip(*b.columns):
-                rows.file(item.as_py(), kind.as_py(), file_no.as_py(), load_xml(content.as_py(), fix_mode))
-                if len(rows.columns[0]) >= 20_000:
+                yield from rows.file(item.as_py(), kind.as_py(), file_no.as_py(), content.as_buffer() if content.is_valid else None, fix_mode)
+                if len(rows.columns[0]) >= BATCH:
                     yield rows.batch()
         if rows.columns[0]:
             yield rows.batch()
