@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -51,14 +51,28 @@ def texts_so_far(annotations: DataFrame) -> DataFrame:
     return pages.select("query_id", "item_id", "page_no", F.flatten(F.collect_list(F.transform("new", lambda x: x["matched"])).over(upto)).alias("seen"))
 
 
-def metadata_matches(queries: DataFrame, values: DataFrame) -> DataFrame:
+def metadata_postings(values: DataFrame) -> DataFrame:
+    """(item_id, word, media_id, position, text, copies): the different words of each metadata text, cleaned and in lower
+    case; rows that repeat are one with their number. It depends on no query, so it can be made once and stored."""
+    texts = values.groupBy("item_id", "media_id", "position", "text").agg(F.count("*").alias("copies"))
+    words = F.array_distinct(F.split(clean_query(F.lower(F.coalesce("text", F.lit("")))), " "))
+    return texts.select("item_id", F.explode(words).alias("word"), "media_id", "position", "text", "copies").filter("word <> ''")
+
+
+def metadata_matches(queries: DataFrame, values: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """Media whose metadata text holds every word of the query, in any case, as (query_id, item_id, media_id,
-    position). The words are those of the cleaned query."""
-    words = F.split(clean_query(F.lower(trimmed(F.col("q")))), " ")
-    q = queries.select("query_id", F.col("item_id").alias("q_item"), words.alias("words")).filter("q_item is not null and words[0] <> ''")
-    text = F.split(clean_query(F.lower(F.coalesce("text", F.lit("")))), " ")
-    rows = values.withColumn("has", text).join(q, F.col("item_id") == F.col("q_item"))
-    return rows.filter(F.size(F.array_except("words", "has")) == 0).select("query_id", "item_id", "media_id", "position")
+    position). The words are those of the cleaned query.
+
+    A division of relations: words of queries meet the postings of their item in an equi join, and a text matches where
+    as many of the query's words met it as the query has. Texts are split once, however many queries there are.
+    """
+    postings = metadata_postings(values) if postings is None else postings
+    words = F.array_distinct(F.split(clean_query(F.lower(trimmed(F.col("q")))), " "))
+    q = queries.filter("item_id is not null").select("query_id", F.col("item_id").alias("q_item"), words.alias("words")).filter("words[0] <> ''")
+    asked = q.select("query_id", "q_item", F.size("words").alias("needs"), F.explode("words").alias("q_word"))
+    met = postings.join(asked, (F.col("item_id") == F.col("q_item")) & (F.col("word") == F.col("q_word")))
+    whole = met.groupBy("query_id", "item_id", "media_id", "position", "text", "needs").agg(F.count("*").alias("has"), F.first("copies").alias("copies")).filter("has = needs")
+    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("query_id", "item_id", "media_id", "position")
 
 
 def metadata_annotations(found: DataFrame, fulltext: DataFrame, images: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
@@ -108,20 +122,15 @@ def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
 
 
-def responses(queries: DataFrame, annotations: DataFrame, hits: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
-    """(query_id, item_id, status, http_status, message, total, body): one row for each query of ``queries``, which has
-    ``status``; the body is the JSON of the annotation list, or of the error. Objects are checked before they are
-    written: a response with one that lacks a required key is the error 500 and says which."""
-    by = ["query_id", "item_id"]
-    resources = annotations.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("source_rank", "hit", annotation_struct().alias("a")))), lambda x: x["a"]).alias("resources"), F.count("*").alias("total"), F.min(invalid(annotation_struct(), schemas.ANNOTATION_KEYS)).alias("wrong_annotation"))
-    pages = hits.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", hit_struct().alias("h")))), lambda x: x["h"]).alias("hits"), F.min(invalid(hit_struct(), schemas.HIT_KEYS)).alias("wrong_hit"))
-    rows = queries.join(resources, by, "left").join(pages, by, "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    none = lambda c, like: F.coalesce(c, F.array().cast(like))
-    resources_type, hits_type = resources.schema["resources"].dataType, pages.schema["hits"].dataType
+def _list_head(cfg: SearchConfig) -> list[Column]:
+    """What an annotation list begins with, before its resources and hits; of rows with q, item_id and total."""
     uri = F.concat(F.lit(f"{cfg.search_url}/"), F.col("item_id").cast("string"), F.lit("?q="), F.url_encode(F.coalesce("q", F.lit(""))))
     within = F.struct(F.lit(schemas.LAYER_TYPE).alias("@type"), F.col("total"))
-    listed = F.struct(F.lit(schemas.CONTEXT).alias("@context"), uri.alias("@id"), F.lit(schemas.LIST_TYPE).alias("@type"), within.alias("within"), F.lit(0).alias("startIndex"), none(F.col("resources"), resources_type).alias("resources"), none(F.col("hits"), hits_type).alias("hits"))
-    wrong = F.coalesce("wrong_annotation", "wrong_hit", invalid(listed, schemas.LIST_KEYS))
+    return [F.lit(schemas.CONTEXT).alias("@context"), uri.alias("@id"), F.lit(schemas.LIST_TYPE).alias("@type"), within.alias("within"), F.lit(0).alias("startIndex")]
+
+
+def _outcome(wrong: Column) -> tuple[Column, Column, Column]:
+    """(whether a list is the answer, its code, its message) of rows with a status and what is wrong with their list."""
     asked = F.col("status").isin("ok", "blank")
     ok = asked & wrong.isNull()
     message = (
@@ -132,5 +141,64 @@ def responses(queries: DataFrame, annotations: DataFrame, hits: DataFrame, cfg:
         .when(F.col("status") == "not_implemented", F.lit("Direct request to annotation-list is not implemented."))
     )
     code = F.when(ok, 200).when(asked, 500).when(F.col("status") == "not_implemented", 501).when(F.col("status").isin("missing_id", "not_found"), 404).otherwise(400)
-    error = F.struct(F.lit("error").alias("status"), message.alias("message"))
-    return rows.select(*by, "status", code.alias("http_status"), message.alias("message"), "total", F.when(ok, F.to_json(listed)).otherwise(F.to_json(error)).alias("body"))
+    return ok, code, message
+
+
+def _error(message: Column) -> Column:
+    return F.to_json(F.struct(F.lit("error").alias("status"), message.alias("message")))
+
+
+def responses(queries: DataFrame, annotations: DataFrame, hits: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """(query_id, item_id, status, http_status, message, total, body): one row for each query of ``queries``, which has
+    ``status``; the body is the JSON of the annotation list, or of the error. Objects are checked before they are
+    written: a response with one that lacks a required key is the error 500 and says which."""
+    by = ["query_id", "item_id"]
+    resources = annotations.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("source_rank", "hit", annotation_struct().alias("a")))), lambda x: x["a"]).alias("resources"), F.count("*").alias("total"), F.min(invalid(annotation_struct(), schemas.ANNOTATION_KEYS)).alias("wrong_annotation"))
+    pages = hits.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", hit_struct().alias("h")))), lambda x: x["h"]).alias("hits"), F.min(invalid(hit_struct(), schemas.HIT_KEYS)).alias("wrong_hit"))
+    rows = queries.join(resources, by, "left").join(pages, by, "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    none = lambda c, like: F.coalesce(c, F.array().cast(like))
+    resources_type, hits_type = resources.schema["resources"].dataType, pages.schema["hits"].dataType
+    listed = F.struct(*_list_head(cfg), none(F.col("resources"), resources_type).alias("resources"), none(F.col("hits"), hits_type).alias("hits"))
+    wrong = F.coalesce("wrong_annotation", "wrong_hit", invalid(listed, schemas.LIST_KEYS))
+    ok, code, message = _outcome(wrong)
+    return rows.select(*by, "status", code.alias("http_status"), message.alias("message"), "total", F.when(ok, F.to_json(listed)).otherwise(_error(message)).alias("body"))
+
+
+def response_parts(queries: DataFrame, annotations: DataFrame, hits: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """The bodies of responses() in parts: (query_id, item_id, http_status, section, rank, number, part), to be put
+    together in the order of section, rank and number. An annotation or a hit is a part, so no body has to be one row."""
+    by = ["query_id", "item_id"]
+    found = annotations.groupBy(*by).agg(F.count("*").alias("total"), F.min(F.struct("source_rank", "hit")).alias("first_hit"), F.min(invalid(annotation_struct(), schemas.ANNOTATION_KEYS)).alias("wrong_annotation"))
+    pages = hits.groupBy(*by).agg(F.min("page_no").alias("first_page"), F.min(invalid(hit_struct(), schemas.HIT_KEYS)).alias("wrong_hit"))
+    rows = queries.join(found, by, "left").join(pages, by, "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    head = F.struct(*_list_head(cfg))
+    lacks = {k: v for k, v in schemas.LIST_KEYS.items() if k not in ("within", "resources", "hits")}
+    ok, code, message = _outcome(F.coalesce("wrong_annotation", "wrong_hit", invalid(head, lacks)))
+    rows = rows.select(*by, ok.alias("ok"), code.alias("http_status"), F.to_json(head).alias("head"), _error(message).alias("error"), "first_hit", "first_page")
+    part = lambda section, rank, number, text: F.struct(F.lit(section).alias("section"), rank.alias("rank"), number.alias("number"), text.alias("part"))
+    zero = F.lit(0)
+    open_ = F.concat(F.expr("substring(head, 1, char_length(head) - 1)"), F.lit(',"resources":['))
+    frame = F.when(F.col("ok"), F.array(part(0, zero, zero, open_), part(2, zero, zero, F.lit('],"hits":[')), part(4, zero, zero, F.lit("]}")))).otherwise(F.array(part(0, zero, zero, F.col("error"))))
+    frames = rows.select(*by, "http_status", F.explode(frame).alias("p")).select(*by, "http_status", "p.*")
+    asked = rows.filter("ok").select(*by, "http_status", "first_hit", "first_page")
+    comma = lambda first: F.when(first, F.lit("")).otherwise(F.lit(","))
+    a = annotations.join(asked, by)
+    a = a.select(*by, "http_status", part(1, F.col("source_rank"), F.col("hit"), F.concat(comma(F.struct("source_rank", "hit") == F.col("first_hit")), F.to_json(annotation_struct()))).alias("p"))
+    h = hits.join(asked, by)
+    h = h.select(*by, "http_status", part(3, zero, F.col("page_no"), F.concat(comma(F.col("page_no") == F.col("first_page")), F.to_json(hit_struct()))).alias("p"))
+    return reduce(DataFrame.unionByName, (d.select(*by, "http_status", "p.*") for d in (a, h)), frames)
+
+
+def write_responses(parts: DataFrame, folder: str) -> None:
+    """A file of JSON for each request, ``http_status=.../query_id=.../item_id=.../part-...``, a part of it a line; line feeds
+    mean nothing there. A file is written from rows that come sorted, so its size is bounded by no memory; those of a
+    request are one task's."""
+    by = ["http_status", "query_id", "item_id"]
+    rows = parts.repartition(*by).sortWithinPartitions(*by, "section", "rank", "number")
+    rows.select(*by, "part").write.partitionBy(*by).text(folder)
+
+
+def read_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """(query_id, item_id, http_status, body) of what write_responses() wrote."""
+    files = spark.read.schema("value string, http_status int, query_id bigint, item_id bigint").text(folder, wholetext=True)
+    return files.select("query_id", "item_id", "http_status", F.replace("value", F.lit("\n"), F.lit("")).alias("body"))

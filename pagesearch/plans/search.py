@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -12,7 +12,7 @@ from ..config import SearchConfig
 from ..operators.match import contains_join, explode_terms, index_matches, number_hits, request_status, split_valid, xml_matches
 from ..operators.results import boxed, hits_per_page, metadata_annotations, metadata_matches, responses
 from ..operators.trigrams import contains_join_by_grams, gram_counts, gram_table
-from ..sources.media import image_sizes, resolve_sources
+from ..sources.media import image_sizes, mergeable, resolve_sources
 from ..sources.sniff import specify_media_type
 from ..sources.store import Store, Tables, with_bucket
 from ..sources.zones import merge_pages, numeric_zones, page_diagnostics, parse_files, parse_items, read_word_index
@@ -61,12 +61,25 @@ def corpus_from_sources(files: DataFrame, media: DataFrame, contents: DataFrame,
 
 
 def merged_layout(files: DataFrame, folder: str | None = None, cfg: SearchConfig = SearchConfig()) -> DataFrame:
-    """Page and zone rows of items whose files of one layout are merged, written to ``folder`` if one is given."""
-    merged = merge_pages(parse_files(files, cfg.xml_fix_mode, cfg.compat), cfg.all_pages, parse_files(files, cfg.xml_fix_mode, cfg.compat, zones=False))
+    """Page and zone rows of items whose files of one layout are merged.
+
+    With a ``folder`` files are parsed once: their rows are written there as they are, pages are counted from what is
+    written, and numbers are added as the rows are read. Without one they are parsed again for the counts.
+    """
+    parsed = parse_files(files, cfg.xml_fix_mode, cfg.compat)
     if folder is None:
-        return merged
-    merged.write.mode("overwrite").parquet(folder)
-    return files.sparkSession.read.parquet(folder)
+        return merge_pages(parsed, cfg.all_pages, parse_files(files, cfg.xml_fix_mode, cfg.compat, zones=False))
+    parsed.write.mode("overwrite").parquet(folder)
+    return merge_pages(files.sparkSession.read.schema(parsed.schema).parquet(folder), cfg.all_pages)
+
+
+def merged_media(media: DataFrame, contents: DataFrame, folder: str | None = None, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """Page and zone rows of items whose media of the one layout that merges are put together in order of position; media
+    of other types, and empty ones, are no pages. ``contents`` is (media_id, content)."""
+    order = Window.partitionBy("item_id").orderBy("position", "media_id")
+    chosen = mergeable(media).select("item_id", F.lit(schemas.ALTO).alias("kind"), (F.row_number().over(order) - 1).alias("file_no"), "media_id")
+    files = chosen.join(contents.select("media_id", "content"), "media_id").select("item_id", "kind", "file_no", "content")
+    return merged_layout(files, folder, cfg)
 
 
 #: How the rows of each stored table lie within their files.

@@ -766,3 +766,32 @@ def search_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     search.save_zones(corpus, folder, 8)
     found = search.search(search.saved_corpus(corpus, folder), same_query(items, "en"), SearchConfig(min_query_length=2))
     return found.select("query_id", "http_status", "total", "body")
+
+
+_FILES_SQL = ORACLE_SQL["response_json"].replace("doc_id AS item_id, 200 AS http_status, coalesce(total, 0) AS total,", "doc_id AS query_id, 200 AS http_status,")
+
+
+@query(_FILES_SQL)
+def response_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that are written as files, part after part, and read again."""
+    folder = shared_folder(spark)
+    asked = match.request_status(same_query(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")), QUERY))
+    annotations = document_annotations(spark, sf_dir)
+    results.write_responses(results.response_parts(asked, annotations, results.hits_per_page(annotations)), folder)
+    return results.read_responses(spark, folder).select("query_id", "http_status", "body")
+
+
+@query("""WITH m AS (SELECT doc_id % 50 AS item_id, doc_id, doc_id % 7 <> 0 AND doc_id % 5 <> 1 AS merges FROM documents),
+f AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1 AS file_no, doc_id % 4 = 3 AS two FROM m WHERE merges),
+p AS (SELECT item_id, doc_id, (CASE WHEN file_no = 0 THEN 1 ELSE file_no + CASE WHEN first_two THEN 2 ELSE 1 END END)::INT AS page_no, file_no, two FROM (SELECT *, first_value(two) OVER (PARTITION BY item_id ORDER BY doc_id) AS first_two FROM f))
+SELECT item_id, page_no, 'a' || doc_id AS text FROM p UNION ALL SELECT item_id, 2, 'b' || doc_id FROM p WHERE file_no = 0 AND two""")
+def merged_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a medium of one or two pages; the first file of an item adds all its pages, each further one its
+    first. Media of another type, or without bytes, add none."""
+    n = F.col("doc_id").cast("string")
+    one = lambda c: F.concat(F.lit('<Page WIDTH="9" HEIGHT="9"><String CONTENT="'), F.lit(c), n, F.lit(f"{_STRING}/></Page>"))
+    xml = F.concat(F.lit("<alto><Layout>"), one("a"), F.when(F.col("doc_id") % 4 == 3, one("b")).otherwise(F.lit("")), F.lit("</Layout></alto>"))
+    d = table(spark, sf_dir, "documents")
+    m = d.select((F.col("doc_id") % 50).alias("item_id"), F.col("doc_id").alias("media_id"), F.col("doc_id").cast("int").alias("position"), F.when(F.col("doc_id") % 5 == 1, schemas.PDF2XML).otherwise(schemas.ALTO).alias("media_type"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(F.length(xml)).alias("size"))
+    merged = search.merged_media(m, d.select(F.col("doc_id").alias("media_id"), xml.cast("binary").alias("content")), shared_folder(spark))
+    return merged.filter("zone_no is not null").select("item_id", "page_no", "text")

@@ -152,3 +152,49 @@ def test_the_latest_version_of_a_streamed_file_counts(spark, tmp_path):
     number = Store(spark, str(tmp_path / "zones")).manifest().number
     assert run("again") == [(7, "two"), (8, "other")]  # all of it once more
     assert Store(spark, str(tmp_path / "zones")).manifest().number == number == 2
+
+
+def test_metadata_holds_all_words_of_the_query(spark):
+    from pagesearch.functions.text import clean_query
+
+    random.seed(9)
+    words = ["The", "the", "of", "Été", "c++", "a.b", "x", ""]
+    values = spark.createDataFrame([(i, m, m % 4, random.choice([None, "", " ".join(random.choices(words, k=random.randint(1, 5)))])) for i in range(3) for m in range(40)] + [(1, 3, 1, "the of"), (1, 3, 1, "the of"), (1, 3, 1, "of")], "item_id bigint, media_id bigint, position int, text string")
+    asked = spark.createDataFrame([(k, i, q) for k, (i, q) in enumerate((i, q) for i in (0, 1, 2, None) for q in ("the of", "of the the", " été ", "a b", "C++ x", "", "  ", None, "nowhere of"))], "query_id bigint, item_id bigint, q string")
+    split = lambda c: F.split(clean_query(F.lower(F.coalesce(c, F.lit("")))), " ")
+    plain = values.withColumn("has", split(F.col("text"))).join(asked.select("query_id", F.col("item_id").alias("i"), split(F.trim("q")).alias("words")).filter("words[0] <> ''"), F.col("item_id") == F.col("i"))
+    plain = plain.filter(F.size(F.array_except("words", "has")) == 0).select("query_id", "item_id", "media_id", "position")
+    postings = results.metadata_postings(values)
+    for got in (results.metadata_matches(asked, values), results.metadata_matches(asked, postings=postings)):
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and plain.count() > 20
+
+
+def test_files_of_responses_are_their_bodies(spark, tmp_path):
+    import json
+
+    by = "query_id bigint, item_id bigint, "
+    queries = spark.createDataFrame([(1, 7, "a b", "ok"), (2, 7, " ", "blank"), (3, 8, "", "missing_query"), (4, None, "x", "missing_id"), (5, 9, "é&", "ok"), (6, 9, "wrong", "ok")], by + "q string, status string")
+    rows = [(1, 7, 1 if k < 150 else 2, 0, k + 1, f"c\"{k}", f"id{k}", "t") for k in range(300)] + [(1, 7, 1, 1, 301, "", "meta", "t"), (5, 9, 4, 1, 1, "only\nmeta", "m", "t"), (6, 9, 1, 0, 1, "c", "i", None)]
+    annotations = spark.createDataFrame(rows, by + "page_no int, source_rank int, hit int, chars string, id string, target string").withColumn("matched", F.col("chars"))
+    hits = results.hits_per_page(annotations.filter("source_rank = 0"))
+    want = {(r.query_id, r.http_status): json.loads(r.body) for r in results.responses(queries, annotations, hits).collect()}
+    results.write_responses(results.response_parts(queries, annotations, hits), str(tmp_path / "out"))
+    assert {(r.query_id, r.http_status): json.loads(r.body) for r in results.read_responses(spark, str(tmp_path / "out")).collect()} == want
+    files = [os.path.join(d, f) for d, _, fs in os.walk(tmp_path / "out") for f in fs if f.startswith("part-")]
+    assert len(files) == 6 and all(json.loads(open(f).read()) in want.values() for f in files)
+
+
+def test_files_are_parsed_once_where_they_are_merged_into_a_folder(spark, tmp_path):
+    from pagesearch import schemas as S
+    from pagesearch.plans.search import merged_layout
+
+    page = '<Page WIDTH="9" HEIGHT="9"><String CONTENT="{}" HPOS="1" VPOS="1" WIDTH="1" HEIGHT="1"/></Page>'
+    rows = [(i, S.ALTO, k, f"<alto><Layout>{''.join(page.format(f'{i}.{k}.{p}') for p in range(1 + (i + k) % 3))}</Layout></alto>".encode()) for i in range(5) for k in range(4)] + [(1, S.ALTO, 4, b"broken"), (9, S.ALTO, 0, b"<alto/>"), (9, S.ALTO, 1, rows_page(page))]
+    files = spark.createDataFrame(rows, "item_id bigint, kind string, file_no int, content binary")
+    got = merged_layout(files, str(tmp_path / "parsed"))
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, merged_layout(files).select(*got.columns).collect())) and got.count() > 20
+
+
+def rows_page(page):
+    return f"<alto><Layout>{page.format('later')}</Layout></alto>".encode()
