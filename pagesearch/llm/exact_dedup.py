@@ -112,9 +112,20 @@ def _batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(first, pa.binary()), pa.array(run, pa.binary())], ["holder", "first", "run"])
 
 
+#: Holders at most: a digest's first bytes tell its holder in each round.
+MOST_HOLDERS = 1 << 16
 _PIECES = "holder int, first binary, run binary"
 
 
+def rounds_for(partitions: int, fan_in: int = FAN_IN) -> int:
+    """Two rounds at least, and so many that there are about as many holders as partitions, but no more than can be. With
+    more partitions than that a holder has more runs to merge, still piece by piece."""
+    most = 1
+    while fan_in ** (most + 1) <= MOST_HOLDERS:
+        most += 1
+    return min(most, max(2, round(math.log(max(2, partitions), fan_in))))
+
+
 def merge_runs(rows: DataFrame, rounds: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """One row for each text: digest, check, n_bare, the row that stays (keep_id, keep_row) and group_size.
 
@@ -126,10 +137,10 @@ def merge_runs(rows: DataFrame, rounds: int | None = None, fan_in: int = FAN_IN)
     """
     if rounds is None:
         partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rounds = max(2, round(math.log(max(2, partitions), fan_in)))
+        rounds = rounds_for(partitions, fan_in)
     holders = fan_in**rounds
-    if holders > 1 << 16:
-        raise ValueError(f"{holders} holders are more than 65,536")
+    if holders > MOST_HOLDERS:
+        raise ValueError(f"{holders} holders are more than {MOST_HOLDERS}")
 
     def entries(b: pa.RecordBatch) -> np.ndarray:
         out = np.zeros(b.num_rows, ENTRY)

@@ -128,8 +128,8 @@ def share(spark: SparkSession, array: DigestArray) -> str:
     """Give every node a copy of the list, through Spark; its name there."""
     name = f"rules-{hashlib.sha256(array.packed).hexdigest()[:32]}"
     path = os.path.join(SparkFiles.getRootDirectory(), name)
-    if not os.path.exists(path):
-        array.save(path)
+    if not any(f.rstrip("/").rpartition("/")[2] == name for f in spark.sparkContext.listFiles):
+        array.save(path)  # anew, as an earlier call may have stopped here
         spark.sparkContext.addFile(path)
     return name
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from pagesearch.llm import collocations, decontamination, exact_dedup, license_scan, quality_rules, simhash, source_mixing, suffix_dedup, token_alignment, token_counts, token_output, toxicity, url_filter
@@ -481,6 +482,23 @@ def test_one_row_of_each_group_is_kept(make_docs):
     assert sorted((r.text_sha256, r.doc_id) for r in got if r.kept) == sorted((h, i) for h, (i, _) in want.items())
 
 
+def test_any_number_of_partitions_has_its_rounds():
+    for fan_in in (2, 3, 8):
+        for partitions in (1, 2, 200, 5000, 92_682, 10**6, 10**9):
+            rounds = exact_dedup.rounds_for(partitions, fan_in)
+            assert 2 <= rounds and fan_in**rounds <= exact_dedup.MOST_HOLDERS and (partitions < fan_in**2 or fan_in**rounds * fan_in >= min(partitions, exact_dedup.MOST_HOLDERS))
+
+
+def test_a_list_that_was_saved_but_not_added_is_added(spark):
+    array = url_filter.DigestArray([("block", "once.example", "/")])
+    name = f"rules-{hashlib.sha256(array.packed).hexdigest()[:32]}"
+    with open(os.path.join(SparkFiles.getRootDirectory(), name), "wb") as f:
+        f.write(b"cut short")
+    pages = spark.createDataFrame([(1, "http://a.once.example/x")], "page_id long, url string")
+    for _ in range(2):
+        assert url_filter.url_filter(pages, [("block", "once.example", "/")]).first().verdict == "block"
+
+
 @pytest.mark.parametrize("rounds,fan_in", [(1, 2), (3, 2), (2, 3), (2, 8)])
 def test_rounds_merge_sorted_runs(make_docs, monkeypatch, rounds, fan_in):
     monkeypatch.setattr(exact_dedup, "PIECE", 5)
