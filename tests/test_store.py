@@ -198,3 +198,31 @@ def test_files_are_parsed_once_where_they_are_merged_into_a_folder(spark, tmp_pa
 
 def rows_page(page):
     return f"<alto><Layout>{page.format('later')}</Layout></alto>".encode()
+
+
+def test_only_new_files_are_read(spark, tmp_path):
+    from pagesearch import schemas as S
+    from pagesearch.sources import listing
+    from pagesearch.streaming.ingest import refresh_files, streamed_zones
+
+    xml = '<alto><Layout><Page WIDTH="9" HEIGHT="9"><String CONTENT="{}" HPOS="1" VPOS="1" WIDTH="1" HEIGHT="1"/></Page></Layout></alto>'
+    for k in range(20):
+        folder = tmp_path / "in" / f"d{k % 3}" / "deep" if k else tmp_path / "in"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{k}.xml").write_text(xml.format(f"w{k}"))
+        os.utime(folder / f"{k}.xml", (1000, 1000))
+    store = Store(spark, str(tmp_path / "zones"))
+    texts = lambda: sorted(r.text for r in streamed_zones(spark, str(tmp_path / "zones")).collect())
+    listed = {r.path: r for r in listing.listed_files(spark, [f"file:{tmp_path}/in", str(tmp_path / "none")]).collect()}
+    assert len(listed) == 20 and all(p.startswith("file:") and r.length > 100 and r.modified.timestamp() == 1000 for p, r in listed.items())
+    assert refresh_files(store, [f"file:{tmp_path}/in"], S.ALTO) == (20, 0) and len(texts()) == 20
+    assert refresh_files(store, [f"file:{tmp_path}/in"], S.ALTO) == (0, 0) and store.manifest().number == 1
+    (tmp_path / "in" / "d1" / "deep" / "1.xml").write_text(xml.format("changed"))
+    (tmp_path / "in" / "d1" / "deep" / "77.xml").write_text(xml.format("new"))
+    (tmp_path / "in" / "d2" / "deep" / "2.xml").unlink()
+    assert refresh_files(store, [f"file:{tmp_path}/in"], S.ALTO) == (2, 1)
+    assert texts() == sorted([*(f"w{k}" for k in range(20) if k not in (1, 2)), "changed", "new"])
+    known = listing.listed_files(spark, [str(tmp_path / "in")])
+    assert listing.changed_files(known, known.filter("path not like '%/77.xml'")).count() == 1
+    missing = spark.createDataFrame([(str(tmp_path / "gone"),)], "path string")
+    assert [r.content for r in listing.read_files(missing).collect()] == [None]
