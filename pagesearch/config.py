@@ -9,7 +9,8 @@ from dataclasses import dataclass
 class SearchConfig:
     """``compat`` gives the literal results of older installations where they differ from the intended ones:
     escaped symbols in ``chars``, undecoded entities in pdf2xml text, and per-page matches that accumulate over the
-    pages of a word index."""
+    pages of a word index. ``split_items`` numbers the hits of one query in one item in many tasks, for items with tens of
+    millions of hits; counting them first means that zones are matched twice."""
 
     min_query_length: int = 3
     search_media_values: bool = True
@@ -17,6 +18,7 @@ class SearchConfig:
     xml_fix_mode: str = "no"
     compat: bool = False
     all_pages: bool = False
+    split_items: bool = False
     base_url: str = "https://example.org/iiif"
     search_url: str = "https://example.org/search"
 

@@ -135,8 +135,8 @@ def search_matches(corpus: Corpus, queries: DataFrame, cfg: SearchConfig = Searc
     terms = explode_terms(request_status(queries).filter("status = 'ok'"), cfg)
     from_xml, bad_xml = split_valid(xml_matches(corpus.zones, terms, corpus.images, cfg, zones_with_terms(corpus, terms)))
     from_index, bad_index = split_valid(index_matches(corpus.words, terms, corpus.images))
-    xml = boxed(number_hits(from_xml, "page_no", "zone_no", "term_no", within=[F.col("page_no")]), cfg)
-    index = boxed(number_hits(from_index, "line_no", "position_no", within=[F.col("line_no"), F.expr("position_no div 65536")]), cfg)
+    xml = boxed(number_hits(from_xml, "page_no", "zone_no", "term_no", within=[F.col("page_no")] if cfg.split_items else None), cfg)
+    index = boxed(number_hits(from_index, "line_no", "position_no", within=[F.col("line_no"), F.expr("position_no div 65536")] if cfg.split_items else None), cfg)
     fulltext = xml.unionByName(index)
     hits = hits_per_page(xml).unionByName(hits_per_page(index, cumulative=True)) if cfg.compat else hits_per_page(fulltext)
     annotations = fulltext

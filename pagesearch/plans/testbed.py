@@ -84,7 +84,7 @@ def document_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = document_zones(spark, sf_dir)
     terms = match.explode_terms(same_query(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")), QUERY))
     valid, _ = match.split_valid(match.xml_matches(z, terms, document_images(spark, sf_dir)))
-    return results.boxed(match.number_hits(valid, "page_no", "zone_no", "term_no", within=[F.col("page_no")]))
+    return results.boxed(match.number_hits(valid, "page_no", "zone_no", "term_no"))
 
 
 @query(f"WITH {ZONES_SQL} SELECT item_id, hit, page_no, chars, matched, x, y, w, h, id FROM annotations")
@@ -92,6 +92,14 @@ def flagship_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_annotations(spark, sf_dir).select("item_id", "hit", "page_no", "chars", "matched", "x", "y", "w", "h", "id")
 
 
+@query(f"WITH {ZONES_SQL} SELECT item_id, hit, page_no, zone_no, term_no FROM found")
+def hits_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits numbered page by page, with the counts of the pages before."""
+    terms = match.explode_terms(same_query(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")), QUERY))
+    valid, _ = match.split_valid(match.xml_matches(document_zones(spark, sf_dir), terms, document_images(spark, sf_dir)))
+    return match.number_hits(valid, "page_no", "zone_no", "term_no", within=[F.col("page_no")]).select("item_id", "hit", "page_no", "zone_no", "term_no")
+
+
 @query(f"WITH {ZONES_SQL} SELECT item_id, page_no, string_agg(id, ' ' ORDER BY hit) AS annotations FROM annotations GROUP BY ALL")
 def hits_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.hits_per_page(document_annotations(spark, sf_dir)).select("item_id", "page_no", F.array_join("annotations", " ").alias("annotations"))
@@ -221,7 +229,7 @@ def index_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = match.explode_terms(same_query(words, "THE that élle of"))
     none = spark.createDataFrame([], schemas.IMAGES)
     valid, _ = match.split_valid(match.index_matches(words, terms, none))
-    return results.boxed(match.number_hits(valid, "line_no", "position_no", within=[F.col("line_no"), F.expr("position_no div 65536")]))
+    return results.boxed(match.number_hits(valid, "line_no", "position_no"))
 
 
 _LOOKUP_SQL = f"""{_INDEX_SQL},
