@@ -1,4 +1,4 @@
-"""Benchmark decontamination: counts of rare words find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare n-grams of items join passages of documents, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -7,111 +7,130 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import id_and_text
+from .common import Work, id_and_text, materialize, unused
 
-WORD = re.compile(r"\w+")
+WORD, BETWEEN = re.compile(r"\w+"), re.compile(r"\W")
 #: A match adds 1, a substitution or a gap takes this. A copy with a fifth of its words replaced has a score of
 #: 0.8 - 0.2 * PENALTY = 0.75 for each word of the item.
 PENALTY, SCORE = 0.25, 0.75
 #: Words of documents that are looked up together, or one document.
 TOGETHER = 1 << 16
-#: Bytes of items that are searched in one pass over the documents; a task holds them as words.
-BLOCK = 1 << 24
 #: Items with fewer words count only as they are, word by word, since edits would leave nothing of them.
 SHORT = 5
-#: Share of an item's words that are searched for, its rarest, beyond the share that an alignment may leave unmatched.
-SPARE = 0.25
+#: A seed is two words of which the second follows within this many places.
+REACH = 4
+#: A passage holds one seed for each so many words of its item, or more, wherever the item has enough of them.
+WORDS_A_SEED = 8
+#: A filter has at most 2 to this power bits (32 MB); with more keys it only lets more through to the join.
+BITS = 28
+#: Hashes of words that a worker keeps; characters of a long text that are split at a time.
+KEPT, SLICE = 1 << 18, 1 << 20
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-class Items:
-    """The searched items: their words as ids, and the items that each rare word belongs to."""
-
-    def __init__(self, rows: list[tuple[int, str]], threshold: float):
-        """``rows``: id and words of items that differ, as distinct_items() gives them."""
-        words = [text.split(" ") for _, text in rows]
-        self.item_ids = [item for item, _ in rows]
-        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for ws in words for w in ws}))}
-        self.words = [np.array([self.vocabulary[w] for w in ws], "i4") for ws in words]
-        #: The score for each word that makes a passage count.
-        self.bounds = [1.0 if len(ws) < SHORT else threshold for ws in words]
-
-    def ids(self, text: str) -> np.ndarray:
-        found = words_of(text)
-        get = self.vocabulary.get
-        return np.fromiter((get(w, 0) for w in found), "i4", len(found))
-
-    def choose_words(self, counts: dict[int, int]) -> None:
-        """Choose the rarest words of each item, so many that every passage at its bound holds some of them.
-
-        An alignment that matches m of n item words, in a passage of w, scores at most (1 + PENALTY) * m - PENALTY * w, so
-        at most n * (1 - bound) words are unmatched. That bounds how many of the chosen words stand in the passage
-        (``least``) and, with w, how near to each other (``needed``). ``slack`` is the most words that gaps can have.
-        """
-        often = np.zeros(len(self.vocabulary) + 1)
-        for i, n in counts.items():
-            often[i] = n
-        self.slack = np.array([max(0, int(len(w) * (1 - bound) / PENALTY + 1e-6)) for w, bound in zip(self.words, self.bounds)], "i8")
-        self.least, self.needed = np.zeros(len(self.words), "i8"), np.zeros(len(self.words))
-        words, items, firsts, lasts = ([np.empty(0, "i8")] for _ in range(4))
-        for k, (ids, bound) in enumerate(zip(self.words, self.bounds)):
-            n, unmatched = len(ids), min(1.0, max(0.0, 1 - bound))
-            rarest = ids[np.argsort(often[ids], kind="stable")[: max(1, int(np.ceil(min(1.0, unmatched + SPARE) * n)))]]
-            places = np.flatnonzero(np.isin(ids, rarest))
-            one, first = np.unique(ids[places], return_index=True)
-            _, last = np.unique(ids[places][::-1], return_index=True)
-            self.least[k] = max(1, int(np.ceil(len(places) - unmatched * n - 1e-6)))
-            self.needed[k] = (1 + PENALTY) * (len(places) - n) + bound * n - 1e-3
-            words.append(one)
-            items.append(np.full(len(one), k))
-            firsts.append(places[first])
-            lasts.append(places[::-1][last])
-        words, items, firsts, lasts = map(np.concatenate, (words, items, firsts, lasts))
-        order = np.argsort(words, kind="stable")
-        self.items, self.firsts, self.lasts = items[order], firsts[order], lasts[order]
-        self.starts = np.searchsorted(words[order], np.arange(len(self.vocabulary) + 2))
-
-    def passages(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-        """(text, item, first word, end) of the stretches that hold every passage whose score can reach its item's bound."""
-        ids = np.concatenate([np.empty(0, "i4"), *texts])
-        lengths = np.array([len(t) for t in texts], "i8")
-        postings = np.diff(self.starts)
-        rare = np.flatnonzero((postings > 0)[ids])
-        begin, n = self.starts[ids[rare]], postings[ids[rare]]
-        post = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
-        row = np.repeat(np.arange(len(texts)), lengths)[rare]
-        pos = rare - (np.cumsum(lengths) - lengths)[row]
-        row, pos, item = np.repeat(row, n), np.repeat(pos, n), self.items[post]
-        group = row * len(self.words) + item
-        keep = np.flatnonzero(np.bincount(group, minlength=1)[group] >= self.least[item])
-        keep = keep[np.argsort(group[keep], kind="stable")]  # positions ascend within a group
-        if not len(keep):
-            return []
-        # the best stretch from a hit at or before each one to one at or after it, by 1 a hit and -PENALTY any other word
-        new = np.concatenate(([True], np.diff(group[keep]) > 0))
-        number, at = np.cumsum(new) - 1, pos[keep]
-        rank = np.arange(len(keep)) - np.flatnonzero(new)[number]
-        apart = number * 2.0 ** np.ceil(np.log2((1 + PENALTY) * (len(keep) + 1) + PENALTY * (int(at.max()) + 1)) + 1)  # groups stay apart
-        before = (1 + PENALTY) * rank - PENALTY * at
-        low = np.minimum.accumulate(before - apart)
-        high = np.maximum.accumulate((before + 1 - apart)[::-1])[::-1]
-        keep = keep[high - low >= self.needed[item[keep]]]
-        if not len(keep):
-            return []
-        at, k = pos[keep], item[keep]
-        new = np.concatenate(([True], np.diff(group[keep]) > 0))
-        span = np.array([len(w) for w in self.words]) + self.slack
-        first = np.flatnonzero(new | np.concatenate(([True], np.diff(at) > span[k[1:]])))
-        a = np.minimum.reduceat(at - self.lasts[post[keep]] - self.slack[k], first)
-        b = np.maximum.reduceat(at - self.firsts[post[keep]] + span[k], first)
-        rows = row[keep][first]
-        return list(zip(rows.tolist(), k[first].tolist(), np.maximum(a, 0).tolist(), np.minimum(b, lengths[rows]).tolist()))
+class Hashes(dict):
+    """The 64-bit hash of each word; the words seen are kept, and forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, text: str) -> np.ndarray:
+        """Hashes of the words of a text, of which one slice at a time becomes strings."""
+        low, at, parts = text.lower(), 0, []
+        while at < len(low):
+            stop = BETWEEN.search(low, at + SLICE) if len(low) - at > SLICE else None
+            to = stop.start() if stop else len(low)
+            found = WORD.findall(low, at, to)
+            parts.append(np.fromiter(map(self.__getitem__, found), "u8", len(found)))
+            at = to
+        return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, "u8"), *parts])
+
+    def blocks(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words of several texts after one another: their hashes, the text that each is in and its place there."""
+        held: list[np.ndarray] = []
+        for k, text in enumerate(texts):
+            held.append(self.of(text))
+            if k + 1 == len(texts) or sum(map(len, held)) >= TOGETHER:
+                lengths = np.array([len(h) for h in held])
+                row = np.repeat(np.arange(len(held)), lengths)
+                yield np.concatenate(held), row + (k + 1 - len(held)), np.arange(len(row)) - (np.cumsum(lengths) - lengths)[row]
+                held = []
+
+
+def gram(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """The key of a seed of two words; a seed of one word has 0 for the other."""
+    b = np.asarray(b, "u8")
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0x165667B19E3779F9)
+    return (x ^ (x >> np.uint64(29))).view("i8")
+
+
+class Filter:
+    """Bits by the first bits of 64-bit keys: a key whose bit is not set is none of those that it was made from."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.shift = words, np.uint64(64 - bits)
+
+    @classmethod
+    def of(cls, keys: DataFrame, most: int) -> Filter:
+        """From the only column of ``keys``; Spark sets the bits, so the driver gets 2 ** (most - 6) words or fewer."""
+        bits = min(most, max(10, (16 * keys.count()).bit_length()))
+        slot = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - bits)
+        words = keys.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+        got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        out = np.zeros(1 << (bits - 6), "i8")
+        out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return cls(out.view("u8"), bits)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys.view("u8") >> self.shift
+        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def seeds_in(keys: Filter, single: bool, words: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, key) of the seeds of texts that the filter lets through; ``single``: also those of one word."""
+    at, found = [], []
+    for apart in range(0 if single else 1, REACH + 1):
+        key = gram(words[: max(0, len(words) - apart)], words[apart:] if apart else 0)
+        ok = np.flatnonzero((row[apart:] == row[: max(0, len(row) - apart)]) & keys.has(key))
+        at.append(ok)
+        found.append(key[ok])
+    at = np.concatenate(at)
+    return row[at], place[at], np.concatenate(found)
+
+
+def seeds_needed(n: int, bound: float) -> tuple[int, int]:
+    """How many seeds an item of ``n`` words takes, and how many of these every passage at its bound holds.
+
+    Seeds are pairs of neighbouring item words, each word in one pair. A passage may lose n * (1 - bound) of the score:
+    at least 1 for an item word without a match, which spoils one pair at most, and PENALTY for a word put between. A
+    pair whose words match is a seed of the passage unless REACH words or more were put between them.
+    """
+    if n == 1:
+        return 1, 1
+    lose = n * (1 - bound) + 1e-6
+    gone = np.arange(int(lose) + 1)
+    spoilt = int((gone + ((lose - gone) / PENALTY // REACH).astype("i8")).max())
+    taken = min(n // 2, spoilt + max(1, n // WORDS_A_SEED))
+    if taken <= spoilt:
+        raise ValueError(f"a bound of {bound} is too low for seeds to reach every passage")
+    return taken, taken - spoilt
+
+
+def slack(n: int, bound: float) -> int:
+    """The most words that gaps of a passage can have."""
+    return int((n * (1 - bound) + 1e-6) / PENALTY)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,76 +164,169 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def search(items: Items, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
-    """(row, best item id, score, number of items, word after the passage) of the texts that hold an item."""
-    owner, which, passages = [], [], []
-    held: list[np.ndarray] = []
-    for row, text in enumerate(texts):
-        held.append(items.ids(text))
-        if row + 1 < len(texts) and sum(map(len, held)) < TOGETHER:
-            continue
-        for r, k, a, b in items.passages(held):
-            owner.append((row + 1 - len(held) + r, a))
-            which.append(k)
-            passages.append(held[r][a:b])
-        held = []
-    score, end = align([items.words[k] for k in which], passages)
-    found: dict[int, dict[int, tuple[float, int]]] = {}
-    for (row, a), k, s, e in zip(owner, which, score.tolist(), end.tolist()):
-        s /= len(items.words[k])
-        if s >= items.bounds[k]:
-            best = found.setdefault(row, {})
-            best[k] = min(best.get(k, (0.0, 0)), (-s, a + e))
-    out = []
-    for row, best in sorted(found.items()):
-        s, i, e = min((s, items.item_ids[k], e) for k, (s, e) in best.items())
-        out.append((row, i, -s, len(best), e))
-    return out
+def bound_of(n: int, threshold: float) -> float:
+    return 1.0 if n < SHORT else threshold
 
 
 def distinct_items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words): the words of each item with single spaces; items with the same words are one, under their
-    smallest id. Items without an id, a text or a word are left out."""
+    """(item_id, words, item): the words of each item with single spaces and their hash; items with the same words are
+    one, under their smallest id. Items without an id, a text or a word are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(words_of(t)) for t in b.column(1).to_pylist()], pa.string())], ["item_id", "words"])
 
     slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    return slim.mapInArrow(run, "item_id long, words string").filter("words <> ''").groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words")
+    return slim.mapInArrow(run, "item_id long, words string").filter("words <> ''").groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words", F.xxhash64("words").alias("item"))
+
+
+def item_pairs(items: DataFrame, threshold: float) -> DataFrame:
+    """(item_id, item, n, place, seed, taken, least): the pairs of neighbouring words of each item, and the numbers of
+    seeds_needed()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for whole in batches:
+            for k in range(whole.num_rows):
+                item_id, words, item = (c[k].as_py() for c in whole.columns)
+                ids = hashes.of(words)
+                n, m = len(ids), max(1, len(ids) // 2)
+                taken, least = seeds_needed(n, bound_of(n, threshold))
+                seed = gram(ids, 0) if n == 1 else gram(ids[0 : 2 * m : 2], ids[1 : 2 * m : 2])
+                same = [pa.array(np.full(m, v, "i8")) for v in (item_id, item, n, taken, least)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(2 * np.arange(m)), pa.array(seed)], ["item_id", "item", "n", "taken", "least", "place", "seed"])
+
+    return items.mapInArrow(run, "item_id long, item long, n long, taken long, least long, place long, seed long")
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, block: int = BLOCK) -> Iterator[Items]:
-    """The benchmark in blocks of ``block`` bytes, each with words chosen by their counts over all documents."""
+def counted(texts: DataFrame, keys: Filter, single: bool) -> DataFrame:
+    """(seed, times) over all texts, for the seeds that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                for block in hashes.blocks(b.column(0).slice(at, 512).to_pylist()):
+                    seed, times = np.unique(seeds_in(keys, single, *block)[2], return_counts=True)
+                    if len(seed):
+                        yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(times)], ["seed", "times"])
 
-    def counted(rows: list[tuple[int, str]]) -> Items:
-        items = Items(rows, threshold)
+    return texts.select("text").mapInArrow(run, "seed long, times long").groupBy("seed").agg(F.sum("times").alias("times"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(items.vocabulary) + 1, "i8")
-            for b in batches:
-                for at in range(0, b.num_rows, 32):
-                    ids = [items.ids(t.as_py()) for t in b.column(0).slice(at, 32)]
-                    total += np.bincount(np.concatenate(ids), minlength=len(total))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype="i4")), pa.array(total)], ["id", "n"])
 
-        got = id_and_text(docs).select("text").mapInArrow(run, "id int, n long").filter("n > 0").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each word of the block
-        items.choose_words({r.id: r.n for r in got})
-        return items
+def rare_seeds(pairs: DataFrame, times: DataFrame) -> DataFrame:
+    """(seed, item_id, item, n, least, first, last, weight): the rarest pairs of each item. A pair that an item has at
+    several places is one row with the first and last of them and their number."""
+    rank = F.row_number().over(Window.partitionBy("item_id", "item").orderBy("times", "place"))
+    some = pairs.join(times, "seed", "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("rank", rank).filter("rank <= taken")
+    return some.groupBy("seed", "item_id", "item", "n", "least").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("weight"))
 
-    rows: list[tuple[int, str]] = []
-    size = 0
-    for r in distinct_items(benchmark).orderBy("item_id", "words").toLocalIterator():
-        rows.append((r.item_id, r.words))
-        size += len(r.words)
-        if size >= block:
-            yield counted(rows)
-            rows, size = [], 0
-    if rows:
-        yield counted(rows)
 
+def places(texts: DataFrame, keys: Filter, single: bool) -> DataFrame:
+    """(h, digest, seed, at): where each text has seeds; texts that are equal are one."""
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, block: int = BLOCK) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                b = whole.slice(begin, 512)
+                for block in hashes.blocks(b.column(2).to_pylist()):
+                    row, place, seed = seeds_in(keys, single, *block)
+                    if not len(row):
+                        continue
+                    order = np.lexsort((place, seed, row))
+                    row, place, seed = row[order], place[order], seed[order]
+                    first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(seed) != 0))))
+                    at = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place, pa.int32()))
+                    one = pa.array(row[first])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(one), b.column(1).take(one), pa.array(seed[first]), at], ["h", "digest", "seed", "at"])
+
+    found = texts.select("h", "digest", "text").mapInArrow(run, "h long, digest binary, seed long, at array<int>")
+    return found.groupBy("h", "digest", "seed").agg(F.first("at").alias("at"))
+
+
+def candidates(texts: DataFrame, benchmark: DataFrame, threshold: float, bits: int) -> DataFrame | None:
+    """(h, digest, found): for each different text the items of which it has enough seeds, with these seeds and the
+    item's words; kept as a checkpoint. None if there is nothing to search for."""
+    with Work(texts.sparkSession) as work:
+        items = work.table(distinct_items(benchmark))
+        pairs = work.table(item_pairs(items, threshold))
+        single = bool(pairs.filter("n = 1").take(1))
+        if not items.take(1):
+            return None
+        times = counted(texts, Filter.of(pairs.select("seed").distinct(), bits), single)
+        seeds = work.table(rare_seeds(pairs, times))
+        hits = places(texts, Filter.of(seeds.select("seed").distinct(), bits), single).join(seeds, "seed")
+        enough = hits.groupBy("h", "digest", "item_id", "item", "n", "least").agg(F.sum("weight").alias("held"), F.collect_list(F.struct("first", "last", "weight", "at")).alias("seeds")).filter("held >= least")
+        found = enough.join(items, ["item_id", "item"]).groupBy("h", "digest").agg(F.collect_list(F.struct("item_id", "words", "least", "seeds")).alias("found"))
+        return materialize(found)
+
+
+def passages(n: int, bound: float, least: int, seeds: list[dict]) -> list[tuple[int, int]]:
+    """(first word, end) of the stretches of a text that hold every passage of an item of ``n`` words at its bound."""
+    extra = slack(n, bound)
+    size = [len(s["at"]) for s in seeds]
+    at = np.concatenate([np.asarray(s["at"], "i8") for s in seeds])
+    first, last, weight = (np.repeat(np.array([s[c] for s in seeds]), size) for c in ("first", "last", "weight"))
+    order = np.argsort(at, kind="stable")
+    at, first, last, weight = at[order], first[order], last[order], weight[order]
+    before = np.concatenate(([0], np.cumsum(weight)))
+    near = before[np.searchsorted(at, at + n + extra, "right")] - before[np.searchsorted(at, at - n - extra, "left")]
+    keep = near >= least
+    at, first, last = at[keep], first[keep], last[keep]
+    if not len(at):
+        return []
+    new = np.flatnonzero(np.concatenate(([True], np.diff(at) > n + extra)))
+    return list(zip(np.maximum(np.minimum.reduceat(at - last - extra, new), 0).tolist(), np.maximum.reduceat(at - first + n + extra, new).tolist()))
+
+
+def search(rows: list[tuple[str, list[dict]]], threshold: float) -> list[tuple[int, int, float, int, int]]:
+    """(row, best item id, score, number of items, word after the passage) of the texts that hold an item; ``rows``: texts
+    with what candidates() found for them."""
+    hashes = Hashes()
+    owner, words, parts = [], [], []
+    for row, (text, found) in enumerate(rows):
+        ids = None
+        for k, item in enumerate(found):
+            own = hashes.of(item["words"])
+            for a, b in passages(len(own), bound_of(len(own), threshold), item["least"], item["seeds"]):
+                ids = hashes.of(text) if ids is None else ids
+                owner.append((row, k, a))
+                words.append(own)
+                parts.append(ids[a:b])
+    best: dict[int, dict[int, tuple[float, int]]] = {}
+    score, end = align(words, parts)
+    for (row, k, a), own, s, e in zip(owner, words, score.tolist(), end.tolist()):
+        if s / len(own) >= bound_of(len(own), threshold):
+            held = best.setdefault(row, {})
+            held[k] = min(held.get(k, (0.0, 0)), (-s / len(own), a + e))
+    out = []
+    for row, held in sorted(best.items()):
+        s, i, e = min((s, rows[row][1][k]["item_id"], e) for k, (s, e) in held.items())
+        out.append((row, i, -s, len(held), e))
+    return out
+
+
+def keyed(docs: DataFrame, h: str, digest: str) -> DataFrame:
+    """``docs`` with two more columns, a hash and a digest of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({h: F.xxhash64(text), digest: F.unhex(F.sha2(text, 256))})
+
+
+def let_through(docs: DataFrame, h: str, keys: Filter, through: bool = True) -> DataFrame:
+    """The rows that the filter lets through, or the others."""
+    at = docs.columns.index(h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = keys.has(b.column(at).to_numpy()) == through
+            if ok.any():
+                yield b.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def decontamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, bits: int = BITS) -> DataFrame:
     """The documents that hold a benchmark item, exact or edited: doc_id, item_id, score, n_items, end_word.
 
     item_id is the item that scores best, the smallest of equals; n_items counts the items at or above their bound;
@@ -224,42 +336,45 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SC
     count as empty. Rows that share a doc_id, null too, come out as one, with the best of them. An empty table on either
     side gives an empty result; other columns are ignored.
     """
-    found = None
-    for items in prepared(docs, benchmark, threshold, block):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    b = whole.slice(at, 512)
-                    hits = search(items, b.column(1).to_pylist())
-                    row, item, score, n, end = zip(*hits) if hits else ((),) * 5
-                    columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(end, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "n_items", "end_word"])
-
-        part = id_and_text(docs).mapInArrow(run, "doc_id long, item_id long, score double, n_items long, end_word long")
-        part = part.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "item_id", "end_word")).alias("best"), F.max("n_items").alias("n_items"))
-        found = part if found is None else found.union(part)
+    texts = keyed(id_and_text(docs), "h", "digest")
+    found = candidates(texts, benchmark, threshold, bits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, n_items long, end_word long")
-    merged = found.groupBy("doc_id").agg(F.min("best").alias("best"), F.sum("n_items").alias("n_items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                hits = search(list(zip(b.column(1).to_pylist(), b.column(2).to_pylist())), threshold)
+                row, item, score, n, end = zip(*hits) if hits else ((),) * 5
+                columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(end, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "n_items", "end_word"])
+
+    near = let_through(texts, "h", Filter.of(found.select("h"), bits)).join(found, ["h", "digest"])
+    judged = near.select("doc_id", "text", "found").mapInArrow(run, "doc_id long, item_id long, score double, n_items long, end_word long")
+    merged = judged.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "item_id", "end_word")).alias("best"), F.max("n_items").alias("n_items"))
     return merged.select("doc_id", "best.item_id", (-F.col("best.s")).alias("score"), "n_items", "best.end_word")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, block: int = BLOCK) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, bits: int = BITS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item.
 
     Every row is judged by its own text, so rows that repeat an id or lack one stay or go each by itself; rows with null
     and empty texts stay. All rows stay when the benchmark has no item; an empty table stays empty.
     """
-    at, left = docs.columns.index("text"), docs
-    for items in prepared(docs, benchmark, threshold, block):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for k in range(0, whole.num_rows, 512):
-                    b = whole.slice(k, 512)
-                    hit = {h[0] for h in search(items, [str(t or "") for t in b.column(at).to_pylist()])}
-                    yield b.filter(pa.array([r not in hit for r in range(b.num_rows)], pa.bool_()))
-
-        left = left.mapInArrow(run, docs.schema)
-    return left
+    h, digest, found_name = (unused(docs, c) for c in ("text_hash", "text_digest", "items_found"))
+    found = candidates(keyed(id_and_text(docs), "h", "digest"), benchmark, threshold, bits)
+    if found is None:
+        return docs
+    found = found.toDF(h, digest, found_name)
+    rows, keys, width, at = keyed(docs, h, digest), Filter.of(found.select(h), bits), len(docs.columns), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 64):
+                b = whole.slice(k, 64)
+                hit = {r[0] for r in search([(str(t or ""), f or []) for t, f in zip(b.column(at).to_pylist(), b.column(width).to_pylist())], threshold)}
+                yield b.select(list(range(width))).filter(pa.array([r not in hit for r in range(b.num_rows)], pa.bool_()))
+
+    near = let_through(rows, h, keys).join(found, [h, digest], "left").drop(h, digest)
+    return let_through(rows, h, keys, False).drop(h, digest).unionAll(near.mapInArrow(run, docs.schema))
