@@ -10,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Work, id_and_text, materialize, unused
 
@@ -25,11 +24,13 @@ SHORT = 5
 #: A seed is two words of which the second follows within this many places.
 REACH = 4
 #: A passage holds one seed for each so many words of its item, or more, wherever the item has enough of them.
-WORDS_A_SEED = 8
+WORDS_A_SEED = 12
 #: A filter has at most 2 to this power bits (32 MB); with more keys it only lets more through to the join.
 BITS = 28
 #: Hashes of words that a worker keeps; characters of a long text that are split at a time.
 KEPT, SLICE = 1 << 18, 1 << 20
+#: Seeds that a task counts together before Spark adds up.
+COUNTED = 1 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -113,7 +114,7 @@ def seeds_in(keys: Filter, single: bool, words: np.ndarray, row: np.ndarray, pla
 def seeds_needed(n: int, bound: float) -> tuple[int, int]:
     """How many seeds an item of ``n`` words takes, and how many of these every passage at its bound holds.
 
-    Seeds are pairs of neighbouring item words, each word in one pair. A passage may lose n * (1 - bound) of the score:
+    Seeds are pairs of neighbouring item words, no word in two of them. A passage may lose n * (1 - bound) of the score:
     at least 1 for an item word without a match, which spoils one pair at most, and PENALTY for a word put between. A
     pair whose words match is a seed of the passage unless REACH words or more were put between them.
     """
@@ -180,9 +181,8 @@ def distinct_items(benchmark: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "item_id long, words string").filter("words <> ''").groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words", F.xxhash64("words").alias("item"))
 
 
-def item_pairs(items: DataFrame, threshold: float) -> DataFrame:
-    """(item_id, item, n, place, seed, taken, least): the pairs of neighbouring words of each item, and the numbers of
-    seeds_needed()."""
+def item_pairs(items: DataFrame) -> DataFrame:
+    """(item_id, item, n, place, seed): all pairs of neighbouring words of each item of ``n`` words, or its only word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -190,35 +190,65 @@ def item_pairs(items: DataFrame, threshold: float) -> DataFrame:
             for k in range(whole.num_rows):
                 item_id, words, item = (c[k].as_py() for c in whole.columns)
                 ids = hashes.of(words)
-                n, m = len(ids), max(1, len(ids) // 2)
-                taken, least = seeds_needed(n, bound_of(n, threshold))
-                seed = gram(ids, 0) if n == 1 else gram(ids[0 : 2 * m : 2], ids[1 : 2 * m : 2])
-                same = [pa.array(np.full(m, v, "i8")) for v in (item_id, item, n, taken, least)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(2 * np.arange(m)), pa.array(seed)], ["item_id", "item", "n", "taken", "least", "place", "seed"])
+                seed = gram(ids, 0) if len(ids) == 1 else gram(ids[:-1], ids[1:])
+                same = [pa.array(np.full(len(seed), v, "i8")) for v in (item_id, item, len(ids))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(seed))), pa.array(seed)], ["item_id", "item", "n", "place", "seed"])
 
-    return items.mapInArrow(run, "item_id long, item long, n long, taken long, least long, place long, seed long")
+    return items.mapInArrow(run, "item_id long, item long, n long, place long, seed long")
 
 
 def counted(texts: DataFrame, keys: Filter, single: bool) -> DataFrame:
     """(seed, times) over all texts, for the seeds that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, held, size = Hashes(), [], 0
+
+        def totals() -> pa.RecordBatch:
+            seed, times = np.unique(np.concatenate([np.empty(0, "i8"), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(seed), pa.array(times)], ["seed", "times"])
+
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 for block in hashes.blocks(b.column(0).slice(at, 512).to_pylist()):
-                    seed, times = np.unique(seeds_in(keys, single, *block)[2], return_counts=True)
-                    if len(seed):
-                        yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(times)], ["seed", "times"])
+                    held.append(seeds_in(keys, single, *block)[2])
+                    size += len(held[-1])
+                    if size >= COUNTED:
+                        yield totals()
+                        held, size = [], 0
+        yield totals()
 
     return texts.select("text").mapInArrow(run, "seed long, times long").groupBy("seed").agg(F.sum("times").alias("times"))
 
 
-def rare_seeds(pairs: DataFrame, times: DataFrame) -> DataFrame:
-    """(seed, item_id, item, n, least, first, last, weight): the rarest pairs of each item. A pair that an item has at
-    several places is one row with the first and last of them and their number."""
-    rank = F.row_number().over(Window.partitionBy("item_id", "item").orderBy("times", "place"))
-    some = pairs.join(times, "seed", "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("rank", rank).filter("rank <= taken")
+def rarest(n: int, bound: float, pairs: list[dict]) -> tuple[list[dict], int]:
+    """The rarest pairs of an item of which no two share a word, and how many of these every passage holds."""
+    taken, least = seeds_needed(n, bound)
+    order = sorted(pairs, key=lambda p: (p["times"], p["place"]))
+    used, out = bytearray(n + 1), []
+    for p in order:
+        at = p["place"]
+        if len(out) < taken and not used[at] and not used[at + 1]:
+            used[at] = used[at + 1] = 1
+            out.append(p)
+    return (out if len(out) == taken else [p for p in order if p["place"] % 2 == 0][:taken]), least
+
+
+def rare_seeds(pairs: DataFrame, times: DataFrame, threshold: float) -> DataFrame:
+    """(seed, item_id, item, n, least, first, last, weight): the seeds of each item. A pair that an item has at several
+    places is one row with the first and last of them and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(whole.num_rows):
+                item_id, item, n, own = (c[k].as_py() for c in whole.columns)
+                chosen, least = rarest(n, bound_of(n, threshold), own)
+                same = [pa.array(np.full(len(chosen), v, "i8")) for v in (item_id, item, n, least)]
+                seed, place = (pa.array([p[c] for p in chosen], pa.int64()) for c in ("seed", "place"))
+                yield pa.RecordBatch.from_arrays([seed, *same, place], ["seed", "item_id", "item", "n", "least", "place"])
+
+    counts = pairs.join(times, "seed", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    items = counts.groupBy("item_id", "item", "n").agg(F.collect_list(F.struct("place", "seed", "times")).alias("pairs"))  # the words of one text
+    some = items.mapInArrow(run, "seed long, item_id long, item long, n long, least long, place long")
     return some.groupBy("seed", "item_id", "item", "n", "least").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("weight"))
 
 
@@ -250,12 +280,12 @@ def candidates(texts: DataFrame, benchmark: DataFrame, threshold: float, bits: i
     item's words; kept as a checkpoint. None if there is nothing to search for."""
     with Work(texts.sparkSession) as work:
         items = work.table(distinct_items(benchmark))
-        pairs = work.table(item_pairs(items, threshold))
+        pairs = work.table(item_pairs(items))
         single = bool(pairs.filter("n = 1").take(1))
         if not items.take(1):
             return None
         times = counted(texts, Filter.of(pairs.select("seed").distinct(), bits), single)
-        seeds = work.table(rare_seeds(pairs, times))
+        seeds = work.table(rare_seeds(pairs, times, threshold))
         hits = places(texts, Filter.of(seeds.select("seed").distinct(), bits), single).join(seeds, "seed")
         enough = hits.groupBy("h", "digest", "item_id", "item", "n", "least").agg(F.sum("weight").alias("held"), F.collect_list(F.struct("first", "last", "weight", "at")).alias("seeds")).filter("held >= least")
         found = enough.join(items, ["item_id", "item"]).groupBy("h", "digest").agg(F.collect_list(F.struct("item_id", "words", "least", "seeds")).alias("found"))
@@ -295,7 +325,9 @@ def search(rows: list[tuple[str, list[dict]]], threshold: float) -> list[tuple[i
                 words.append(own)
                 parts.append(ids[a:b])
     best: dict[int, dict[int, tuple[float, int]]] = {}
-    score, end = align(words, parts)
+    _, dense = np.unique(np.concatenate([np.empty(0, "u8"), *words, *parts]), return_inverse=True)  # numbers that align() holds
+    dense = np.split(dense, np.cumsum([len(x) for x in [*words, *parts]])[:-1]) if words else []
+    score, end = align(dense[: len(words)], dense[len(words) :])
     for (row, k, a), own, s, e in zip(owner, words, score.tolist(), end.tolist()):
         if s / len(own) >= bound_of(len(own), threshold):
             held = best.setdefault(row, {})
