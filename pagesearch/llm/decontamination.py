@@ -24,7 +24,7 @@ SHORT = 5
 #: A seed is two words of which the second follows within this many places.
 REACH = 4
 #: A passage holds one seed for each so many words of its item, or more, wherever the item has enough of them.
-WORDS_A_SEED = 12
+WORDS_A_SEED = 8
 #: A filter has at most 2 to this power bits (32 MB); with more keys it only lets more through to the join.
 BITS = 28
 #: Hashes of words that a worker keeps; characters of a long text that are split at a time.
@@ -87,8 +87,8 @@ class Filter:
     def of(cls, keys: DataFrame, most: int) -> Filter:
         """From the only column of ``keys``; Spark sets the bits, so the driver gets 2 ** (most - 6) words or fewer."""
         bits = min(most, max(10, (16 * keys.count()).bit_length()))
-        slot = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - bits)
-        words = keys.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+        slot = F.shiftrightunsigned("key", 64 - bits)
+        words = keys.toDF("key").select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
         got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         out = np.zeros(1 << (bits - 6), "i8")
         out[got.column(0).to_numpy()] = got.column(1).to_numpy()
@@ -253,14 +253,14 @@ def rare_seeds(pairs: DataFrame, times: DataFrame, threshold: float) -> DataFram
 
 
 def places(texts: DataFrame, keys: Filter, single: bool) -> DataFrame:
-    """(h, digest, seed, at): where each text has seeds; texts that are equal are one."""
+    """(digest, seed, at): where each text has seeds; texts that are equal are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 b = whole.slice(begin, 512)
-                for block in hashes.blocks(b.column(2).to_pylist()):
+                for block in hashes.blocks(b.column(1).to_pylist()):
                     row, place, seed = seeds_in(keys, single, *block)
                     if not len(row):
                         continue
@@ -268,15 +268,14 @@ def places(texts: DataFrame, keys: Filter, single: bool) -> DataFrame:
                     row, place, seed = row[order], place[order], seed[order]
                     first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(seed) != 0))))
                     at = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place, pa.int32()))
-                    one = pa.array(row[first])
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(one), b.column(1).take(one), pa.array(seed[first]), at], ["h", "digest", "seed", "at"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[first])), pa.array(seed[first]), at], ["digest", "seed", "at"])
 
-    found = texts.select("h", "digest", "text").mapInArrow(run, "h long, digest binary, seed long, at array<int>")
-    return found.groupBy("h", "digest", "seed").agg(F.first("at").alias("at"))
+    found = texts.select("digest", "text").mapInArrow(run, "digest binary, seed long, at array<int>")
+    return found.groupBy("digest", "seed").agg(F.first("at").alias("at"))
 
 
 def candidates(texts: DataFrame, benchmark: DataFrame, threshold: float, bits: int) -> DataFrame | None:
-    """(h, digest, found): for each different text the items of which it has enough seeds, with these seeds and the
+    """(digest, found): for each different text the items of which it has enough seeds, with these seeds and the
     item's words; kept as a checkpoint. None if there is nothing to search for."""
     with Work(texts.sparkSession) as work:
         items = work.table(distinct_items(benchmark))
@@ -287,8 +286,8 @@ def candidates(texts: DataFrame, benchmark: DataFrame, threshold: float, bits: i
         times = counted(texts, Filter.of(pairs.select("seed").distinct(), bits), single)
         seeds = work.table(rare_seeds(pairs, times, threshold))
         hits = places(texts, Filter.of(seeds.select("seed").distinct(), bits), single).join(seeds, "seed")
-        enough = hits.groupBy("h", "digest", "item_id", "item", "n", "least").agg(F.sum("weight").alias("held"), F.collect_list(F.struct("first", "last", "weight", "at")).alias("seeds")).filter("held >= least")
-        found = enough.join(items, ["item_id", "item"]).groupBy("h", "digest").agg(F.collect_list(F.struct("item_id", "words", "least", "seeds")).alias("found"))
+        enough = hits.groupBy("digest", "item_id", "item", "n", "least").agg(F.sum("weight").alias("held"), F.collect_list(F.struct("first", "last", "weight", "at")).alias("seeds")).filter("held >= least")
+        found = enough.join(items, ["item_id", "item"]).groupBy("digest").agg(F.collect_list(F.struct("item_id", "words", "least", "seeds")).alias("found"))
         return materialize(found)
 
 
@@ -340,9 +339,8 @@ def search(rows: list[tuple[str, list[dict]]], threshold: float) -> list[tuple[i
 
 
 def keyed(docs: DataFrame, h: str, digest: str) -> DataFrame:
-    """``docs`` with two more columns, a hash and a digest of the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({h: F.xxhash64(text), digest: F.unhex(F.sha2(text, 256))})
+    """``docs`` with two more columns: a digest of the text and a hash of the digest."""
+    return docs.withColumn(digest, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))).withColumn(h, F.xxhash64(digest))
 
 
 def let_through(docs: DataFrame, h: str, keys: Filter, through: bool = True) -> DataFrame:
@@ -382,7 +380,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SC
                 columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(end, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "n_items", "end_word"])
 
-    near = let_through(texts, "h", Filter.of(found.select("h"), bits)).join(found, ["h", "digest"])
+    near = let_through(texts, "h", Filter.of(found.select(F.xxhash64("digest")), bits)).join(found, "digest")
     judged = near.select("doc_id", "text", "found").mapInArrow(run, "doc_id long, item_id long, score double, n_items long, end_word long")
     merged = judged.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "item_id", "end_word")).alias("best"), F.max("n_items").alias("n_items"))
     return merged.select("doc_id", "best.item_id", (-F.col("best.s")).alias("score"), "n_items", "best.end_word")
@@ -398,8 +396,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     found = candidates(keyed(id_and_text(docs), "h", "digest"), benchmark, threshold, bits)
     if found is None:
         return docs
-    found = found.toDF(h, digest, found_name)
-    rows, keys, width, at = keyed(docs, h, digest), Filter.of(found.select(h), bits), len(docs.columns), docs.columns.index("text")
+    found = found.toDF(digest, found_name)
+    rows, keys, width, at = keyed(docs, h, digest), Filter.of(found.select(F.xxhash64(digest)), bits), len(docs.columns), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -408,5 +406,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                 hit = {r[0] for r in search([(str(t or ""), f or []) for t, f in zip(b.column(at).to_pylist(), b.column(width).to_pylist())], threshold)}
                 yield b.select(list(range(width))).filter(pa.array([r not in hit for r in range(b.num_rows)], pa.bool_()))
 
-    near = let_through(rows, h, keys).join(found, [h, digest], "left").drop(h, digest)
+    near = let_through(rows, h, keys).join(found, digest, "left").drop(h, digest)
     return let_through(rows, h, keys, False).drop(h, digest).unionAll(near.mapInArrow(run, docs.schema))
