@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,17 @@ def test_trigrams_lose_no_match_and_spare_the_pattern(spark):
     assert held <= seen < 1.6 * held and seen < every / 4
 
 
+def test_trigrams_of_a_long_text_take_one_pass(spark):
+    random.seed(4)
+    text = "".join(random.choices("abcÉéß 日\n", k=60_000))
+    rows = spark.createDataFrame([(1, text), (2, "ab"), (3, ""), (4, None), (5, "a😀b")], SCHEMA)
+    began = time.perf_counter()
+    got = {r.item_id: r.g for r in rows.select("item_id", trigrams.grams(F.col("text")).alias("g"), trigrams.folded(F.col("text")).alias("f")).withColumn("g", F.sort_array("g")).collect()}
+    assert time.perf_counter() - began < 30  # folding the text again for each place takes minutes
+    whole = rows.filter("item_id = 1").select(trigrams.folded(F.col("text"))).first()[0]
+    assert got[1] == sorted({whole[k : k + 3] for k in range(len(whole) - 2)}) and got[2] == got[3] == [] and got[5] == [f"a{trigrams.OTHER}b"]
+
+
 def test_folded_characters_are_those_that_a_pattern_takes_as_one(spark):
     chars = {chr(c) for c in [*range(1, 0x590), *range(0x1C80, 0x1C90), *range(0x1E00, 0x2000), *range(0x2100, 0x2190), *range(0xA640, 0xA7C0)]}
     pairs = {(c, o) for c in chars for o in (c.upper(), c.lower(), c.title(), c.upper().lower(), c.casefold()) if len(o) == 1 and o != c}
