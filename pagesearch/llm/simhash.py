@@ -32,8 +32,8 @@ MINIMA, MAX_DIFFERENT, CLOSE = 128, 38, 16
 #: Least similarity of texts that are linked, as a fraction.
 SIMILAR = (4, 5)
 #: Texts that share a chain with more than BLOCK others meet by GROUPS groups of GROUP of the other minima's bytes: a pair with
-#: similarity 0.8 shares none of them once in 2,800 times. What is nearest to a text is looked for among so many at most.
-GROUPS, GROUP, NEAREST = 20, 5, 1024
+#: similarity 0.8 shares none of them once in 2,800 times.
+GROUPS, GROUP = 20, 5
 #: Length of the ring of minima that is searched, and of its chains that have to be equal.
 RING, CHAIN = 24, 3
 #: Members of a chain's bucket that a task compares at a time.
@@ -295,7 +295,8 @@ def links(distinct: DataFrame, work: Work, split: int = SPLIT) -> DataFrame:
 
 def block_edges(ids: np.ndarray, bytes_: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs to look at that join what pairs with at most MAX_DIFFERENT unequal bytes join: a search tree, never all pairs,
-    and for texts that are not CLOSE to the text above them the two nearest of their tree."""
+    and for texts that are not CLOSE to the text above them the two nearest of their whole tree, which is no larger than
+    what a task compares at a time."""
     out = []
     rest = np.arange(len(ids))
     while len(rest) > 1:
@@ -312,12 +313,12 @@ def block_edges(ids: np.ndarray, bytes_: np.ndarray) -> list[tuple[np.ndarray, n
                 far.extend(new[different[near] > CLOSE])
                 rest = rest[~near]
         members = np.concatenate(group)
-        some = members[:: -(-len(members) // NEAREST)]
-        for k in far if len(some) > 2 else ():
-            different = np.where(some == k, MINIMA + 1, np.count_nonzero(bytes_[some] != bytes_[k], axis=1))
+        held = bytes_[members]
+        for k in far if len(members) > 2 else ():
+            different = np.where(members == k, MINIMA + 1, np.count_nonzero(held != bytes_[k], axis=1))
             nearest = np.argpartition(different, 1)[:2]
             nearest = nearest[different[nearest] <= MAX_DIFFERENT]
-            out.append((np.full(len(nearest), ids[k]), ids[some[nearest]]))
+            out.append((np.full(len(nearest), ids[k]), ids[members[nearest]]))
     return out
 
 
