@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from pagesearch.operators import match
+from pagesearch.operators import match, results
 from pagesearch.plans import testbed
 
 ZONE = "item_id bigint, page_no int, zone_no int, text string"
@@ -50,3 +50,12 @@ def test_the_nearest_text_is_found_in_a_large_group():
     bytes_[2501] = bytes_[1202]  # whole groups of more than 1,024 were once thinned, and with them such a pair
     edges = {(min(a, b), max(a, b)) for x, y in simhash.block_edges(np.arange(n), bytes_) for a, b in zip(x.tolist(), y.tolist())}
     assert (1202, 2501) in edges and len(edges) < 3 * n
+
+
+def test_compressed_files_of_responses_take_less_and_read_alike(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id % 3 query_id", "id % 3 item_id", "200 http_status", "1 section", "0 rank", "cast(id as int) number", "concat(',{\"@type\":\"oa:Annotation\",\"on\":', id, '}') part")
+    size = lambda d: sum(f.stat().st_size for f in d.rglob("part-*"))
+    read = lambda d: sorted(map(str, results.read_responses(spark, str(d)).collect()))
+    results.write_responses(rows, str(tmp_path / "plain"))
+    results.write_responses(rows, str(tmp_path / "small"), "gzip")
+    assert size(tmp_path / "small") * 4 < size(tmp_path / "plain") and read(tmp_path / "small") == read(tmp_path / "plain")
