@@ -97,6 +97,54 @@ def test_trigrams_lose_no_match_and_spare_the_pattern(spark):
     assert held <= seen < 1.6 * held and seen < every / 4
 
 
+def stored_corpus(spark, zones, items):
+    from pagesearch import schemas as S
+    from pagesearch.plans.search import Corpus
+
+    none = spark.createDataFrame([], "item_id bigint, line_no int, word string, positions string")
+    return Corpus(zones, none, spark.createDataFrame([], S.IMAGES), spark.createDataFrame([], S.MEDIA_VALUES), items, items)
+
+
+@pytest.mark.parametrize("few", [0, 32])
+@pytest.mark.parametrize("dealt", [False, True])
+def test_stored_texts_are_few_and_find_all_zones(spark, tmp_path, monkeypatch, dealt, few):
+    from pagesearch.plans.search import save_zones, saved_corpus, update_zones, zones_with_terms
+
+    monkeypatch.setattr(match, "FEW", few)
+    zones, folder = zone_rows(spark, 2000).filter("zone_no % 7 <> 0"), str(tmp_path / "z")
+    items = zones.select("item_id").distinct()
+    store, rows = Store(spark, folder), lambda df: sorted(map(str, df.collect()))
+    save_zones(stored_corpus(spark, zones.repartition(3, "item_id"), items), folder, 2, dealt)
+    texts = saved_corpus(stored_corpus(spark, zones, items), folder).texts
+    assert rows(texts.select("bucket", "text")) == rows(saved_corpus(stored_corpus(spark, zones, items), folder).zones.select("bucket", "text").distinct())
+    assert sum(store.read(t, "item_id bigint").count() for t in store.manifest().tables if t != "zones") == texts.count() < zones.count()
+    new = zones.filter("item_id = 1").withColumn("text", F.concat(F.lit("neu "), "text"))
+    update_zones(stored_corpus(spark, new, items.filter("item_id < 3")), folder, dealt)
+    now = zones.filter("item_id > 2").unionByName(new)
+    saved = saved_corpus(stored_corpus(spark, zones, items), folder)
+    assert rows(saved.zones.select(*now.columns)) == rows(now)
+    asked = ["straße", "ÉTÉ", "see", "k9 ", "c++", "ab", "x", "neu", "neu ab", "日本語", "nowhere", "see"]
+    terms = spark.createDataFrame([(100 * k + i, i, k, t) for k, t in enumerate(asked) for i in range(5) if (i + k) % 3], "query_id bigint, item_id bigint, term_no int, term string")
+    plain = match.contains_join(now, terms)
+    assert saved.texts is not None and rows(zones_with_terms(saved, terms).select(*plain.columns)) == rows(plain) and plain.count() > 500
+    store.upsert(items.filter("item_id = 4"), {"zones": new.withColumn("item_id", F.lit(4).cast("bigint"))}, {})
+    assert saved_corpus(stored_corpus(spark, zones, items), folder).texts is None  # texts of older zones are not relied on
+
+
+def test_dealt_rows_are_written_from_their_partitions(spark, tmp_path):
+    rows = spark.range(900).select((F.col("id") % 90).alias("item_id"), F.col("id").cast("string").alias("text")).repartition(3, "item_id")
+    store, tracker = Store(spark, str(tmp_path / "s")), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("dealt", "dealt")
+    try:
+        store.replace_all({"t": rows}, 4, {}, dealt=True)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("dealt") for s in tracker.getJobInfo(j).stageIds}
+    files = [f for d, _, fs in os.walk(tmp_path / "s" / "data") for f in fs if f.endswith(".parquet")]
+    assert 0 < len(stages) < 4 and len(files) <= 12 and store.read("t", SCHEMA).count() == 900
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_trigrams_of_a_long_text_take_one_pass(spark):
     random.seed(4)
     text = "".join(random.choices("abcÉéß 日\n", k=60_000))
