@@ -59,3 +59,9 @@ def test_compressed_files_of_responses_take_less_and_read_alike(spark, tmp_path)
     results.write_responses(rows, str(tmp_path / "plain"))
     results.write_responses(rows, str(tmp_path / "small"), "gzip")
     assert size(tmp_path / "small") * 4 < size(tmp_path / "plain") and read(tmp_path / "small") == read(tmp_path / "plain")
+
+
+def test_places_of_index_words_are_dealt_as_numbers(spark):
+    plan = testbed.conversation_index(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    gathered = re.search(r"collect_list\((.*?), 0, 0\)", plan).group(1)
+    assert ",20," in plan and ",20," not in gathered and "word_no" in gathered
