@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,8 @@ WORD, BETWEEN = re.compile(r"\w+"), re.compile(r"\W")
 #: A match adds 1, a substitution or a gap takes this. A copy with a fifth of its words replaced has a score of
 #: 0.8 - 0.2 * PENALTY = 0.75 for each word of the item.
 PENALTY, SCORE = 0.25, 0.75
-#: Words of documents that are looked up together, or one document.
-TOGETHER = 1 << 16
+#: Characters of documents that are looked up together, or one document.
+TOGETHER = 1 << 18
 #: Items with fewer words count only as they are, word by word, since edits would leave nothing of them.
 SHORT = 5
 #: A seed is two words of which the second follows within this many places.
@@ -29,6 +31,8 @@ WORDS_A_SEED = 8
 BITS = 28
 #: Hashes of words that a worker keeps; characters of a long text that are split at a time.
 KEPT, SLICE = 1 << 18, 1 << 20
+#: Odd, so that its powers have inverses modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
 #: Seeds that a task counts together before Spark adds up.
 COUNTED = 1 << 20
 
@@ -48,25 +52,79 @@ class Hashes(dict):
 
     def of(self, text: str) -> np.ndarray:
         """Hashes of the words of a text, of which one slice at a time becomes strings."""
-        low, at, parts = text.lower(), 0, []
-        while at < len(low):
-            stop = BETWEEN.search(low, at + SLICE) if len(low) - at > SLICE else None
-            to = stop.start() if stop else len(low)
-            found = WORD.findall(low, at, to)
-            parts.append(np.fromiter(map(self.__getitem__, found), "u8", len(found)))
-            at = to
+        parts = [np.fromiter(map(self.__getitem__, found), "u8", len(found)) for found in map(WORD.findall, slices(text.lower()))]
         return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, "u8"), *parts])
 
-    def blocks(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Words of several texts after one another: their hashes, the text that each is in and its place there."""
-        held: list[np.ndarray] = []
-        for k, text in enumerate(texts):
-            held.append(self.of(text))
-            if k + 1 == len(texts) or sum(map(len, held)) >= TOGETHER:
-                lengths = np.array([len(h) for h in held])
-                row = np.repeat(np.arange(len(held)), lengths)
-                yield np.concatenate(held), row + (k + 1 - len(held)), np.arange(len(row)) - (np.cumsum(lengths) - lengths)[row]
-                held = []
+
+def slices(low: str) -> Iterator[str]:
+    """A text in parts of about SLICE characters, none of which cuts a word."""
+    at = 0
+    while at < len(low):
+        stop = BETWEEN.search(low, at + SLICE) if len(low) - at > SLICE else None
+        to = stop.start() if stop else len(low)
+        yield low[at:to]
+        at = to
+
+
+@cache
+def letters() -> np.ndarray:
+    """A 64-bit value for each character of words, 0 for any other."""
+    x = np.arange(1, sys.maxunicode + 2, dtype="u8") * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    x = (x ^ (x >> np.uint64(32))) | np.uint64(1 << 63)
+    inside = np.zeros(len(x), bool)
+    for m in WORD.finditer("".join(map(chr, range(len(x))))):
+        inside[m.start() : m.end()] = True
+    return np.where(inside, x, np.uint64(0))
+
+
+@cache
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2 ** bits powers of BASE and of its inverse."""
+    both = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(1 << bits, base, "u8")
+        p[0] = 1
+        both.append(np.cumprod(p, dtype="u8"))
+    return both[0], both[1]
+
+
+def word_keys(low: str) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first character, key) of each word. All words are taken at once: a key is the sum of the values of the
+    word's characters, up to SLICE of them, times powers of BASE. Equal words have equal keys, so seeds lose nothing by
+    them; scores come from words."""
+    if len(low) > SLICE:
+        low = "\n".join(w[:SLICE] for w in WORD.findall(low))
+    value = letters()[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "u4")]
+    inside = value != 0
+    inside[1:] &= value[:-1] == 0
+    start = np.flatnonzero(inside)
+    if not len(start):
+        return start, np.empty(0, "u8")
+    up, down = powers(max(18, (len(value) - 1).bit_length()))
+    return start, np.add.reduceat(value * up[: len(value)], start) * down[start]
+
+
+def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of several texts after one another: their keys, the text that each is in and its place there."""
+    held: list[str] = []
+    size = 0
+    for k, text in enumerate(texts):
+        held.append(text.lower())
+        size += len(held[-1]) + 1
+        if k + 1 < len(texts) and size + len(texts[k + 1]) < TOGETHER:
+            continue
+        if size <= SLICE:
+            start, key = word_keys("\n".join(held))
+            begin = np.cumsum([0, *(len(h) + 1 for h in held)])
+            lengths = np.diff(np.searchsorted(start, begin))
+        else:
+            keys = [[word_keys(part)[1] for part in slices(h)] for h in held]
+            lengths = np.array([sum(map(len, parts)) for parts in keys])
+            key = np.concatenate([np.empty(0, "u8"), *(x for parts in keys for x in parts)])
+        row = np.repeat(np.arange(len(held)), lengths)
+        yield key, row + (k + 1 - len(held)), np.arange(len(row)) - (np.cumsum(lengths) - lengths)[row]
+        held, size = [], 0
 
 
 def gram(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -185,11 +243,10 @@ def item_pairs(items: DataFrame) -> DataFrame:
     """(item_id, item, n, place, seed): all pairs of neighbouring words of each item of ``n`` words, or its only word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for whole in batches:
             for k in range(whole.num_rows):
                 item_id, words, item = (c[k].as_py() for c in whole.columns)
-                ids = hashes.of(words)
+                ids = np.concatenate([word_keys(part)[1] for part in slices(words)])
                 seed = gram(ids, 0) if len(ids) == 1 else gram(ids[:-1], ids[1:])
                 same = [pa.array(np.full(len(seed), v, "i8")) for v in (item_id, item, len(ids))]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(seed))), pa.array(seed)], ["item_id", "item", "n", "place", "seed"])
@@ -201,7 +258,7 @@ def counted(texts: DataFrame, keys: Filter, single: bool) -> DataFrame:
     """(seed, times) over all texts, for the seeds that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
+        held, size = [], 0
 
         def totals() -> pa.RecordBatch:
             seed, times = np.unique(np.concatenate([np.empty(0, "i8"), *held]), return_counts=True)
@@ -209,7 +266,7 @@ def counted(texts: DataFrame, keys: Filter, single: bool) -> DataFrame:
 
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                for block in hashes.blocks(b.column(0).slice(at, 512).to_pylist()):
+                for block in blocks(b.column(0).slice(at, 512).to_pylist()):
                     held.append(seeds_in(keys, single, *block)[2])
                     size += len(held[-1])
                     if size >= COUNTED:
@@ -256,11 +313,10 @@ def places(texts: DataFrame, keys: Filter, single: bool) -> DataFrame:
     """(digest, seed, at): where each text has seeds; texts that are equal are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 b = whole.slice(begin, 512)
-                for block in hashes.blocks(b.column(1).to_pylist()):
+                for block in blocks(b.column(1).to_pylist()):
                     row, place, seed = seeds_in(keys, single, *block)
                     if not len(row):
                         continue

@@ -287,6 +287,20 @@ def test_no_edited_copy_is_lost(spark, make_docs):
     assert {r.doc_id for r in decontamination.drop_contaminated(make_docs(docs), benchmark).collect()} == {d for d, _ in docs} - want
 
 
+@pytest.mark.parametrize("size", [decontamination.SLICE, 40, 7])
+def test_keys_of_words_are_those_of_the_pattern(monkeypatch, size):
+    monkeypatch.setattr(decontamination, "SLICE", size)
+    monkeypatch.setattr(decontamination, "TOGETHER", 60)
+    texts = ["", "ΑΣ", ", .", "Σ İstanbul ſ ß_9 ½ e\u0301a 東京\U00010400", "A b. c-d", "x y " * 40 + "end", "a" * 50 + " ab ba", "ba ab x"]
+    words = [decontamination.words_of(t) for t in texts]
+    got = [(k, row, place) for block in decontamination.blocks(texts) for k, row, place in zip(*(c.tolist() for c in block))]
+    assert [r[1:] for r in got] == [(i, j) for i, w in enumerate(words) for j in range(len(w))]
+    of: dict = {}
+    for (key, _, _), word in zip(got, (w for x in words for w in x)):
+        assert of.setdefault(word, key) == key
+    assert len(set(of.values())) == len({w[:size] for w in of})
+
+
 def test_decontamination_of_edge_rows(spark, make_docs, edge_rows):
     benchmark = spark.createDataFrame([(1, "no id here at all"), (2, "zebra quartz lemon cobalt und7"), (3, "id no"), (4, "...")], "item_id bigint, text string")
     docs = make_docs(edge_rows)
