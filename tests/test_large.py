@@ -65,3 +65,14 @@ def test_places_of_index_words_are_dealt_as_numbers(spark):
     plan = testbed.conversation_index(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     gathered = re.search(r"collect_list\((.*?), 0, 0\)", plan).group(1)
     assert ",20," in plan and ",20," not in gathered and "word_no" in gathered
+
+
+def test_matches_are_dealt_once_for_annotations_and_hits(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = testbed.response_json(spark, "/root/testdata/sf0.001")
+        assert df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert final.count("Generate posexplode(some") == 1 and "ReusedExchange" in final
