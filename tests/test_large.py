@@ -76,3 +76,16 @@ def test_matches_are_dealt_once_for_annotations_and_hits(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert final.count("Generate posexplode(some") == 1 and "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_a_search_of_stored_zones_deals_its_matches_once(spark, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        df = testbed.search_bodies(spark, "/root/testdata/sf0.001")
+        assert df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in final.split("\n") if re.search(r"[-+] ReusedExchange \[[^\]]*zone_no.*hashpartitioning\(query_id", line)]
+    assert len(dealt) == 1  # hits take what was dealt for annotations

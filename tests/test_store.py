@@ -145,6 +145,24 @@ def test_dealt_rows_are_written_from_their_partitions(spark, tmp_path):
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
 
 
+def spilling_stages(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {found.apply(k).stageId() for k in range(found.size()) if found.apply(k).memoryBytesSpilled()}
+
+
+def test_dealt_rows_are_not_sorted_once_every_bucket_is_open(spark, tmp_path):
+    conf, key = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    before, done = conf.get(key, "2147483647"), spilling_stages(spark)
+    conf.set(key, "100")  # a sorter of more rows spills
+    try:
+        Store(spark, str(tmp_path / "s")).replace_all({"t": spark.range(4000).withColumnRenamed("id", "item_id")}, 4, {}, dealt=True)
+    finally:
+        conf.set(key, before)
+    assert spilling_stages(spark) == done
+
+
 def test_trigrams_of_a_long_text_take_one_pass(spark):
     random.seed(4)
     text = "".join(random.choices("abcÉéß 日\n", k=60_000))
