@@ -1,9 +1,11 @@
 """What keeps work in proportion to the input: no match, zone or pair is lost by it."""
 
+import json
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagesearch.operators import match, results
 from pagesearch.plans import testbed
@@ -89,3 +91,27 @@ def test_a_search_of_stored_zones_deals_its_matches_once(spark, broadcast):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     dealt = [line for line in final.split("\n") if re.search(r"[-+] ReusedExchange \[[^\]]*zone_no.*hashpartitioning\(query_id", line)]
     assert len(dealt) == 1  # hits take what was dealt for annotations
+
+
+def test_many_responses_share_a_file(spark, tmp_path):
+    by = "query_id bigint, item_id bigint, "
+    queries = spark.createDataFrame([(1, 7, "a b", "ok"), (2, 7, " ", "blank"), (3, 8, "", "missing_query"), (4, None, "x", "missing_id"), (6, 9, "wrong", "ok"), *((k, k, "é&\x1e\n", "ok") for k in range(10, 400))], by + "q string, status string")
+    rows = [(1, 7, k // 150, 0, k + 1, f'c"{k}\x1e', f"id{k}", "t") for k in range(300)] + [(1, 7, 1, 1, 301, "", "meta", "t"), (6, 9, 1, 0, 1, "c", "i", None), (5, 5, 1, 0, 1, "c", "not asked", "t"), *((k, k, 4, 1, 1, "only\nmeta", "m", "t") for k in range(10, 400, 3))]
+    annotations = spark.createDataFrame(rows, by + "page_no int, source_rank int, hit int, chars string, id string, target string").withColumn("matched", F.col("chars"))
+    hits = results.hits_per_page(annotations.filter("source_rank = 0"))
+    want = {(r.query_id, r.item_id, r.http_status): json.loads(r.body) for r in results.responses(queries, annotations, hits).collect()}
+    for compression in ("none", "gzip"):
+        folder = tmp_path / compression
+        results.write_responses(results.response_parts(queries, annotations, hits), str(folder), compression, together=True)
+        got = results.read_responses(spark, str(folder), together=True).collect()
+        assert len(got) == len(want) == 395 and {(r.query_id, r.item_id, r.http_status): json.loads(r.body) for r in got} == want
+        assert len(list(folder.rglob("part-*"))) <= 4  # a file for each task, not for each request
+
+
+def test_files_of_responses_make_annotations_once(spark):
+    queries = spark.createDataFrame([(1, 1, "q", "ok")], "query_id bigint, item_id bigint, q string, status string")
+    annotations = testbed.document_annotations(spark, "/root/testdata/sf0.001", dealt=True)
+    df = results.response_parts(queries, annotations, results.hits_per_page(annotations))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert final.count("Generate posexplode(some") == 1 and "ReusedExchange" in final
