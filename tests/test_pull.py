@@ -1,6 +1,7 @@
 """Pages pulled from a parser against whole trees, and sizes from ranges of image files."""
 
 import random
+import re
 import struct
 import subprocess
 import sys
@@ -47,6 +48,32 @@ def test_pulled_pages_are_those_of_the_tree(monkeypatch, piece):
             assert shown(zones._pages(cut, kind, "dom")) == (shown(of_tree(tree)) if tree is not None else [])
 
 
+@pytest.mark.parametrize("whole", [0, 1 << 21])
+def test_small_files_are_parsed_once_and_large_ones_in_pieces(monkeypatch, whole):
+    monkeypatch.setattr(zones, "WHOLE", whole)
+    once = []
+    monkeypatch.setattr(zones, "well_formed", lambda pieces: once.append(1) or repair.well_formed(pieces))
+    rng = random.Random(5)
+    for _ in range(15):
+        for kind, make, of_tree in ((S.ALTO, alto_file, zones.alto_pages), (S.PDF2XML, pdf_file, zones.pdf2xml_pages)):
+            data = make(rng, rng.randrange(6)).encode()
+            cut = data[: rng.randrange(60, len(data) - 20)]
+            for mode in ("no", "dom", "regex", "all"):
+                assert shown(zones._pages(data, kind, mode)) == shown(of_tree(repair.load_xml(data, mode)))
+                tree = repair.load_xml(cut, mode)
+                assert shown(zones._pages(cut, kind, mode)) == ([] if tree is None else shown(of_tree(tree)))
+    assert len(once) == (0 if whole else 240)
+    assert zones._Rows(False, True).batch().num_rows == zones._Rows(False, True, False).batch().num_rows == 0
+
+
+def test_runs_of_spaces_are_repaired():
+    for raw in ("a  b", "a \n\tb\n\nc <b>  d</b>", " <i> </i> ", "  x", "a b", "", "  "):
+        want = raw
+        for pattern, new in repair.PDF2XML_REPAIRS:
+            want = re.sub(pattern, new, want)
+        assert repair.fix_pdf2xml_text(raw) == want
+
+
 @pytest.mark.parametrize("text", ["<a>&nbsp;</a>", "<!DOCTYPE a SYSTEM 'x'><a>&nbsp;</a>", "<x:a/>", "", " ", "<a/><b/>", "<a>\x00</a>", "<a>￾</a>", "<?xml version='1.0' encoding='latin-1'?><a>é</a>", "  <?xml version='1.0'?><a/>", "﻿<a/>", "<a b='1' b='2'/>"])
 @pytest.mark.parametrize("charset", ["utf-8", "latin-1", "utf-16"])
 def test_well_formed_is_what_a_strict_tree_takes(text, charset):
