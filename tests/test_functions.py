@@ -11,6 +11,7 @@ from pagesearch import schemas as S
 from pagesearch.functions import geometry, text
 from pagesearch.functions.repair import as_text, fix_pdf2xml_text, fix_utf8_bytes, load_xml, parse_recovering
 from pagesearch.operators import advertise, match, results
+from pagesearch.plans import testbed
 from pagesearch.sources import media, sniff, zones
 
 
@@ -213,3 +214,20 @@ def test_media_of_nested_paths(spark):
     media_rows = spark.createDataFrame([(1, "ab/cd.xml"), (2, "xy/cd.xml"), (3, "cd.jpg"), (4, "no.")], "media_id bigint, filename string")
     got = {r.path: r.media_id for r in sniff.media_of_path(paths, media_rows, "/f").collect()}
     assert got == {"/f/original/ab/cd.xml": 1, "/f/original/xy/cd.xml": 2, "/f/cd.xml": 3, "/g/original/ab/cd.xml": None, "/f/original/no.": 4}
+
+
+@pytest.mark.parametrize("all_pages", [False, True])
+def test_pages_of_files_that_come_together_are_numbered_in_one_pass(spark, all_pages):
+    page = lambda t: f'<Page WIDTH="9" HEIGHT="9"><String CONTENT="{t}" HPOS="0" VPOS="0" WIDTH="1" HEIGHT="1"/></Page>'
+    file = lambda *ts: f"<alto><Layout>{''.join(page(t) if t else '<Page/>' for t in ts)}</Layout></alto>".encode()
+    of = {1: [file("a", "b"), file("c", "d"), None, b"<alto>", file("", "e"), file(), file("f")], 2: [None, file("g")], 3: [file("h")], 4: [file(), file("i")], 5: [file("j", "", "k"), b"", file("l", "m")]}
+    rows = [(item, S.ALTO, k, content) for item, contents in of.items() for k, content in enumerate(contents)]
+    files = spark.createDataFrame(rows, "item_id bigint, kind string, file_no int, content binary").coalesce(1)
+    want = zones.merge_pages(zones.parse_files(files), all_pages)
+    got = zones.parse_items(files, all_pages=all_pages, together=True)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() > 10
+
+
+def test_files_of_pages_are_made_and_parsed_once(spark):
+    plan = testbed.alto_merge(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("parquet") == 1 and plan.count("mapInArrow(run") + plan.count("MapInArrow run") <= 2
